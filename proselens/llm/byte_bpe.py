@@ -1,17 +1,16 @@
-"""Byte-level BPE with Spark's higher-order functions over a literal rank map.
+"""Byte-level BPE: ranked merges folded over byte arrays of distinct words, and decoding by concatenated pieces.
 
-Encoding: a scan cuts each text into the pattern's matches and replaces them by numbers into a list of distinct words,
-one list a block of documents, so a word is merged once a block and nothing is shuffled. Each distinct word, an array of
-byte ids, is folded: the adjacent pair with the smallest rank, the first of equals, is merged until no pair has a rank.
-A document's ids are then its words' ids in order. Decoding looks every id's bytes up in a literal table and
-concatenates the pieces.
+Encoding: a scan cuts each text into the pattern's matches and numbers the distinct ones of a block of documents. All
+distinct words of the block, as arrays of byte ids, are folded together: in each round every word that still has a pair
+with a rank merges the one with the smallest rank, the first of equals. A document's ids are its words' ids in order.
+Nothing is shuffled. Decoding looks up every id's bytes and concatenates the pieces.
 
-The literal rank map holds every pair of tokens whose bytes together are a token. It is a sparse two-dimensional table
-stored by row displacement: entry (a, b) lies at offset[a] + b and carries a as a check. Its size is fixed by the
-vocabulary.
+The rank map holds every pair of tokens whose bytes together are a token. It is a sparse two-dimensional table stored
+by row displacement: entry (a, b) lies at offset[a] + b and carries a as a check. Its size is fixed by the vocabulary,
+some MB, and it is broadcast.
 
-A word of more than LONG_WORD bytes, for which a fold that copies its array at each step would be quadratic, is merged
-in the scan by the same rule with a heap.
+A word of more than LONG_WORD bytes, which would take the block through as many rounds, is merged by the same rule with
+a heap.
 
 Defined results: null and empty texts have no ids and decode to no bytes. No special tokens exist; their strings are
 ordinary text.
@@ -24,15 +23,17 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import schema_with, ship
 from .words import slices
 
+LONG_WORD = 256
+#: Words folded together: as many as keep the arrays of a round in the cache.
+SIDE_BY_SIDE = 16_384
+BLOCK = 4_000_000
 NONE = (1 << 31) - 1
-LONG_WORD = 512
-BLOCK = 3_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,67 +52,103 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def displaced(pairs: dict[tuple[int, int], int], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offset of each row, table of row * 2**20 + value; -1 where empty): no two rows' entries meet."""
+def displaced(pairs: dict[tuple[int, int], int], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset of each row, row of each table entry or -1, its value): no two rows' entries meet."""
     rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), r in pairs.items():
         rows.setdefault(a, []).append((b, r))
     # Fullest rows first, each at the first of a fixed sequence of places where it fits; at this load that takes few tries.
     size = 4 * len(pairs) + 2 * n
-    table, offset, places = np.full(size, -1, np.int64), np.zeros(n, np.int64), np.random.default_rng(0)
+    row, value, offset, places = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(n, np.int32), np.random.default_rng(0)
     for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
         b = np.array([x for x, _ in rows[a]])
         at = 0
-        while (table[at + b] >= 0).any():
+        while (row[at + b] >= 0).any():
             at = int(places.integers(size - n))
         offset[a] = at
-        table[at + b] = (a << 20) + np.array([r for _, r in rows[a]])
-    return offset, table
+        row[at + b], value[at + b] = a, [r for _, r in rows[a]]
+    return offset, row, value
 
 
 class Vocabulary:
-    """Literal tables of a rank file, made once on the driver."""
+    """What encoding and decoding need of a rank file."""
 
     def __init__(self, path: str):
-        self.ranks = load_ranks(path)
-        if max(self.ranks.values()) >= 1 << 20:
-            raise ValueError("ranks of 2**20 and over aren't supported")
-        n = max(self.ranks.values()) + 1
-        self.bytes_id = [self.ranks[bytes([k])] for k in range(256)]
-        self.pairs = pair_ranks(self.ranks)
-        offset, table = displaced(self.pairs, n)
-        numbers = lambda x, kind: F.from_json(F.lit("[" + ",".join(map(str, x)) + "]"), f"array<{kind}>")
-        self.offset, self.table = numbers(offset.tolist(), "int"), numbers(table.tolist(), "bigint")
-        piece = [""] * n
-        for w, r in self.ranks.items():
-            piece[r] = w.hex()
-        self.piece = F.split(F.lit(",".join(piece)), ",")
-
-    def rank(self, a: Column, b: Column) -> Column:
-        """The rank of ids a and b merged, NONE if they have none."""
-        x = F.get(self.table, F.get(self.offset, a) + b)
-        return F.when(F.shiftright(x, 20) == a, x.bitwiseAND(0xFFFFF).cast("int")).otherwise(F.lit(NONE))
-
-    def merge(self, ids: Column) -> Column:
-        """The fold: an array of byte ids to an array of token ids."""
-        let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-        n = F.size(ids)
-        pairs = F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), self.rank)
-        start = F.struct(ids.alias("ids"), pairs.alias("ranks"))
-
-        def at_place(acc: Column, least: Column, i: Column) -> Column:
-            w, r = acc["ids"], acc["ranks"]
-            left = F.when(i > 1, F.array(self.rank(F.get(w, i - 2), least))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i < F.size(r), F.array(self.rank(least, F.get(w, i + 1)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(w, F.lit(1), i - 1), F.array(least), F.slice(w, i + 2, F.size(w))).alias("ids"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r))).alias("ranks"),
-            )
-
-        def step(acc: Column, _: Column) -> Column:
-            return let(F.array_min(acc["ranks"]), lambda least: F.when(least.isNull() | (least == NONE), acc).otherwise(let(F.array_position(acc["ranks"], least).cast("int"), lambda i: at_place(acc, least, i))))
-
-        return F.when(n < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["ids"]))
+        ranks = load_ranks(path)
+        n = max(ranks.values()) + 1
+        self.byte_ids = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
+        self.pairs = pair_ranks(ranks)
+        self.offset, self.row, self.value = displaced(self.pairs, n)
+        pieces = [b""] * n
+        for w, r in ranks.items():
+            pieces[r] = w
+        self.piece_size = np.array([len(x) for x in pieces], np.int32)
+        self.piece_at = (np.cumsum(self.piece_size) - self.piece_size).astype(np.int32)
+        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def fold(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, offsets of the words)."""
+        got = [self._fold(words[k : k + SIDE_BY_SIDE]) for k in range(0, len(words), SIDE_BY_SIDE)] or [self._fold([])]
+        return np.concatenate([x for x, _ in got]), np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in got]))))
+
+    def _fold(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids a word): words are merged side by side, a round merging one pair of each."""
+        lengths = np.zeros(len(words), np.int64)
+        out: list = [None] * len(words)
+        for k, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                out[k] = merge_long(w, self.pairs, self.byte_ids.tolist())
+                lengths[k] = len(out[k])
+        rest = np.flatnonzero(lengths == 0)
+        raw = words if len(rest) == len(words) else [words[k] for k in rest]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        number, done = rest, []
+        # Finished words are set aside, so that a round costs what is still being merged.
+        while len(number):
+            begin = np.cumsum(sizes) - sizes
+            r = np.full(len(ids), NONE, np.int32)
+            if len(ids) > 1:
+                x = self.offset[ids[:-1]] + ids[1:]
+                np.copyto(r[:-1], self.value[x], where=self.row[x] == ids[:-1])
+                r[begin[1:] - 1] = NONE
+            best = np.minimum.reduceat(r, begin)
+            live = best != NONE
+            # The leftmost place of the smallest rank of each word.
+            hit = np.flatnonzero(r == np.repeat(np.where(live, best, -1), sizes))
+            first = np.ones(len(hit), bool)
+            of = np.searchsorted(begin, hit, "right")
+            first[1:] = of[1:] != of[:-1]
+            at = hit[first]
+            ids[at] = best[live]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            if not live.all():
+                stop = np.repeat(~live, sizes)
+                done.append((number[~live], sizes[~live], ids[stop]))
+                keep &= ~stop
+            ids, sizes, number = ids[keep], sizes[live] - 1, number[live]
+        for n, s, _ in done:
+            lengths[n] = s
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        flat = np.zeros(offsets[-1], np.int32)
+        for k, x in enumerate(out):
+            if x is not None:
+                flat[offsets[k] : offsets[k + 1]] = x
+        for n, s, x in done:
+            flat[ranges(offsets[n], s)] = x
+        return flat, lengths
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """The pieces of ids, concatenated."""
+        size = self.piece_size[ids]
+        return self.piece_bytes[ranges(self.piece_at[ids], size)].tobytes()
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0]..begin[0]+size[0]-1, begin[1].., one after another."""
+    begin, size = begin.astype(np.int64), size.astype(np.int64)
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def merge_long(word: bytes, ranks: dict[tuple[int, int], int], byte_ids: list[int]) -> list[int]:
@@ -135,71 +172,56 @@ def merge_long(word: bytes, ranks: dict[tuple[int, int], int], byte_ids: list[in
     return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
 
-def blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str) -> DataFrame:
-    """One row a block of documents: words (array of arrays of byte ids, or of token ids where done), done, and the
-    documents: their other columns with ``at``, their words' numbers."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """docs without their text and with ``out``, each whole text's ids as little-endian unsigned 32-bit integers."""
     ship(docs.sparkSession)
-    at = docs.columns.index(text)
+    docs = docs.drop(*({out} - {text}))
     rest = [c for c in docs.columns if c != text]
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.pairs, vocabulary.bytes_id))
-    kinds = docs.select(*rest, F.array().cast("array<int>").alias("at_")).schema
-    schema = docs.select(F.array().cast("array<array<int>>").alias("words"), F.array().cast("array<array<int>>").alias("done")).schema
-    schema = schema.add("docs", pa_free_array(kinds))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         import regex
 
-        find = regex.compile(pattern).findall
-        ranks, byte_ids = shared.value
-        byte_ids = np.array(byte_ids, np.int32)
+        find, v = regex.compile(pattern).findall, shared.value
         for b in batches:
-            for x in slices(b, at, BLOCK):
+            for x in slices(b, 0, BLOCK):
                 number: dict[str, int] = {}
-                put, of, n = number.setdefault, [], [0]
-                for t in x.column(at).to_pylist():
-                    for w in find(t) if t else ():
-                        of.append(put(w, len(number)))
+                of, n = [], [0]
+                for t in x.column(0).to_pylist():
+                    if t:
+                        of += [number.setdefault(w, len(number)) for w in find(t)]
                     n.append(len(of))
-                raw = [w.encode("utf-8", "replace") for w in number]
-                sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-                long = [k for k in np.flatnonzero(sizes > LONG_WORD)]
-                done = {k: merge_long(raw[k], ranks, byte_ids) for k in long}
-                for k in long:
-                    raw[k] = b""
-                sizes[long] = 0
-                flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-                words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, pa.int32()))
-                solved = pa.array([done.get(k) for k in range(len(raw))], pa.list_(pa.int32())) if done else pa.nulls(len(raw), pa.list_(pa.int32()))
-                numbers = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(of, pa.int32()))
-                rows = pa.StructArray.from_arrays([*(x.column(x.schema.names.index(c)) for c in rest), numbers], names=[*rest, "at_"])
-                one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-                yield pa.RecordBatch.from_arrays([one(words), one(solved), one(rows)], names=["words", "done", "docs"])
-
-    return docs.mapInArrow(run, schema)
+                flat, offsets = v.fold([w.encode("utf-8", "replace") for w in number])
+                at = np.array(of, np.int64)
+                size = (offsets[1:] - offsets[:-1])[at] if len(at) else at
+                ids = flat[ranges(offsets[at], size)].astype("<u4")
+                ends = 4 * np.concatenate(([0], np.cumsum(size)))[n]
+                blob = pa.Array.from_buffers(pa.large_binary(), len(n) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*x.columns[1:], blob], names=[*rest, out])
 
+    return docs.select(text, *rest).mapInArrow(run, schema_with(docs.select(rest), (out, "binary")))
 
-def pa_free_array(kinds):
-    from pyspark.sql.types import ArrayType
 
-    return ArrayType(kinds, False)
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs without their text and with ``out``, each whole text's ids."""
-    b = blocks(docs.drop(*({out} - {text})), vocabulary, pattern, text)
-    # The words' ids are worked out once, before the documents are unfolded.
-    merged = b.select(F.transform("words", lambda w, k: F.coalesce(F.get("done", k), vocabulary.merge(w))).alias("ids_"), "docs")
-    rest = [c for c in docs.columns if c not in (text, out)]
-    joined = merged.select(F.explode(F.transform("docs", lambda d: F.struct(*(d[c].alias(c) for c in rest), F.flatten(F.transform(d["at_"], lambda k: F.get("ids_", k))).alias(out)))).alias("d"))
-    return joined.select("d.*")
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """encoded with ``out``, the bytes of its ids (null stays null)."""
+    ship(encoded.sparkSession)
+    encoded = encoded.drop(*({out} - {ids}))
+    at = encoded.columns.index(ids)
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def run(batches):
+        v = shared.value
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                x = b.slice(k, 256)
+                got = [None if y is None else v.bytes_of(np.frombuffer(y, "<u4")) for y in x.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(got, pa.binary())], names=[*x.schema.names, out])
 
-def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The bytes of an array of ids, pieces concatenated in one pass."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(vocabulary.piece, i)), ""))
+    return encoded.mapInArrow(run, schema_with(encoded, (out, "binary")))
 
 
-def u32_bytes(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    byte = lambda i, k: F.lpad(F.hex(F.shiftright(i, 8 * k).bitwiseAND(255)), 2, "0")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(*(byte(i, k) for k in range(4)))), ""))
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text") -> DataFrame:
+    """docs without text and with n_tokens, ids_sha256 and decoded_sha256."""
+    got = decode(encode(docs, vocabulary, pattern, text), vocabulary)
+    rest = [c for c in docs.columns if c not in (text, "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")]
+    return got.select(*rest, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

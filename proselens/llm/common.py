@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a maximal run of bytes other than the six ASCII white-space bytes. ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,5 +53,13 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def schema_with(df: DataFrame, *more: tuple[str, str]) -> StructType:
+    """df's schema and more fields after it (DataFrame.schema itself is shared and must not be added to)."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in more:
+        out = out.add(name, kind)
+    return out
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

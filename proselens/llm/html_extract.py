@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import schema_with, ship
 
 _NAMES = "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul"
 BLOCKS = frozenset(_NAMES.split())
@@ -168,5 +168,5 @@ def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
             t = [extract(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(t, pa.string()), pa.array([len(x) for x in t], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    schema = pages.select(keep).schema.add("text", "string").add("n_chars", "long")
+    schema = schema_with(pages.select(keep), ("text", "string"), ("n_chars", "long"))
     return pages.select(column, *keep).mapInArrow(run, schema)

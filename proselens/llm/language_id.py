@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import schema_with, ship
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 conf.append(float(e[k] / e.sum()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = schema_with(docs, ("lang_pred", "string"), ("score", "double"))
     return docs.mapInArrow(score, schema)
 
 
