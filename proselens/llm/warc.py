@@ -55,7 +55,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     p = pages.select(F.assert_true(F.col(page_id).isNotNull(), "page_id is null").alias("ok"), F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("uri"), F.coalesce(html, F.lit("")).alias("body"))
     p = p.where(F.col("ok").isNull()).drop("ok").withColumns({"n": F.octet_length("body"), "same": F.sha2(F.col("body").cast("binary"), 256)})
     p = p.withColumn("salt", F.pmod("id", F.lit(SALT)))
-    owner = p.where(F.col("n") >= min_bytes).groupBy("same", "n").agg(F.max("id").alias("owner")).select("same", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long").alias("salt"))
+    owner = p.where(F.col("n") >= min_bytes).groupBy("same", "n").agg(F.max("id").alias("owner")).select("same", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
     p = p.join(owner, ["same", "salt"], "left")
     old = F.coalesce(F.col("owner") != F.col("id"), F.lit(False))
     sha = F.concat(F.lit("sha1:"), base32_sha1(F.col("body").cast("binary")))
@@ -151,7 +151,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, path: str | None = None) ->
     row = got.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("to"))
     # A revisit names a record; the page behind it comes from that record's own capture. Only revisits are looked up.
     n = max(16, parts(spark) // 4)
-    stored = got.where(F.col("response.record_type") == "response").select(F.col("capture_id").alias("to"), F.col("metadata.page_id").alias("refers_to"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("salt"))
+    stored = got.where(F.col("response.record_type") == "response").select(F.col("capture_id").alias("to"), F.col("metadata.page_id").alias("refers_to"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt"))
     old = row.where(F.col("to").isNotNull()).withColumn("salt", F.pmod("page_id", F.lit(n))).join(stored, ["to", "salt"], "left")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return row.where(F.col("to").isNull()).withColumn("refers_to", F.lit(None).cast("long")).select(cols).unionByName(old.select(cols))
