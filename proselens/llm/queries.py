@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_extract, language_id, near_dedup, substring_dedup, token_files, warc
+from . import byte_bpe, decontaminate, html_extract, katz, language_id, near_dedup, substring_dedup, token_files, warc
 from .common import fold_of
 
 
@@ -37,6 +37,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicate(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents", "doc_id", "text"), fold_of(F.col("doc_id"), 7) == 2)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -50,6 +54,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op4_substring_dedup, op5_decontamination, op6_minhash, op8_token_files, op9_language_id, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op4_substring_dedup, op5_decontamination, op6_minhash, op7_katz, op8_token_files, op9_language_id, op10_warc)}
 
 ORACLES: dict[str, str] = {}
