@@ -41,8 +41,7 @@ def mean(xs: Column) -> Column:
 
 def deviation(xs: Column) -> Column:
     """Population standard deviation, in two passes."""
-    m = mean(xs)
-    return F.sqrt(mean(F.transform(xs, lambda x: (x - m) * (x - m))))
+    return F.get(F.transform(F.array(mean(xs)), lambda m: F.sqrt(mean(F.transform(xs, lambda x: (x - m) * (x - m))))), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:

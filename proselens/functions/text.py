@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once; as a lambda it also keeps generated code small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -54,7 +59,7 @@ def page_text(c: Column) -> Column:
     """A page as extracted: no carriage returns, words joined over line ends, few blank lines, plain blanks."""
     c = F.regexp_replace(c, "\r", "")
     c = F.regexp_replace(c, r"(?<=\w)-\n\s*(?=\w)", "")
-    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), "[\t ]", " ")
+    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"[\t\u00A0]", " ")
 
 
 def strip_math(c: Column) -> Column:
@@ -92,19 +97,18 @@ def normal_form(heading: str) -> str:
     return " ".join(w for w in words if w not in C.HEADING_STOP_WORDS and not w.isdigit() and not re.fullmatch("[ivxlcdm]+", w))
 
 
-def _like(x: Column, heading: str) -> Column:
+def _near(x: Column, headings) -> Column:
     """A similarity of 0.97 of matching characters is equality, or one added or missing character in texts of 17 and more."""
-    n = F.length(x)
-    return (x == heading) | ((F.abs(n - len(heading)) == 1) & (F.least(n, F.lit(len(heading))) >= 17) & (F.levenshtein(x, F.lit(heading)) == 1))
+    like = lambda h: (F.abs(F.length(x) - F.length(h)) == 1) & (F.least(F.length(x), F.length(h)) >= 17) & (F.levenshtein(x, h) == 1)
+    return F.exists(F.array(*(F.lit(h) for h in headings)), like)
 
 
 def known_heading(c: Column) -> Column:
-    raw, normal = F.lower(strip(c)), normal_heading(c)
     forms = [normal_form(h) for h in C.KNOWN_HEADINGS]
-    exact = raw.isin(list(C.KNOWN_HEADINGS)) | normal.isin(forms)
     long = [h for h in C.KNOWN_HEADINGS if len(h) >= 16]
-    near = [_like(raw, h) for h in long] + [_like(normal, h) for h in dict.fromkeys([*long, *(f for f in forms if len(f) >= 16)])]
-    return F.coalesce(strip(c) != "", F.lit(False)) & reduce(Column.__or__, near, exact)
+    raw = let(F.lower(strip(c)), lambda x: (x != "") & (x.isin(list(C.KNOWN_HEADINGS)) | _near(x, long)))
+    normal = let(normal_heading(c), lambda x: x.isin(forms) | _near(x, dict.fromkeys([*long, *(f for f in forms if len(f) >= 16)])))
+    return F.coalesce((strip(c) != "") & (raw | normal), F.lit(False))
 
 
 def short_heading(c: Column) -> Column:
@@ -122,14 +126,16 @@ def known_with_prefix(c: Column) -> Column:
 
 def looks_like_heading(line: Column) -> Column:
     """Short, and known, mostly in capitals, numbered, or ending with a colon."""
-    x = strip(line)
-    letters, capitals = count(x, "[A-Za-z]"), count(x, "[A-Z]")
-    first = F.split(x, r"\s+")[0]
-    many = (letters > 0) & (capitals >= letters * 0.6)
-    numbered = first.rlike(r"^(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXLCM]+\.?)$")
-    colon = x.endswith(":") & (F.size(F.split(x, r"\s+")) <= 12)
-    before = F.split(x, ":")[0]
-    return (short_heading(x) & known_with_prefix(x)) | (x.contains(":") & short_heading(before) & known_with_prefix(before)) | (short_heading(x) & (many | numbered | colon))
+
+    def judge(x: Column) -> Column:
+        letters, capitals = count(x, "[A-Za-z]"), count(x, "[A-Z]")
+        many = (letters > 0) & (capitals >= letters * 0.6)
+        numbered = F.split(x, r"\s+")[0].rlike(r"^(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXLCM]+\.?)$")
+        colon = x.endswith(":") & (F.size(F.split(x, r"\s+")) <= 12)
+        before = F.split(x, ":")[0]
+        return (short_heading(x) & (many | numbered | colon | known_with_prefix(x))) | (x.contains(":") & short_heading(before) & known_with_prefix(before))
+
+    return let(strip(line), judge)
 
 
 def style_heading(text: Column, size: Column, flags: Column, base: Column) -> Column:
@@ -141,14 +147,16 @@ def style_heading(text: Column, size: Column, flags: Column, base: Column) -> Co
     return fits & (bigger | bold | x.rlike(r"^(?:[0-9]+(?:\.[0-9]+)*|[IVXLCM]+[.])\s+") | known_heading(x))
 
 
+def _first_fit(x: Column, names: dict) -> Column:
+    """The name of the first synonym that x equals or begins with as a word, or null."""
+    pairs = F.array(*(F.struct(F.lit(syn).alias("s"), F.lit(name).alias("n")) for name, syns in names.items() for syn in syns))
+    return F.get(F.filter(pairs, lambda p: (x == p["s"]) | F.startswith(x, F.concat(p["s"], F.lit(" ")))), F.lit(0))["n"]
+
+
 def canonical_section(title: Column) -> Column:
     """The canonical section whose alias the title equals or begins with; the title in capitals if there is none."""
-    x = F.upper(F.regexp_replace(title, r"[^A-Za-z0-9 ]+", " "))
-    x = F.trim(F.regexp_replace(x, " +", " "))
-    out = F.when(x == "", "SECTION")
-    for name, aliases in C.SECTION_ALIASES.items():
-        out = out.when(reduce(Column.__or__, [(x == a) | x.startswith(a + " ") for a in aliases]), name)
-    return out.otherwise(x)
+    flat = F.trim(F.regexp_replace(F.upper(F.regexp_replace(title, r"[^A-Za-z0-9 ]+", " ")), " +", " "))
+    return let(flat, lambda x: F.when(x == "", "SECTION").otherwise(F.coalesce(_first_fit(x, C.SECTION_ALIASES), x)))
 
 
 def layout_heading(c: Column) -> Column:
@@ -157,13 +165,8 @@ def layout_heading(c: Column) -> Column:
 
 def ontology(c: Column) -> Column:
     """The label whose synonym the heading equals or begins with, else its own name, else null."""
-    x = squeeze(F.regexp_replace(F.lower(layout_heading(c)), r"(?U)[^\w\s]", ""))
-    out = None
-    for name, synonyms in C.ONTOLOGY.items():
-        for s in synonyms:
-            hit = (x == s) | x.startswith(s + " ")
-            out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.when(x.isin([k.lower() for k in C.ONTOLOGY]), F.upper(x))
+    flat = squeeze(F.regexp_replace(F.lower(layout_heading(c)), r"(?U)[^\w\s]", ""))
+    return let(flat, lambda x: F.coalesce(_first_fit(x, C.ONTOLOGY), F.when(x.isin([k.lower() for k in C.ONTOLOGY]), F.upper(x))))
 
 
 def layout_heading_guess(text: Column, size: Column, bold: Column, median: Column) -> Column:

@@ -58,7 +58,7 @@ def sentence_probabilities(sentences: DataFrame, windows: DataFrame, doc_id: str
     x = sentences.join(mean, [doc_id, "sentence_id"], "left").withColumns({"covered_": F.col(P[0]).isNotNull()})
     x = x.withColumns({p: F.coalesce(p, F.lit(1.0 if k == 0 else 0.0)) for k, p in enumerate(P)})
     x = label(x, "label", "confidence").withColumn("any_", F.max("covered_").over(Window.partitionBy(doc_id)))
-    return x.withColumn("confidence", F.when("any_", F.col("confidence")).otherwise(0.0)).drop("covered_", "any_")
+    return x.withColumn("confidence", F.when(F.col("any_"), F.col("confidence")).otherwise(0.0)).drop("covered_", "any_")
 
 
 def section_summary(sections: DataFrame, windows: DataFrame, sentences: DataFrame, config: Config = Config(), doc_id: str = "doc_id") -> DataFrame:

@@ -59,11 +59,13 @@ def perturbed(text: Column, key: Column, k: Column, drop: float = 0.05, swap: fl
     toks = F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
     draw = lambda i, what: F.pmod(F.xxhash64(key, k, i, F.lit(what)), F.lit(10_000)) / 10_000.0
     kept = F.transform(F.filter(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: draw(x["i"], "drop") >= drop), lambda x: x["t"])
-    n = F.size(kept)
     # A place is swapped with the next if it is even and drawn: pairs never overlap.
     hit = lambda i: draw(i, "swap") < 2 * swap
-    moved = F.transform(kept, lambda t, i: F.when((i % 2 == 0) & (i + 1 < n) & hit(i), F.get(kept, i + 1)).when((i % 2 == 1) & hit(i - 1), F.get(kept, i - 1)).otherwise(t))
-    return F.array_join(moved, " ")
+
+    def moved(own: Column) -> Column:
+        return F.transform(own, lambda t, i: F.when((i % 2 == 0) & (i + 1 < F.size(own)) & hit(i), F.get(own, i + 1)).when((i % 2 == 1) & hit(i - 1), F.get(own, i - 1)).otherwise(t))
+
+    return F.array_join(T.let(kept, moved), " ")
 
 
 def perturbation_score(df: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", variants: int = 5) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import numbers as N
 from ..functions import text as T
+from ..session import ship
 
 #: Queries that are broadcast at a time; more take more passes over the corpus.
 QUERY_BLOCK = 4096
@@ -27,6 +28,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "quer
     Queries are broadcast in blocks of QUERY_BLOCK rows, after counting them; each partition of the corpus is searched by
     matrix products and sends k rows a query, from which a ranked window keeps k."""
     spark = corpus.sparkSession
+    ship(spark)
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     numbered = queries.select(F.col(query_id).cast("long").alias("q"), F.transform(embedding, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull())

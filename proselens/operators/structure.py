@@ -29,7 +29,7 @@ def is_table(lines: Column) -> Column:
 def block_type(lines: Column) -> Column:
     """CAPTION, a known HEADING, LIST, TABLE, another HEADING or PARA: the first that fits."""
     first, joined = lines[0], F.array_join(lines, " ")
-    known = (T.short_heading(first) & T.known_with_prefix(first)) | (T.short_heading(joined) & T.known_with_prefix(joined))
+    known = F.exists(F.array(first, joined), lambda x: T.short_heading(x) & T.known_with_prefix(x))
     return (
         F.when(first.rlike(C.CAPTION), "CAPTION").when(known, "HEADING").when(F.exists(lines, is_list_line), "LIST")
         .when(is_table(lines), "TABLE").when(T.looks_like_heading(joined), "HEADING").otherwise("PARA")
@@ -113,9 +113,12 @@ def glue(pieces: Column, least: int = C.MIN_SENTENCE_CHARS) -> Column:
         lambda a, p: F.when(F.length(p) < least, F.struct(a["done"].alias("done"), _joined(a["open"], p).alias("open")))
         .otherwise(F.struct(F.concat(a["done"], F.array(_joined(a["open"], p))).alias("done"), F.lit("").alias("open"))),
     )
-    done, rest = state["done"], state["open"]
-    n = F.size(done)
-    return F.when(rest == "", done).when(n == 0, F.array(rest)).otherwise(F.concat(F.slice(done, F.lit(1), n - 1), F.array(_joined(F.element_at(done, -1), rest))))
+
+    def close(a: Column) -> Column:
+        done, rest, n = a["done"], a["open"], F.size(a["done"])
+        return F.when(rest == "", done).when(n == 0, F.array(rest)).otherwise(F.concat(F.slice(done, F.lit(1), n - 1), F.array(_joined(F.element_at(done, -1), rest))))
+
+    return T.let(state, close)
 
 
 def _joined(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import numbers as N
 from ..functions import text as T
+from ..session import ship
 
 FEATURES = ("n_sent", "n_words", "avg_word_len", "ttr", "mattr", *(f"pos_{t}" for t in C.POS_TAGS), "burst_b", "burst_cv", "mean_slen", "flesch", "fk_grade", "gunning_fog")
 
@@ -41,6 +42,8 @@ def moving_ratios(tokens: pa.ListArray, width: int) -> np.ndarray:
 
 
 def mattr(tokens: Column, width: int = C.MATTR_WINDOW) -> Column:
+    ship()
+
     @F.arrow_udf("double")
     def run(hashes: pa.Array) -> pa.Array:
         return pa.array(moving_ratios(hashes, width))
@@ -71,7 +74,8 @@ def features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), sent
         F.transform("toks_", T.part_of_speech).alias("tags_"),
     )
     n, s, toks = F.col("n_words"), F.col("n_sent"), F.col("toks_")
-    pos = [N.share(F.size(F.filter("tags_", lambda t, tag=tag: t == tag.upper())).cast("double"), n).alias(f"pos_{tag}") for tag in C.POS_TAGS]
+    of_kind = lambda tag: F.filter("tags_", lambda t: t == tag.upper())
+    pos = [N.share(F.size(of_kind(tag)).cast("double"), n).alias(f"pos_{tag}") for tag in C.POS_TAGS]
     syllables, hard = T.syllables(F.col("sub_")), T.complex_words(toks)
     return base.select(
         *keep, "n_sent", "n_words", N.share(F.aggregate(toks, F.lit(0), lambda a, t: a + F.length(t)).cast("double"), n).alias("avg_word_len"),
