@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,19 +59,22 @@ def pdf_files(spark: SparkSession, path: str, extract: Extractor = pdfplumber_li
     the job."""
     from ..operators.layout import LAYOUT
 
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = f"source string, message string, {LAYOUT}"
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in fields.split(", "))])
+
     def run(batches):
-        for pdf in batches:
+        for b in batches:
             rows = []
-            for d, source, data in zip(pdf["doc_id"], pdf["source"], pdf["content"], strict=True):
+            for d, source, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
                     rows += [{"doc_id": d, "source": source, "message": None, **r} for r in extract(data) if not max_pages or r["page"] < max_pages]
                 except Exception as e:  # any fault of a file is that file's own
                     rows.append({"doc_id": d, "source": source, "message": f"{type(e).__name__}: {e}"[:500]})
-            names = ["source", "message", *(x.split()[0] for x in LAYOUT.split(", "))]
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source"), "content")
-    got = files.mapInPandas(run, f"source string, message string, {LAYOUT}")
+    got = files.mapInArrow(run, fields)
     return got.where(F.col("message").isNull()).drop("source", "message"), got.where(F.col("message").isNotNull()).select("doc_id", "source", "message")
 
 
