@@ -21,10 +21,10 @@ def unigrams(toks: DataFrame, k: float = 1.0) -> DataFrame:
     of different counts, so no task sees the whole vocabulary."""
     counts = toks.groupBy("token").agg(F.count("*").alias("n"))
     levels = counts.groupBy("n").agg(F.count("*").alias("types"))
-    ranked = levels.select("n", (F.coalesce(F.sum("types").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("rank"))
-    totals = levels.agg(F.sum(F.col("n") * F.col("types")).alias("N_"), F.sum("types").alias("V_"))
+    above, every = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = levels.select("n", (F.coalesce(F.sum("types").over(above), F.lit(0)) + 1).alias("rank"), F.sum(F.col("n") * F.col("types")).over(every).alias("N_"), F.sum("types").over(every).alias("V_"))
     p = (F.col("n") + k) / (F.col("N_") + k * (F.col("V_") + 1))
-    return counts.join(ranked, "n").crossJoin(F.broadcast(totals)).select("token", "n", p.alias("p"), F.ln(p).alias("lp"), "rank")
+    return counts.join(ranked, "n").select("token", "n", p.alias("p"), F.ln(p).alias("lp"), "rank")
 
 
 def entropy(model: DataFrame) -> DataFrame:
@@ -35,14 +35,13 @@ def entropy(model: DataFrame) -> DataFrame:
 def top_entropy(model: DataFrame, k: int = 100) -> DataFrame:
     """One row: the entropy of the k most likely tokens, renormalised."""
     top = model.orderBy(F.desc("p"), "token").limit(k)
-    s = top.agg(F.sum("p").alias("s"))
-    q = F.col("p") / F.col("s")
-    return top.crossJoin(F.broadcast(s)).agg((-F.sum(q * F.ln(q))).alias("entropy"))
+    # With s the sum of p, -sum(p/s ln(p/s)) = ln s - sum(p ln p) / s.
+    return top.agg((F.ln(F.sum("p")) - F.sum(F.col("p") * F.ln("p")) / F.sum("p")).alias("entropy"))
 
 
 def score_tokens(toks: DataFrame, model: DataFrame) -> DataFrame:
     """toks with lp, rank and entropy of the model; frequent tokens make the join skewed, which adaptive execution splits."""
-    return toks.join(model.select("token", "lp", "rank"), "token").crossJoin(F.broadcast(entropy(model)))
+    return toks.join(model.select("token", "lp", "rank"), "token").withColumn("entropy", entropy(model).scalar())
 
 
 def aggregates(scored: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
