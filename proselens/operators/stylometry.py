@@ -38,7 +38,8 @@ def moving_ratios(tokens: pa.ListArray, width: int) -> np.ndarray:
     times = np.maximum(last - np.maximum(1, j - w + 1) + 1, 0)
     total = np.bincount(of, times, len(n))
     w = np.maximum(np.minimum(n, width), 1)
-    return np.where(n > 0, total / w / np.maximum(n - w + 1, 1), 0.0)
+    # One division, so that the result is the nearest double.
+    return np.where(n > 0, total / (w * np.maximum(n - w + 1, 1)), 0.0)
 
 
 def mattr(tokens: Column, width: int = C.MATTR_WINDOW) -> Column:

@@ -59,7 +59,7 @@ def pos(w: str) -> str:
 # --- style
 
 _TTR = "CASE WHEN n_words = 0 THEN 0.0 ELSE len(list_distinct(toks)) / n_words END"
-_MATTR = f"CASE WHEN n_words <= 50 THEN {_TTR} ELSE list_sum(list_transform(range(1, n_words - 48), lambda i: len(list_distinct(list_slice(toks, i, i + 49))))) / 50 / (n_words - 49) END"
+_MATTR = f"CASE WHEN n_words <= 50 THEN {_TTR} ELSE list_sum(list_transform(range(1, n_words - 48), lambda i: len(list_distinct(list_slice(toks, i, i + 49))))) / (50 * (n_words - 49)) END"
 
 
 def _style(source: str, keep: str, sents: str) -> str:
