@@ -12,8 +12,11 @@ A file is one row ``(part, data)`` of a Parquet table in a shared folder.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import drop, materialise, parts, scratch, ship
 
 MAGIC = b"DAC1"
-#: Whole words cached with their ids in a worker; then the cache starts anew.
-CACHE = 400_000
+#: Words with their ids in a generation of a worker's cache; it holds two.
+CACHE = 300_000
 #: A file is closed once it holds so many tokens.
 FILE_TOKENS = 2_000_000
 
@@ -107,27 +110,95 @@ class TokenFile:
 # --- documents to files and back
 
 
+#: The split and the normalisers under which a text's ids are those of its words (fixed values of the tokenizer file).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISERS = ["NFC", "Replace", "Lowercase"]
+#: Words of these characters alone are the same after NFC and are put in lower case alike by Python and the library.
+_KNOWN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
+
+
 class WordCache:
-    """Encodes texts a white-space delimited word at a time: the tokenizer drops white space and no merge crosses it, so
-    each distinct word is encoded once by the library and its ids are copied afterwards."""
+    """Encodes texts by their white-space delimited words. Where the tokenizer drops white space and no merge crosses it,
+    each distinct word is encoded once by the library and its ids are copied afterwards; words of common letters go to
+    the library's model in the pieces that its split makes of them. Other tokenizers get whole texts."""
 
     def __init__(self, tokenizer_json: str):
+        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.t = Tokenizer.from_str(tokenizer_json)
+        spec = json.loads(tokenizer_json)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers") or []]
+        self.by_word = kinds == _NORMALISERS and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and not any(x["content"].isascii() and (x["lstrip"] or x["rstrip"]) for x in spec["added_tokens"])
+        # A word that holds one of these is left to the whole tokenizer.
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
+        self.find = regex.compile(_SPLIT).findall
+        # The library's model alone, for pieces that are normalised and split already.
+        self.plain = Tokenizer.from_str(tokenizer_json)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.encode_special_tokens = True
         self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Puts the ids of new words into the cache."""
+        pieces, known, special, find = self.pieces, _KNOWN.fullmatch, self.special.search, self.find
+        if len(pieces) > CACHE:
+            pieces.clear()
+        # ASCII letters alone are one piece.
+        letters = [w for w in new if w.isalpha()]
+        alone = [w.lower().decode() for w in letters]
+        new = [w for w in new if not w.isalpha()]
+        words = [w.decode() for w in new]
+        easy = [known(w) is not None and special(w) is None for w in words]
+        split = [find(w.lower()) if ok else () for w, ok in zip(words, easy, strict=True)]
+        fresh = [*{p for ps in split for p in ps}.union(alone).difference(pieces)]
+        for k in range(0, len(fresh), 4096):
+            some = fresh[k : k + 4096]
+            e = self.plain.encode(" ".join(some), add_special_tokens=False)
+            cut = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
+            raw = array("I", e.ids).tobytes()
+            pieces.update(zip(some, [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        self.ids.update(zip(letters, map(pieces.__getitem__, alone), strict=True))
+        self.ids.update(zip(new, [b"".join([pieces[p] for p in ps]) if len(ps) != 1 else pieces[ps[0]] for ps in split], strict=True))
+        hard = [w for w, ok in zip(new, easy, strict=True) if not ok]
+        self._whole(hard, self.ids)
+
+    def _whole(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            for w, e in zip(some, self.t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                into[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.array(e.ids, "<u4") for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
         words = [t.encode("utf-8", "replace").split() for t in texts]
         if len(self.ids) > CACHE:
-            self.ids.clear()
-        get = self.ids
-        new = [w for w in dict.fromkeys(x for ws in words for x in ws) if w not in get]
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for w, e in zip(some, self.t.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                get[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([get[w] for w in ws]), "<u4") for ws in words]
+            # Words that still occur come over from the old generation.
+            self.old, self.ids = self.ids, {}
+        new = set().union(*words).difference(self.ids)
+        had = new.intersection(self.old)
+        if had:
+            self.ids.update((w, self.old[w]) for w in had)
+        self._learn([*new.difference(had)])
+        get = self.ids.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in words]
+
+
+_CACHES: dict[int, WordCache] = {}
+
+
+def _cache_of(tokenizer_json: str) -> WordCache:
+    """The worker's cache for this tokenizer; a worker keeps one from task to task."""
+    key = hash(tokenizer_json)
+    if key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key] = WordCache(tokenizer_json)
+    return _CACHES[key]
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -149,7 +220,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_id: str
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache, tail = WordCache(spec.value), np.array([] if end_id is None else [end_id], "<u4")
+        cache, tail = _cache_of(spec.value), np.array([] if end_id is None else [end_id], "<u4")
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 s = b.slice(k, 256)
