@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, parts, ship
+from .common import drop, lean, materialise, parts, release, ship
 from .components import components
 from .words import BASES, Words, mix, slices, spans
 
 WIDTH = 5
 CHUNKS, ROWS = 16, 6
 SHARE = 75
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Nodes whose sets a task holds at a time; groups beyond it meet block by block.
 BLOCK = 1024
 #: A shingle that more nodes of a task hold is counted by a matrix product, others by listing pairs.
@@ -93,7 +93,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     sig.append(signature(s) if ok else None)
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, signature binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, set_hash binary, signature binary")
 
 
 def _stars(key: np.ndarray, node: np.ndarray):
@@ -128,7 +128,7 @@ def candidates(nodes: DataFrame, n_parts: int) -> DataFrame:
         edges = np.concatenate((_stars(read("keys", np.uint64), read("nodes", np.int64))[2].reshape(-1, 2), read("edges", np.int64).reshape(-1, 2)))
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return nodes.mapInArrow(index, "part int, keys binary, nodes binary, edges binary").groupBy("part").applyInArrow(meet, "a long, b long")
+    return nodes.mapInArrow(lean(index), "part int, keys binary, nodes binary, edges binary").groupBy("part").applyInArrow(meet, "a long, b long")
 
 
 def links(sets: list[np.ndarray], share: int = SHARE) -> np.ndarray:
@@ -188,7 +188,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFra
     def build(batches):
         names = ["g", "lo", "hi", "node", "shingles"]
         for b in batches:
-            for x in slices(b, 1, CHUNK // 4):
+            for x in slices(b, 1, CHUNK // 2):
                 rows = []
                 for d, s, g, n, mine in zip(x.column(0).to_pylist(), shingle_sets(Words(x.column(1), True)), *(x.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                     s = s.tobytes()
@@ -198,9 +198,12 @@ def confirmed(docs: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFra
     def meet(t: pa.Table) -> pa.Table:
         nodes, sets = t.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         edges = forest(links(sets, share), nodes)
+        if len(sets) > BLOCK // 2:
+            release()
         return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([x for _, x in edges], pa.int64())})
 
-    rows = docs.join(placed, "doc_id").select("doc_id", "text", "g", "n", "mine").mapInArrow(build, "g long, lo int, hi int, node long, shingles binary")
+    # The groups grow with the corpus: both sides are shuffled at any size.
+    rows = docs.join(placed.hint("merge"), "doc_id").select("doc_id", "text", "g", "n", "mine").mapInArrow(lean(build), "g long, lo int, hi int, node long, shingles binary")
     return rows.groupBy("g", "lo", "hi").applyInArrow(meet, "a long, b long")
 
 
@@ -225,4 +228,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
     """docs without those that aren't kept, all columns unchanged."""
     gone = deduplicate(docs, doc_id, text, share).where(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["gone_"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[doc_id].cast("long") == gone["gone_"], "left_anti")
