@@ -46,7 +46,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids (little-endian u32), n_tokens and whether the ids decode to the text."""
     vocabulary = byte_bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     known = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text")
-    got = byte_bpe.decode(byte_bpe.encode(known, vocabulary, public_tokenizers.PATTERN), vocabulary)
+    got = byte_bpe.encode(known, vocabulary, public_tokenizers.PATTERN, decoded="decoded")
     return got.select("doc_id", "lang", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 

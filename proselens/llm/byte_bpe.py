@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, ship
+from .common import lean, schema_with, ship
 from .words import slices
 
 LONG_WORD = 256
 #: Words folded together: as many as keep the arrays of a round in the cache.
 SIDE_BY_SIDE = 16_384
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 NONE = (1 << 31) - 1
 
 
@@ -172,10 +172,12 @@ def merge_long(word: bytes, ranks: dict[tuple[int, int], int], byte_ids: list[in
     return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs without their text and with ``out``, each whole text's ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs without their text and with ``out``, each whole text's ids as little-endian unsigned 32-bit integers. If
+    decoded is given, a column of that name has the bytes that the ids decode to, worked out in the same worker."""
     ship(docs.sparkSession)
-    docs = docs.drop(*({out} - {text}))
+    docs = docs.drop(*({out, decoded} - {text, None}))
+    more = [out] if decoded is None else [out, decoded]
     rest = [c for c in docs.columns if c != text]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -197,9 +199,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "t
                 ids = flat[ranges(offsets[at], size)].astype("<u4")
                 ends = 4 * np.concatenate(([0], np.cumsum(size)))[n]
                 blob = pa.Array.from_buffers(pa.large_binary(), len(n) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*x.columns[1:], blob], names=[*rest, out])
+                del of, at, size, number
+                back = [] if decoded is None else [pa.array([v.bytes_of(ids[a:b]) for a, b in zip(ends[:-1] // 4, ends[1:] // 4, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*x.columns[1:], blob, *back], names=[*rest, *more])
 
-    return docs.select(text, *rest).mapInArrow(run, schema_with(docs.select(rest), (out, "binary")))
+    return docs.select(text, *rest).mapInArrow(lean(run), schema_with(docs.select(rest), *((c, "binary") for c in more)))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -222,6 +226,6 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text") -> DataFrame:
     """docs without text and with n_tokens, ids_sha256 and decoded_sha256."""
-    got = decode(encode(docs, vocabulary, pattern, text), vocabulary)
+    got = encode(docs, vocabulary, pattern, text, decoded="decoded")
     rest = [c for c in docs.columns if c not in (text, "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")]
     return got.select(*rest, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: list[str] = []
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package when it runs from a source tree."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -25,11 +28,12 @@ def ship(spark: SparkSession) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names in spark.checkpoint.dir, which the executors share.
-    Only where that is unset, as in tests, a folder of this machine is set instead."""
+    Only where that is unset, as in tests, a folder of this machine is used instead."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="proselens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='proselens-')}")
+        base = _OWN[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,6 +52,29 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: an idle worker else keeps what its largest task needed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def lean(run):
+    """A function over batches that releases memory when it ends."""
+
+    def go(batches):
+        yield from run(batches)
+        release()
+
+    return go
+
+
 def fold_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ship
+from .common import WORD, lean, ship
 from .words import BASES, Words, slices, windows
 
 MIN_MATCH = 5
 COVERAGE = 0.75
 SLICE_WORDS = 4_000_000
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def tile(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -137,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage"])
 
-        out.append(used.mapInArrow(run, schema))
+        out.append(used.mapInArrow(lean(run), schema))
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
 
 
@@ -155,5 +155,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
                     bad = {d for d, *_ in seeds.value.pairs(Words(x.column(at), True), coverage)}
                     yield x.take(pa.array([k for k in range(x.num_rows) if k not in bad], pa.int64())) if bad else x
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

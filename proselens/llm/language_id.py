@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, ship
+from .common import lean, schema_with, ship
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -80,7 +80,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         n: dict[str, int] = {}
-        for b in batches:
+        for b in (x.slice(k, 256) for x in batches for k in range(0, x.num_rows, 256)):
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cp = letters_of(t)
                 if len(cp) == 0:
@@ -94,7 +94,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             yield pa.RecordBatch.from_arrays([pa.array([g] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(s[at], n[g]))], names=["g", "bucket", "n"])
 
     used = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("g"))
-    table = used.mapInArrow(count, "g string, bucket int, n long").groupBy("g", "bucket").agg(F.sum("n").alias("n"))
+    table = used.mapInArrow(lean(count), "g string, bucket int, n long").groupBy("g", "bucket").agg(F.sum("n").alias("n"))
     got = table.groupBy("g").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(MAX_LANGUAGES + 1).toArrow()
     names = got.column("g").to_pylist()
     if len(names) > MAX_LANGUAGES:
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     def score(batches):
         names, table, prior = shared.value
-        for b in batches:
+        for b in (x.slice(k, 256) for x in batches for k in range(0, x.num_rows, 256)):
             pred, conf = [], []
             for t in b.column(at).to_pylist():
                 cp = letters_of(t) if t else ()
@@ -145,7 +145,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = schema_with(docs, ("lang_pred", "string"), ("score", "double"))
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def identify(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang") -> DataFrame:

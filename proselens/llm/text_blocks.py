@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import parts, scratch, ship
+from .common import lean, parts, release, scratch, ship
 from .words import slices
 
 
@@ -56,7 +56,7 @@ class Blocks:
 
         self.n = max(2 * parts(spark), 8)
         self.name = f"blocks_{uuid.uuid4().hex}"
-        packed = docs.mapInArrow(pack, "block long, data binary")
+        packed = docs.mapInArrow(lean(pack), "block long, data binary")
         packed.write.bucketBy(self.n, "block").option("path", scratch(spark, "blocks")).option("compression", "none").saveAsTable(self.name)
         self.df = spark.table(self.name)
 
@@ -68,13 +68,15 @@ class Blocks:
                 for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     yield from f(block, _open(data.as_buffer()))
 
-        return self.df.mapInArrow(run, schema)
+        return self.df.mapInArrow(lean(run), schema)
 
     def answer(self, answers: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
         """f(block, table, answers) -> table, for each block with its rows of answers (column ``block``)."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            return f(left.column(0)[0].as_py(), _open(left.column(1)[0].as_buffer()), right)
+            out = f(left.column(0)[0].as_py(), _open(left.column(1)[0].as_buffer()), right)
+            release()
+            return out
 
         return self.df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
