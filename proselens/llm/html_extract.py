@@ -2,8 +2,11 @@
 
 A page is cut into text nodes, each with its root-to-leaf tag path. Every path gets two ratios: characters of text a
 node, and punctuation marks a node. Both sequences, in page order, are smoothed with a small Gaussian window and fused
-by product; paths whose fused score passes a threshold are content. The region of the page that content lies in, the
-deepest sectioning element around it, is then kept as a whole, so short headings and last lines of an article survive.
+by product; paths whose fused score passes a threshold are content, on every page. The region of the page is the
+innermost article or main that holds most of the content's text (or all that together hold it), else the innermost
+sectioning element that does; articles and mains with little of it don't count. Inside of the region short headings and
+lines between content survive, in an article or main also its first and last lines; lists of links there that the scores
+don't pass are dropped.
 
 Elements that never hold an article (scripts, forms, menus, ...) and elements whose class or id names such a role are
 left out before the ratios are taken.
@@ -49,6 +52,8 @@ _CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 SIGMA = 1.0
 #: A path is content if its fused, smoothed score is at least this share of the page's mean score.
 SHARE = 0.5
+#: A region holds at least this share of the content's text.
+MOST = 0.75
 
 
 def _is_out(tag: str, attrs: str, inside: bool) -> bool:
@@ -119,11 +124,16 @@ def extract(page: str | None) -> str:
     nodes = text_nodes(page) if page else []
     blocks: dict[int, list] = {}
     for b, path, t, sections in nodes:
-        x = blocks.setdefault(b, [path, [], sections])
+        x = blocks.setdefault(b, [path, [], sections, 0])
         if t.strip() and not "".join(x[1]).strip():
             x[0], x[2] = path, sections
         x[1].append(t)
-    rows = [(p, t, s) for p, raw, s in blocks.values() if (t := _SPACE.sub(" ", "".join(raw)).strip())]
+        x[3] += len(t.strip()) if ".a." in f".{path}." else 0
+    rows, links = [], []
+    for p, raw, s, n in blocks.values():
+        if t := _SPACE.sub(" ", "".join(raw)).strip():
+            rows.append((p, t, s))
+            links.append(n)
     if not rows:
         return ""
     # Inline elements don't split a paragraph's path.
@@ -136,24 +146,33 @@ def extract(page: str | None) -> str:
     fused = _smooth(chars[of]) * (1 + _smooth(marks[of]))
     path_score = np.bincount(of, fused) / n
     content = path_score[of] >= SHARE * fused.mean()
-    # The region: the innermost article or main, else the sectioning element, that most of the content's text lies in.
+    # The region: of the sectioning elements that hold most of the content's text the innermost, an article or main first.
     tags = [p.split(".") for p, _, _ in rows]
-    marked = np.array([any(t in CONTENT for t in ts) for ts in tags])
-    if marked.any():
-        content = marked
-    else:
-        weight: dict[int, int] = {}
-        for keep, (_, t, s) in zip(content, rows, strict=True):
-            for k in s if keep else ():
+    weight: dict[int, int] = {}
+    named: set[int] = set()
+    total = marked = 0
+    for keep, ts, (_, t, s) in zip(content, tags, rows, strict=True):
+        if keep:
+            own = {k for k, x in zip(s, (x for x in ts if x in _SECTIONS), strict=True) if x in CONTENT}
+            named |= own
+            total += len(t)
+            marked += len(t) if own else 0
+            for k in s:
                 weight[k] = weight.get(k, 0) + len(t)
-        if weight:
-            most = max(weight.values())
-            region = max(k for k, w in weight.items() if w >= 0.75 * most)
-            inside = np.array([region in s for _, _, s in rows])
-            # Inside of it, headings and lines between content blocks come along.
-            at = np.flatnonzero(content & inside)
-            heading = np.array([bool(re.fullmatch(r"h[1-6]", ts[-1])) for ts in tags])
-            content = inside & (content | heading | ((np.arange(len(rows)) >= at[0]) & (np.arange(len(rows)) <= at[-1])))
+    if weight:
+        most = max(weight.values())
+        strong = {k for k, w in weight.items() if w >= MOST * most}
+        if strong & named:
+            regions = {max(strong & named)}
+        else:
+            # Several articles can hold it together.
+            regions = named if marked >= MOST * total else {max(strong)}
+        inside = np.array([not regions.isdisjoint(s) for _, _, s in rows])
+        # Inside of it, headings and lines between content blocks come along, and all of an article's but its link lists.
+        at = np.flatnonzero(content & inside)
+        heading = np.array([bool(re.fullmatch(r"h[1-6]", ts[-1])) for ts in tags])
+        whole = np.array([2 * n <= len(t) for n, (_, t, _) in zip(links, rows, strict=True)]) & bool(regions <= named)
+        content = inside & (content | heading | whole | ((np.arange(len(rows)) >= at[0]) & (np.arange(len(rows)) <= at[-1])))
     return "\n".join(t for keep, (_, t, _) in zip(content, rows, strict=True) if keep)
 
 

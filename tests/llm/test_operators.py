@@ -275,6 +275,16 @@ def test_html(spark):
     assert {(r["page_id"], r["n_chars"]) for r in got} == {(1, 51), (2, 0)} and got[0].asDict().keys() == {"page_id", "text", "n_chars"}
 
 
+def test_html_scores_choose_the_region():
+    p = "<p>A long paragraph, with many words; and marks. It goes on.</p>"
+    teaser = f"<html><body><article><h3>Teaser</h3><p>Read it.</p></article><div class=post><h2>Head</h2>{p * 4}</div></body></html>"
+    assert html_extract.extract(teaser).split("\n") == ["Head", *[p[3:-4]] * 4]
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Story {k}</a></li>" for k in range(9)) + "</ul>"
+    assert html_extract.extract(f"<body><article><h1>Head</h1>{p * 4}<div>The end</div>{links}</article></body>").split("\n") == ["Head", *[p[3:-4]] * 4, "The end"]
+    several = "<body><div>Top</div>" + f"<article><h2>One</h2>{p * 2}</article>" * 3 + "<div>Bottom</div></body>"
+    assert html_extract.extract(several).split("\n") == ["One", *[p[3:-4]] * 2] * 3
+
+
 def test_polynomial_windows():
     h = np.arange(20, dtype=np.uint64) % np.uint64(5)
     at, keys = windows(h, np.array([0, 12, 20]), 5, BASES[0])
