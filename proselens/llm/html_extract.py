@@ -9,7 +9,8 @@ lines between content survive, in an article or main also its first and last lin
 don't pass are dropped.
 
 Elements that never hold an article (scripts, forms, menus, ...) and elements whose class or id names such a role are
-left out before the ratios are taken.
+left out before the ratios are taken. A name alone doesn't rule out a wrapper: parts of names such as has-sidebar are no
+roles, and an element stays if it is around the largest article or main or around most of the page's text.
 
 Defined results: null or empty html, and pages without content, give an empty text and 0 characters. Broken mark-up
 (unclosed or crossed tags, a cut end) never raises.
@@ -38,8 +39,11 @@ ROLES = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|cookies?|consent|notices?|alert|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|replies|reply|disqus|respond|copyright|legal|disclaimer|pagination|pager|toolbar|search|form|tags)(?:$|[-_\s])",
     re.I,
 )
-#: Of these, the roles that an article or main element can have.
+#: Of these, the roles of parts of an article, and those that an article or main element can have.
 CONTENT_ROLES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommended|comments?|replies|reply)(?:$|[-_\s])", re.I)
+#: Parts of names that tell of a page's layout: has-sidebar, no-ads, content-with-header.
+_LAYOUT = re.compile(r"(?:^|(?<=[-_\s]))(?:has|have|no|not|non|with|without)[-_]\S*", re.I)
+OUT_TAG, OUT_ROLE, OUT_MINOR = 1, 2, 3
 ROLE_ATTRS = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 CONTENT = frozenset(("article", "main"))
 _SECTIONS = frozenset("body div section td blockquote article main".split())
@@ -56,23 +60,59 @@ SHARE = 0.5
 MOST = 0.75
 
 
-def _is_out(tag: str, attrs: str, inside: bool) -> bool:
+def _is_out(tag: str, attrs: str, inside: bool) -> int:
+    """0: no; OUT_ROLE or OUT_MINOR: by a role that its class or id names, see _barred; OUT_TAG: for good."""
     if tag in OUT and not (tag == "header" and inside):
-        return True
+        return OUT_TAG
     if attrs:
         a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)}
         if a.get("role", "").lower() in ROLE_ATTRS or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or "hidden" in a:
-            return True
-        names = CONTENT_ROLES if tag in CONTENT else ROLES
-        if tag not in ("html", "body") and any(names.search(a[k]) for k in ("class", "id") if k in a):
-            return True
-    return False
+            return OUT_TAG
+        if tag not in ("html", "body"):
+            names = [_LAYOUT.sub("", a[k]) for k in ("class", "id") if k in a]
+            if any(CONTENT_ROLES.search(x) for x in names):
+                return OUT_MINOR
+            if tag not in CONTENT and any(ROLES.search(x) for x in names):
+                return OUT_ROLE
+    return 0
+
+
+def _barred(nodes: list[tuple], roles: dict[int, tuple], articles: dict[int, tuple[int, ...]]) -> set[int]:
+    """Of the elements with a role (number: kind, number of an article or 0), those that are left out. A wrapper stays: one
+    around the article or main with the most text, or one that most of the page's text lies in. Of adverts, comments and
+    the like, which often hold articles of their own, only an article with most of the page's text makes a wrapper. Text
+    of links doesn't count."""
+    total, main = 0, 0
+    size, text = dict.fromkeys(roles, 0), dict.fromkeys(articles, 0)
+    for _, path, t, sections, own in nodes:
+        n = 0 if ".a." in f".{path}." else len(t.strip())
+        total += n
+        minor = any(roles[r][0] == OUT_MINOR for r in own)
+        main += 0 if minor else n
+        for r in own:
+            size[r] += 0 if minor else n
+        for k in sections:
+            if k in text:
+                text[k] += n
+    largest = max((n for k, n in text.items() if not any(roles[r][0] == OUT_MINOR for r in articles[k])), default=0)
+    out = set()
+    for r, (kind, article) in roles.items():
+        inner = max((n for k, n in text.items() if k == article or r in articles[k]), default=0)
+        if kind == OUT_MINOR:
+            stays = 2 * inner > total
+        else:
+            stays = inner >= largest > 0 or 2 * size[r] > main
+        if not stays:
+            out.add(r)
+    return out
 
 
 def text_nodes(page: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
     """(block number, path, decoded text, numbers of the sectioning elements around it) of each text node outside of
     excluded elements."""
     out, stack, block, serial, barred = [], [], 0, 0, 0
+    roles: dict[int, tuple[int, int]] = {}
+    articles: dict[int, tuple[int, ...]] = {}
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -80,7 +120,7 @@ def text_nodes(page: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
         tag = m[2]
         if tag is None:
             if m[4] and not barred:
-                out.append((block, ".".join(x[0] for x in stack), html.unescape(m[4]), tuple(x[2] for x in stack if x[2])))
+                out.append((block, ".".join(x[0] for x in stack), html.unescape(m[4]), tuple(x[2] for x in stack if x[2]), tuple(x[3] for x in stack if x[3])))
             continue
         tag = tag.lower()
         if tag in BLOCKS:
@@ -94,7 +134,7 @@ def text_nodes(page: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
             continue
         if tag == "br":
             if not barred and out:
-                out.append((block, out[-1][1], " ", out[-1][3]))
+                out.append((block, out[-1][1], " ", *out[-1][3:]))
             continue
         if tag in RAW:
             m2 = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
@@ -106,11 +146,18 @@ def text_nodes(page: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
             # A closed paragraph also ends the inline elements left open in it.
             barred -= sum(x[1] for x in stack[c:])
             del stack[c:]
-        gone = _is_out(tag, m[3], any(x[0] in CONTENT for x in stack))
+        kind = _is_out(tag, m[3], any(x[0] in CONTENT for x in stack))
+        gone = kind == OUT_TAG
         barred += gone
         serial += 1
-        stack.append((tag, gone, serial if tag in _SECTIONS else 0))
-    return out
+        stack.append((tag, gone, serial if tag in _SECTIONS else 0, serial if kind in (OUT_ROLE, OUT_MINOR) else 0))
+        if not barred:
+            if stack[-1][3]:
+                roles[serial] = kind, serial if tag in CONTENT else 0
+            if tag in CONTENT:
+                articles[serial] = tuple(x[3] for x in stack if x[3])
+    gone = _barred(out, roles, articles) if roles else set()
+    return [x[:4] for x in out if not x[4] or gone.isdisjoint(x[4])]
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:

@@ -285,6 +285,18 @@ def test_html_scores_choose_the_region():
     assert html_extract.extract(several).split("\n") == ["One", *[p[3:-4]] * 2] * 3
 
 
+def test_html_wrappers_with_role_words():
+    p = "<p>A long paragraph, with many words; and marks. It goes on.</p>"
+    text, article = "\n".join(["Head", *[p[3:-4]] * 3]), f"<article><h1>Head</h1>{p * 3}</article>"
+    minor = "<div id=comments><article><p>Nice post!</p></article></div><div class='related posts'><article><p>Read on.</p></article></div><div class=sidebar><p>About us.</p></div>"
+    for names in ("page has-sidebar", "layout no-sidebar", "content-with-header", "post share", "main-form", "with-comments", "page comments"):
+        assert html_extract.extract(f"<body><div class='{names}'>{article}{minor}</div></body>") == text, names
+        if names != "page comments":
+            assert html_extract.extract(f"<body><div id='{names.replace(' ', '-')}'><div><h1>Head</h1>{p * 3}</div>{minor}</div></body>") == text, names
+    long = "<div id=comments>" + "<p>A comment, longer than all else; on and on it goes, and on.</p>" * 9 + "</div>"
+    assert html_extract.extract(f"<body><div class='page has-sidebar'>{article}</div>{long}</body>") == text
+
+
 def test_polynomial_windows():
     h = np.arange(20, dtype=np.uint64) % np.uint64(5)
     at, keys = windows(h, np.array([0, 12, 20]), 5, BASES[0])
