@@ -77,18 +77,21 @@ class Cell:
         norm = (self.x**2).sum(1)
         self.norm = np.maximum.reduceat(norm, self.begin)
 
-    def search(self, qid: int, q: np.ndarray, k: int, ids: np.ndarray, scores: np.ndarray):
-        """(ids, scores): the best k of those given and of this cell."""
+    def search(self, qid: int, q: np.ndarray, k: int, least: int | None):
+        """(ids, scores): the best k of this cell that score least at the least."""
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         d = float(np.sqrt(((q - self.pivot) ** 2).sum()))
         bound = upper_bound(float((q**2).sum()), d, self.lo, self.hi, self.norm)
         for a in np.argsort(-bound, kind="stable"):
-            if len(scores) == k and bound[a] < scores[-1]:
+            # Only what beats or ties with the score to beat matters.
+            floor = scores[-1] if len(scores) == k else least
+            if floor is not None and bound[a] < floor:
                 break
             s = slice(self.begin[a], self.begin[a] + ANNULUS)
             got = np.rint(self.x[s] @ q).astype(np.int64)
             keep = self.ids[s] != qid
-            if len(scores) == k:
-                keep &= got >= scores[-1]
+            if floor is not None:
+                keep &= got >= floor
             if keep.any():
                 ids, scores = _top(np.concatenate((ids, self.ids[s][keep])), np.concatenate((scores, got[keep])), k)
         return ids, scores
@@ -143,13 +146,10 @@ def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", emb
         if left.num_rows and right.num_rows:
             c = Cell(left.column("vec_id").to_numpy(), _matrix(left.column("x")), left.column("dist").to_numpy(), shared.value[left.column("pivot")[0].as_py()])
             for q, x, s in zip(right.column("vec_id").to_pylist(), _matrix(right.column("x")).astype(float), right.column("least").to_pylist(), strict=True):
-                # Only what beats or ties with the score to beat matters.
-                start = (np.zeros(0, np.int64),) * 2 if s is None else (np.full(k, -1), np.full(k, s))
-                ids, scores = c.search(q, x, k, *start)
+                ids, scores = c.search(q, x, k, s)
                 for col, y in zip(out, ([q] * len(ids), ids, scores), strict=True):
                     col.extend(y)
-        keep = np.array([i != -1 for i in out[1]], bool) if out[1] else np.zeros(0, bool)
-        return pa.table({n: pa.array(np.array(c, np.int64)[keep]) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
+        return pa.table({n: pa.array(np.array(c, np.int64)) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     def visit(queries: DataFrame) -> DataFrame:
         """Results of (vec_id, x, least, block, pivot, cut)."""

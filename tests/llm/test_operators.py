@@ -246,6 +246,22 @@ def test_topk(spark):
     assert sorted(x["rank"] for x in few) == [1, 2, 3] and topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_ties_across_pivots(spark):
+    r = np.random.default_rng(5)
+    # A zero vector scores 0 with all; few different components make many ties.
+    v = np.concatenate((np.zeros((1, 3)), r.integers(-2, 3, size=(399, 3)).astype(float)))
+    ids = [-1 if k == 7 else k for k in r.permutation(400).tolist()]
+    df = spark.createDataFrame([(k, [float(x) for x in y]) for k, y in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    q = np.floor(1024 * v).astype(np.int64)
+    chosen = {ids[0], *ids[1:400:25], -1}
+    want = set()
+    for a in chosen:
+        s = q @ q[ids.index(a)]
+        best = sorted((b for b in range(400) if ids[b] != a), key=lambda b: (-int(s[b]), ids[b]))[:10]
+        want |= {(a, k + 1, ids[b], int(s[b])) for k, b in enumerate(best)}
+    assert {tuple(x) for x in topk.search(df, F.col("vec_id").isin(*chosen)).collect()} == want
+
+
 def test_warc(spark, tmp_path):
     bodies = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n", "é" * 5000]
     pages = spark.createDataFrame([(k, f"http://x/{k} y" if k else None, b, "clash") for k, b in enumerate(bodies)], "page_id long, url string, html string, owner string")
