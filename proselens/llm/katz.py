@@ -94,8 +94,9 @@ class _Tokens:
         self.counts = np.bincount(self.at, self.train[self.of], len(self.unique)).astype(np.int64)
 
 
+#: Counts of a block fit 32 bits, those of the corpus don't; c2 is a word's count in the corpus.
 _WORDS = {"key": np.uint64, "count": np.uint32}
-_PAIRS = {"first": np.uint32, "second": np.uint32, "count": np.uint32, "c2": np.uint32}
+_PAIRS = {"first": np.uint32, "second": np.uint32, "count": np.uint32, "c2": np.uint64}
 _SUMS = ("many", "mass", *(f"m{k}" for k in range(1, GT_MAX + 1)))
 
 
@@ -142,7 +143,7 @@ class Model:
             rank = np.empty(len(c), np.int64)
             rank[np.argsort(-c, kind="stable")] = np.arange(len(c))
             ids = (rank * n_parts + part + 1)[of].astype(np.uint32)
-            counts = np.minimum(c[of], 0xFFFFFFFF).astype(np.uint32)
+            counts = c[of].astype(np.uint64)
             if len(c) and int(rank.max()) * n_parts + part + 1 > 0xFFFFFFFF - HOT_SPREAD:
                 raise ValueError("over 2**32 distinct words: use more key partitions")
             coc = np.bincount(np.minimum(c[c > 0], GT_MAX + 2), minlength=GT_MAX + 3)[: GT_MAX + 2].tolist()
@@ -163,7 +164,7 @@ class Model:
             for p, o in x.dealt(n_parts):
                 first, second = x.first[o].astype(np.uint32), x.second[o].astype(np.uint32)
                 step = np.diff(first, prepend=np.uint32(0))
-                rows.append((p, block, len(o), _zip(step), _zip(second), _zip(x.pair_counts[o].astype(np.uint32)), _zip(x.count_of_second[o].astype(np.uint32))))
+                rows.append((p, block, len(o), _zip(step), _zip(second), _zip(x.pair_counts[o].astype(np.uint32)), _zip(x.count_of_second[o].astype(np.uint64))))
             return _table(rows, sent)
 
         def total(t: pa.Table) -> pa.Table:
@@ -254,7 +255,7 @@ class _Numbered:
         ids, counts = np.zeros(len(x.unique), np.int64), np.zeros(len(x.unique), np.int64)
         for p, o in by_part((mix(x.unique) % np.uint64(n_parts)).astype(np.int64), n_parts):
             n, i, c = got[p]
-            ids[o], counts[o] = _unzip(i, n, np.uint32), _unzip(c, n, np.uint32)
+            ids[o], counts[o] = _unzip(i, n, np.uint32), _unzip(c, n, np.uint64)
         self.word_counts = counts
         second = ids[x.at]
         first = np.concatenate(([START], second[:-1])) if len(second) else second

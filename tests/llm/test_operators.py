@@ -222,6 +222,51 @@ def test_katz(spark):
     assert none["score"] == 0 and none["train_tokens"] == 0 and none["n_known"] == 0
 
 
+def test_katz_counts_over_32_bits(spark):
+    """A corpus of which each block stands for 2**30 equal ones: counts of words and pairs in the corpus pass 2**32."""
+    times, real = 1 << 30, katz.Blocks
+
+    class Many:
+        def __init__(self, *a):
+            self.blocks = real(*a)
+
+        def emit(self, f, schema):
+            def many(block, t):
+                for b in f(block, t):
+                    c = [katz._zip(katz._unzip(x, n, np.uint32) * np.uint32(times)) for x, n in zip(b.column("count").to_pylist(), b.column("n").to_pylist(), strict=True)]
+                    yield b.set_column(b.schema.get_field_index("count"), "count", pa.array(c, pa.binary()))
+
+            return self.blocks.emit(many, schema)
+
+        def answer(self, answers, f, schema):
+            def many(block, t, a):
+                b = f(block, t, a)
+                if "c2" not in b.column_names:
+                    return b
+                c = [katz._zip(katz._unzip(x, n, np.uint32) * np.uint32(times)) for x, n in zip(b.column("count").to_pylist(), b.column("n").to_pylist(), strict=True)]
+                return b.set_column(b.schema.get_field_index("count"), "count", pa.array(c, pa.binary()))
+
+            return self.blocks.answer(answers, many, schema)
+
+    rows = [(k, "hot x hot y hot z" if k < 3 else "hot unseen y hot hot", k == 3) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    try:
+        # Every document is a block of its own, so that a block's counts times 2**30 fit 32 bits.
+        katz.Blocks, size, katz.BLOCK = Many, katz.BLOCK, 1
+        got = {r["doc_id"]: r for r in katz.Model(docs).scores().collect()}
+    finally:
+        katz.Blocks, katz.BLOCK = real, size
+    n, v = 21 * times, 5
+    c = {"hot": 9 * times, "x": 3 * times, "y": 3 * times, "z": 3 * times, "end": 3 * times, "unseen": 0}
+    assert got[0]["train_tokens"] == n
+    for k, words in ((0, "hot x hot y hot z end"), (3, "hot unseen y hot hot end")):
+        assert got[k]["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words.split()), abs=1e-9)
+    # hot is followed by x, y and z a third of the times each; all else of the first text is certain.
+    assert got[0]["score"] == pytest.approx(3 * np.log10(1 / 3), abs=1e-6)
+    # Unseen continuations share what is left, about one count of 2**30 or more; no word is impossible.
+    assert -100 < got[3]["score"] < 0
+
+
 def test_language(spark):
     words = {"xx": "alo belo mira soto ".split(), "yy": "kruz tschik blomf warg ".split()}
     r = random.Random(4)
