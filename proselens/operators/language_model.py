@@ -67,10 +67,12 @@ def perturbed(text: Column, key: Column, k: Column, drop: float = 0.05, swap: fl
     return F.array_join(T.let(kept, moved), " ")
 
 
-def perturbation_score(df: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", variants: int = 5) -> DataFrame:
+def perturbation_score(df: DataFrame, model: DataFrame, key: str | tuple[str, ...] = "doc_id", text: str = "text", variants: int = 5) -> DataFrame:
     """(key, detectgpt_score): mean log-probability of a text less that of its variants; 0 for texts without known tokens."""
-    each = df.select(key, text, F.explode(F.sequence(F.lit(0), F.lit(variants))).alias("k_"))
-    made = each.select(key, "k_", F.when(F.col("k_") == 0, F.col(text)).otherwise(perturbed(F.col(text), F.col(key), F.col("k_"))).alias("text"))
-    lp = tokens(made, (key, "k_")).join(model.select("token", "lp"), "token").groupBy(key, "k_").agg(F.avg("lp").alias("lp"))
-    got = lp.groupBy(key).agg((F.max(F.when(F.col("k_") == 0, F.col("lp"))) - F.avg(F.when(F.col("k_") > 0, F.col("lp")))).alias("s_"))
-    return df.select(key).join(got, key, "left").select(key, F.coalesce("s_", F.lit(0.0)).alias("detectgpt_score"))
+    key = (key,) if isinstance(key, str) else tuple(key)
+    name = F.col(key[0]) if len(key) == 1 else F.struct(*key)
+    each = df.select(*key, text, F.explode(F.sequence(F.lit(0), F.lit(variants))).alias("k_"))
+    made = each.select(*key, "k_", F.when(F.col("k_") == 0, F.col(text)).otherwise(perturbed(F.col(text), name, F.col("k_"))).alias("text"))
+    lp = tokens(made, (*key, "k_")).join(model.select("token", "lp"), "token").groupBy(*key, "k_").agg(F.avg("lp").alias("lp"))
+    got = lp.groupBy(*key).agg((F.max(F.when(F.col("k_") == 0, F.col("lp"))) - F.avg(F.when(F.col("k_") > 0, F.col("lp")))).alias("s_"))
+    return df.select(*key).join(got, list(key), "left").select(*key, F.coalesce("s_", F.lit(0.0)).alias("detectgpt_score"))

@@ -14,21 +14,22 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def window_table(windows: DataFrame, *, style: bool = True, model: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
-    """windows with the features of every branch that is asked for: style natively in the same pass, language-model and
-    nearest-neighbour features joined by (doc_id, window_id)."""
+    """windows with the features of every branch that is asked for: style natively in the same pass, language-model,
+    perturbation and nearest-neighbour features joined by (doc_id, window_id)."""
     key = ("doc_id", "window_id")
     if style:
         keep = tuple(windows.columns)
         windows = stylometry.features(windows, "text_raw", keep)
-    lm = neighbours = None
+    lm = perturbed = neighbours = None
     if model is not None:
         toks = language_model.tokens(windows, key, "text_clean")
         lm = language_model.aggregates(language_model.score_tokens(toks, model), key)
+        perturbed = language_model.perturbation_score(windows, model, key, "text_clean")
     if corpus is not None:
         q = windows.select(*key, F.xxhash64(*key).alias("query_id"), semantic.hashed_embedding(F.col("text_clean")).alias("embedding"))
         found = semantic.window_features(semantic.knn(q, corpus))
         neighbours = q.select(*key, "query_id").join(found, "query_id").drop("query_id")
-    return fusion.merge_features(windows, lm, neighbours)
+    return fusion.merge_features(windows, lm, perturbed, neighbours)
 
 
 def analyse(docs: DataFrame, config: fusion.Config = fusion.Config(), scorer: Scorer = fusion.style_probabilities, model: DataFrame | None = None, corpus: DataFrame | None = None, meta: dict | None = None, splitter: str = "intended") -> dict[str, DataFrame]:

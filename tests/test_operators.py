@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from proselens.operators import fusion, layout, semantic, structure
 from proselens.operators import language_model as lm
-from proselens.plans.analyze import analyse, search_paraphrases
+from proselens.plans.analyze import analyse, search_paraphrases, window_table
 from proselens.sources import readers, sinks
 
 DOCS = "doc_id long, text string"
@@ -161,3 +161,12 @@ def test_streaming(spark, tmp_path):
     q = stream.analyse_stream(stream.documents(spark, str(tmp_path / "in")), lambda t, k: seen.extend(t["documents"].collect()), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert len(seen) == 1
+
+
+def test_windows_get_perturbation_scores(spark):
+    words = " ".join("abcdefg"[k % 7] * 3 for k in range(60))
+    rows = [(1, 0, words), (1, 1, "unknown words"), (2, 0, words), (2, 1, "")]
+    windows = spark.createDataFrame(rows, "doc_id long, window_id int, text_clean string").coalesce(1)
+    model = spark.createDataFrame([(x * 3, -1.0 - k, k + 1, 0.1) for k, x in enumerate("abcdefg")], "token string, lp double, rank long, p double").coalesce(1)
+    got = {(r["doc_id"], r["window_id"]): r["detectgpt_score"] for r in window_table(windows, style=False, model=model).collect()}
+    assert len(got) == 4 and got[1, 1] == got[2, 1] == 0 and got[1, 0] != 0 and got[2, 0] != 0 and got[1, 0] != got[2, 0]
