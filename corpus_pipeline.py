@@ -58,7 +58,7 @@ STAGES = [
     ("byte_bpe", tokenise),
 ]
 
-#: Models, signatures and merges are beyond SQL; tests hold every stage against a brute-force version.
+#: Models, signatures and merges are beyond SQL; tests hold the operators against brute force, but not the stages or run().
 ORACLE_SQL = None
 
 
