@@ -4,30 +4,39 @@ An id is cut into chunks of 8 bits, low ones first, as many as it needs. Level k
 has one, plus a bitmap that says which of them go on, with a rank directory (ones before each 64-bit word), so that the
 place of the next chunk is a rank. Any token is reached with one look-up a level and no block is decoded.
 
-File layout (little-endian): magic ``DAC1``; u64 number of documents D, tokens N, first token's position in the corpus,
-levels L; D x i64 doc_ids; (D+1) x u64 starts; for each level u64 n, then n bytes of chunks padded to 8, ceil(n/64) u64
-bitmap words, ceil(n/64) u64 ranks. Files cover ranges of doc_id, so their order by first token is the corpus order.
-A file is one row ``(part, data)`` of a Parquet table in a shared folder.
+File layout (little-endian): magic ``DAC2``; u64 number of documents D, how many of them (the first ones) have a null id,
+tokens N, first token's position in the part, levels L; D x i64 doc_ids; (D+1) x u64 starts; for each level u64 n, then
+n bytes of chunks padded to 8, ceil(n/64) u64 bitmap words, ceil(n/64) u64 ranks. Parts cover ranges of doc_id and files
+ranges of a part, so the order by (part, seq) is the corpus order. A file is one row ``(part, seq, tokens, data)`` of a
+Parquet table in a shared folder.
+
+Defined results: null and empty texts have the end id alone. Rows with a null doc_id come first. Repeated ids are a row
+each, one after another. A text of any length is whole in one file.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, parts, scratch, ship
+from .common import lean, parts, scratch, ship
+from .words import slices
 
-MAGIC = b"DAC1"
-#: Words with their ids in a generation of a worker's cache; it holds two.
-CACHE = 300_000
+MAGIC = b"DAC2"
+#: Pieces with their ids that a worker keeps from batch to batch before it starts anew with those in use.
+CACHE = 400_000
+#: Texts that are encoded together have about so many bytes.
+TEXT_BYTES = 4_000_000
+#: Sampled ids a range of ids.
+SAMPLED = 50
 #: A file is closed once it holds so many tokens.
 FILE_TOKENS = 2_000_000
 
@@ -48,9 +57,9 @@ def pack_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
             return out
 
 
-def write_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, first: int = 0) -> bytes:
+def write_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, first: int = 0, null_ids: int = 0) -> bytes:
     levels = pack_levels(ids)
-    out = [MAGIC, struct.pack("<QQQQ", len(doc_ids), len(ids), first, len(levels)), doc_ids.astype("<i8").tobytes(), np.concatenate(([0], np.cumsum(counts))).astype("<u8").tobytes()]
+    out = [MAGIC, struct.pack("<QQQQQ", len(doc_ids), null_ids, len(ids), first, len(levels)), doc_ids.astype("<i8").tobytes(), np.concatenate(([0], np.cumsum(counts))).astype("<u8").tobytes()]
     for chunks, words, ranks in levels:
         out += [struct.pack("<Q", len(chunks)), chunks.tobytes(), b"\0" * (-len(chunks) % 8), words.tobytes(), ranks.tobytes()]
     return b"".join(out)
@@ -62,8 +71,8 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a token file")
-        d, self.n, self.first, levels = struct.unpack_from("<QQQQ", data, 4)
-        at = 36
+        d, self.null_ids, self.n, self.first, levels = struct.unpack_from("<QQQQQ", data, 4)
+        at = 44
         self.doc_ids = np.frombuffer(data, "<i8", d, at)
         self.starts = np.frombuffer(data, "<u8", d + 1, at + 8 * d).astype(np.int64)
         at += 8 * (2 * d + 1)
@@ -113,17 +122,39 @@ class TokenFile:
 #: The split and the normalisers under which a text's ids are those of its words (fixed values of the tokenizer file).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISERS = ["NFC", "Replace", "Lowercase"]
-#: Words of these characters alone are the same after NFC and are put in lower case alike by Python and the library.
-_KNOWN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
+#: Words of these characters alone are the same after NFC and are put in lower case alike by Arrow and the library.
+_KNOWN = r"^[!-~\x{C0}-\x{12F}\x{131}-\x{24F}]*$"
 
 
-class WordCache:
-    """Encodes texts by their white-space delimited words. Where the tokenizer drops white space and no merge crosses it,
-    each distinct word is encoded once by the library and its ids are copied afterwards; words of common letters go to
-    the library's model in the pieces that its split makes of them. Other tokenizers get whole texts."""
+def _lists(split: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets from 0, values) of a list array."""
+    at = np.asarray(split.offsets, np.int64)
+    return at - at[0], split.values.slice(at[0], at[-1] - at[0])
+
+
+def _numbered(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of each word, the distinct ones)."""
+    d = words.dictionary_encode()
+    return np.asarray(d.indices, np.int64), d.dictionary
+
+
+def _gather(ids: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids[offsets[k]:offsets[k + 1]] for each k of at, one after another, and their sizes."""
+    size = (offsets[1:] - offsets[:-1])[at]
+    return ids[np.repeat(offsets[at] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
+def _offsets(sizes) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+class Encoder:
+    """Encodes many texts at a time. Where the tokenizer drops white space and no merge crosses it, the distinct
+    white-space delimited words of the texts are found first: words of common letters are lower-cased and split into the
+    pieces that the tokenizer's pattern makes of them, and the library encodes each distinct piece once; other words are
+    the library's from the start. Other tokenizers get whole texts."""
 
     def __init__(self, tokenizer_json: str):
-        import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -132,128 +163,166 @@ class WordCache:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers") or []]
         self.by_word = kinds == _NORMALISERS and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and not any(x["content"].isascii() and (x["lstrip"] or x["rstrip"]) for x in spec["added_tokens"])
-        # A word that holds one of these is left to the whole tokenizer.
-        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
-        self.find = regex.compile(_SPLIT).findall
+        # Words that hold one of these are left to the whole tokenizer.
+        self.special = [x["content"] for x in spec["added_tokens"]]
         # The library's model alone, for pieces that are normalised and split already.
         self.plain = Tokenizer.from_str(tokenizer_json)
         self.plain.normalizer, self.plain.pre_tokenizer = None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.plain.encode_special_tokens = True
-        self.ids: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Puts the ids of new words into the cache."""
-        pieces, known, special, find = self.pieces, _KNOWN.fullmatch, self.special.search, self.find
-        if len(pieces) > CACHE:
-            pieces.clear()
-        # ASCII letters alone are one piece.
-        letters = [w for w in new if w.isalpha()]
-        alone = [w.lower().decode() for w in letters]
-        new = [w for w in new if not w.isalpha()]
-        words = [w.decode() for w in new]
-        easy = [known(w) is not None and special(w) is None for w in words]
-        split = [find(w.lower()) if ok else () for w, ok in zip(words, easy, strict=True)]
-        fresh = [*{p for ps in split for p in ps}.union(alone).difference(pieces)]
-        for k in range(0, len(fresh), 4096):
-            some = fresh[k : k + 4096]
-            e = self.plain.encode(" ".join(some), add_special_tokens=False)
-            cut = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            raw = array("I", e.ids).tobytes()
-            pieces.update(zip(some, [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
-        self.ids.update(zip(letters, map(pieces.__getitem__, alone), strict=True))
-        self.ids.update(zip(new, [b"".join([pieces[p] for p in ps]) if len(ps) != 1 else pieces[ps[0]] for ps in split], strict=True))
-        hard = [w for w, ok in zip(new, easy, strict=True) if not ok]
-        self._whole(hard, self.ids)
-
-    def _whole(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            for w, e in zip(some, self.t.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                into[w] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        # Ids that end a word: the model marks a word's last token, and no other, by a suffix.
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in self.t.get_vocab().items() if w.endswith(suffix)]] = True
+        # Pieces by number, with their ids.
+        self.known: dict[str, int] = {}
+        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for k in range(0, len(texts), 4096):
+            got = [e.ids for e in self.t.encode_batch_fast(texts.slice(k, 4096).to_pylist(), add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            sizes += map(len, got)
+        return np.concatenate(ids), _offsets(sizes)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of distinct pieces. Those that no text before had go to the library's model, many at a time with
+        blanks in between."""
+        keys = pieces.to_pylist()
+        if len(self.known) > CACHE:
+            # Pieces that still occur come along.
+            old, ids, offsets = self.known, self.ids, self.offsets
+            kept = [k for k in keys if k in old]
+            self.ids, size = _gather(ids, offsets, np.array([old[k] for k in kept], np.int64))
+            self.known, self.offsets = dict(zip(kept, range(len(kept)), strict=True)), _offsets(size)
+        fresh = [k for k in keys if k not in self.known]
+        ids, sizes = [self.ids], [self.offsets[1:] - self.offsets[:-1]]
+        for k in range(0, len(fresh), 8192):
+            some = fresh[k : k + 8192]
+            line = " ".join(some)
+            got = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[got])
+            if len(last) != len(some):
+                e = self.plain.encode(line, add_special_tokens=False)
+                got, last = np.array(e.ids, np.uint32), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(some) + 1)) - 1
+            ids.append(got)
+            sizes.append(np.diff(last, prepend=-1))
+        if fresh:
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            self.ids, self.offsets = np.concatenate(ids), _offsets(np.concatenate(sizes))
+        out, size = _gather(self.ids, self.offsets, np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys)))
+        return out, _offsets(size)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, the texts' offsets in them); null texts have none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.by_word:
-            return [np.array(e.ids, "<u4") for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.ids) > CACHE:
-            # Words that still occur come over from the old generation.
-            self.old, self.ids = self.ids, {}
-        new = set().union(*words).difference(self.ids)
-        had = new.intersection(self.old)
-        if had:
-            self.ids.update((w, self.old[w]) for w in had)
-        self._learn([*new.difference(had)])
-        get = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in words]
-
-
-_CACHES: dict[int, WordCache] = {}
-
-
-def _cache_of(tokenizer_json: str) -> WordCache:
-    """The worker's cache for this tokenizer; a worker keeps one from task to task."""
+            return self._whole(texts)
+        at, words = _lists(pc.ascii_split_whitespace(texts))
+        of, words = _numbered(words)
+        # A word with one of the special strings, or with other letters than the known ones, is hard.
+        hard = np.asarray(pc.invert(pc.match_substring_regex(words, _KNOWN)).fill_null(False), bool)
+        for x in self.special:
+            hard |= np.asarray(pc.match_substring(words, x), bool)
+        # White space at a text's ends leaves an empty word, which is hard and has no ids.
+        hard |= np.asarray(pc.binary_length(words), np.int64) == 0
+        easy = pc.utf8_lower(words.filter(pa.array(~hard)))
+        split_at, pieces = _lists(pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(easy, f"({_SPLIT})", r"\1 "))))
+        piece_of, distinct = _numbered(pieces)
+        ids, sizes = _gather(*self._pieces(distinct), piece_of)
+        ids2, offsets2 = self._whole(words.filter(pa.array(hard)))
+        # All words' ids, the easy ones' first.
+        place = np.where(hard, np.cumsum(hard) - 1 + len(easy), np.cumsum(~hard) - 1)
+        offsets = np.concatenate((_offsets(sizes)[split_at], len(ids) + offsets2[1:]))
+        out, sizes = _gather(np.concatenate((ids, ids2)), offsets, place[of])
+        return out, _offsets(sizes)[at]
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder_of(tokenizer_json: str) -> Encoder:
+    """The worker's encoder for this tokenizer, kept from task to task."""
     key = hash(tokenizer_json)
-    if key not in _CACHES:
-        _CACHES.clear()
-        _CACHES[key] = WordCache(tokenizer_json)
-    return _CACHES[key]
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(tokenizer_json)
+    return _ENCODERS[key]
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4")
 
 
 def _wide(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype("<u4")
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, ids): ids of each whole text, little-endian, of 2 bytes where all of a document's fit and else of 4,
-    with end_id after them; a null text has none."""
+def bounds(docs: DataFrame, doc_id: str, n: int) -> np.ndarray:
+    """At most n - 1 ids that cut docs into n ranges of about equally many rows, from a sample of some SAMPLED ids a
+    range. Only the id column is read. An id that fills several ranges is there as often."""
+    ids = docs.select(F.col(doc_id).cast("long").alias("d")).where("d IS NOT NULL")
+    total = ids.count()
+    got = np.sort(ids.sample(min(1.0, SAMPLED * n / max(total, 1)), 1).toArrow().column("d").to_numpy())
+    return got[np.arange(1, n) * len(got) // n] if len(got) else got
+
+
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", cuts: np.ndarray | None = None) -> DataFrame:
+    """(part, doc_id, n, ids): ids of each whole text, little-endian, of 2 bytes where all fit and else of 4, with end_id
+    after them; a null text has none. part is the range of cuts that the id is in; null ids come first. Rows of an id
+    that fills several ranges are dealt out over them in turn."""
     ship(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    cuts = np.zeros(0, np.int64) if cuts is None else cuts
+
+    def parts_of(ids: pa.Array, row: int) -> np.ndarray:
+        d = np.asarray(ids.fill_null(0))
+        low, high = np.searchsorted(cuts, d, "left"), np.searchsorted(cuts, d, "right")
+        return np.where(np.asarray(ids.is_null()), 0, low + (row + np.arange(len(ids))) % (high - low + 1))
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache, tail = _cache_of(spec.value), np.array([] if end_id is None else [end_id], "<u4")
+        row, encoder, tail = 0, _encoder_of(spec.value), np.array([] if end_id is None else [end_id], np.uint32)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                s = b.slice(k, 256)
-                got = [np.concatenate((x, tail)) for x in cache.encode([t or "" for t in s.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([_narrow(x) for x in got], pa.binary())], names=["doc_id", "n", "ids"])
+            for s in slices(b, 1, TEXT_BYTES):
+                ids, offsets = encoder.encode(s.column(1))
+                if len(tail):
+                    ids = np.insert(ids, offsets[1:], tail[0])
+                    offsets = offsets + np.arange(len(offsets))
+                ids = _narrow(ids)
+                blob = pa.Array.from_buffers(pa.large_binary(), s.num_rows, [None, pa.py_buffer(offsets * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(parts_of(s.column(0), row), pa.int32()), s.column(0), pa.array(np.diff(offsets), pa.int64()), blob], names=["part", "doc_id", "n", "ids"])
+                row += s.num_rows
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(lean(run), "part int, doc_id long, n long, ids binary")
 
 
-def write_files(encoded: DataFrame, path: str) -> None:
-    """Files in ascending doc_id order (null first). Range partitioning on doc_id; a partition's first position is the
-    sum of the partitions before it, one number each on the driver."""
-    spark = encoded.sparkSession
-    n_parts = parts(spark)
+def write_files(encoded: DataFrame, path: str, n_parts: int) -> None:
+    """Files in ascending doc_id order, null ids first: rows go to their parts, each is sorted and written as files of
+    about FILE_TOKENS tokens that know where in their part they begin."""
 
     def pack(batches):
-        from pyspark import TaskContext
-
-        part, seq, ids, n, blobs, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, seq, ids, n, blobs, held, before = 0, 0, [], [], [], 0, 0
 
         def flush():
-            nonlocal ids, n, blobs, held, seq
-            data = write_file(np.array(ids, np.int64), np.array(n, np.int64), np.concatenate(blobs))
+            nonlocal ids, n, blobs, held, seq, before
+            none = sum(x is None for x in ids)
+            data = write_file(np.array([x or 0 for x in ids], np.int64), np.array(n, np.int64), np.concatenate(blobs), before, none)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "tokens", "data"])
+            before += held
             ids, n, blobs, held, seq = [], [], [], 0, seq + 1
             return row
 
         for b in batches:
-            for d, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if d is None:
-                    raise ValueError("doc_id is null")
-                if held and held + k > FILE_TOKENS:
+            for p, d, k, x in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if ids and (p != part or held + k > FILE_TOKENS):
                     yield flush()
+                if p != part:
+                    part, seq, before = p, 0, 0
                 ids.append(d)
                 n.append(k)
                 blobs.append(_wide(x, k))
@@ -261,40 +330,42 @@ def write_files(encoded: DataFrame, path: str) -> None:
         if ids:
             yield flush()
 
-    dealt = encoded.repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    files = dealt.mapInArrow(pack, "part int, seq int, tokens long, data binary")
+    dealt = encoded.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    files = dealt.mapInArrow(lean(pack), "part int, seq int, tokens long, data binary")
     files.write.option("compression", "zstd").parquet(path)
 
 
 def read_files(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, from the files. The only thing on the driver is a count a file."""
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files. The driver sees one sum a part."""
     ship(spark)
     files = spark.read.parquet(path)
-    begin: dict[tuple[int, int], int] = {}
-    total = 0
-    for r in files.select("part", "seq", "tokens").toArrow().sort_by([("part", "ascending"), ("seq", "ascending")]).to_pylist():
-        begin[r["part"], r["seq"]] = total
-        total += r["tokens"]
+    sums = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("tokens").alias("n")).toArrow().to_pylist()}
+    begin, total = np.zeros(max(sums, default=0) + 1, np.int64), 0
+    for p in sorted(sums):
+        begin[p] = total
+        total += sums[p]
     shared = spark.sparkContext.broadcast(begin)
 
     def run(batches):
         for b in batches:
-            for part, seq, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                f, base = TokenFile(data), shared.value[part, seq]
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                f = TokenFile(data)
+                base = int(shared.value[part]) + f.first
+                every = f.tokens(0, f.n).astype("<u4")
                 for k in range(0, len(f.doc_ids), 512):
-                    some = range(k, min(k + 512, len(f.doc_ids)))
-                    ids = [f.document(i).astype("<u4").tobytes() for i in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[k : k + 512]), pa.array([base + int(f.starts[i]) for i in some], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    cut = f.starts[k : k + 513]
+                    ids = [every[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                    nulls = np.arange(k, k + len(ids)) < f.null_ids
+                    yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[k : k + 512], mask=nulls), pa.array(base + cut[:-1]), pa.array(np.diff(cut)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return files.select("part", "seq", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.select("part", "data").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """Encodes docs, writes the files and reads them back: doc_id, start, n_tokens, ids_crc32 (and nothing is lost in between)."""
+    """Encodes docs, writes the files and reads them back: doc_id, start, n_tokens, ids_crc32 (and nothing is lost in
+    between). Texts are read and encoded once, in one job with the exchange; rows of equal ids are in the order of their
+    parts and ids, and those with a null id come first."""
     spark = docs.sparkSession
-    path = path or scratch(spark, "tokens")
-    # Range bounds are sampled in a pass of their own: a table keeps that from encoding twice.
-    encoded = materialise(encode(docs, tokenizer_path, end_id), "encoded")
-    write_files(encoded, path)
-    drop(encoded)
+    path, n = path or scratch(spark, "tokens"), parts(spark)
+    write_files(encode(docs, tokenizer_path, end_id, cuts=bounds(docs, "doc_id", n)), path, n)
     return read_files(spark, path).drop("ids")

@@ -80,6 +80,36 @@ def test_token_files(spark, docs, tmp_path):
     assert token_files.round_trip(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_token_files_null_and_repeated_ids(spark):
+    """Every row has its own place; null ids come first, and an id that fills most ranges is dealt out over them."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(None, "first one"), (None, None)] + [(5, f"repeated row {k % 40}") for k in range(300)] + [(k, f"Row {k}, it's 1st") for k in range(9)] + [(3, "x " * 5000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = sorted(token_files.round_trip(df, P.path("word_bpe_49k.json")).collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0)) and ids[:2] == [None, None]
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)]).tolist()[:-1]
+    crc = lambda x: zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((d, crc(x)) for d, x in rows)
+    cuts = token_files.bounds(df, "doc_id", 8)
+    assert len(cuts) == 7 and (cuts == 5).sum() > 4
+    parts = {r["part"] for r in token_files.encode(df, P.path("word_bpe_49k.json"), 1, cuts=cuts).where("doc_id = 5").collect()}
+    assert len(parts) > 4
+
+
+def test_encoder_is_the_library():
+    from tokenizers import Tokenizer
+
+    spec = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    t, c = Tokenizer.from_str(spec), token_files.Encoder(spec)
+    some = [*texts(7), "It's 3rd; don't I'LL", "\u00a0no\u2028break\u1680 ", "\x1c\x1d \x00 x", "İSTANBUL ǅ ẞ Σας", "e\u0301 caf\u00e9"]
+    for k in range(0, len(some), 7):
+        ids, at = c.encode(pa.array(some[k : k + 7], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in some[k : k + 7]]
+
+
 @pytest.mark.parametrize("high", [1, 200, 256, 70_000, 1 << 24])
 def test_random_access(high):
     r = np.random.default_rng(high)
