@@ -5,8 +5,10 @@
 knows will do and lost tasks are simply written again. ``read`` parses whole files by Content-Length.
 ``assemble`` joins a capture's records through WARC-Concurrent-To and emits one nested row a capture.
 
-Defined results: a null html is an empty payload; a row with a null page_id can't be named in a record and is refused.
-Of equal payloads (same SHA-256 and length) the one with the largest page_id is stored, the others are revisits of it.
+Defined results: every row is a capture of its own, repeated rows and page_ids included. A null html is an empty payload
+and a null url an empty one; a row with a null page_id has no page-id line in its metadata and reads back as null. Of
+equal payloads (same SHA-256 and length) one row with the largest page_id (of equal ones, the largest url) is stored, the
+others are revisits of it; null ids are the smallest.
 """
 
 from __future__ import annotations
@@ -20,15 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, scratch, ship
+from .common import materialise, scratch, ship
 
 DATE = "2024-01-01T00:00:00Z"
-#: Pages a file; with the usual page this makes files of some MB, which a reader parses whole.
-PAGES_PER_FILE = 500
-#: Pages of one payload are spread over this many shuffle keys, as a third of all pages can be equal.
-SALT = 16
+#: A file, which a reader parses whole, has at most so many pages, and fewer if the largest payloads would make it larger
+#: than so many bytes.
+PAGES_PER_FILE, FILE_BYTES = 500, 1 << 30
 _B32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, page_id long, payload binary"
+RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, page_id long, original_page_id long, payload binary"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -37,8 +38,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*(F.translate(F.lpad(F.conv(F.substring(h, i, 10), 16, 32), 8, "0"), *_B32) for i in (1, 11, 21, 31)))
 
 
-def _uuid(page_id: Column, kind: str) -> Column:
-    h = F.md5(F.concat(F.lit(f"{kind}:"), page_id.cast("string")))
+def _uuid(name: Column, kind: str) -> Column:
+    h = F.md5(F.concat(F.lit(f"{kind}:"), name))
     return F.concat(F.lit("urn:uuid:"), *(x for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ((F.lit("-"),) if i > 1 else ()) + (F.substring(h, i, n),)))
 
 
@@ -50,27 +51,55 @@ def _record(kind: Column | str, rid: Column, uri: Column, headers: Column, block
     )
 
 
+def digests(pages: DataFrame) -> DataFrame:
+    """(same, n, owner, owner_uri, times, rows) of pages (id, uri, same, n): how many rows each payload has, the largest
+    (id, uri) among them, and how many rows have that. Rows of one payload are summed before they are shuffled."""
+    each = pages.groupBy("same", "n", "id", "uri").agg(F.count("*").alias("times"))
+    best = each.groupBy("same", "n").agg(F.max(F.struct("id", "uri", "times")).alias("o"), F.sum("times").alias("rows"))
+    return best.select("same", "n", F.col("o.id").alias("owner"), F.col("o.uri").alias("owner_uri"), F.col("o.times").alias("times"), "rows")
+
+
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> None:
-    """Writes the captures of pages to path. Payloads under min_bytes bytes are never revisits."""
-    p = pages.select(F.assert_true(F.col(page_id).isNotNull(), "page_id is null").alias("ok"), F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("uri"), F.coalesce(html, F.lit("")).alias("body"))
-    p = p.where(F.col("ok").isNull()).drop("ok").withColumns({"n": F.octet_length("body"), "same": F.sha2(F.col("body").cast("binary"), 256)})
-    p = p.withColumn("salt", F.pmod("id", F.lit(SALT)))
-    owner = p.where(F.col("n") >= min_bytes).groupBy("same", "n").agg(F.max("id").alias("owner")).select("same", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
-    p = p.join(owner, ["same", "salt"], "left")
-    old = F.coalesce(F.col("owner") != F.col("id"), F.lit(False))
+    """Writes the captures of pages to path. Payloads under min_bytes bytes are never revisits.
+
+    Digests are counted first, without the payloads; payloads then move once, to meet what is known of their digest if it
+    repeats. That join's larger side can be split where a digest is frequent."""
+    p = pages.select(F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("uri"), F.coalesce(html, F.lit("")).alias("body"))
+    p = p.withColumns({"n": F.octet_length("body"), "same": F.unhex(F.sha2(F.col("body").cast("binary"), 256))})
+    known = materialise(digests(p.select("id", "uri", "same", "n")), "digests")
+    repeats = known.where((F.col("rows") > 1) & (F.col("n") >= min_bytes))
+    most = known.agg(F.max("n").alias("n"), F.max(F.when((F.col("rows") > 1) & (F.col("n") >= min_bytes), F.col("times"))).alias("times")).first()
+    p = p.join(repeats.hint("merge"), ["same", "n"], "left")
+    own = F.col("rows").isNotNull() & F.col("id").eqNullSafe(F.col("owner")) & F.col("uri").eqNullSafe(F.col("owner_uri"))
+    # Of several rows alike that could be stored, one is.
+    several = own & (F.col("times") > 1)
+    if (most["times"] or 0) > 1:
+        kept = p.where(several).groupBy("same", "n").agg(*(F.first(c).alias(c) for c in ("id", "uri", "body", "owner", "owner_uri", "times", "rows")))
+        kept = kept.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        p = p.where(~several).withColumn("nth", F.lit(1)).unionByName(kept)
+    else:
+        p = p.withColumn("nth", F.lit(1))
+    stored = own & (F.col("nth") == 1)
+    old = F.col("rows").isNotNull() & ~stored
+    # Records that others refer to are named by their payload, all others by their row.
+    p = p.withColumns({"old": old, "original": F.concat(F.hex("same"), F.lit("-"), F.col("n").cast("string"))})
+    p = p.withColumn("name", F.when(stored, F.col("original")).otherwise(F.concat_ws("-", F.col("original"), F.col("id").cast("string"), F.monotonically_increasing_id().cast("string"))))
+    old = F.col("old")
     sha = F.concat(F.lit("sha1:"), base32_sha1(F.col("body").cast("binary")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
-    main, ask, meta = (_uuid(F.col("id"), k) for k in ("response", "request", "metadata"))
+    main, ask, meta = (_uuid(F.col("name"), k) for k in ("response", "request", "metadata"))
     to_main = F.concat(F.lit("WARC-Concurrent-To: <"), main, F.lit(">\r\n"))
     digest = F.concat(F.lit("WARC-Payload-Digest: "), sha, F.lit("\r\n"))
-    seen = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <"), _uuid(F.col("owner"), "response"), F.lit(">\r\n"))
+    seen = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <"), _uuid(F.col("original"), "response"), F.lit(">\r\nWARC-Refers-To-Target-URI: "), F.col("owner_uri"), F.lit("\r\n"))
+    line = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit("\r\n")), F.lit(""))
     records = F.array(
         _record("request", ask, F.col("uri"), to_main, F.concat(F.lit("GET "), F.col("uri"), F.lit(" HTTP/1.1\r\n\r\n")), "application/http; msgtype=request"),
         _record(F.when(old, "revisit").otherwise("response"), main, F.col("uri"), F.concat(digest, F.when(old, seen).otherwise("")), F.when(old, http).otherwise(F.concat(http, "body")), "application/http; msgtype=response"),
-        _record("metadata", meta, F.col("uri"), to_main, F.concat(F.lit("page-id: "), F.col("id").cast("string"), F.lit("\r\n")), "application/warc-fields"),
+        _record("metadata", meta, F.col("uri"), to_main, F.concat(line("page-id", F.col("id")), F.when(old, line("original-page-id", F.col("owner"))).otherwise("")), "application/warc-fields"),
     )
+    per_file = max(1, min(PAGES_PER_FILE, FILE_BYTES // max(1, most["n"] or 0)))
     # A capture is one row of the sink, so that it is whole in one file.
-    p.select(F.array_join(records, "\r\n\r\n").alias("value")).write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=PAGES_PER_FILE).text(path)
+    p.select(F.array_join(records, "\r\n\r\n").alias("value")).write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=per_file).text(path)
 
 
 def parse(data: bytes, with_payload: bool = True):
@@ -91,7 +120,7 @@ def parse(data: bytes, with_payload: bool = True):
         block = f.read(size)
         if len(block) < size:
             raise ValueError("a WARC record is cut off")
-        kind, payload, n, page = head.get("warc-type"), block, size, None
+        kind, payload, n, page, original = head.get("warc-type"), block, size, None, None
         if kind in ("response", "revisit", "request") and head.get("content-type", "").startswith("application/http"):
             http, _, payload = block.partition(b"\r\n\r\n")
             n = len(payload)
@@ -104,8 +133,8 @@ def parse(data: bytes, with_payload: bool = True):
                 raise ValueError(f"payload digest of {head.get('warc-record-id')} doesn't match")
             digest = own
         if kind == "metadata":
-            page = next((int(x[8:]) for x in block.split(b"\r\n") if x.startswith(b"page-id:")), None)
-        yield strip(head.get("warc-record-id")), kind, strip(head.get("warc-concurrent-to")), strip(head.get("warc-refers-to")), head.get("warc-target-uri"), head.get("warc-date"), digest, n, page, payload if with_payload else None
+            page, original = (next((int(x[len(k) :]) for x in block.split(b"\r\n") if x.startswith(k)), None) for k in (b"page-id:", b"original-page-id:"))
+        yield strip(head.get("warc-record-id")), kind, strip(head.get("warc-concurrent-to")), strip(head.get("warc-refers-to")), head.get("warc-target-uri"), head.get("warc-date"), digest, n, page, original, payload if with_payload else None
 
 
 def read(spark, path: str, with_payload: bool = True) -> DataFrame:
@@ -114,7 +143,7 @@ def read(spark, path: str, with_payload: bool = True) -> DataFrame:
     schema = spark.createDataFrame([], RECORD).schema
 
     def run(batches):
-        kinds = [pa.string()] * 7 + [pa.int64()] * 2 + [pa.binary()]
+        kinds = [pa.string()] * 7 + [pa.int64()] * 3 + [pa.binary()]
         for b in batches:
             for x in b.column(0):
                 rows, held = [], 0
@@ -148,10 +177,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, path: str | None = None) ->
     path = path or scratch(spark, "warc")
     write(pages, path, min_bytes=min_bytes)
     got = assemble(read(spark, path, with_payload=False))
-    row = got.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("to"))
-    # A revisit names a record; the page behind it comes from that record's own capture. Only revisits are looked up.
-    n = max(16, parts(spark) // 4)
-    stored = got.where(F.col("response.record_type") == "response").select(F.col("capture_id").alias("to"), F.col("metadata.page_id").alias("refers_to"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("salt"))
-    old = row.where(F.col("to").isNotNull()).withColumn("salt", F.pmod("page_id", F.lit(n))).join(stored, ["to", "salt"], "left")
-    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return row.where(F.col("to").isNull()).withColumn("refers_to", F.lit(None).cast("long")).select(cols).unionByName(old.select(cols))
+    # A revisit's own metadata names the page behind the record that it refers to, so nothing is looked up.
+    return got.select(
+        F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
+        F.when(F.col("response.record_type") == "revisit", F.col("metadata.original_page_id")).alias("refers_to"),
+    )

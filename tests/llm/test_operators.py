@@ -351,6 +351,21 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows(spark, tmp_path):
+    """Every row is a capture, whatever repeats; a revisit's record names the record of the page that it tells of."""
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (2, "v", "c"), (3, "w", "a"), (3, "w", "a"), (3, "x", "a"), (None, "n", "a"), (None, None, None), (None, None, None), (9, "y", "tiny"), (9, "y", "tiny")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, path=f"file://{tmp_path}/w").collect())
+    want = Counter([(1, 1, "revisit", 3)] * 2 + [(1, 1, "response", None), (2, 1, "response", None), (3, 1, "response", None), (3, 1, "revisit", 3), (3, 1, "revisit", 3), (None, 1, "revisit", 3), (None, 0, "response", None), (None, 0, "revisit", None), (9, 4, "response", None), (9, 4, "revisit", 9)])
+    assert got == want
+    records = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert len({r["record_id"] for r in records}) == len(records) == 3 * len(rows)
+    page = {r["concurrent_to"]: r["page_id"] for r in records if r["record_type"] == "metadata"}
+    assert {(r["page_id"], page[next(x["refers_to"] for x in records if x["record_id"] == r["concurrent_to"])]) for r in records if r["original_page_id"]} == {(1, 3), (3, 3), (None, 3), (9, 9)}
+    small = warc.round_trip(pages, min_bytes=2).collect()
+    assert sum(r["record_type"] == "revisit" for r in small) == 1 and len(small) == len(rows)
+
+
 HTML = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script><style>p{}</style></head><body><header>Site</header><nav><ul><li>Menu</ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p>First <b>bold
  text.<br>Still first.<p>Second &eacute;.<div class="ad-box">Buy now</div><section id="comments"><p>Nice post!</p></section></article><aside>More</aside><form><p>Name</p></form><footer>&copy; us</footer>"""
