@@ -8,17 +8,22 @@ nearest pivot, annuli in order of their bounds, which gives it a k-th score to b
 some annulus can reach that score, expanding annuli until the bound falls below it. Bounds are widened by more than the
 rounding error and ties are searched, so the result is exact.
 
-Pivots are picked from a sample of at most SAMPLE vectors, those with the smallest hash; every vector is indexed. A
-cell of more than CELL vectors is cut by hash into cells of the same pivot, queries into blocks of QUERIES, so that a
-task's input is bounded however vectors cluster.
+Pivots are picked from a random sample of at most SAMPLE vectors, and there are more of them the more vectors there are;
+every vector is indexed. Vectors of each length have pivots of their own, the zero vector if none of the sample has that
+length. A cell of more than CELL vectors is cut by hash into cells of the same pivot, the queries that visit a pivot are
+cut into blocks of about QUERIES, and a vector is sent once for each block that visits its pivot, so that a task's input
+is bounded however vectors cluster.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without
-an id, nor vectors of another length than the most frequent one of the sample. Ties go to the smaller vec_id. Repeated
-ids are separate candidates, but none of a query's own id is.
+an id, nor vectors whose scores might not fit 64 bits (those with a sum of squares of 2**62 or more). A query is compared
+with the vectors of its own length. Ties go to the smaller vec_id. Repeated ids are separate candidates, but none of a
+query's own id is; rows of one query id are one query, the first in the order of their vectors.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +32,13 @@ from pyspark.sql import functions as F
 from .common import materialise, ship
 
 SCALE = 1024
-PIVOTS = 32
+#: Of n vectors, the number of pivots is the root of n over 8, but in these bounds.
+PIVOTS = 32, 512
 SAMPLE = 4096
 CELL = 16_384
-QUERIES = 2048
+QUERIES = 4096
+#: Doubles hold all sums of products below this exactly; above it, products are those of 64-bit integers.
+EXACT = 2**53
 #: Vectors between two looks at the bounds.
 ANNULUS = 512
 
@@ -70,16 +78,19 @@ class Cell:
 
     def __init__(self, ids, x, dist, pivot):
         order = np.argsort(dist, kind="stable")
-        self.ids, self.x, self.dist, self.pivot = ids[order], x[order].astype(float), dist[order], pivot
+        self.ids, self.whole, self.dist, self.pivot = ids[order], x[order], dist[order], pivot
+        self.x = self.whole.astype(float)
         self.begin = np.arange(0, len(ids), ANNULUS)
         self.lo = self.dist[self.begin]
         self.hi = self.dist[np.minimum(self.begin + ANNULUS, len(ids)) - 1]
         norm = (self.x**2).sum(1)
         self.norm = np.maximum.reduceat(norm, self.begin)
 
-    def search(self, qid: int, q: np.ndarray, k: int, least: int | None):
+    def search(self, qid: int, whole: np.ndarray, k: int, least: int | None):
         """(ids, scores): the best k of this cell that score least at the least."""
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, scores, q = np.zeros(0, np.int64), np.zeros(0, np.int64), whole.astype(float)
+        # No partial sum is larger than the product of the lengths.
+        exact = float((q**2).sum()) * float(self.norm.max()) < float(EXACT) ** 2 / 4
         d = float(np.sqrt(((q - self.pivot) ** 2).sum()))
         bound = upper_bound(float((q**2).sum()), d, self.lo, self.hi, self.norm)
         for a in np.argsort(-bound, kind="stable"):
@@ -88,7 +99,7 @@ class Cell:
             if floor is not None and bound[a] < floor:
                 break
             s = slice(self.begin[a], self.begin[a] + ANNULUS)
-            got = np.rint(self.x[s] @ q).astype(np.int64)
+            got = np.rint(self.x[s] @ q).astype(np.int64) if exact else self.whole[s] @ whole
             keep = self.ids[s] != qid
             if floor is not None:
                 keep &= got >= floor
@@ -98,85 +109,102 @@ class Cell:
 
 
 def upper_bound(q2: float, d, lo, hi, norm):
-    """No vector with pivot distance in [lo, hi] and squared length up to norm scores more; d is the query's pivot distance."""
-    gap = np.maximum(np.maximum(lo - d, d - hi) - 1e-3, 0)
-    return (q2 + norm - gap**2) / 2 + 1
+    """No vector with pivot distance in [lo, hi] and squared length up to norm scores more; d is the query's pivot distance.
+    Rounding errors are relative to the squared lengths and far below 1e-9 of them."""
+    gap = np.maximum(np.maximum(lo - d, d - hi) - 1e-3 - 1e-6 * (d + hi), 0)
+    return (q2 + norm - gap**2) / 2 + 1 + 1e-9 * (q2 + norm)
 
 
-def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows of vectors for which the condition queries holds."""
     spark = vectors.sparkSession
     ship(spark)
-    whole = F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * SCALE))
     fine = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    # Dot products must stay exact in doubles.
-    used = vectors.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("x"), queries.alias("is_query"))
-    sample = used.select("x").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().column("x").to_pylist()
-    if not sample:
+    squares = F.aggregate(embedding, F.lit(0.0), lambda a, x: a + F.pow(F.floor(x.cast("double") * SCALE).cast("double"), F.lit(2.0)))
+    whole = F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * SCALE))
+    used = vectors.where(fine).where(squares < 2.0**62).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("x"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    n = used.count()
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sizes = [len(x) for x in sample]
-    dim = max(set(sizes), key=lambda n: (sizes.count(n), -n))
-    shared = spark.sparkContext.broadcast(_pivots(np.array([x for x in sample if len(x) == dim], np.int64), pivots))
+    sample = used.select("x").sample(min(1.0, 1.2 * SAMPLE / n), 1).limit(SAMPLE).toArrow().column("x").to_pylist()
+    k_pivots = pivots or int(min(max(n**0.5 / 8, PIVOTS[0]), PIVOTS[1]))
+    sizes = Counter(len(x) for x in sample)
+    # A length with a share of the sample has that share of the pivots.
+    centres = {dim: _pivots(np.array([x for x in sample if len(x) == dim], np.int64), max(1, k_pivots * m // len(sample))) for dim, m in sizes.items()}
+    shared = spark.sparkContext.broadcast(centres)
+
+    def pivots_of(dim: int) -> np.ndarray:
+        return shared.value.get(dim, np.zeros((1, dim)))
 
     def index(batches):
-        p = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.array(b.column(1).flatten()).reshape(b.num_rows, -1).astype("<i8")
-            if float(np.abs(x).max()) ** 2 * dim >= 2**53:
-                raise ValueError("components are too large for exact scores")
-            d = _distances(x, p)
-            near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near]), pa.array((x.astype(float) ** 2).sum(1)), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "is_query", "pivot", "dist", "norm", "x"])
-
-    keyed = materialise(used.where(F.size("x") == dim).mapInArrow(index, "vec_id long, is_query boolean, pivot int, dist double, norm double, x binary"), "vectors")
-    # At most PIVOTS rows: how large each pivot's list is and the span of its annuli.
-    table = {r["pivot"]: r.asDict() for r in keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("norm"), F.count_if("is_query").alias("queries")).collect()}
-    n_queries = sum(r["queries"] for r in table.values())
-    blocks = max(1, -(-n_queries // QUERIES))
-    info = spark.sparkContext.broadcast(table)
-    cuts = F.create_map(*(F.lit(x) for r in table.values() for x in (r["pivot"], max(1, -(-r["n"] // CELL)))))
-    cell = keyed.select("pivot", F.pmod(F.xxhash64("vec_id"), F.element_at(cuts, F.col("pivot"))).cast("int").alias("cut"), "vec_id", "dist", "x")
-    cells = (cell.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else cell.withColumn("block", F.lit(0))).withColumn("kind", F.lit(0))
-    asked = keyed.where(F.coalesce("is_query", F.lit(False))).select("vec_id", "pivot", "x", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+            size = np.asarray(b.column(1).value_lengths())
+            for dim in np.unique(size).tolist():
+                s = b.filter(pa.array(size == dim))
+                x = np.asarray(s.column(1).flatten()).reshape(s.num_rows, dim).astype("<i8")
+                d = _distances(x, pivots_of(dim))
+                near = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(2), pa.array(np.full(len(x), dim, np.int32)), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near]), pa.array((x.astype(float) ** 2).sum(1)), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "is_query", "dim", "pivot", "dist", "norm", "x"])
+
+    keyed = materialise(used.mapInArrow(index, "vec_id long, is_query boolean, dim int, pivot int, dist double, norm double, x binary"), "vectors")
+    # A row a pivot: how large its list is and the span of its annuli.
+    table = {(r["dim"], r["pivot"]): r.asDict() for r in keyed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm").alias("norm"), F.count_if("is_query").alias("queries")).collect()}
+    by_dim: dict[int, list] = {}
+    for (dim, p), r in table.items():
+        by_dim.setdefault(dim, []).append((p, r["lo"], r["hi"], r["norm"], max(1, -(-r["n"] // CELL))))
+    info = spark.sparkContext.broadcast(by_dim)
+    asked = materialise(keyed.where("is_query").groupBy("vec_id").agg(F.min(F.struct("dim", "x", "pivot")).alias("q")).select("vec_id", "q.*"), "queries")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
-            c = Cell(left.column("vec_id").to_numpy(), _matrix(left.column("x")), left.column("dist").to_numpy(), shared.value[left.column("pivot")[0].as_py()])
-            for q, x, s in zip(right.column("vec_id").to_pylist(), _matrix(right.column("x")).astype(float), right.column("least").to_pylist(), strict=True):
+            centre = pivots_of(left.column("dim")[0].as_py())[left.column("pivot")[0].as_py()]
+            c = Cell(left.column("vec_id").to_numpy(), _matrix(left.column("x")), left.column("dist").to_numpy(), centre)
+            for q, x, s in zip(right.column("vec_id").to_pylist(), _matrix(right.column("x")), right.column("least").to_pylist(), strict=True):
                 ids, scores = c.search(q, x, k, s)
                 for col, y in zip(out, ([q] * len(ids), ids, scores), strict=True):
                     col.extend(y)
         return pa.table({n: pa.array(np.array(c, np.int64)) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
-    def visit(queries: DataFrame) -> DataFrame:
-        """Results of (vec_id, x, least, block, pivot, cut)."""
-        key = ["pivot", "cut", "block"]
-        return cells.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score long")
-
-    every_cut = F.explode(F.sequence(F.lit(0), F.element_at(cuts, F.col("pivot")) - 1))
-    home = visit(asked.select("vec_id", "x", F.lit(None).cast("long").alias("least"), "block", "pivot", every_cut.alias("cut")))
+    def visit(visits: DataFrame) -> DataFrame:
+        """Results of (vec_id, x, least, dim, pivot, cuts), each query with each pivot that it visits."""
+        at = ["dim", "pivot"]
+        # How many queries visit each pivot: a row a pivot, from which come the blocks that its vectors are sent to.
+        plan = {(r["dim"], r["pivot"]): max(1, -(-r["n"] // QUERIES)) for r in visits.groupBy(*at).agg(F.count("*").alias("n")).collect()}
+        if not plan:
+            return spark.createDataFrame([], "query_id long, vec_id long, score long")
+        sent = F.broadcast(spark.createDataFrame([(*key, -(-table[key]["n"] // CELL), b) for key, b in plan.items()], "dim int, pivot int, of int, blocks int"))
+        cells = keyed.join(sent, at).select(*at, F.pmod(F.xxhash64("vec_id", "x"), "of").cast("int").alias("cut"), "vec_id", "dist", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        mine = visits.join(sent, at).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int"))
+        mine = mine.select("vec_id", "x", "least", *at, "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("cut"))
+        key = [*at, "cut", "block"]
+        return cells.groupBy(*key).cogroup(mine.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score long")
+
+    home = visit(asked.select("vec_id", "x", F.lit(None).cast("long").alias("least"), "dim", "pivot"))
     best = materialise(_merge(home, k), "home")
     least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).select(F.col("query_id").alias("vec_id"), "least")
 
     def reach(batches):
         """The other pivots whose annuli may hold something for the query."""
-        p, t = shared.value, info.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(1))
-            d, q2 = _distances(x, p), (x.astype(float) ** 2).sum(1)
-            rows = []
-            for i, (own, s) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-                rows += [(i, c) for c, r in t.items() if c != own and (s is None or upper_bound(q2[i], d[i, c], r["lo"], r["hi"], r["norm"]) >= s)]
-            at = pa.array([i for i, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(4).take(at), b.column(2).take(at), pa.array([c for _, c in rows], pa.int32())], names=["vec_id", "x", "least", "block", "pivot"])
-
-    wider = asked.join(least, "vec_id", "left").select("vec_id", "x", "block", "pivot", "least").mapInArrow(reach, "vec_id long, x binary, least long, block int, pivot int")
-    away = visit(wider.select("vec_id", "x", "least", "block", "pivot", every_cut.alias("cut")))
+            at, to = [], []
+            of = b.column(2).to_numpy()
+            for dim in np.unique(of).tolist():
+                rows = np.flatnonzero(of == dim)
+                s = b.take(pa.array(rows))
+                x, cells = _matrix(s.column(1)), info.value[dim]
+                d, q2, own, floor = _distances(x, pivots_of(dim)), (x.astype(float) ** 2).sum(1), s.column(3).to_numpy(), np.where(np.asarray(s.column(4).is_null()), -np.inf, np.asarray(s.column(4).fill_null(0)).astype(float))
+                for p, lo, hi, norm, _ in cells:
+                    # One more, as a score of over 53 bits isn't exact as a double.
+                    hit = np.flatnonzero((own != p) & (upper_bound(q2, d[:, p], lo, hi, norm) + np.abs(np.where(np.isfinite(floor), floor, 0)) * 1e-15 >= floor))
+                    at.append(rows[hit])
+                    to.append(np.full(len(hit), p, np.int32))
+            if at:
+                i = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), b.column(4).take(i), b.column(2).take(i), pa.array(np.concatenate(to))], names=["vec_id", "x", "least", "dim", "pivot"])
+
+    wider = asked.join(least, "vec_id", "left").select("vec_id", "x", "dim", "pivot", "least").mapInArrow(reach, "vec_id long, x binary, least long, dim int, pivot int")
+    away = visit(materialise(wider, "visits"))
     return _rank(best.select("query_id", "vec_id", "score").unionByName(away), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

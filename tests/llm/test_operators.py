@@ -337,6 +337,23 @@ def test_topk_ties_across_pivots(spark):
     assert {tuple(x) for x in topk.search(df, F.col("vec_id").isin(*chosen)).collect()} == want
 
 
+def test_topk_lengths_and_large_components(spark):
+    """Each length is searched among its own, sums over 53 bits are exact, and what can't fit 64 bits takes no part."""
+    r = np.random.default_rng(8)
+    v = [*r.integers(-3, 4, size=(60, 2)).tolist(), *r.integers(-3, 4, size=(40, 5)).tolist(), *(r.integers(-(2**28), 2**28, size=(40, 5)) // 1024 * 2).tolist(), [2.0**30, 0.0, 0.0, 0.0, 0.0], [1e308] * 5, [7.0]]
+    df = spark.createDataFrame([(k, [float(y) for y in x], "clash", 0) for k, x in enumerate(v)], "vec_id long, embedding array<double>, pivot string, least int").repartition(3)
+    big = [[int(np.floor(1024 * float(y))) if abs(y) < 1e300 else 10**400 for y in x] for x in v]
+    fine = [k for k, x in enumerate(big) if sum(y * y for y in x) < 2**62]
+    assert len(fine) == len(v) - 2
+    want = set()
+    for a in fine:
+        if a % 3 == 0 or a == len(v) - 1:
+            others = [(-sum(x * y for x, y in zip(big[a], big[b])), b) for b in fine if b != a and len(v[b]) == len(v[a])]
+            want |= {(a, i + 1, b, -s) for i, (s, b) in enumerate(sorted(others)[:4])}
+    assert any(abs(x[3]) > 2**54 for x in want)
+    assert {tuple(x) for x in topk.search(df, (F.col("vec_id") % 3 == 0) | (F.col("vec_id") == len(v) - 1), k=4, pivots=6).collect()} == want
+
+
 def test_warc(spark, tmp_path):
     bodies = ["<p>a</p>", "<p>a</p>", None, "", "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n", "é" * 5000]
     pages = spark.createDataFrame([(k, f"http://x/{k} y" if k else None, b, "clash") for k, b in enumerate(bodies)], "page_id long, url string, html string, owner string")
