@@ -59,6 +59,8 @@ class Blocks:
         packed = docs.mapInArrow(lean(pack), "block long, data binary")
         packed.write.bucketBy(self.n, "block").option("path", scratch(spark, "blocks")).option("compression", "none").saveAsTable(self.name)
         self.df = spark.table(self.name)
+        # The plan knows the files; the catalogue needn't keep a name for them.
+        spark.sql(f"DROP TABLE {self.name}")
 
     def emit(self, f: Callable, schema: str) -> DataFrame:
         """f(block, table) -> record batches, for each block."""

@@ -1,7 +1,9 @@
 """Word hashes of whole batches of texts, without a Python object a word.
 
 A word is a run of bytes other than the six ASCII white-space bytes. Its hash is a polynomial over its bytes modulo
-2**64, mixed afterwards; prefix sums give all words of a batch at once.
+2**64, mixed afterwards; prefix sums give all words of a batch at once. Such polynomials are equal for certain texts of
+1,024 and more symbols whatever the base, so words of over LONG bytes are hashed by xxh3, and runs of words that are
+hashed as polynomials over the words' hashes have at most LONG of them.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -16,6 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _M64 = (1 << 64) - 1
+LONG = 64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -89,7 +93,10 @@ class Words:
             # +1: a zero byte counts, too.
             out[k:stop] = spans(self._used[a:b].astype(np.uint64) + np.uint64(1), self.begin[k:stop] - a, self.end[k:stop] - a, base)
             k = stop
-        return mix(out + (self.end - self.begin).astype(np.uint64))
+        size = self.end - self.begin
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self._used[self.begin[k] : self.end[k]].tobytes(), base & _M64)
+        return mix(out + size.astype(np.uint64))
 
     def text(self, k: int, keep: np.ndarray | None = None) -> bytes:
         """Document k's words, or those that keep (a mask over them) has, joined by one space."""
@@ -101,6 +108,7 @@ class Words:
 
 def windows(h: np.ndarray, doc: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, mixed u64 hashes) of all runs of width words that lie within a document."""
+    assert width <= LONG
     n = np.diff(doc)
     count = np.maximum(n - width + 1, 0)
     at = np.arange(count.sum()) + np.repeat(doc[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
