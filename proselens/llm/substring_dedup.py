@@ -1,14 +1,16 @@
 """Exact substring deduplication by recompression.
 
-Names are given to words, then round by round to runs of one symbol and to pairs of symbols. A name is the hash of what
-it stands for, so it is the same all over the corpus without any table of names; in a pair round every symbol is left or
+Names are given to words, then, in every round, to runs of one symbol and to pairs of symbols. A name is the hash of what
+it stands for, so it is the same all over the corpus without any table of names; of the pairs, every symbol is left or
 right by one bit of its name, and each left symbol followed by a right one becomes a pair. Which symbols arise inside a
 passage is settled by the passage alone, except near its ends. For every symbol its reach is kept: the words that its
 rise depends on. Equal passages hold the same symbols wherever the reach lies inside.
 
 Revealing: a WINDOW-word passage that occurs twice has all its interior high-level symbols twice in the corpus, so only
 windows whose interior symbols are all shared remain. Verifying: those windows' 96-bit fingerprints over all word
-hashes are counted over the corpus; windows found twice are repeats. No window is given up for being frequent.
+hashes are counted over the corpus; windows found twice are repeats. A block sends each fingerprint once and gets a bit
+back; the places stay with the block, so a passage that is everywhere costs as much as any. No window is given up for
+being frequent.
 
 Each word under a repeated window is removed; windows are judged on the input. Defined results: null and empty texts
 have no words; kept words are joined by one space. Repeated rows are repeats of each other.
@@ -26,7 +28,8 @@ from .text_blocks import Blocks, by_part, column
 from .words import BASES, Words, mix, spans
 
 WINDOW = 35
-ROUNDS = 6
+#: More rounds make fewer symbols, but after five their reach is as long as a window.
+ROUNDS = 4
 BLOCK = 4_000_000
 
 
@@ -46,18 +49,17 @@ def recompress(h: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np
         salt = np.uint64((r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         starts = np.concatenate(([True], of[1:] != of[:-1]))
         ends = np.concatenate((starts[1:], [True]))
-        if r == 0:
-            # Runs, where texts have them. A run's length depends on the neighbours being others.
-            first = starts | np.concatenate(([True], name[1:] != name[:-1]))
-            at = np.flatnonzero(first)
-            size = np.diff(np.concatenate((at, [len(name)])))
-            last = at + size - 1
-            new = np.where(size == 1, name[at], mix(name[at] ^ mix(size.astype(np.uint64) + salt)))
-            lo2 = np.where(starts[at], lo[at] - 1, lo[np.maximum(at - 1, 0)])
-            hi2 = np.where(ends[last], hi[last] + 1, hi[np.minimum(last + 1, len(name) - 1)])
-            name, lo, hi, of = new, lo2, hi2, of[at]
-            starts = np.concatenate(([True], of[1:] != of[:-1]))
-            ends = np.concatenate((starts[1:], [True]))
+        # Runs, where texts have them. A run's length depends on the neighbours being others.
+        first = starts | np.concatenate(([True], name[1:] != name[:-1]))
+        at = np.flatnonzero(first)
+        size = np.diff(np.concatenate((at, [len(name)])))
+        last = at + size - 1
+        new = np.where(size == 1, name[at], mix(name[at] ^ mix(size.astype(np.uint64) + salt)))
+        lo2 = np.where(starts[at], lo[at] - 1, lo[np.maximum(at - 1, 0)])
+        hi2 = np.where(ends[last], hi[last] + 1, hi[np.minimum(last + 1, len(name) - 1)])
+        name, lo, hi, of = new, lo2, hi2, of[at]
+        starts = np.concatenate(([True], of[1:] != of[:-1]))
+        ends = np.concatenate((starts[1:], [True]))
         right = (mix(name ^ salt) >> np.uint64(17) & np.uint64(1)).astype(bool)
         after = np.concatenate((right[1:], [False])) & ~ends
         pair = ~right & after
@@ -79,8 +81,13 @@ def _words(t: pa.Table, text: str) -> tuple[Words, np.ndarray]:
     return w, w.hashes(BASES[0])
 
 
+#: What a block keeps of its suspect windows, a row a key partition: distinct fingerprints, how often each occurs (1 or 2
+#: for more), and the places of all.
+_SUSPECTS = {"part": pa.int32(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary(), "n": pa.binary(), "size": pa.binary(), "at": pa.binary()}
+
+
 def repeated(blocks: Blocks, text: str, window: int, rounds: int) -> DataFrame:
-    """(block, starts): the places, in a block's words, of windows that occur elsewhere, a row a key partition."""
+    """(block, part, size, at, bits): a block's suspect windows and, in other rows, which of them are repeats."""
     n_parts = 2 * parts(blocks.spark)
 
     def low(name):
@@ -103,7 +110,7 @@ def repeated(blocks: Blocks, text: str, window: int, rounds: int) -> DataFrame:
         n, _ = column(t, "n", np.uint8)
         _, of = np.unique(keys, return_inverse=True)
         twice = (np.bincount(of, n) >= 2)[of]
-        return pa.table({"block": t.column("block"), "part": t.column("part"), "bits": pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        return pa.table({"block": t.column("block"), "part": t.column("part"), "bits": _bits(twice, cut)})
 
     flags = blocks.emit(names, "part int, block long, keys binary, n binary").groupBy("part").applyInArrow(shared, "block long, part int, bits binary")
 
@@ -126,7 +133,7 @@ def repeated(blocks: Blocks, text: str, window: int, rounds: int) -> DataFrame:
         at = np.arange(count.sum()) + np.repeat(w.doc[:-1] - np.cumsum(count) + count, count)
         at = at[~ruled_out[at]]
         if not len(at):
-            return pa.table({c: pa.array([], k) for c, k in (("part", pa.int32()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("size", pa.binary()), ("at", pa.binary()))})
+            return pa.table({c: pa.array([], k) for c, k in _SUSPECTS.items()})
         h2 = w.hashes(BASES[3])
         a, b = mix(spans(h, at, at + window, BASES[1])), (mix(spans(h2, at, at + window, BASES[2])) >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((b, a))
@@ -137,28 +144,41 @@ def repeated(blocks: Blocks, text: str, window: int, rounds: int) -> DataFrame:
         rows = []
         for p, o in by_part((a[begin] % np.uint64(n_parts)).astype(np.int64), n_parts):
             places = np.repeat(begin[o] - np.cumsum(size[o]) + size[o], size[o]) + np.arange(size[o].sum())
-            rows.append((p, block, a[begin[o]].tobytes(), b[begin[o]].tobytes(), size[o].astype(np.uint32).tobytes(), at[places].astype(np.uint32).tobytes()))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "a", "b", "size", "at"])
+            rows.append((p, block, a[begin[o]].tobytes(), b[begin[o]].tobytes(), np.minimum(size[o], 2).astype(np.uint8).tobytes(), size[o].astype(np.uint32).tobytes(), at[places].astype(np.uint32).tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SUSPECTS.values(), strict=True)], names=list(_SUSPECTS))
 
     def verified(t: pa.Table) -> pa.Table:
         a, cut = column(t, "a", np.uint64)
         b, _ = column(t, "b", np.uint32)
-        size, _ = column(t, "size", np.uint32)
-        at, _ = column(t, "at", np.uint32)
+        n, _ = column(t, "n", np.uint8)
         order = np.lexsort((b, a))
         first = np.ones(len(a), bool)
         first[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         of = np.zeros(len(a), np.int64)
         of[order] = np.cumsum(first) - 1
-        twice = (np.bincount(of, size) >= 2)[of]
-        ends = np.concatenate(([0], np.cumsum(size.astype(np.int64))))
-        keep = np.repeat(twice, size)
-        out = [at[ends[x] : ends[y]][keep[ends[x] : ends[y]]] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"block": t.column("block"), "starts": pa.array([np.sort(x).tobytes() for x in out], pa.binary())})
+        return pa.table({"block": t.column("block"), "part": t.column("part"), "bits": _bits((np.bincount(of, n) >= 2)[of], cut)})
+
+    schema = "part int, block long, a binary, b binary, n binary, size binary, at binary"
+    found = materialise(blocks.answer(flags, suspects, schema), "suspects")
+    bits = found.select("part", "block", "a", "b", "n").groupBy("part").applyInArrow(verified, "block long, part int, bits binary")
+    none = F.lit(None).cast("binary")
+    return found.select("block", "part", "size", "at", none.alias("bits")).unionByName(bits.select("block", "part", none.alias("size"), none.alias("at"), "bits"))
+
+
+def _bits(flags: np.ndarray, cut: np.ndarray) -> pa.Array:
+    return pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+
 
-    found = blocks.answer(flags, suspects, "part int, block long, a binary, b binary, size binary, at binary")
-    return found.groupBy("part").applyInArrow(verified, "block long, starts binary")
+def _starts(answers: pa.Table) -> np.ndarray:
+    """The places of repeats among a block's rows of ``repeated``."""
+    bits = {r["part"]: r["bits"] for r in answers.select(["part", "bits"]).to_pylist() if r["bits"] is not None}
+    out = [np.zeros(0, np.int64)]
+    for part, size, at in zip(*(answers.column(c).to_pylist() for c in ("part", "size", "at")), strict=True):
+        if size is not None:
+            size = np.frombuffer(size, np.uint32).astype(np.int64)
+            twice = np.unpackbits(np.frombuffer(bits[part], np.uint8))[: len(size)].astype(bool)
+            out.append(np.frombuffer(at, np.uint32)[np.repeat(twice, size)].astype(np.int64))
+    return np.concatenate(out)
 
 
 def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -172,7 +192,7 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW, round
     def remove(block, t, answers):
         w = Words(t.column(text), False)
         n = len(w.begin)
-        starts = np.concatenate([np.frombuffer(x, np.uint32) for x in answers.column("starts").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        starts = _starts(answers)
         step = np.zeros(n + 1, np.int64)
         np.add.at(step, starts, 1)
         np.add.at(step, np.minimum(starts + window, n), -1)
@@ -193,8 +213,7 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW, round
         t = t.set_column(at, t.schema.field(at), pa.array(texts, t.schema.field(at).type))
         return pa.table([*t.columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(joined, pa.string())], names=names)
 
-    found = materialise(repeated(blocks, text, window, rounds), "repeats")
-    return blocks.answer(found, remove, schema)
+    return blocks.answer(repeated(blocks, text, window, rounds), remove, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
