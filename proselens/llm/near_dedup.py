@@ -1,16 +1,19 @@
 """Near-duplicate detection: MinHash signatures, a multi-index Hamming join, links confirmed on full shingle sets.
 
 A document's set holds its distinct WIDTH-word shingles (64-bit hashes). Of a set, CHUNKS x ROWS MinHash values are
-kept to BITS bits each. The signature is split into CHUNKS chunks; each chunk is indexed once for every position left
+kept to 16 bits each. The signature is split into CHUNKS chunks; each chunk is indexed once for every position left
 out, which enumerates all values within one wrong position. By the pigeonhole principle all pairs of signatures that
 differ in at most 2 * CHUNKS - 1 positions meet under some key. A pair of similarity 0.75 differs in a quarter of the
-positions on average, and misses all keys with a probability under 1e-5.
+positions on average, and misses all keys with a probability under 1e-5. A key stands for ROWS - 1 values, 80 bits of
+which a 64-bit hash is taken, so that unlike documents don't meet by chance even among 10**11.
 
 Documents with equal sets are one node from the start. Nodes under one key are chained to the key's smallest node,
 first inside a batch and then across batches, so a key of any size costs a row a node. The resulting groups are cut
-into blocks of bounded size; every two blocks of a group meet in a task that intersects full sets and keeps exactly the
-pairs with 100 * intersection >= 75 * union, of which a spanning forest leaves the task. Components of those links are
-the result.
+into blocks of bounded size; in a task, two blocks meet, full sets are intersected and exactly the pairs with
+100 * intersection >= 75 * union are kept, of which a spanning forest leaves the task. Of a group of several blocks, the
+first block meets each of the others; then only what is outside of the group's largest component so far meets the rest,
+block by block, so that a group of g near copies of one text costs g sets, not their pairs. Components of those links
+are the result.
 
 Defined results: null texts and texts without words have no set and are linked with nothing. Rows with a null doc_id
 take no part: their component is null and they are kept. Repeated rows get the same result each. Rows of one doc_id
@@ -22,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, lean, materialise, parts, release, ship
@@ -59,23 +62,25 @@ def shingle_sets(w: Words, width: int = WIDTH):
 
 
 def signature(s: np.ndarray) -> bytes:
-    """One byte of each MinHash value."""
+    """16 bits of each MinHash value."""
     least = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(s), 1024):
         np.minimum(least, (s[k : k + 1024, None] * _A + _C).min(0), out=least)
-    return (mix(least) & np.uint64(255)).astype(np.uint8).tobytes()
+    return (mix(least) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """All keys of signatures (rows of bytes): chunk number and left-out position above the chunk's other bytes."""
+    """All keys of signatures (rows of u16): hashes of chunk number, left-out position and the chunk's other values."""
     x = signatures.reshape(-1, CHUNKS, ROWS).astype(np.uint64)
     out = np.zeros((len(x), CHUNKS, ROWS), np.uint64)
     for e in range(ROWS):
-        key = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(ROWS) + np.uint64(e))[None, :].repeat(len(x), 0)
-        for k in range(ROWS):
-            if k != e:
-                key = (key << np.uint64(8)) | x[:, :, k]
-        out[:, :, e] = key
+        low, high = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(ROWS) + np.uint64(e + 1))[None, :].repeat(len(x), 0), np.zeros((len(x), CHUNKS), np.uint64)
+        for i, k in enumerate(k for k in range(ROWS) if k != e):
+            if i < 3:
+                low = (low << np.uint64(16)) | x[:, :, k]
+            else:
+                high = (high << np.uint64(16)) | x[:, :, k]
+        out[:, :, e] = mix(low ^ mix(high))
     return out.reshape(len(x), -1)
 
 
@@ -114,7 +119,7 @@ def candidates(nodes: DataFrame, n_parts: int) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 8192):
                 x = b.slice(k, 8192)
-                keys = chunk_keys(np.frombuffer(b"".join(x.column(1).to_pylist()), np.uint8).reshape(x.num_rows, -1))
+                keys = chunk_keys(np.frombuffer(b"".join(x.column(1).to_pylist()), "<u2").reshape(x.num_rows, -1))
                 key, node, edges = _stars(keys.ravel(), np.repeat(x.column(0).to_numpy(), keys.shape[1]))
                 part = (mix(key) % np.uint64(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -177,22 +182,22 @@ def forest(pairs: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
     return [(x, r) for x in list(up) if (r := root(x)) != x]
 
 
-def confirmed(docs: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
-    """Edges (a, b) of a forest over the exact links within groups (node, component); docs are (doc_id, text)."""
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component")
-    total = sized.count()
-    bins, b = max(1, -(-total // BLOCK)), F.lit(BLOCK)
-    n = F.ceil(F.col("size") / b)
-    placed = sized.select(F.col("node").alias("doc_id"), F.when(n > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))).alias("g"), n.alias("n"), F.pmod(F.xxhash64("node"), n).cast("int").alias("mine"))
+def _task(lo: Column, hi: Column) -> Column:
+    return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+
+def compared(docs: DataFrame, placed: DataFrame, share: int = SHARE) -> DataFrame:
+    """Edges (a, b) of a forest over the exact links between the members of each task; docs are (doc_id, text), placed
+    (doc_id, g, tasks), a document going to each of its tasks of g."""
 
     def build(batches):
         names = ["g", "lo", "hi", "node", "shingles"]
         for b in batches:
             for x in slices(b, 1, CHUNK // 2):
                 rows = []
-                for d, s, g, n, mine in zip(x.column(0).to_pylist(), shingle_sets(Words(x.column(1), True)), *(x.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                for d, s, g, tasks in zip(x.column(0).to_pylist(), shingle_sets(Words(x.column(1), True)), *(x.column(k).to_pylist() for k in (2, 3)), strict=True):
                     s = s.tobytes()
-                    rows += [(g, min(mine, k), max(mine, k), d, s) for k in range(n) if k != mine] if n > 1 else [(g, -1, -1, d, s)]
+                    rows += [(g, t["lo"], t["hi"], d, s) for t in tasks]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
 
     def meet(t: pa.Table) -> pa.Table:
@@ -203,23 +208,53 @@ def confirmed(docs: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFra
         return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([x for _, x in edges], pa.int64())})
 
     # The groups grow with the corpus: both sides are shuffled at any size.
-    rows = docs.join(placed.hint("merge"), "doc_id").select("doc_id", "text", "g", "n", "mine").mapInArrow(lean(build), "g long, lo int, hi int, node long, shingles binary")
+    rows = docs.join(placed.where(F.size("tasks") > 0).hint("merge"), "doc_id").select("doc_id", "text", "g", "tasks").mapInArrow(lean(build), "g long, lo int, hi int, node long, shingles binary")
     return rows.groupBy("g", "lo", "hi").applyInArrow(meet, "a long, b long")
 
 
+def confirmed(docs: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
+    """(node, component) by exact links within groups (node, component); docs are (doc_id, text)."""
+    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component")
+    about = sized.agg(F.count("*").alias("n"), F.max("size").alias("most")).first()
+    # Small groups share tasks; of larger ones, block 0 meets each other block.
+    bins, n = max(1, -(-about["n"] // BLOCK)), F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), n).cast("int")
+    one, zero = F.lit(-1), F.lit(0)
+    tasks = F.when(n == 1, F.array(_task(one, one))).when(mine == 0, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: _task(zero, k))).otherwise(F.array(_task(zero, mine)))
+    placed = sized.select(F.col("node").alias("doc_id"), F.when(n > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))).alias("g"), tasks.alias("tasks"))
+    first = compared(docs, placed, share)
+    if (about["most"] or 0) <= BLOCK:
+        return components(first)
+    linked = materialise(components(first), "linked")
+    # What isn't in a group's largest component yet meets all that it hasn't met.
+    large = sized.where(F.col("size") > BLOCK).select("node", F.col("component").alias("g"))
+    now = large.join(linked, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
+    counts = now.groupBy("g", "c").agg(F.count("*").alias("n"))
+    best = counts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("size")).select("g", F.col("m.c").alias("main"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("of_main"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).cast("int").alias("of_rest"))
+    at = now.join(best.where("of_rest > 0"), "g")
+    rest, of_rest, of_main = F.col("c") != F.col("main"), F.col("of_rest"), F.col("of_main")
+    block = F.when(rest, F.pmod(F.xxhash64("node"), of_rest)).otherwise(of_rest + F.pmod(F.xxhash64("node"), of_main)).cast("int")
+    every = F.when(rest, F.sequence(zero, of_rest + of_main - 1)).otherwise(F.sequence(zero, of_rest - 1))
+    tasks = F.transform(F.filter(every, lambda k: k != block), lambda k: _task(F.least(k, block), F.greatest(k, block)))
+    second = compared(docs, at.select(F.col("node").alias("doc_id"), "g", tasks.alias("tasks")), share)
+    return components(second.unionByName(linked.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a document."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialise(_signed(docs), "signed")
-    reps = signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    # A table of its own: the join below then deals out both sides by set_hash itself, and the side with all copies of a
+    # text can be split.
+    reps = materialise(signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "sets")
     edges = candidates(reps.select("node", "signature"), 2 * parts(spark))
     groups = materialise(components(edges), "groups")
-    linked = materialise(components(confirmed(docs, groups, share)), "linked")
+    linked = materialise(confirmed(docs, groups, share), "linked")
     drop(groups)
     node = reps.select("set_hash", "node").join(linked, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(node, "set_hash", "left")
+    out = signed.select("doc_id", "n_shingles", "set_hash").join(node.hint("merge"), "set_hash", "left")
     # Rows of one id, if it has several, share the smallest of their components.
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -426,3 +426,52 @@ def test_polynomial_windows():
     assert len(at) == 12 and len(set(keys.tolist())) == 5
     assert spans(h, np.array([0]), np.array([5]), BASES[1])[0] == spans(h, np.array([5]), np.array([10]), BASES[1])[0]
     assert re.fullmatch(r"\d+", str(keys[0]))
+
+
+def test_long_words_have_hashes_of_their_own():
+    """Polynomials modulo 2**64 are equal for the two Thue-Morse words of 2,048 letters, whatever the base."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    w = Words(pa.array([f"{a} {b}"]), False)
+    for base in BASES:
+        assert len(set(w.hashes(base).tolist())) == 2
+    with pytest.raises(AssertionError):
+        windows(np.arange(200, dtype=np.uint64), np.array([0, 200]), 100, BASES[0])
+
+
+def test_common_passage_travels_once_a_block(spark, monkeypatch):
+    """A passage in every document: what goes to the partition that counts a window is a row a block, without places."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 2000)
+    p = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(k, " ".join(f"own{k}_{i} {p} end{k}_{i}" for i in range(3))) for k in range(80)], DOCS)
+    got = substring_dedup.deduplicate(docs).collect()
+    assert all((r["n_words"], r["n_removed"], r["kept_text"]) == (126, 120, " ".join(f"own{r['doc_id']}_{i} end{r['doc_id']}_{i}" for i in range(3))) for r in got)
+
+
+def test_giant_group_sends_each_set_twice(spark, monkeypatch):
+    """Near copies of one text in a group of many blocks: sets sent grow with the group, not with its square; links
+    outside of the largest component are found as well."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    sent, real = [], near_dedup.compared
+    monkeypatch.setattr(near_dedup, "compared", lambda d, placed, share: (sent.append(placed.select(F.sum(F.size("tasks"))).first()[0]), real(d, placed, share))[1])
+    r = random.Random(6)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(k, " ".join(base[:i] + [f"x{k}"] + base[i + 1 :])) for k, i in enumerate(r.randrange(200) for _ in range(200))]
+    # A second family within the group by force: 20 texts that are linked with each other alone.
+    rows += [(k, " ".join(f"c{j}" for j in range(100)) + f" y{k}") for k in range(500, 520)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {x["node"]: x["component"] for x in near_dedup.confirmed(docs, spark.createDataFrame([(k, 0) for k, _ in rows], "node long, component long")).collect()}
+    assert got == {**dict.fromkeys(range(200), 0), **dict.fromkeys(range(500, 520), 500)}
+    assert len(sent) == 2 and sum(sent) <= 4 * len(rows) + 20 * 15
+
+
+def test_recall_of_keys():
+    """Pairs at a similarity of 0.75 and a little more share a key."""
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        s = r.integers(0, 1 << 63, 140, np.uint64)
+        a, b = np.unique(s[:120]), np.unique(s[20:])  # 100 of 140 would be 0.714; 5 more are shared
+        b = np.unique(np.concatenate((b, s[:5])))
+        assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.75
+        keys = near_dedup.chunk_keys(np.stack([np.frombuffer(near_dedup.signature(x), "<u2") for x in (a, b)]))
+        assert np.intersect1d(keys[0], keys[1]).size
