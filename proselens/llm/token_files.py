@@ -32,9 +32,9 @@ from .words import slices
 
 MAGIC = b"DAC2"
 #: Pieces with their ids that a worker keeps from batch to batch before it starts anew with those in use.
-CACHE = 400_000
+CACHE = 600_000
 #: Texts that are encoded together have about so many bytes.
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 8_000_000
 #: Sampled ids a range of ids.
 SAMPLED = 50
 #: A file is closed once it holds so many tokens.
@@ -123,7 +123,13 @@ class TokenFile:
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISERS = ["NFC", "Replace", "Lowercase"]
 #: Words of these characters alone are the same after NFC and are put in lower case alike by Arrow and the library.
-_KNOWN = r"^[!-~\x{C0}-\x{12F}\x{131}-\x{24F}]*$"
+_KNOWN = r"^[!-~\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]*$"
+
+
+#: Classes of the bytes of known words: letters (1), digits (2), others (0).
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+_CLASS[48:58] = 2
 
 
 def _lists(split: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -132,22 +138,46 @@ def _lists(split: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return at - at[0], split.values.slice(at[0], at[-1] - at[0])
 
 
-def _numbered(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(number of each word, the distinct ones)."""
-    d = words.dictionary_encode()
-    return np.asarray(d.indices, np.int64), d.dictionary
-
-
-def _gather(ids: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids[offsets[k]:offsets[k + 1]] for each k of at, one after another, and their sizes."""
-    size = (offsets[1:] - offsets[:-1])[at]
-    return ids[np.repeat(offsets[at] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
-
-
 def _offsets(sizes) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
+def _strings(offsets: np.ndarray, data, kind=None) -> pa.Array:
+    return pa.Array.from_buffers(kind or pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
+
+
+def _bytes_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a large string or binary array; the offsets begin at 0."""
+    if not len(a):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    at = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    data = np.frombuffer(a.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return at - at[0], data
+
+
+def split_words(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets of the words in their pieces, pieces): what the tokenizer's pattern makes of lower-case words of known
+    characters. Where there is no apostrophe, that is runs of letters, single digits and runs of others."""
+    quoted = np.asarray(pc.match_substring(words, "'"), bool)
+    at, data = _bytes_of(words.filter(pa.array(~quoted)))
+    kind = _CLASS[data]
+    first = np.ones(len(data), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    first[at[:-1]] = True
+    starts = np.flatnonzero(first)
+    one = _strings(np.append(starts, len(data)), data)
+    cut, two = _lists(pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(words.filter(pa.array(quoted)), f"({_SPLIT})", r"\1 "))))
+    counts = np.zeros(len(words), np.int64)
+    counts[~quoted], counts[quoted] = np.diff(np.searchsorted(starts, at)), np.diff(cut)
+    offsets = _offsets(counts)
+    if not quoted.any():
+        return offsets, one
+    # Both kinds' pieces in the order of the words.
+    from_two = np.repeat(quoted, counts)
+    place = np.where(from_two, np.cumsum(from_two) - 1 + len(one), np.cumsum(~from_two) - 1)
+    return offsets, pa.concat_arrays([one, two.cast(pa.large_string())]).take(pa.array(place))
+
+
 class Encoder:
     """Encodes many texts at a time. Where the tokenizer drops white space and no merge crosses it, the distinct
     white-space delimited words of the texts are found first: words of common letters are lower-cased and split into the
@@ -174,69 +204,71 @@ class Encoder:
         self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
         if suffix:
             self.ends[[i for w, i in self.t.get_vocab().items() if w.endswith(suffix)]] = True
+        self.kind = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
         # Pieces by number, with their ids.
         self.known: dict[str, int] = {}
-        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.blobs = self._blobs(np.zeros(0, np.uint32), [])
+
+    def _blobs(self, ids: np.ndarray, sizes) -> pa.Array:
+        return _strings(_offsets(sizes) * self.kind.itemsize, ids.astype(self.kind), pa.large_binary())
 
-    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, texts: pa.Array) -> pa.Array:
         ids, sizes = [np.zeros(0, np.uint32)], []
         for k in range(0, len(texts), 4096):
             got = [e.ids for e in self.t.encode_batch_fast(texts.slice(k, 4096).to_pylist(), add_special_tokens=False)]
             ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
             sizes += map(len, got)
-        return np.concatenate(ids), _offsets(sizes)
+        return self._blobs(np.concatenate(ids), sizes)
 
-    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of distinct pieces. Those that no text before had go to the library's model, many at a time with
-        blanks in between."""
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces. Those that no text before had go to the library's model, many at a time with blanks
+        in between."""
         keys = pieces.to_pylist()
         if len(self.known) > CACHE:
             # Pieces that still occur come along.
-            old, ids, offsets = self.known, self.ids, self.offsets
+            old = self.known
             kept = [k for k in keys if k in old]
-            self.ids, size = _gather(ids, offsets, np.array([old[k] for k in kept], np.int64))
-            self.known, self.offsets = dict(zip(kept, range(len(kept)), strict=True)), _offsets(size)
+            self.blobs = self.blobs.take(pa.array([old[k] for k in kept], pa.int64()))
+            self.known = dict(zip(kept, range(len(kept)), strict=True))
         fresh = [k for k in keys if k not in self.known]
-        ids, sizes = [self.ids], [self.offsets[1:] - self.offsets[:-1]]
-        for k in range(0, len(fresh), 8192):
-            some = fresh[k : k + 8192]
+        new = []
+        for k in range(0, len(fresh), 4096):
+            some = fresh[k : k + 4096]
             line = " ".join(some)
             got = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[got])
             if len(last) != len(some):
                 e = self.plain.encode(line, add_special_tokens=False)
                 got, last = np.array(e.ids, np.uint32), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(some) + 1)) - 1
-            ids.append(got)
-            sizes.append(np.diff(last, prepend=-1))
+            new.append(self._blobs(got, np.diff(last, prepend=-1)))
         if fresh:
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.ids, self.offsets = np.concatenate(ids), _offsets(np.concatenate(sizes))
-        out, size = _gather(self.ids, self.offsets, np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys)))
-        return out, _offsets(size)
+            self.blobs = pa.concat_arrays([self.blobs, *new])
+        return self.blobs.take(pa.array(np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, the texts' offsets in them); null texts have none."""
         texts = texts.cast(pa.large_string()).fill_null("")
         if not self.by_word:
-            return self._whole(texts)
+            at, data = _bytes_of(self._whole(texts))
+            return data.view(self.kind), at // self.kind.itemsize
         at, words = _lists(pc.ascii_split_whitespace(texts))
-        of, words = _numbered(words)
+        words = words.dictionary_encode()
+        of, words = words.indices, words.dictionary
         # A word with one of the special strings, or with other letters than the known ones, is hard.
-        hard = np.asarray(pc.invert(pc.match_substring_regex(words, _KNOWN)).fill_null(False), bool)
+        hard = np.asarray(pc.invert(pc.match_substring_regex(words, _KNOWN)), bool)
         for x in self.special:
             hard |= np.asarray(pc.match_substring(words, x), bool)
         # White space at a text's ends leaves an empty word, which is hard and has no ids.
         hard |= np.asarray(pc.binary_length(words), np.int64) == 0
-        easy = pc.utf8_lower(words.filter(pa.array(~hard)))
-        split_at, pieces = _lists(pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(easy, f"({_SPLIT})", r"\1 "))))
-        piece_of, distinct = _numbered(pieces)
-        ids, sizes = _gather(*self._pieces(distinct), piece_of)
-        ids2, offsets2 = self._whole(words.filter(pa.array(hard)))
+        cut, pieces = split_words(pc.utf8_lower(words.filter(pa.array(~hard))))
+        pieces = pieces.dictionary_encode()
+        ends, data = _bytes_of(self._pieces(pieces.dictionary).take(pieces.indices))
+        easy, whole = _strings(ends[cut], data, pa.large_binary()), self._whole(words.filter(pa.array(hard)))
         # All words' ids, the easy ones' first.
         place = np.where(hard, np.cumsum(hard) - 1 + len(easy), np.cumsum(~hard) - 1)
-        offsets = np.concatenate((_offsets(sizes)[split_at], len(ids) + offsets2[1:]))
-        out, sizes = _gather(np.concatenate((ids, ids2)), offsets, place[of])
-        return out, _offsets(sizes)[at]
+        ends, data = _bytes_of(pa.concat_arrays([easy, whole]).take(pa.array(place)).take(of))
+        return data.view(self.kind), ends[at] // self.kind.itemsize
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -251,10 +283,6 @@ def _encoder_of(tokenizer_json: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _narrow(ids: np.ndarray) -> np.ndarray:
-    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4")
-
-
 def _wide(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype("<u4")
 
@@ -269,8 +297,8 @@ def bounds(docs: DataFrame, doc_id: str, n: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text", cuts: np.ndarray | None = None) -> DataFrame:
-    """(part, doc_id, n, ids): ids of each whole text, little-endian, of 2 bytes where all fit and else of 4, with end_id
-    after them; a null text has none. part is the range of cuts that the id is in; null ids come first. Rows of an id
+    """(part, doc_id, n, ids): ids of each whole text, little-endian, of 2 bytes where the vocabulary fits and else of 4, with
+    end_id after them; a null text has none. part is the range of cuts that the id is in; null ids come first. Rows of an id
     that fills several ranges are dealt out over them in turn."""
     ship(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -291,9 +319,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, doc_id: str
             for s in slices(b, 1, TEXT_BYTES):
                 ids, offsets = encoder.encode(s.column(1))
                 if len(tail):
-                    ids = np.insert(ids, offsets[1:], tail[0])
+                    ids = np.insert(ids if tail[0] <= np.iinfo(ids.dtype).max else ids.astype("<u4"), offsets[1:], tail[0])
                     offsets = offsets + np.arange(len(offsets))
-                ids = _narrow(ids)
                 blob = pa.Array.from_buffers(pa.large_binary(), s.num_rows, [None, pa.py_buffer(offsets * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(parts_of(s.column(0), row), pa.int32()), s.column(0), pa.array(np.diff(offsets), pa.int64()), blob], names=["part", "doc_id", "n", "ids"])
                 row += s.num_rows
