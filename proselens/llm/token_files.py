@@ -32,9 +32,9 @@ from .words import slices
 
 MAGIC = b"DAC2"
 #: Pieces with their ids that a worker keeps from batch to batch before it starts anew with those in use.
-CACHE = 600_000
+CACHE = 250_000
 #: Texts that are encoded together have about so many bytes.
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 4_000_000
 #: Sampled ids a range of ids.
 SAMPLED = 50
 #: A file is closed once it holds so many tokens.
