@@ -58,8 +58,8 @@ def part_of_speech(w: Column) -> Column:
 def page_text(c: Column) -> Column:
     """A page as extracted: no carriage returns, words joined over line ends, few blank lines, plain blanks."""
     c = F.regexp_replace(c, "\r", "")
-    c = F.regexp_replace(c, r"(?<=\w)-\n\s*(?=\w)", "")
-    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"[\t\u00A0]", " ")
+    c = F.regexp_replace(c, r"(?U)(?<=\w)-\s*\n(?=\w)", "")
+    return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"[\t\u00A0]+", " ")
 
 
 def strip_math(c: Column) -> Column:
@@ -103,12 +103,22 @@ def _near(x: Column, headings) -> Column:
     return F.exists(F.array(*(F.lit(h) for h in headings)), like)
 
 
+#: At most four words that a normal form keeps, however many stop words, numbers and Roman numerals there are: no known
+#: heading, and nothing one character away from one, has more. Long texts fail at their fifth such word.
+_FEW_WORDS = r"(?i)^[^a-z0-9]*+(?:(?:%(drop)s)(?:[^a-z0-9]++|$))*+(?:[a-z0-9]++(?:[^a-z0-9]++|$)(?:(?:%(drop)s)(?:[^a-z0-9]++|$))*+){0,4}+$" % {"drop": "|".join((*C.HEADING_STOP_WORDS, "[0-9]++", "[ivxlcdm]++"))}
+_FORMS = tuple(dict.fromkeys(normal_form(h) for h in C.KNOWN_HEADINGS))
+_LONG = tuple(h for h in C.KNOWN_HEADINGS if len(h) >= 16)
+_LONG_FORMS = tuple(dict.fromkeys((*_LONG, *(f for f in _FORMS if len(f) >= 16))))
+
+
 def known_heading(c: Column) -> Column:
-    forms = [normal_form(h) for h in C.KNOWN_HEADINGS]
-    long = [h for h in C.KNOWN_HEADINGS if len(h) >= 16]
-    raw = let(F.lower(strip(c)), lambda x: (x != "") & (x.isin(list(C.KNOWN_HEADINGS)) | _near(x, long)))
-    normal = let(normal_heading(c), lambda x: x.isin(forms) | _near(x, dict.fromkeys([*long, *(f for f in forms if len(f) >= 16)])))
-    return F.coalesce((strip(c) != "") & (raw | normal), F.lit(False))
+    raw = lambda x: F.when(F.length(x) <= 32, x.isin(list(C.KNOWN_HEADINGS)) | ((F.length(x) >= 16) & _near(x, _LONG))).otherwise(False)
+    form = lambda x: x.isin(list(_FORMS)) | (F.length(x).between(16, 32) & _near(x, _LONG_FORMS))
+
+    def judge(x: Column) -> Column:
+        return (x != "") & (let(F.lower(x), raw) | F.when(x.rlike(_FEW_WORDS), let(normal_heading(x), form)).otherwise(False))
+
+    return F.coalesce(let(strip(c), judge), F.lit(False))
 
 
 def short_heading(c: Column) -> Column:
@@ -117,25 +127,27 @@ def short_heading(c: Column) -> Column:
 
 
 def known_with_prefix(c: Column) -> Column:
-    """A known heading as it stands, before a colon, or after a leading number."""
-    x = strip(c)
-    head = F.split(x, ":")[0]
-    rest = F.regexp_replace(x, r"^(?:[0-9]+(?:\.[0-9]+)*|[IVXLCMivxlcm]+)[.)]?\s+", "")
-    return known_heading(x) | (x.contains(":") & known_heading(head)) | ((rest != x) & known_heading(rest))
+    """A known heading as it stands, before a colon, or after a leading whole number or Roman numeral."""
+    forms = F.array_compact(F.array(strip(c), F.when(c.contains(":"), F.split(strip(c), ":")[0]), F.when(strip(c).rlike(_NUMBERED), F.regexp_replace(strip(c), _NUMBERED, ""))))
+    return F.coalesce(F.exists(forms, known_heading), F.lit(False))
+
+
+_NUMBERED = r"^(?:[0-9]+\.*|[IVXLCMivxlcm]+\.?)\s+"
 
 
 def looks_like_heading(line: Column) -> Column:
-    """Short, and known, mostly in capitals, numbered, or ending with a colon."""
+    """Short, and known, mostly in capitals, begun by a number or a Roman numeral with a full stop, or ended by a colon;
+    or short and known before a colon."""
 
     def judge(x: Column) -> Column:
-        letters, capitals = count(x, "[A-Za-z]"), count(x, "[A-Z]")
+        letters, capitals = count(x, r"\p{L}"), count(x, r"\p{Lu}")
         many = (letters > 0) & (capitals >= letters * 0.6)
-        numbered = F.split(x, r"\s+")[0].rlike(r"^(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXLCM]+\.?)$")
+        numbered = x.rlike(r"^(?:\d|[IVXLCM]+\.)")
         colon = x.endswith(":") & (F.size(F.split(x, r"\s+")) <= 12)
         before = F.split(x, ":")[0]
-        return (short_heading(x) & (many | numbered | colon | known_with_prefix(x))) | (x.contains(":") & short_heading(before) & known_with_prefix(before))
+        return F.when(short_heading(x), many | numbered | colon | known_heading(x)).otherwise(False) | F.when(x.contains(":") & short_heading(before), known_heading(before)).otherwise(False)
 
-    return let(strip(line), judge)
+    return F.coalesce(let(strip(line), lambda x: F.when(x == "", False).otherwise(judge(x))), F.lit(False))
 
 
 def style_heading(text: Column, size: Column, flags: Column, base: Column) -> Column:
@@ -177,16 +189,42 @@ def layout_heading_guess(text: Column, size: Column, bold: Column, median: Colum
 
 def keywords(text: Column) -> Column:
     """Keywords of a keyword section's text."""
-    rest = F.regexp_replace(text, r"(?i)^\s*(keywords|index terms)\s*[:\-–—]?\s*", "")
-    return F.filter(F.transform(F.split(rest, "[;,]"), lambda k: F.regexp_replace(k, r"^[ .;:\n]+|[ .;:\n]+$", "")), lambda k: k != "")
+    rest = squeeze(F.regexp_replace(text, r"(?i)^\s*keywords?\s*[:\-–—]?\s*", ""))
+    return F.filter(F.transform(F.split(rest, "[;,]"), lambda k: F.regexp_replace(k, r"^[ .;:]+|[ .;:]+$", "")), lambda k: k != "")
+
+
+# --- matching of texts in laid-out pages
+
+
+def run_of(words: Column, target: Column) -> Column:
+    """The place, from 0, where target's words first stand one after another among words, in lower case; null if nowhere."""
+    low = lambda a: F.transform(a, F.lower)
+    last = F.size(words) - F.size(target)
+    hits = lambda w, t: F.filter(F.sequence(F.lit(0), last), lambda i: F.slice(w, i + 1, F.size(t)) == t)
+    return F.when((F.size(target) > 0) & (last >= 0), let(low(words), lambda w: let(low(target), lambda t: F.get(hits(w, t), F.lit(0)))))
+
+
+def contains_text(block: Column, text: Column) -> Column:
+    """Whether a block holds a text, white space and case aside."""
+    t = F.lower(squeeze(text))
+    return F.coalesce((t != "") & F.lower(squeeze(block)).contains(t), F.lit(False))
+
+
+def snippets(text: Column, clean: Column) -> Column:
+    """What to look for on a page, in order: each form of a text whole, without the blanks beside its hyphens, and its
+    first eight to three words; what repeats, case aside, is left out."""
 
+    def of(base: Column) -> Column:
+        words = F.split(base, " ")
+        n = F.size(words)
+        least = F.when(n > 3, 3).otherwise(n)
+        heads = F.transform(F.reverse(F.sequence(least, F.least(n, F.lit(8)))), lambda k: F.array_join(F.slice(words, 1, k), " "))
+        return F.when(base == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(base, F.replace(base, F.lit("- "), F.lit("-")), F.replace(base, F.lit(" -"), F.lit("-"))), heads))
 
-def continues(before: Column, line: Column) -> Column:
-    """Whether a line goes on with the sentence before it."""
-    b = F.regexp_replace(before, r"\s+$", "")
-    return F.coalesce((b != "") & ~b.rlike(C.SENTENCE_END) & F.regexp_replace(line, r"^\s+", "").rlike(r"^[a-z0-9(\[,:;–-]"), F.lit(False))
+    both = F.concat(let(squeeze(F.coalesce(text, F.lit(""))), of), let(squeeze(F.coalesce(clean, F.lit(""))), of))
+    return let(both, lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, F.lower), F.lower(x)) == i + 1))
 
 
-def join_lines(a: Column, b: Column) -> Column:
-    """Two lines as one: a hyphen at the end of the first joins them."""
-    return F.concat(F.regexp_replace(a, "-+$", ""), F.when(a.endswith("-"), "").otherwise(" "), strip(b))
+def to_double(c: Column) -> Column:
+    """A number, or null where the text isn't one."""
+    return c.try_cast("double")

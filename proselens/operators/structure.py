@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +30,38 @@ def is_table(lines: Column) -> Column:
 
 def block_type(lines: Column) -> Column:
     """CAPTION, a known HEADING, LIST, TABLE, another HEADING or PARA: the first that fits."""
-    first, joined = lines[0], F.array_join(lines, " ")
-    known = F.exists(F.array(first, joined), lambda x: T.short_heading(x) & T.known_with_prefix(x))
-    return (
-        F.when(first.rlike(C.CAPTION), "CAPTION").when(known, "HEADING").when(F.exists(lines, is_list_line), "LIST")
-        .when(is_table(lines), "TABLE").when(T.looks_like_heading(joined), "HEADING").otherwise("PARA")
+    first = lines[0]
+    return T.let(
+        F.array_join(lines, " "),
+        lambda joined: F.when(first.rlike(C.CAPTION), "CAPTION").when(F.exists(F.array(first, joined), T.known_with_prefix), "HEADING").when(F.exists(lines, is_list_line), "LIST")
+        .when(is_table(lines), "TABLE").when(T.looks_like_heading(joined), "HEADING").otherwise("PARA"),
     )
 
 
+def reads_like_text(tail: Column) -> Column:
+    """Whether lines under a heading are text: they don't look like a heading, and are many words or characters or have
+    a sentence end."""
+    long = lambda x: ~T.looks_like_heading(x) & ((F.size(F.split(x, r"\s+")) > C.MAX_HEADING_WORDS) | (F.length(x) >= C.MIN_SENTENCE_CHARS) | x.rlike("[.?!]"))
+    return ~T.known_with_prefix(tail[0]) & T.let(F.array_join(tail, " "), long)
+
+
+def split_heading_tails(lines: Column) -> Column:
+    """Blocks (block_type, lines) that a chunk's lines make: as long as they are a heading of several lines whose tail
+    reads like text, the first line is a heading of its own, and the tail is looked at in its turn."""
+    state = lambda at, go, kind: F.struct(at.alias("at"), go.alias("go"), kind.alias("kind"))
+
+    def step(s: Column, _: Column) -> Column:
+        def judge(own: Column) -> Column:
+            cut = lambda k: (k == "HEADING") & F.when(F.size(own) > 1, reads_like_text(F.slice(own, F.lit(2), F.size(own)))).otherwise(False)
+            return T.let(block_type(own), lambda k: F.when(cut(k), state(s["at"] + 1, F.lit(True), k)).otherwise(state(s["at"], F.lit(False), k)))
+
+        return F.when(s["go"], T.let(F.slice(lines, s["at"] + 1, F.size(lines)), judge)).otherwise(s)
+
+    block = lambda kind, own: F.struct(kind.alias("block_type"), own.alias("lines"))
+    end = F.aggregate(lines, state(F.lit(0), F.lit(True), F.lit("")), step)
+    return T.let(end, lambda e: F.concat(F.transform(F.slice(lines, F.lit(1), e["at"]), lambda x: block(F.lit("HEADING"), F.array(x))), F.array(block(e["kind"], F.slice(lines, e["at"] + 1, F.size(lines))))))
+
+
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", page: Column | None = None) -> DataFrame:
     """(doc_id, page, chunk, lines): what blank lines separate; lines stripped, blank ones dropped."""
     cut = docs.select(doc_id, (F.lit(1) if page is None else page).alias("page"), F.posexplode(F.split(text, r"\n\s*\n")).alias("chunk", "raw_"))
@@ -43,33 +69,17 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", page: Co
     return cut.select(doc_id, "page", "chunk", lines.alias("lines")).where(F.size("lines") > 0)
 
 
-def split_heading_tails(typed: DataFrame, rounds: int = 3) -> DataFrame:
-    """A heading block of several lines gives its first line as a heading and its tail as a block of its own, if the tail
-    reads like text; again for the tail, up to ``rounds`` times."""
-    for k in range(rounds):
-        tail = F.slice("lines", F.lit(2), F.size("lines"))
-        joined = F.array_join(tail, " ")
-        text_like = ~T.looks_like_heading(joined) & ((F.size(F.split(joined, r"\s+")) > C.MAX_HEADING_WORDS) | (F.length(joined) >= C.MIN_SENTENCE_CHARS) | joined.rlike("[.?!]"))
-        cut = (F.col("block_type") == "HEADING") & (F.size("lines") > 1) & text_like
-        part = lambda n, kind, lines: F.struct(F.lit(n).alias("part"), kind.alias("kind"), lines.alias("own"))
-        two = F.array(part(0, F.lit("HEADING"), F.slice("lines", 1, 1)), part(1, F.lit(None).cast("string"), tail))
-        one = F.array(part(0, F.col("block_type"), F.col("lines")))
-        rest = [c for c in typed.columns if c not in ("lines", "block_type")]
-        open_ = typed.select(*rest, F.explode(F.when(cut, two).otherwise(one)).alias("e"))
-        typed = open_.select(*rest, F.col("e.part").alias(f"part{k}"), F.col("e.own").alias("lines"), F.coalesce("e.kind", block_type(F.col("e.own"))).alias("block_type"))
-    return typed
-
-
 def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, block_id, page, block_type, text, metadata): block ids are dense from 0 in document order. A table's text
     is a numbered placeholder, its lines go to the metadata."""
-    typed = split_heading_tails(chunks(docs, doc_id, text).withColumn("block_type", block_type(F.col("lines"))))
-    order = Window.partitionBy(doc_id).orderBy("page", "chunk", "part0", "part1", "part2")
+    cut = chunks(docs, doc_id, text).select(doc_id, "page", "chunk", F.posexplode(split_heading_tails(F.col("lines"))).alias("part", "b_")).select(doc_id, "page", "chunk", "part", "b_.*")
+    order = Window.partitionBy(doc_id).orderBy("page", "chunk", "part")
     table = F.col("block_type") == "TABLE"
     nth = F.sum(table.cast("int")).over(order)
-    shown = F.when(table, F.format_string("[[TABLE %d on page %d]]", nth, "page")).when(F.col("block_type") == "LIST", F.array_join("lines", "\n")).otherwise(F.array_join("lines", " "))
-    meta = F.when(table, F.create_map(F.lit("raw"), F.array_join("lines", "\n"))).otherwise(F.create_map().cast("map<string,string>"))
-    return typed.select(doc_id, (F.row_number().over(order) - 1).alias("block_id"), "page", "block_type", shown.alias("text"), meta.alias("metadata"))
+    name = F.format_string("[[TABLE %d on page %d]]", nth, "page")
+    shown = F.when(table, name).when(F.col("block_type") == "LIST", F.array_join("lines", "\n")).otherwise(F.array_join("lines", " "))
+    meta = F.when(table, F.create_map(F.lit("placeholder"), name, F.lit("raw"), F.array_join("lines", "\n"))).otherwise(F.create_map().cast("map<string,string>"))
+    return cut.select(doc_id, (F.row_number().over(order) - 1).alias("block_id"), "page", "block_type", shown.alias("text"), meta.alias("metadata"))
 
 
 def page_index(blocks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -93,7 +103,7 @@ def assign_sections(blocks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     x = x.withColumn("section_id", F.when(F.col("bare_"), 0).when(member, F.sum(F.col("new_").cast("int")).over(order) - 1))
     x = x.withColumn("sections_", F.max("section_id").over(whole) + 1)
     title = F.when(F.col("bare_"), "Document").when(member, F.coalesce("title_", F.lit("Front Matter")))
-    name = F.when(~member, F.lit(None)).when(~F.col("bare_") & (F.col("sections_") == 1), "FRONTMATTER").when(F.col("title_").isNull(), "FRONTMATTER").otherwise(T.canonical_section(title))
+    name = F.when(~member, F.lit(None)).when(F.col("bare_"), "SECTION").when(~F.col("bare_") & (F.col("sections_") == 1), "FRONTMATTER").when(F.col("title_").isNull(), "FRONTMATTER").otherwise(T.canonical_section(title))
     return x.withColumn("title", title).withColumn("section_name", name).drop("run_", "title_", "bare_", "new_", "sections_")
 
 
@@ -125,12 +135,12 @@ def _joined(a: Column, b: Column) -> Column:
     return F.when(a == "", b).otherwise(F.concat(a, F.lit(" "), b))
 
 
-def sentences(assigned: DataFrame, doc_id: str = "doc_id", splitter: str = "intended") -> DataFrame:
+def sentences(assigned: DataFrame, doc_id: str = "doc_id", splitter: str | Callable[[Column], Column] = "intended") -> DataFrame:
     """(doc_id, sentence_id, section_id, section_name, section_offset, block_id, block_type, page, text, clean_text):
-    ids are dense from 0 in document order. Tables give no sentences; those of other than paragraphs and captions have
+    splitter is the name of a splitter, or a function that makes an array of sentences of a text column. Ids are dense from 0 in document order. Tables give no sentences; those of other than paragraphs and captions have
     section_offset -1 and enter no window."""
     used = assigned.where(F.col("section_id").isNotNull() & (F.col("block_type") != "TABLE"))
-    each = used.select(doc_id, "section_id", "section_name", "block_id", "block_type", "page", F.posexplode(glue(T.sentences(F.col("text"), splitter))).alias("nth_", "text"))
+    each = used.select(doc_id, "section_id", "section_name", "block_id", "block_type", "page", F.posexplode(glue(splitter(F.col("text")) if callable(splitter) else T.sentences(F.col("text"), splitter))).alias("nth_", "text"))
     narrative = F.col("block_type").isin(list(C.NARRATIVE))
     order = Window.partitionBy(doc_id).orderBy("block_id", "nth_")
     local = Window.partitionBy(doc_id, "section_id").orderBy("block_id", "nth_")
@@ -161,3 +171,27 @@ def windows(sentences: DataFrame, doc_id: str = "doc_id", size: int = C.WINDOW_S
         doc_id, (F.row_number().over(order) - 1).alias("window_id"), "section_id", "section_name", "span_start", (F.col("span_start") + F.size("w_") - 1).alias("span_end"),
         F.col("w_.sentence_id").alias("sentence_indices"), F.array_join("w_.text", " ").alias("text_raw"), F.array_join("w_.clean_text", " ").alias("text_clean"),
     )
+
+
+def sentence_boxes(sentences: DataFrame, blocks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """sentences with bbox_x0, bbox_y0, bbox_x1, bbox_y1, placeholder and block_source of their blocks; what isn't a number
+    or isn't there is null."""
+    of = lambda k: F.element_at("metadata", F.lit(k))
+    named = {"bbox_x0": "x0", "bbox_y0": "top", "bbox_x1": "x1", "bbox_y1": "bottom"}
+    b = blocks.select(doc_id, "block_id", *(T.to_double(of(k)).alias(n) for n, k in named.items()), of("placeholder").alias("placeholder"), of("source").alias("block_source"))
+    return sentences.join(b, [doc_id, "block_id"], "left")
+
+
+def page_of_styled_lines(lines: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, page, text) of laid-out lines (doc_id, page, seq, text, size, flags): headings by style and the runs of
+    lines between them, joined by blank lines. The base size of a page is the median of its lines of two and more words,
+    10 without such."""
+    page = Window.partitionBy(doc_id, "page")
+    order = page.orderBy("seq")
+    sized = F.when((F.col("size") > 0) & (F.size(F.split(T.strip(F.col("text")), r"\s+")) >= 2), F.col("size"))
+    x = lines.withColumn("text", T.strip(F.col("text"))).where(F.col("text") != "").withColumn("base_", F.coalesce(F.median(sized).over(page), F.lit(10.0)))
+    x = x.withColumn("head_", T.style_heading(F.col("text"), F.col("size"), F.col("flags"), F.col("base_")))
+    before = F.lag("head_").over(order)
+    x = x.withColumn("run_", F.sum((F.col("head_") | F.coalesce(before, F.lit(True))).cast("int")).over(order))
+    runs = x.groupBy(doc_id, "page", "run_").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"]), " ").alias("text"))
+    return runs.groupBy(doc_id, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_", "text"))), lambda r: r["text"]), "\n\n").alias("text"))

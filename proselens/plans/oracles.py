@@ -89,10 +89,10 @@ d AS (SELECT doc_id, {sentences("text")} AS ss FROM documents),
 win AS (SELECT doc_id, k AS window_id, k * 2 AS span_start, least(k * 2 + 3, len(ss)) - 1 AS span_end, list_slice(ss, k * 2 + 1, k * 2 + 3) AS ws
   FROM (SELECT *, unnest(CASE WHEN len(ss) = 0 THEN [] ELSE range(0, CAST(ceil(greatest(len(ss) - 3, 0) / 2.0) AS BIGINT) + 1) END) AS k FROM d)),
 wt AS (SELECT *, array_to_string(ws, ' ') AS text_raw FROM win)"""
-_PROBS = f"""WITH {_WINDOWS}, {_style("wt", "doc_id, window_id, span_start, span_end", sentences("text_raw"))},
-e AS (SELECT *, burst_cv * 2.0 - 0.5 AS a, avg_word_len * 0.3 - 1.0 AS b, ttr - 0.5 AS c FROM style),
+_SCORE = """e AS (SELECT *, burst_cv * 2.0 - 0.5 AS a, avg_word_len * 0.3 - 1.0 AS b, ttr - 0.5 AS c FROM style),
 f AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb, exp(c - greatest(a, b, c)) AS ec FROM e),
 pr AS (SELECT *, ea / (ea + eb + ec) AS p_human, eb / (ea + eb + ec) AS p_ai, ec / (ea + eb + ec) AS p_paraphrased_ai FROM f)"""
+_PROBS = f"""WITH {_WINDOWS}, {_style("wt", "doc_id, window_id, span_start, span_end", sentences("text_raw"))}, {_SCORE}"""
 _P = ("p_human", "p_ai", "p_paraphrased_ai")
 _LABEL = "CASE WHEN p_human >= p_ai AND p_human >= p_paraphrased_ai THEN 'human' WHEN p_ai >= p_paraphrased_ai THEN 'ai' ELSE 'paraphrased_ai' END"
 _SMOOTH = _PROBS + ", sm AS (SELECT doc_id, window_id, span_start, span_end, " + ", ".join(f"{p} AS {p}_raw, avg({p}) OVER w AS {p}" for p in _P) + " FROM pr WINDOW w AS (PARTITION BY doc_id ORDER BY window_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"
@@ -134,11 +134,19 @@ def normal(x: str) -> str:
     return f"array_to_string(list_filter(string_split({flat}, ' '), lambda t: t <> '' AND NOT t IN {_list(C.HEADING_STOP_WORDS)} AND NOT regexp_full_match(t, '[0-9]+|[ivxlcdm]+')), ' ')"
 
 
+#: At most four words besides stop words and numerals.
+_FEW = "(?i)^[^a-z0-9]*(?:DROP(?:[^a-z0-9]+|$))*(?:[a-z0-9]+(?:[^a-z0-9]+|$)(?:DROP(?:[^a-z0-9]+|$))*){0,4}$".replace("DROP", f"(?:{'|'.join((*C.HEADING_STOP_WORDS, '[0-9]+', '[ivxlcdm]+'))})")
+
+
 def known(x: str) -> str:
-    raw, nrm, forms = f"lower({strip(x)})", normal(x), [normal_form(h) for h in C.KNOWN_HEADINGS]
+    forms = [normal_form(h) for h in C.KNOWN_HEADINGS]
     long = [h for h in C.KNOWN_HEADINGS if len(h) >= 16]
     like = lambda v, hs: f"len(list_filter({'[' + ', '.join(_q(h) for h in hs) + ']'}, lambda h: abs(length({v}) - length(h)) = 1 AND least(length({v}), length(h)) >= 17 AND levenshtein({v}, h) = 1)) > 0"
-    return f"({strip(x)} <> '' AND ({raw} IN {_list(C.KNOWN_HEADINGS)} OR {nrm} IN {_list(forms)} OR {like(raw, long)} OR {like(nrm, dict.fromkeys([*long, *(f for f in forms if len(f) >= 16)]))}))"
+    raw, nrm = f"lower({strip(x)})", normal(x)
+    near = f"CASE WHEN length({raw}) BETWEEN 16 AND 32 THEN {like(raw, long)} ELSE false END"
+    # The normal form is worked out once, as the only element of a list.
+    by_form = f"len(list_filter([{nrm}], lambda f: f IN {_list(dict.fromkeys(forms))} OR CASE WHEN length(f) BETWEEN 16 AND 32 THEN {like('f', dict.fromkeys([*long, *(f for f in forms if len(f) >= 16)]))} ELSE false END)) > 0"
+    return f"({strip(x)} <> '' AND ({raw} IN {_list(C.KNOWN_HEADINGS)} OR {near} OR CASE WHEN regexp_matches({x}, {_q(_FEW)}) THEN {by_form} ELSE false END))"
 
 
 def short(x: str) -> str:
@@ -146,6 +154,32 @@ def short(x: str) -> str:
     return f"({x} <> '' AND length({h}) <= {C.MAX_HEADING_CHARS} AND len(list_filter(string_split({h}, ' '), lambda w: w <> '')) <= {C.MAX_HEADING_WORDS})"
 
 
+def known_prefixed(xs: str) -> str:
+    """Whether one of the texts of a list is a known heading, as it stands, before a colon or after a number."""
+    number = r"^(?:[0-9]+\.*|[IVXLCMivxlcm]+\.?)\s+"
+    forms = f"list_concat(list_concat({xs}, list_transform(list_filter({xs}, lambda x: contains(x, ':')), lambda x: string_split({strip('x')}, ':')[1])), list_transform(list_filter({xs}, lambda x: regexp_matches({strip('x')}, {_q(number)})), lambda x: regexp_replace({strip('x')}, {_q(number)}, '')))"
+    return f"(len(list_filter({forms}, lambda y: {known('y')})) > 0)"
+
+
+def looks_like_heading(x: str) -> str:
+    letters, capitals = (f"length(regexp_replace({x}, '[^{c}]', '', 'g'))" for c in (r"\p{L}", r"\p{Lu}"))
+    before = f"string_split({x}, ':')[1]"
+    short_one = rf"({letters} > 0 AND {capitals} >= {letters} * 0.6) OR regexp_matches({x}, '^([0-9]|[IVXLCM]+\.)') OR (ends_with({x}, ':') AND len(string_split_regex({x}, '\s+')) <= 12) OR {known(x)}"
+    return f"({x} <> '' AND (({short(x)} AND ({short_one})) OR (contains({x}, ':') AND {short(before)} AND {known(before)})))"
+
+
+def kind(lines: str) -> str:
+    first, joined = f"({lines})[1]", f"array_to_string({lines}, ' ')"
+    listed = rf"len(list_filter({lines}, lambda x: string_split_regex(x, '\s+')[1] IN {_list(C.BULLETS)} OR regexp_matches(string_split_regex(x, '\s+')[1], {_q(C.LIST_TOKEN)}))) > 0"
+    table = rf"len(list_filter({lines}, lambda x: contains(x, chr(9)) OR length(x) - length(replace(x, '|', '')) >= 2 OR regexp_matches(x, '\s{{2,}}\S+\s{{2,}}'))) >= greatest(2, len({lines}) // 2)"
+    return f"CASE WHEN regexp_matches({first}, {_q(C.CAPTION)}) THEN 'CAPTION' WHEN {known_prefixed(f'[{first}, {joined}]')} THEN 'HEADING' WHEN {listed} THEN 'LIST' WHEN {table} THEN 'TABLE' WHEN {looks_like_heading(joined)} THEN 'HEADING' ELSE 'PARA' END"
+
+
+def reads_like_text(lines: str) -> str:
+    joined = f"array_to_string({lines}, ' ')"
+    return rf"NOT {known_prefixed(f'[({lines})[1]]')} AND NOT {looks_like_heading(joined)} AND (len(string_split_regex({joined}, '\s+')) > {C.MAX_HEADING_WORDS} OR length({joined}) >= {C.MIN_SENTENCE_CHARS} OR regexp_matches({joined}, '[.?!]'))"
+
+
 def layout_heading(x: str) -> str:
     return squeeze(f"regexp_replace({squeeze(x)}, {_q(C.HEADING_NUMBER)}, '')")
 
@@ -162,6 +196,33 @@ def canonical(x: str) -> str:
     return f"CASE WHEN {t} = '' THEN 'SECTION'{cases} ELSE {t} END"
 
 
+# Blocks: a suffix of a chunk's lines is looked at as long as what stands before it are headings alone.
+_BLOCKS = rf"""{_CHUNKS},
+t(doc_id, chunk, i, lines, kind) AS (
+  SELECT doc_id, chunk, 0, lines, {kind("lines")} FROM chunks
+  UNION ALL SELECT doc_id, chunk, i + 1, lines[2:], {kind("lines[2:]")} FROM t WHERE kind = 'HEADING' AND len(lines) > 1 AND {reads_like_text("lines[2:]")}),
+b0 AS (SELECT *, i = max(i) OVER (PARTITION BY doc_id, chunk) AS last FROM t),
+b1 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, i) - 1 AS block_id, CASE WHEN last THEN kind ELSE 'HEADING' END AS kind, CASE WHEN last THEN lines ELSE lines[1:1] END AS lines FROM b0),
+blocks AS (SELECT doc_id, block_id, kind, CASE kind WHEN 'TABLE' THEN '[[TABLE ' || sum(CAST(kind = 'TABLE' AS BIGINT)) OVER w || ' on page 1]]' WHEN 'LIST' THEN array_to_string(lines, chr(10)) ELSE array_to_string(lines, ' ') END AS text
+  FROM b1 WINDOW w AS (PARTITION BY doc_id ORDER BY block_id ROWS UNBOUNDED PRECEDING)),
+a0 AS (SELECT *, bool_and(kind = 'HEADING') OVER (PARTITION BY doc_id) AS bare, sum(CAST(kind = 'HEADING' AS BIGINT)) OVER w AS run, last_value(CASE WHEN kind = 'HEADING' THEN text END IGNORE NULLS) OVER w AS head
+  FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_id ROWS UNBOUNDED PRECEDING)),
+a1 AS (SELECT *, CASE WHEN bare THEN 0 ELSE dense_rank() OVER (PARTITION BY doc_id ORDER BY run) - 1 END AS section_id FROM a0 WHERE bare OR kind <> 'HEADING'),
+a2 AS (SELECT *, max(section_id) OVER (PARTITION BY doc_id) AS last_section, CASE WHEN bare THEN 'Document' ELSE coalesce(head, 'Front Matter') END AS title FROM a1),
+assigned AS (SELECT *, CASE WHEN bare THEN 'SECTION' WHEN last_section = 0 OR head IS NULL THEN 'FRONTMATTER' ELSE {canonical("title")} END AS section_name FROM a2)"""
+
+# Sentences of narrative blocks, glued, and windows of them in each section.
+_PAPER_WINDOWS = f"""{_BLOCKS},
+x0 AS (SELECT doc_id, section_id, block_id, kind, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM (SELECT *, {sentences("text")} AS ss FROM assigned WHERE kind <> 'TABLE')),
+x1 AS (SELECT *, sum(CAST(length(s) >= {C.MIN_SENTENCE_CHARS} AS BIGINT)) OVER (PARTITION BY doc_id, block_id) AS total,
+  coalesce(sum(CAST(length(s) >= {C.MIN_SENTENCE_CHARS} AS BIGINT)) OVER (PARTITION BY doc_id, block_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x0),
+x2 AS (SELECT doc_id, section_id, block_id, any_value(kind) AS kind, CAST(least(before, greatest(total - 1, 0)) AS BIGINT) AS nth, string_agg(s, ' ' ORDER BY i) AS text FROM x1 GROUP BY doc_id, section_id, block_id, CAST(least(before, greatest(total - 1, 0)) AS BIGINT)),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id, nth) - 1 AS sentence_id FROM x2),
+y AS (SELECT doc_id, section_id, list(text ORDER BY sentence_id) AS ss, list(sentence_id ORDER BY sentence_id) AS ids FROM d WHERE kind IN ('PARA', 'CAPTION') GROUP BY doc_id, section_id),
+win AS (SELECT doc_id, section_id, k * 2 AS span_start, least(k * 2 + 3, len(ss)) - 1 AS span_end, list_slice(ss, k * 2 + 1, k * 2 + 3) AS ws, list_slice(ids, k * 2 + 1, k * 2 + 3) AS sentence_ids
+  FROM (SELECT *, unnest(range(0, CAST(ceil(greatest(len(ss) - 3, 0) / 2.0) AS BIGINT) + 1)) AS k FROM y)),
+wt AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_id, span_start) - 1 AS window_id, array_to_string(ws, ' ') AS text_raw FROM win)"""
+
 # --- layout
 
 _LAYOUT = rf"""{_PAPERS},
@@ -211,6 +272,15 @@ _RAW_FEATURES = ["avg(n_words)", "avg(avg_word_len)", "avg(ttr)", "avg(burst_cv)
 _Z = [f"((f[{k + 1}] - {m}) / {s or 1.0})" for k, (m, s) in enumerate(zip(_META["mu"], _META["sigma"], strict=True))]
 _DOTS = [" + ".join(f"{z} * {w}" for z, w in zip(_Z, ws, strict=True)) + f" + {b}" for ws, b in zip(_META["weights"], _META["bias"], strict=True)]
 
+# The whole analysis by style alone, of papers.
+_ANALYSIS = f"""WITH RECURSIVE {_PAPER_WINDOWS}, {_style("wt", "doc_id, window_id, sentence_ids", sentences("text_raw"))}, {_SCORE},
+sm AS (SELECT doc_id, window_id, sentence_ids, {", ".join(f"avg({p}) OVER w AS {p}" for p in _P)} FROM pr WINDOW w AS (PARTITION BY doc_id ORDER BY window_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+lw AS (SELECT *, {_LABEL} AS window_label, greatest(p_human, p_ai, p_paraphrased_ai) AS window_confidence FROM sm),
+x AS (SELECT doc_id, unnest(sentence_ids) AS sentence_id, p_human, p_ai, p_paraphrased_ai FROM lw),
+m AS (SELECT doc_id, sentence_id, {", ".join(f"avg({p}) AS {p}" for p in _P)} FROM x GROUP BY ALL),
+sp AS (SELECT d.doc_id, coalesce(p_human, 1.0) AS p_human, coalesce(p_ai, 0.0) AS p_ai, coalesce(p_paraphrased_ai, 0.0) AS p_paraphrased_ai FROM d LEFT JOIN m USING (doc_id, sentence_id)),
+js AS (SELECT doc_id, {_LABEL} AS label FROM sp), a AS ({_SUMMARY}), pct AS (SELECT doc_id, """ + ", ".join(f"avg(CASE WHEN label = '{x}' THEN 100.0 ELSE 0.0 END) AS pct_{x}" for x in C.LABELS) + """ FROM js GROUP BY doc_id)"""
+
 ORACLES = {
     "stylometry_documents": f"{_DOC_STYLE} SELECT doc_id, n_sent, n_words, {_r('avg_word_len', 'ttr')}, round({_MATTR}, 6) AS mattr, {_r(*_POS, 'burst_b', 'burst_cv', 'mean_slen', 'flesch', 'fk_grade', 'gunning_fog')} FROM style WHERE n_sent > 0",
     "sentence_split": f"SELECT doc_id, unnest(range(0, len(ss))) AS sentence_id, unnest(ss) AS sentence FROM (SELECT doc_id, {sentences('text')} AS ss FROM documents)",
@@ -221,11 +291,15 @@ ORACLES = {
     "readability": f"{_DOC_STYLE} SELECT doc_id, {_r('flesch', 'fk_grade', 'gunning_fog')} FROM style WHERE n_sent > 0",
     "sentence_windows": f"WITH {_WINDOWS} SELECT doc_id, window_id, span_start, span_end, text_raw FROM wt",
     "glue_short_sentences": f"WITH {_GLUE} SELECT * FROM g2",
-    "page_normalize": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '. ', '-' || chr(13) || chr(10) || ' ') || chr(9) || repeat(chr(10), 4) || '.', chr(13), ''), '(\w)-\n\s*(\w)', '\1\2', 'g'), '(\w)-\n\s*(\w)', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[\t\x{A0}]', ' ', 'g') AS text FROM documents""",
+    "page_normalize": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '. ', '-' || chr(13) || chr(10)) || chr(9) || repeat(chr(10), 4) || '.', chr(13), ''), '([\p{L}\p{N}_])-\s*\n([\p{L}\p{N}_])', '\1\2', 'g'), '([\p{L}\p{N}_])-\s*\n([\p{L}\p{N}_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[\t\x{A0}]+', ' ', 'g') AS text FROM documents""",
     "strip_math": f"SELECT doc_id, {squeeze(f'regexp_replace(text, {_q(C.MATH)}, {_q(" ")}, {_q("g")})')} AS clean_text FROM documents",
     "layout_text_scan": f"WITH {_LAYOUT} SELECT doc_id, seq, CAST(0 AS BIGINT) AS page, seq * 100.0::DOUBLE AS top, (seq + 1) * 100.0::DOUBLE AS bottom, length(text) AS n_chars FROM l1",
-    "heading_match": f"WITH {_CHUNKS}, x AS (SELECT doc_id, chunk, first AS line FROM chunks UNION ALL SELECT doc_id, -1, string_split_regex(text, '[.!?]')[1] FROM documents) SELECT doc_id, chunk, {known('line')} AS known, {short('line')} AS short, {normal('line')} AS normal FROM x",
-    "section_canonical": f"WITH {_CHUNKS} SELECT doc_id, chunk, {canonical('first')} AS section_name, {ontology('first')} AS label FROM chunks WHERE length(first) <= 64",
+    "block_classify": f"WITH {_CHUNKS} SELECT doc_id, chunk, {kind('lines')} AS block_type, len(lines) AS n_lines FROM chunks",
+    "section_build": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, section_id, any_value(title) AS title, any_value(section_name) AS section_name, any_value(section_name) IN {_list(C.REFERENCE_SECTIONS)} AS is_references, section_id = 0 AS is_frontmatter, list(block_id ORDER BY block_id) AS block_ids FROM assigned GROUP BY doc_id, section_id",
+    "page_block_index": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, CAST(1 AS BIGINT) AS page, list(block_id ORDER BY block_id) AS block_ids FROM blocks GROUP BY doc_id",
+    "full_pipeline": f"{_ANALYSIS} SELECT doc_id, coalesce(num_windows, 0) AS num_windows, {', '.join(f'round(coalesce({c}, {v}), 6) AS {c}' for c, v in (('coverage_ai', 0.0), ('coverage_paraphrased', 0.0), ('p_human', 1.0), ('p_ai', 0.0), ('p_paraphrased_ai', 0.0), ('pct_human', 100.0), ('pct_ai', 0.0), ('pct_paraphrased_ai', 0.0)))}, CAST(0 AS DOUBLE) AS max_sim, CAST(0 AS DOUBLE) AS detectgpt_mean, coalesce({_verdict('p_ai', 'p_paraphrased_ai')}, 'human') AS verdict FROM papers LEFT JOIN a USING (doc_id) LEFT JOIN pct USING (doc_id)",
+    "heading_match": f"WITH {_CHUNKS}, x AS (SELECT doc_id, chunk, unnest(range(0, len(lines))) AS nth, unnest(lines) AS line FROM chunks) SELECT doc_id, chunk, nth, {known('line')} AS known, {short('line')} AS short, {normal('line')} AS normal FROM x",
+    "section_canonical": f"WITH {_CHUNKS} SELECT doc_id, chunk, {canonical('first')} AS section_name, {ontology('first')} AS label FROM chunks",
     "knn_topk": f"WITH {_KNN} SELECT query_id, rank, vec_id, round(sim, 6) AS sim FROM n",
     "paraphrase_window_features": f"WITH {_KNN} SELECT query_id, {_r('max_sim', 'mean_top3')}, above_tau, nn_id FROM wa",
     "paraphrase_doc_features": f"WITH {_KNN} SELECT CAST(label AS BIGINT) AS doc_id, round(avg(above_tau), 6) AS coverage, round(max(max_sim), 6) AS max_sim, round(avg(mean_top3), 6) AS top3_mean, round(avg(above_tau), 6) AS frac_above_tau, count(*) AS num_windows FROM wa GROUP BY label",
@@ -250,7 +324,7 @@ SELECT doc_id, section_id, label, count(*) AS n_units, CAST(sum(length(text)) +
 b AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before = 'RESULTS' AND mapped IN ('METHODS', 'INTRODUCTION')) AS back FROM h GROUP BY doc_id), a AS (SELECT doc_id, count(*) FILTER (type = 'PARA') AS paras FROM lab GROUP BY doc_id),
 r AS (SELECT doc_id, greatest(0.0, least(1.0, coalesce(least(1.0, n / greatest(1.0, paras / 6.0)) - 0.1 * back, 0.0))) AS confidence FROM a LEFT JOIN b USING (doc_id))
 SELECT doc_id, round(confidence, 6)::DOUBLE AS confidence, CAST(1 AS BIGINT) AS pages, CASE WHEN confidence >= 0.4 THEN 'L3' ELSE 'L0' END AS mode FROM r""",
-    "keyword_normalize": r"""WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace('Keywords: ' || text, '(?i)^\s*(keywords|index terms)\s*[:\-–—]?\s*', ''), '[;,]'), lambda x: regexp_replace(x, '^[ .;:\n]+|[ .;:\n]+$', '', 'g')), lambda x: x <> '') AS ks FROM documents) SELECT doc_id, unnest(range(0, len(ks))) AS nth, unnest(ks) AS keyword FROM k""",
+    "keyword_normalize": r"""WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(trim(regexp_replace(regexp_replace('Keywords: ' || text, '(?i)^\s*keywords?\s*[:\-–—]?\s*', ''), '\s+', ' ', 'g')), '[;,]'), lambda x: regexp_replace(x, '^[ .;:]+|[ .;:]+$', '', 'g')), lambda x: x <> '') AS ks FROM documents) SELECT doc_id, unnest(range(0, len(ks))) AS nth, unnest(ks) AS keyword FROM k""",
     "highlight_html": f"""{_SENTENCES}, h AS (SELECT doc_id, sentence_id, CASE WHEN sentence_id % 10 = 0 THEN '<h3>Section ' || (sentence_id // 10 + 1) || '</h3>' ELSE '' END AS head,
 '<span style="background:' || CASE label WHEN 'human' THEN '{C.LABEL_COLOURS["human"]}' WHEN 'ai' THEN '{C.LABEL_COLOURS["ai"]}' ELSE '{C.LABEL_COLOURS["paraphrased_ai"]}' END || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span> ' AS span FROM js)
 SELECT doc_id, string_agg(head || CASE WHEN sentence_id % 7 = 3 THEN '<div>• ' || span || '</div>' ELSE span END, '' ORDER BY sentence_id) AS html FROM h GROUP BY doc_id""",

@@ -98,7 +98,7 @@ def glue_short_sentences(spark, d):
 
 
 def page_normalize(spark, d):
-    return tidy(_docs(spark, d).select("doc_id", T.page_text(F.concat(F.replace(F.col("text"), F.lit(". "), F.lit("-\r\n ")), F.lit("\t\n\n\n\n."))).alias("text")))
+    return tidy(_docs(spark, d).select("doc_id", T.page_text(F.concat(F.replace(F.col("text"), F.lit(". "), F.lit("-\r\n")), F.lit("\t\n\n\n\n."))).alias("text")))
 
 
 def strip_math(spark, d):
@@ -115,13 +115,12 @@ def block_classify(spark, d):
 
 
 def heading_match(spark, d):
-    first = F.split(F.col("text"), "[.!?]")[0]
-    x = structure.chunks(_papers(spark, d)).select("doc_id", "chunk", F.col("lines")[0].alias("line")).union(_docs(spark, d).select("doc_id", F.lit(-1), first))
-    return tidy(x.select("doc_id", "chunk", T.known_heading(F.col("line")).alias("known"), T.short_heading(F.col("line")).alias("short"), T.normal_heading(F.col("line")).alias("normal")))
+    x = structure.chunks(_papers(spark, d)).select("doc_id", "chunk", F.posexplode("lines").alias("nth", "line"))
+    return tidy(x.select("doc_id", "chunk", "nth", T.known_heading(F.col("line")).alias("known"), T.short_heading(F.col("line")).alias("short"), T.normal_heading(F.col("line")).alias("normal")))
 
 
 def section_canonical(spark, d):
-    x = structure.chunks(_papers(spark, d)).where(F.length(F.col("lines")[0]) <= 64)
+    x = structure.chunks(_papers(spark, d))
     return tidy(x.select("doc_id", "chunk", T.canonical_section(F.col("lines")[0]).alias("section_name"), T.ontology(F.col("lines")[0]).alias("label")))
 
 
