@@ -85,13 +85,18 @@ HEADER_PATTERNS = (
     ("CONTRIB", r"^contrib(ution)?s?\b"),
     ("OBS", r"^obs(ervations)?\b"),
 )
+CORE_HEADERS = frozenset(("TITLE_YEAR", "METHODOLOGY", "KEY_FINDINGS"))
+HEADER_ALIASES = {"OBSERVATIONS": "LIMITATIONS", "OBS": "LIMITATIONS"}
+HEADER_TITLES = {"TITLE_YEAR": "TITLE_AUTHOR_YEAR"}
 
 # Report colours and titles.
 LABEL_COLOURS = {"human": "#2ecc71", "ai": "#e74c3c", "paraphrased_ai": "#f39c12"}
 LABEL_SYNONYMS = {"human-written": "human", "ai-generated": "ai", "machine": "ai", "paraphrased": "paraphrased_ai", "paraphrase": "paraphrased_ai"}
 
-# Features of the trained document classifier, in order.
+# Features of the trained document classifier, in order (fixed values).
 META_FEATURES = (
-    "span_start span_end n_sent n_words avg_word_len ttr mattr pos_noun pos_verb pos_adj pos_adv pos_pron pos_det pos_adp pos_aux pos_cconj pos_other burst_b burst_cv mean_slen flesch fk_grade gunning_fog "
-    "ppl mean_entropy surprisal_mean surprisal_var avg_rank logprob detectgpt_score coverage max_sim top3_mean frac_above_tau num_windows top_nnfam_frac p_ai p_paraphrased p_human"
-).split()
+    "span_start", "span_end", "n_sent", "n_words", "avg_word_len", "ttr", "mattr", "pos_noun", "pos_verb", "pos_adj", "pos_adv", "pos_pron", "pos_det",
+    "pos_adp", "pos_aux", "pos_cconj", "pos_other", "burst_b", "burst_cv", "mean_slen", "flesch", "fk_grade", "gunning_fog", "ppl", "mean_entropy",
+    "surprisal_mean", "surprisal_var", "avg_rank", "logprob", "detectgpt_score", "coverage", "max_sim", "top3_mean", "frac_above_tau", "num_windows",
+    "top_nnfam_frac", "p_ai", "p_paraphrased", "p_human",
+)

@@ -298,6 +298,10 @@ ORACLES = {
     "section_build": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, section_id, any_value(title) AS title, any_value(section_name) AS section_name, any_value(section_name) IN {_list(C.REFERENCE_SECTIONS)} AS is_references, section_id = 0 AS is_frontmatter, list(block_id ORDER BY block_id) AS block_ids FROM assigned GROUP BY doc_id, section_id",
     "page_block_index": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, CAST(1 AS BIGINT) AS page, list(block_id ORDER BY block_id) AS block_ids FROM blocks GROUP BY doc_id",
     "full_pipeline": f"{_ANALYSIS} SELECT doc_id, coalesce(num_windows, 0) AS num_windows, {', '.join(f'round(coalesce({c}, {v}), 6) AS {c}' for c, v in (('coverage_ai', 0.0), ('coverage_paraphrased', 0.0), ('p_human', 1.0), ('p_ai', 0.0), ('p_paraphrased_ai', 0.0), ('pct_human', 100.0), ('pct_ai', 0.0), ('pct_paraphrased_ai', 0.0)))}, CAST(0 AS DOUBLE) AS max_sim, CAST(0 AS DOUBLE) AS detectgpt_mean, coalesce({_verdict('p_ai', 'p_paraphrased_ai')}, 'human') AS verdict FROM papers LEFT JOIN a USING (doc_id) LEFT JOIN pct USING (doc_id)",
+    "layout_tables": f"""WITH d AS (SELECT doc_id, {sentences("text")} AS ss FROM documents),
+x AS (SELECT doc_id, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM d), cells AS (SELECT doc_id, i // 3 AS row, i % 3 AS c, {squeeze("s")} AS cell FROM x),
+grid AS (SELECT doc_id, unnest(range(0, CAST(ceil(len(ss) / 3.0) AS BIGINT))) AS row FROM d), h(c, header) AS (VALUES (0, 'TITLE_AUTHOR_YEAR'), (1, 'METHODOLOGY'), (2, 'KEY_FINDINGS'))
+SELECT doc_id, row, header, coalesce(cell, '') AS cell FROM grid CROSS JOIN h LEFT JOIN cells USING (doc_id, row, c)""",
     "heading_match": f"WITH {_CHUNKS}, x AS (SELECT doc_id, chunk, unnest(range(0, len(lines))) AS nth, unnest(lines) AS line FROM chunks) SELECT doc_id, chunk, nth, {known('line')} AS known, {short('line')} AS short, {normal('line')} AS normal FROM x",
     "section_canonical": f"WITH {_CHUNKS} SELECT doc_id, chunk, {canonical('first')} AS section_name, {ontology('first')} AS label FROM chunks",
     "knn_topk": f"WITH {_KNN} SELECT query_id, rank, vec_id, round(sim, 6) AS sim FROM n",
@@ -319,9 +323,9 @@ SELECT doc_id, CAST(0 AS BIGINT) AS section_id, num_windows, num_sentences, {_r(
     "label_inherit": f"WITH {_CANDIDATES} SELECT doc_id, seq, part, type, label FROM lab",
     "section_runs": f"""WITH {_CANDIDATES}, r0 AS (SELECT *, CAST(coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY seq, part), '') <> label AS BIGINT) AS new FROM lab),
 r1 AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY seq, part ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS section_id FROM r0)
-SELECT doc_id, section_id, label, count(*) AS n_units, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM r1 GROUP BY doc_id, section_id, label""",
+SELECT doc_id, section_id, label, count(*) AS n_units, md5(string_agg(text, chr(10) || chr(10) ORDER BY seq, part)) AS text_md5 FROM r1 GROUP BY doc_id, section_id, label""",
     "heading_confidence": f"""WITH {_CANDIDATES}, h AS (SELECT *, lag(mapped) OVER (PARTITION BY doc_id ORDER BY seq, part) AS before FROM lab WHERE mapped IS NOT NULL),
-b AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before = 'RESULTS' AND mapped IN ('METHODS', 'INTRODUCTION')) AS back FROM h GROUP BY doc_id), a AS (SELECT doc_id, count(*) FILTER (type = 'PARA') AS paras FROM lab GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before = 'RESULTS' AND mapped IN ('METHODS', 'INTRODUCTION')) AS back FROM h GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS paras FROM lab GROUP BY doc_id),
 r AS (SELECT doc_id, greatest(0.0, least(1.0, coalesce(least(1.0, n / greatest(1.0, paras / 6.0)) - 0.1 * back, 0.0))) AS confidence FROM a LEFT JOIN b USING (doc_id))
 SELECT doc_id, round(confidence, 6)::DOUBLE AS confidence, CAST(1 AS BIGINT) AS pages, CASE WHEN confidence >= 0.4 THEN 'L3' ELSE 'L0' END AS mode FROM r""",
     "keyword_normalize": r"""WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(trim(regexp_replace(regexp_replace('Keywords: ' || text, '(?i)^\s*keywords?\s*[:\-–—]?\s*', ''), '\s+', ' ', 'g')), '[;,]'), lambda x: regexp_replace(x, '^[ .;:]+|[ .;:]+$', '', 'g')), lambda x: x <> '') AS ks FROM documents) SELECT doc_id, unnest(range(0, len(ks))) AS nth, unnest(ks) AS keyword FROM k""",

@@ -213,7 +213,7 @@ def label_inherit(spark, d):
 
 
 def section_runs(spark, d):
-    return tidy(layout.section_runs(_labelled(spark, d), ("seq", "part")).withColumn("n_chars", F.length("text")).drop("text"))
+    return tidy(layout.section_runs(_labelled(spark, d), ("seq", "part")).withColumn("text_md5", F.md5("text")).drop("text"))
 
 
 def heading_confidence(spark, d):
@@ -234,12 +234,24 @@ def pie_stops(spark, d):
     return tidy(sinks.pie_stops(_judged(spark, d)[1]))
 
 
+def _comparison_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Units of one section a document: a header of three columns and the document's sentences below it, three a row."""
+    cell = lambda text, column, top: F.struct(text.alias("text"), (column * 140.0 + 10).alias("x0"), top.cast("double").alias("top"))
+    head = [cell(F.lit(t), F.lit(k), F.lit(0)) for k, t in enumerate(("Title & Author(s), Year", "Methodology", "Key Findings"))]
+    body = F.transform(T.sentences(F.col("text")), lambda s, i: cell(s, i % 3, 40 + 40 * F.floor(i / 3)))
+    x = _docs(spark, d).select("doc_id", F.posexplode(F.concat(F.array(*head), body)).alias("nth", "u"))
+    end = [F.lit(None).cast(t).alias(n) for n, t in (("headers", "array<string>"), ("rows", "array<map<string,string>>"))]
+    return x.select("doc_id", F.lit(0).cast("long").alias("section_id"), F.lit("RELATED_WORK").alias("label"), "nth", F.lit("PARA").alias("type"), "u.text", F.lit(0).alias("page"), "u.x0", (F.col("u.x0") + 100).alias("x1"), "u.top", (F.col("u.top") + 10).alias("bottom"), *end)
+
+
 def layout_tables(spark, d):
-    return tidy(layout.tables(_labelled(spark, d)).select("doc_id", "label", F.size("rows").alias("n_rows")))
+    rows = layout.tables(_comparison_tables(spark, d)).select("doc_id", F.posexplode("rows").alias("row", "cells"))
+    return tidy(rows.select("doc_id", "row", F.explode("cells").alias("header", "cell")))
 
 
 def layout_paragraphs(spark, d):
-    return tidy(layout.parse(layout.from_text(_papers(spark, d))).withColumn("n_chars", F.length("text")).drop("text"))
+    parsed = layout.parse(layout.from_text(_papers(spark, d)), by_type=True)
+    return tidy(parsed["sections"].withColumn("n_chars", F.length("text")).drop("text"))
 
 
 def full_pipeline(spark, d):
