@@ -4,7 +4,6 @@ definition of a word."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,13 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_folder
+
 #: A word: a maximal run of bytes other than the six ASCII white-space bytes. ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_OWN: list[str] = []
-
-
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package when it runs from a source tree."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -27,14 +25,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session names in spark.checkpoint.dir, which the executors share.
-    Only where that is unset, as in tests, a folder of this machine is used instead."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append(f"file://{tempfile.mkdtemp(prefix='proselens-')}")
-        base = _OWN[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
