@@ -49,8 +49,17 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: F.try_divide(x.cast("double"), n)))
+    """v to unit length; the zero vector stays. The length is worked out once, not once a component."""
+    one = lambda c, use: F.get(F.transform(F.array(c), use), F.lit(0))
+    scaled = lambda a: one(F.sqrt(dot(a, a)), lambda n: F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(F.try_divide(x.cast("double"), n))))
+    return one(v, scaled)
+
+
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """The mean of those vectors of an array whose mask isn't 0; null if there is none."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda z: z["m"] != 0), lambda z: z["v"])
+    add = F.aggregate(F.slice(kept, F.lit(2), F.size(kept)), F.transform(kept[0], lambda x: x.cast("double")), lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    return F.when(F.size(kept) > 0, F.transform(add, lambda x: x / F.size(kept)))
 
 
 def softmax(*xs: Column) -> list[Column]:

@@ -81,6 +81,12 @@ def label(c: Column) -> Column:
     return F.coalesce(F.element_at(known, x), x)
 
 
+def plain_label(x: str) -> str:
+    """label() of a name in Python, for a classifier's own label names."""
+    x = x.lower().strip()
+    return C.LABEL_SYNONYMS.get(x, x)
+
+
 # --- headings
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .. import constants as C
 from ..functions import numbers as N
+from ..functions import text as T
+from ..session import ship
 
 P = tuple(f"p_{x}" for x in C.LABELS)
 
@@ -30,6 +36,58 @@ def style_probabilities(features: DataFrame) -> DataFrame:
     return features.withColumns(dict(zip(P, ps, strict=True)))
 
 
+def labelled_probabilities(df: DataFrame, by_label: dict[str, Column]) -> DataFrame:
+    """df with the p_ columns of probabilities under a classifier's own label names, synonyms resolved, to a sum of 1;
+    labels that it lacks have 0."""
+    known = {T.plain_label(k): v for k, v in by_label.items()}
+    ps = N.renormalise(*(known.get(x, F.lit(0.0)) for x in C.LABELS))
+    return df.withColumns(dict(zip(P, ps, strict=True)))
+
+
+def linear_classifier(path: str) -> Callable[[DataFrame], DataFrame]:
+    """A scorer from a JSON file: {"features": [...], "weights": {label: [...]}, "bias": {label: x}}, a softmax of linear
+    scores of window features; features that a table lacks count as 0."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names, labels = spec["features"], list(spec["weights"])
+
+    def score(features: DataFrame) -> DataFrame:
+        x = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in features.columns else F.lit(0.0) for n in names]
+        linear = [sum((v * float(w) for v, w in zip(x, spec["weights"][k], strict=True)), F.lit(float(spec.get("bias", {}).get(k, 0.0)))) for k in labels]
+        return labelled_probabilities(features, dict(zip(labels, N.softmax(*linear), strict=True)))
+
+    return score
+
+
+def python_scorer(load: Callable[[], Callable[[list[str]], list[dict]]], text: str = "text_clean") -> Callable[[DataFrame], DataFrame]:
+    """A scorer from a model in Python. load makes, once a worker, a function of texts that gives a probability a label
+    of each. A batch on which it fails gets equal probabilities, and ``classifier_alert`` says so."""
+
+    def score(features: DataFrame) -> DataFrame:
+        ship(features.sparkSession)
+        schema = StructType([*features.schema.fields, *(StructField(p, DoubleType()) for p in P), StructField("classifier_alert", StringType())])
+        at = features.columns.index(text)
+
+        def run(batches):
+            predict = None
+            for b in batches:
+                alert = None
+                try:
+                    predict = predict or load()
+                    got = [{T.plain_label(k): float(v) for k, v in r.items()} for r in predict([t or "" for t in b.column(at).to_pylist()])]
+                    if len(got) != b.num_rows:
+                        raise ValueError("not one result a text")
+                except Exception as e:  # the alert tells of it
+                    got, alert = [dict.fromkeys(C.LABELS, 1 / len(C.LABELS))] * b.num_rows, f"classifier failed, uniform probabilities: {type(e).__name__}: {e}"[:300]
+                sums = [sum(r.get(x, 0.0) for x in C.LABELS) or 1.0 for r in got]
+                columns = [pa.array([r.get(x, 0.0) / s for r, s in zip(got, sums, strict=True)], pa.float64()) for x in C.LABELS]
+                yield pa.RecordBatch.from_arrays([*b.columns, *columns, pa.array([alert] * b.num_rows, pa.string())], names=[f.name for f in schema])
+
+        return features.mapInArrow(run, schema)
+
+    return score
+
+
 def merge_features(base: DataFrame, *branches: DataFrame | None, on: tuple[str, ...] = ("doc_id", "window_id")) -> DataFrame:
     """base left-joined with every branch that there is. All joins share their key, so one partitioning serves them."""
     for b in branches:
@@ -105,7 +163,7 @@ def feature_column(name: str, columns: list[str], tau: float = C.TAU_SEMANTIC) -
     """A document feature by its name: num_windows; coverage; X_mean and X_max of a column X; a bare column's mean; else 0."""
     if name == "num_windows":
         return F.count("*").cast("double")
-    if name in ("coverage", "frac_above_tau") and name == "coverage":
+    if name == "coverage":
         return F.avg((F.coalesce(F.col("max_sim"), F.lit(0.0)) >= tau).cast("double")) if "max_sim" in columns else F.lit(0.0)
     for end, f in (("_mean", F.avg), ("_max", F.max)):
         if name.endswith(end) and name[: -len(end)] in columns:
@@ -114,9 +172,37 @@ def feature_column(name: str, columns: list[str], tau: float = C.TAU_SEMANTIC) -
     return F.coalesce(F.avg(F.col(name).cast("double")), F.lit(0.0)) if name in columns else F.lit(0.0)
 
 
-def meta_vector(windows: DataFrame, names=C.META_FEATURES, doc_id: str = "doc_id") -> DataFrame:
+def meta_vector(windows: DataFrame, names=C.META_FEATURES, doc_id: str = "doc_id", tau: float = C.TAU_SEMANTIC) -> DataFrame:
     """(doc_id, features): all features in one aggregation."""
-    return windows.groupBy(doc_id).agg(F.array(*(feature_column(n, windows.columns) for n in names)).alias("features"))
+    return windows.groupBy(doc_id).agg(F.array(*(feature_column(n, windows.columns, tau) for n in names)).alias("features"))
+
+
+def meta_window_probabilities(windows: DataFrame, model: dict, doc_features: DataFrame | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """windows with the p_ columns of a meta classifier. Its features are columns of the windows; the names of document
+    features (coverage, max_sim, top3_mean, frac_above_tau, num_windows) that the windows lack are those of doc_features, a
+    row a document, else 0."""
+    names = ("coverage", "max_sim", "top3_mean", "frac_above_tau")
+    have = [] if doc_features is None else [n for n in names if n in doc_features.columns and n not in windows.columns and n in model["names"]]
+    x = windows.withColumn("num_windows_", F.count("*").over(Window.partitionBy(doc_id)).cast("double"))
+    if have:
+        x = x.join(doc_features.select(doc_id, *(F.col(n).alias(f"doc_{n}_") for n in have)), doc_id, "left")
+
+    def value(n: str) -> Column:
+        c = F.col(n) if n in windows.columns else F.col(f"doc_{n}_") if n in have else F.col("num_windows_") if n == "num_windows" else F.lit(0.0)
+        return F.coalesce(c.cast("double"), F.lit(0.0))
+
+    features = F.array(*(value({"p_paraphrased": "p_paraphrased_ai"}.get(n, n)) for n in model["names"]))
+    out = meta_probabilities(x.withColumn("meta_features_", features), model, "meta_features_")
+    return out.drop("meta_features_", "num_windows_", *(f"doc_{n}_" for n in have))
+
+
+def load_meta_file(path: str) -> dict | None:
+    """load_meta of a JSON file; None if it can't be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return load_meta(json.load(f))
+    except (OSError, ValueError):
+        return None
 
 
 def load_meta(spec: dict) -> dict | None:
@@ -128,7 +214,13 @@ def load_meta(spec: dict) -> dict | None:
     if not names:
         return None
     mu, sigma = (next((spec[k] for k in keys if spec.get(k)), [fill] * len(names)) for keys, fill in ((("mu", "mean"), 0.0), (("sigma", "std"), 1.0)))
-    return {"names": list(names), "mu": list(mu), "sigma": list(sigma), "weights": spec.get("weights"), "bias": spec.get("bias") or [0.0] * len(C.LABELS), "labels": spec.get("label_map") or list(C.LABELS)}
+    return {"names": list(names), "mu": list(mu), "sigma": list(sigma), "weights": spec.get("weights"), "bias": spec.get("bias") or [0.0] * len(spec.get("weights") or C.LABELS), "labels": _label_order(spec.get("label_map"))}
+
+
+def _label_order(labels) -> list[str]:
+    if isinstance(labels, dict):
+        return [labels[k] for k in sorted(labels, key=int)]
+    return list(labels or C.LABELS)
 
 
 def meta_probabilities(vectors: DataFrame, model: dict, features: str = "features") -> DataFrame:
@@ -136,4 +228,4 @@ def meta_probabilities(vectors: DataFrame, model: dict, features: str = "feature
     array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     z = N.z_score(F.col(features), array(model["mu"]), array(model["sigma"]))
     scores = [N.dot(z, array(w)) + F.lit(float(b)) for w, b in zip(model["weights"], model["bias"], strict=True)]
-    return vectors.withColumns(dict(zip(P, N.renormalise(*N.softmax(*scores)), strict=True)))
+    return labelled_probabilities(vectors, dict(zip(model["labels"], N.softmax(*scores), strict=True)))

@@ -52,27 +52,70 @@ def aggregates(scored: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFra
     )
 
 
-def perturbed(text: Column, key: Column, k: Column, drop: float = 0.05, swap: float = 0.05) -> Column:
-    """A variant of a text: each token dropped or swapped with the next by a hash of (key, k, place), so that variant k of a
-    row is the same wherever and however often it is made."""
+def token_counts(df: DataFrame, key: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """(key, token, n): distinct lower-case tokens of each row, counted before anything is shuffled."""
+    return tokens(df, key, text).groupBy(*key, "token").agg(F.count("*").alias("n"))
+
+
+def aggregates_of_counts(counts: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """aggregates(score_tokens(...)) of (key, token, n): a frequent token meets the model once a row, not once an occurrence."""
+    x = counts.join(model.select("token", "lp", "rank"), "token")
+    n, total = F.col("n"), F.sum("n")
+    mean = F.sum(n * F.col("lp")) / total
+    g = x.groupBy(*key).agg(mean.alias("logprob"), F.greatest(F.lit(0.0), F.sum(n * F.col("lp") * F.col("lp")) / total - mean * mean).alias("surprisal_var"), (F.sum(n * F.col("rank")) / total).alias("avg_rank"))
+    return g.select(*key, "logprob", F.exp(-F.col("logprob")).alias("ppl"), entropy(model).scalar().alias("mean_entropy"), (-F.col("logprob")).alias("surprisal_mean"), "surprisal_var", "avg_rank")
+
+
+#: A table of synonyms has at most so many words, as it is part of the plan.
+MAX_SYNONYMS = 10_000
+
+
+def synonym_map(synonyms: dict[str, list[str]]) -> Column:
+    """Up to three synonyms of each word, in order, as a map; a word isn't its own synonym."""
+    if len(synonyms) > MAX_SYNONYMS:
+        raise ValueError(f"over {MAX_SYNONYMS} words with synonyms")
+    kept = {w: sorted({x for x in xs if x.lower() != w.lower() and x.isascii() and len(x) > 1})[:3] for w, xs in synonyms.items()}
+    pairs = [y for w, xs in kept.items() if xs for y in (F.lit(w.lower()), F.array(*(F.lit(x) for x in xs)))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
+
+
+def perturbed(text: Column, key: Column, k: Column, drop: float = 0.05, swap: float = 0.05, replace: float = 0.05, synonyms: dict[str, list[str]] | None = None) -> Column:
+    """A variant of a text: words replaced by a synonym where there is a table of them, words and numbers dropped, and
+    neighbouring ones swapped, each by a hash of (key, k, place), so that variant k of a row is the same wherever and
+    however often it is made."""
     toks = F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
-    draw = lambda i, what: F.pmod(F.xxhash64(key, k, i, F.lit(what)), F.lit(10_000)) / 10_000.0
-    kept = F.transform(F.filter(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: draw(x["i"], "drop") >= drop), lambda x: x["t"])
+    hashed = lambda i, what: F.xxhash64(key, k, i, F.lit(what))
+    draw = lambda i, what: F.pmod(hashed(i, what), F.lit(10_000)) / 10_000.0
+    wordy = lambda t: t.rlike(r"^(?U)[\p{L}\p{N}]+$")
+    if synonyms:
+        table = synonym_map(synonyms)
+
+        def replaced(t: Column, i: Column) -> Column:
+            own = F.element_at(table, F.lower(t))
+            return F.when(own.isNotNull() & (draw(i, "synonym") < replace), F.get(own, F.pmod(hashed(i, "which"), F.size(own)).cast("int"))).otherwise(t)
+
+        toks = F.transform(toks, replaced)
+    kept = F.transform(F.filter(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: ~wordy(x["t"]) | (draw(x["i"], "drop") >= drop)), lambda x: x["t"])
     # A place is swapped with the next if it is even and drawn: pairs never overlap.
-    hit = lambda i: draw(i, "swap") < 2 * swap
+    hit = lambda own, i: (draw(i, "swap") < 2 * swap) & wordy(F.get(own, i)) & F.coalesce(wordy(F.get(own, i + 1)), F.lit(False))
 
     def moved(own: Column) -> Column:
-        return F.transform(own, lambda t, i: F.when((i % 2 == 0) & (i + 1 < F.size(own)) & hit(i), F.get(own, i + 1)).when((i % 2 == 1) & hit(i - 1), F.get(own, i - 1)).otherwise(t))
+        return F.transform(own, lambda t, i: F.when((i % 2 == 0) & (i + 1 < F.size(own)), F.when(hit(own, i), F.get(own, i + 1)).otherwise(t)).when(i % 2 == 1, F.when(hit(own, i - 1), F.get(own, i - 1)).otherwise(t)).otherwise(t))
 
     return F.array_join(T.let(kept, moved), " ")
 
 
-def perturbation_score(df: DataFrame, model: DataFrame, key: str | tuple[str, ...] = "doc_id", text: str = "text", variants: int = 5) -> DataFrame:
-    """(key, detectgpt_score): mean log-probability of a text less that of its variants; 0 for texts without known tokens."""
+def perturbation_score(df: DataFrame, model: DataFrame, key: str | tuple[str, ...] = "doc_id", text: str = "text", variants: int = 5, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """(key, detectgpt_score): mean log-probability of a text less that of its variants; 0 for texts without known tokens.
+
+    A row and its variants are one row of counts a distinct token, so that a frequent token meets the model once a row."""
     key = (key,) if isinstance(key, str) else tuple(key)
     name = F.col(key[0]) if len(key) == 1 else F.struct(*key)
-    each = df.select(*key, text, F.explode(F.sequence(F.lit(0), F.lit(variants))).alias("k_"))
-    made = each.select(*key, "k_", F.when(F.col("k_") == 0, F.col(text)).otherwise(perturbed(F.col(text), name, F.col("k_"))).alias("text"))
-    lp = tokens(made, (*key, "k_")).join(model.select("token", "lp"), "token").groupBy(*key, "k_").agg(F.avg("lp").alias("lp"))
-    got = lp.groupBy(*key).agg((F.max(F.when(F.col("k_") == 0, F.col("lp"))) - F.avg(F.when(F.col("k_") > 0, F.col("lp")))).alias("s_"))
+    each = df.select(*key, F.posexplode(F.array(F.col(text), *(perturbed(F.col(text), name, F.lit(k), synonyms=synonyms) for k in range(1, variants + 1)))).alias("k_", "t_"))
+    toks = each.select(*key, "k_", F.explode(F.transform(T.words(F.col("t_")), F.lower)).alias("token"))
+    counts = toks.groupBy(*key, "token").agg(*(F.count_if(F.col("k_") == k).alias(f"n{k}") for k in range(variants + 1)))
+    x = counts.join(model.select("token", "lp"), "token").groupBy(*key).agg(*(F.try_divide(F.sum(F.col(f"n{k}") * F.col("lp")), F.sum(f"n{k}")).alias(f"m{k}") for k in range(variants + 1)))
+    means = F.filter(F.array(*(F.col(f"m{k}") for k in range(1, variants + 1))), lambda m: m.isNotNull())
+    mean = F.aggregate(means, F.lit(0.0), lambda a, m: a + m) / F.size(means)
+    got = x.select(*key, F.when(F.size(means) > 0, F.col("m0") - mean).alias("s_"))
     return df.select(*key).join(got, list(key), "left").select(*key, F.coalesce("s_", F.lit(0.0)).alias("detectgpt_score"))

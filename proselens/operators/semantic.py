@@ -12,61 +12,94 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..session import ship
 
-#: Queries that are broadcast at a time; more take more passes over the corpus.
+#: So many queries at most are broadcast; more meet the corpus block by block in a shuffle.
 QUERY_BLOCK = 4096
+#: Vectors of the corpus in a block.
+CORPUS_BLOCK = 16_384
+
+
+def prefixed(text: Column, kind: str) -> Column:
+    """A text as embedders that tell queries from passages want it; kind is "query" or "passage"."""
+    return F.concat(F.lit(f"{kind}: "), text)
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """The default embedder: counts of hashed words, to unit length. A stand-in for a trained one."""
     tokens = F.transform(T.words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    return N.unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(tokens, lambda t: t == k)).cast("double")))
+    return N.unit(T.let(tokens, lambda ts: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(ts, lambda t: t == k)).cast("double"))))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", skip_self: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, sim): the k largest inner products of each query, ties to the smaller vec_id.
 
-    Queries are broadcast in blocks of QUERY_BLOCK rows, after counting them; each partition of the corpus is searched by
-    matrix products and sends k rows a query, from which a ranked window keeps k."""
+    Up to QUERY_BLOCK queries are broadcast, and each partition of the corpus is searched as it is scanned. More queries,
+    in blocks by hash, meet the corpus, in blocks by hash, in one task a pair of blocks. Either way k rows a query leave a
+    task, from which a ranked window keeps k."""
     spark = corpus.sparkSession
     ship(spark)
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    numbered = queries.select(F.col(query_id).cast("long").alias("q"), F.transform(embedding, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull())
-    out = None
-    for block in range(blocks):
-        rows = (numbered.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else numbered).toArrow()
-        ids, m = rows.column("q").to_numpy(), np.array(rows.column("v").to_pylist(), float)
-        shared = spark.sparkContext.broadcast((ids, m))
-
-        def search(batches, shared=shared):
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.transform(embedding, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull())
+    have = corpus.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull())
+    if n <= QUERY_BLOCK:
+        rows = asked.toArrow()
+        shared = spark.sparkContext.broadcast((rows.column("q").to_numpy(), _matrix(rows.column("v"))))
+
+        def scan(batches):
             ids, m = shared.value
-            if not len(ids):
-                return
-            best_i, best_s = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            best = None
             for b in batches:
                 for s in range(0, b.num_rows, 8192):
                     x = b.slice(s, 8192)
-                    v = np.asarray(x.column(1).flatten(), float).reshape(x.num_rows, -1)
-                    # Summed in the order of the components, so that ties are ties everywhere.
-                    sims = np.zeros((len(ids), len(v)))
-                    for c in range(m.shape[1]):
-                        sims += m[:, c, None] * v[None, :, c]
-                    own = np.broadcast_to(x.column(0).to_numpy(), sims.shape)
-                    if skip_self:
-                        sims = np.where(own == ids[:, None], -np.inf, sims)
-                    i, s2 = np.concatenate((best_i, own), 1), np.concatenate((best_s, sims), 1)
-                    order = np.lexsort((i, -s2), axis=1)[:, :k]
-                    best_i, best_s = np.take_along_axis(i, order, 1), np.take_along_axis(s2, order, 1)
-            ok = np.isfinite(best_s).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_i.shape[1])[ok]), pa.array(best_i.ravel()[ok]), pa.array(best_s.ravel()[ok])], names=["query_id", "vec_id", "sim"])
-
-        have = corpus.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull())
-        part = have.mapInArrow(search, "query_id long, vec_id long, sim double")
-        out = part if out is None else out.unionByName(part)
+                    best = _better(ids, m, x.column(0).to_numpy(), _matrix(x.column(1)), k, skip_self, best)
+            if best is not None:
+                yield _found(ids, *best)
+
+        out = have.mapInArrow(scan, "query_id long, vec_id long, sim double")
+    else:
+        of_queries, of_corpus = max(1, -(-n // QUERY_BLOCK)), max(1, -(-corpus.count() // CORPUS_BLOCK))
+        block = lambda c, salt, of: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+        left = asked.select("q", "v", block("q", 1, of_queries).alias("a"), every(of_corpus).alias("b"))
+        right = have.select("vec_id", "v", block("vec_id", 2, of_corpus).alias("b"), every(of_queries).alias("a"))
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            out = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})]
+            if x.num_rows and y.num_rows:
+                ids, m, own, v = x.column("q").to_numpy(), _matrix(x.column("v")), y.column("vec_id").to_numpy(), _matrix(y.column("v"))
+                for s in range(0, len(ids), 512):
+                    out.append(pa.Table.from_batches([_found(ids[s : s + 512], *_better(ids[s : s + 512], m[s : s + 512], own, v, k, skip_self, None))]))
+            return pa.concat_tables(out)
+
+        out = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, "query_id long, vec_id long, sim double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "sim")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+def _better(ids, m, own, v, k: int, skip_self: bool, best):
+    """The k best (vec_ids, sims) a query of best and the vectors v; sims that aren't numbers are least."""
+    # Summed in the order of the components, so that ties are ties everywhere.
+    sims = np.zeros((len(ids), len(v)))
+    for c in range(m.shape[1]):
+        sims += m[:, c, None] * v[None, :, c]
+    own = np.broadcast_to(own, sims.shape)
+    if skip_self:
+        sims = np.where(own == ids[:, None], -np.inf, sims)
+    if best is not None:
+        own, sims = np.concatenate((best[0], own), 1), np.concatenate((best[1], sims), 1)
+    order = np.lexsort((own, -sims), axis=1)[:, :k]
+    return np.take_along_axis(own, order, 1), np.take_along_axis(sims, order, 1)
+
+
+def _found(ids, vec, sims) -> pa.RecordBatch:
+    ok = np.isfinite(sims).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, vec.shape[1])[ok]), pa.array(vec.ravel()[ok]), pa.array(sims.ravel()[ok])], names=["query_id", "vec_id", "sim"])
+
+
 def window_features(neighbours: DataFrame, key: str = "query_id", tau: float = C.TAU_SEMANTIC) -> DataFrame:
     """(key, max_sim, mean_top3, above_tau, nn_id): over the neighbours that there are."""
     g = neighbours.groupBy(key).agg(

@@ -7,6 +7,8 @@ for all documents of a batch at once, in how many windows each token is the last
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,8 +64,9 @@ def burstiness(lengths: Column) -> list[Column]:
     ]
 
 
-def features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), sentences_of: Column | None = None, with_mattr: bool = True) -> DataFrame:
-    """keep and all FEATURES of each row's text. Sentences are those of the text unless given."""
+def features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), sentences_of: Column | None = None, with_mattr: bool = True, tagger: Callable[[Column], Column] = T.part_of_speech) -> DataFrame:
+    """keep and all FEATURES of each row's text. Sentences are those of the text unless given. tagger makes the tag of a
+    lower-case word; tags outside of POS_TAGS count as OTHER."""
     sents = T.sentences(F.col(text)) if sentences_of is None else sentences_of
     base = df.select(*keep, sents.alias("sents_"))
     # The features are those of the sentences joined by one blank.
@@ -72,7 +75,7 @@ def features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), sent
     base = base.select(
         *keep, "sub_", "toks_", F.size("sents_").alias("n_sent"), F.size("toks_").alias("n_words"),
         F.filter(F.transform("sents_", lambda s: F.size(T.words(s))), lambda n: n >= 0).alias("lens_"),
-        F.transform("toks_", T.part_of_speech).alias("tags_"),
+        F.transform("toks_", lambda t: T.let(tagger(t), lambda x: F.when(x.isin([k.upper() for k in C.POS_TAGS]), x).otherwise("OTHER"))).alias("tags_") if tagger is not T.part_of_speech else F.transform("toks_", tagger).alias("tags_"),
     )
     n, s, toks = F.col("n_words"), F.col("n_sent"), F.col("toks_")
     of_kind = lambda tag: F.filter("tags_", lambda t: t == tag.upper())

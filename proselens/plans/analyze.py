@@ -1,4 +1,5 @@
-"""The whole analysis of a corpus: structure, features, labels and summaries, as lazily planned tables."""
+"""The whole analysis of a corpus: structure, features, labels and summaries as tables. Blocks and windows are written to
+the shared folder, what follows from them is planned lazily."""
 
 from __future__ import annotations
 
@@ -7,55 +8,125 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fusion, language_model, semantic, structure, stylometry
+from ..operators import fusion, language_model, layout, semantic, structure, stylometry
+from ..session import keep
 
 #: Takes windows with style features and adds p_human, p_ai and p_paraphrased_ai.
 Scorer = Callable[[DataFrame], DataFrame]
 
+LM_FEATURES = ("logprob", "ppl", "mean_entropy", "surprisal_mean", "surprisal_var", "avg_rank", "detectgpt_score")
+SEMANTIC_FEATURES = ("max_sim", "mean_top3", "above_tau")
 
-def window_table(windows: DataFrame, *, style: bool = True, model: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
+
+def _or_else(alerts: list[tuple[str, str]], stage: str, build: Callable[[], DataFrame], instead: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What build makes, or, with an alert, instead if it can't be planned. Faults while rows are worked out are the
+    scorers' own to report (fusion.python_scorer) or fail the job."""
+    try:
+        return build()
+    except Exception as e:  # the alert tells of it
+        alerts.append((stage, f"{stage} failed, {what}: {type(e).__name__}: {e}"[:300]))
+        return instead()
+
+
+def window_table(windows: DataFrame, *, style: bool = True, model: DataFrame | None = None, corpus: DataFrame | None = None, alerts: list[tuple[str, str]] | None = None) -> DataFrame:
     """windows with the features of every branch that is asked for: style natively in the same pass, language-model,
-    perturbation and nearest-neighbour features joined by (doc_id, window_id)."""
+    perturbation and nearest-neighbour features joined by (doc_id, window_id). A branch that can't be planned has zeros
+    and an alert."""
     key = ("doc_id", "window_id")
+    alerts = [] if alerts is None else alerts
+    bare = windows
     if style:
         keep = tuple(windows.columns)
-        windows = stylometry.features(windows, "text_raw", keep)
-    lm = perturbed = neighbours = None
+        windows = _or_else(alerts, "style", lambda: stylometry.features(bare, "text_raw", keep), lambda: bare, "no features")
+    zeros = lambda names: lambda: bare.select(*key, *(F.lit(0.0).alias(n) for n in names))
+    lm = neighbours = None
     if model is not None:
-        toks = language_model.tokens(windows, key, "text_clean")
-        lm = language_model.aggregates(language_model.score_tokens(toks, model), key)
-        perturbed = language_model.perturbation_score(windows, model, key, "text_clean")
+
+        def by_model() -> DataFrame:
+            counted = language_model.aggregates_of_counts(language_model.token_counts(bare, key, "text_clean"), model, key)
+            return language_model.perturbation_score(bare, model, key, "text_clean").join(counted, list(key), "left")
+
+        lm = _or_else(alerts, "language_model", by_model, zeros(LM_FEATURES), "zeros")
     if corpus is not None:
-        q = windows.select(*key, F.xxhash64(*key).alias("query_id"), semantic.hashed_embedding(F.col("text_clean")).alias("embedding"))
-        found = semantic.window_features(semantic.knn(q, corpus))
-        neighbours = q.select(*key, "query_id").join(found, "query_id").drop("query_id")
-    return fusion.merge_features(windows, lm, perturbed, neighbours)
 
+        def by_corpus() -> DataFrame:
+            q = bare.select(*key, F.xxhash64(*key).alias("query_id"), semantic.hashed_embedding(F.col("text_clean")).alias("embedding"))
+            return q.select(*key, "query_id").join(semantic.window_features(semantic.knn(q, corpus)), "query_id").drop("query_id")
+
+        neighbours = _or_else(alerts, "semantic", by_corpus, zeros(SEMANTIC_FEATURES), "zeros")
+    return fusion.merge_features(windows, lm, neighbours)
+
+
+def analyse(docs: DataFrame, **options) -> dict[str, DataFrame]:
+    """analyse_blocks of the texts of docs (doc_id, text)."""
+    return analyse_blocks(docs.select("doc_id"), structure.assign_sections(structure.blocks(docs)), **options)
 
-def analyse(docs: DataFrame, config: fusion.Config = fusion.Config(), scorer: Scorer = fusion.style_probabilities, model: DataFrame | None = None, corpus: DataFrame | None = None, meta: dict | None = None, splitter: str = "intended") -> dict[str, DataFrame]:
-    """Tables sections, sentences, windows, documents and alerts of docs (doc_id, text)."""
-    assigned = structure.assign_sections(structure.blocks(docs))
+
+def analyse_layout(rows: DataFrame, by_type: bool = False, **options) -> dict[str, DataFrame]:
+    """analyse_blocks of laid-out documents (operators.layout.LAYOUT); sentences have the boxes of their blocks, and the
+    table ``telemetry`` tells of the parse."""
+    parsed = layout.parse(rows, by_type)
+    blocks = layout.to_blocks(parsed["units"])
+    out = analyse_blocks(rows.select("doc_id").distinct(), blocks, **options)
+    return {**out, "sentences": structure.sentence_boxes(out["sentences"], blocks), "telemetry": parsed["telemetry"]}
+
+
+def analyse_blocks(
+    ids: DataFrame, assigned: DataFrame, *, config: fusion.Config = fusion.Config(), scorer: Scorer = fusion.style_probabilities, model: DataFrame | None = None,
+    corpus: DataFrame | None = None, meta: dict | None = None, splitter="intended",
+) -> dict[str, DataFrame]:
+    """Tables sections, sentences, windows, documents and alerts of documents (doc_id) by their blocks with sections."""
+    notes: list[tuple[str, str]] = []
+    # Blocks and windows are read by many branches; they are written once.
+    assigned = keep(assigned, "blocks")
     sents = structure.sentences(assigned, splitter=splitter)
-    wins = window_table(structure.windows(sents), model=model, corpus=corpus)
-    wins = fusion.label(fusion.smooth(scorer(wins)), "window_label", "window_confidence")
+    wins = window_table(keep(structure.windows(sents), "windows"), model=model, corpus=corpus, alerts=notes)
+    equal = lambda: wins.withColumns({p: F.lit(1.0) / len(fusion.P) for p in fusion.P})
+    scored = _or_else(notes, "classifier", lambda: scorer(wins), equal, "uniform probabilities")
+    use_meta = meta is not None and bool(meta.get("weights"))
+    if use_meta:
+        features = semantic.document_features(scored) if corpus is not None else None
+        scored = _or_else(notes, "meta", lambda: fusion.meta_window_probabilities(scored, meta, features), lambda s=scored: s, "the classifier's probabilities")
+    wins = fusion.label(fusion.smooth(scored), "window_label", "window_confidence")
     judged = fusion.sentence_probabilities(sents, wins)
     secs = fusion.section_summary(structure.sections(assigned), wins, judged, config)
     summary = fusion.document_summary(wins, config)
-    if meta is not None and meta.get("weights"):
-        own = fusion.meta_probabilities(fusion.meta_vector(wins, meta["names"]), meta).drop("features")
+    if use_meta:
+        # The document's own features are of the windows before they were smoothed, under their own names.
+        own = fusion.meta_probabilities(fusion.meta_vector(wins, meta["names"], tau=config.tau_semantic), meta).drop("features")
         summary = summary.drop(*fusion.P).join(own, "doc_id", "left")
         summary = summary.withColumn("verdict", fusion.verdict(F.col("p_ai"), F.col("p_paraphrased_ai"), F.col("coverage_ai"), F.col("coverage_paraphrased"), F.col("max_sim"), F.col("detectgpt_mean"), config))
     # Documents without windows are human with no confidence.
-    out = docs.select("doc_id").join(summary, "doc_id", "left").join(fusion.label_percentages(judged), "doc_id", "left")
-    fill = {c: 0.0 for c in ("coverage_ai", "coverage_paraphrased", "max_sim", "detectgpt_mean", "p_ai", "p_paraphrased_ai")} | {"num_windows": 0, "p_human": 1.0, "verdict": "human"}
-    missing = [name for name, given in (("language_model", model), ("semantic", corpus), ("meta", meta)) if given is None]
-    alerts = docs.select("doc_id", F.explode(F.array(*(F.lit(m) for m in missing)).cast("array<string>")).alias("stage")).withColumn("message", F.concat("stage", F.lit(" is not configured")))
+    out = ids.select("doc_id").join(summary, "doc_id", "left").join(fusion.label_percentages(judged), "doc_id", "left")
+    fill = {c: 0.0 for c in ("coverage_ai", "coverage_paraphrased", "max_sim", "detectgpt_mean", "p_ai", "p_paraphrased_ai", "pct_ai", "pct_paraphrased_ai")} | {"num_windows": 0, "p_human": 1.0, "pct_human": 100.0, "verdict": "human"}
+    notes += [(name, f"{name} is not configured") for name, given in (("language_model", model), ("semantic", corpus), ("meta", meta)) if given is None]
+    rows = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(m).alias("message")) for s, m in notes)) if notes else F.array().cast("array<struct<stage:string,message:string>>")
+    alerts = ids.select("doc_id", F.explode(rows).alias("a_")).select("doc_id", "a_.stage", "a_.message")
+    if "classifier_alert" in wins.columns:
+        alerts = alerts.unionByName(wins.where(F.col("classifier_alert").isNotNull()).select("doc_id", F.lit("classifier").alias("stage"), F.col("classifier_alert").alias("message")).distinct())
     return {"sections": secs, "sentences": judged, "windows": wins, "documents": out.fillna(fill), "alerts": alerts}
 
 
-def search_paraphrases(docs: DataFrame, corpus: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(windows, documents) of paraphrase features: sentences of each text in windows of three, embedded and searched."""
+#: What a report shows of each table.
+VIEWS = {
+    "documents": ("doc_id", "verdict", "p_human", "p_ai", "p_paraphrased_ai", "pct_human", "pct_ai", "pct_paraphrased_ai"),
+    "sections": ("doc_id", "section_id", "title", "section_name", "num_windows", "num_sentences", "coverage_ai", "coverage_paraphrased"),
+    "windows": ("doc_id", "window_id", "section_name", "span_start", "span_end", "window_label", "window_confidence", "text_clean"),
+    "sentences": ("doc_id", "sentence_id", "section_name", "label", "confidence", "text"),
+    "alerts": ("doc_id", "stage", "message"),
+}
+
+
+def views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of an analysis with the columns that a report shows."""
+    return {name: tables[name].select(*columns) for name, columns in VIEWS.items() if name in tables}
+
+
+def search_paraphrases(docs: DataFrame, corpus: DataFrame, k: int = 5, meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(windows, documents) of paraphrase features: sentences of each text in windows of three, embedded and searched.
+    With metadata of the corpus (vec_id, ...), windows have those of their nearest vector."""
     sents = docs.select("doc_id", F.posexplode(structure.T.sentences(F.col("text"))).alias("sentence_id", "text"))
     flat = sents.select("doc_id", "sentence_id", F.lit(0).alias("section_id"), F.lit("").alias("section_name"), F.col("sentence_id").alias("section_offset"), "text", F.col("text").alias("clean_text"))
     w = window_table(structure.windows(flat), style=False, corpus=corpus)
-    return w, semantic.document_features(w)
+    found = w if meta is None else semantic.attach_meta(w, meta.withColumnRenamed("vec_id", "nn_id"), "nn_id")
+    return found, semantic.document_features(w)

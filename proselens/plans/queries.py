@@ -159,8 +159,8 @@ def lm_unigram_scores(spark, d):
 
 
 def lm_token_aggregates(spark, d):
-    toks = lm.tokens(_docs(spark, d))
-    return tidy(lm.aggregates(lm.score_tokens(toks, lm.unigrams(toks))))
+    docs = _docs(spark, d)
+    return tidy(lm.aggregates_of_counts(lm.token_counts(docs), lm.unigrams(lm.tokens(docs))))
 
 
 def lm_top_entropy(spark, d):
@@ -254,6 +254,14 @@ def layout_paragraphs(spark, d):
     return tidy(parsed["sections"].withColumn("n_chars", F.length("text")).drop("text"))
 
 
+def all_branches(spark, d):
+    """The analysis with every branch: language model and perturbation over the papers' own words, neighbours among the
+    benchmark's passages."""
+    papers = _papers(spark, d)
+    corpus = table(spark, f"{d}/benchmark.parquet", "item_id", "text").select(F.col("item_id").alias("vec_id"), semantic.hashed_embedding(F.col("text")).alias("embedding"))
+    return tidy(analyse(papers, model=lm.unigrams(lm.tokens(papers)), corpus=corpus)["documents"])
+
+
 def full_pipeline(spark, d):
     return tidy(analyse(_papers(spark, d))["documents"])
 
@@ -263,6 +271,6 @@ QUERIES = {
     for f in (
         stylometry_documents, sentence_split, token_counts, lexical_diversity, pos_ratios, burstiness, readability, sentence_windows, glue_short_sentences, page_normalize, strip_math, layout_text_scan, block_classify, heading_match,
         section_canonical, section_build, page_block_index, knn_topk, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, perturbation_score, smooth_probs, window_labels, sentence_probs,
-        section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, pie_stops, layout_tables, layout_paragraphs, full_pipeline,
+        section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, pie_stops, layout_tables, layout_paragraphs, full_pipeline, all_branches,
     )
 }

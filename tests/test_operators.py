@@ -130,14 +130,6 @@ def test_keyword_passes(spark):
     assert [r["keyword"] for r in layout.keyword_units(runs, passes=2).collect()] == ["alpha beta gamma"]
 
 
-def test_tables():
-    head = [("Title & Author(s), Year", 0, 10, 100, 0), ("Methodology", 0, 150, 250, 0), ("Key findings", 0, 300, 400, 0)]
-    body = [("Paper one", 0, 10, 100, 20), ("CNN", 0, 152, 250, 20), ("good", 0, 298, 400, 20), ("Paper two", 0, 10, 100, 60), ("RNN", 0, 150, 250, 60)]
-    got = layout.read_table(rows(*head, *body).to_dict("records"))
-    assert got["headers"] == ["TITLE_YEAR", "METHODOLOGY", "KEY_FINDINGS"]
-    assert got["rows"] == [{"TITLE_YEAR": "Paper one", "METHODOLOGY": "CNN", "KEY_FINDINGS": "good"}, {"TITLE_YEAR": "Paper two", "METHODOLOGY": "RNN", "KEY_FINDINGS": ""}]
-
-
 def test_chars_to_lines(spark):
     c = spark.createDataFrame([(1, 0, "b", 5.0, 9.0, 1.0, 3.0, 10.0, "X-Bold"), (1, 0, "a", 1.0, 5.0, 1.2, 3.0, 12.0, "X")], "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string")
     r = layout.lines_of_chars(c).first()
@@ -149,7 +141,7 @@ def test_readers(spark, tmp_path):
     assert readers.text_files(spark, str(tmp_path)).first()["text"] == "hello\nworld"
     df = spark.createDataFrame([("b",), ("a",)], "t string")
     assert [(r["doc_id"], r["text"]) for r in readers.from_frame(df, "t").orderBy("doc_id").collect()] == [(0, "a"), (1, "b")]
-    good, bad = readers.pdf_files(spark, str(tmp_path), extract=lambda b: 1 / 0)
+    good, bad = readers.pdf_files(spark, str(tmp_path), extract=lambda b, n: 1 / 0)
     assert good.count() == 0 and "ZeroDivisionError" in bad.first()["message"]
 
 
