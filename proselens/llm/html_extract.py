@@ -8,12 +8,14 @@ sectioning element that does; articles and mains with little of it don't count.
 lines between content survive, in an article or main also its first and last lines; lists of links there that the scores
 don't pass are dropped.
 
-Elements that never hold an article (scripts, forms, menus, ...) and elements whose class or id names such a role are
-left out before the ratios are taken. A name alone doesn't rule out a wrapper: parts of names such as has-sidebar are no
-roles, and an element stays if it is around the largest article or main or around most of the page's text.
+Elements that never hold an article (scripts, forms, menus, ...), hidden ones, and elements whose class or id names such
+a role by a whole token (site-footer, but not footer-story or has-sidebar) are left out before the ratios are taken. A
+name alone doesn't rule out a wrapper: an element stays if it is around the largest article or main or around most of the
+page's text.
 
 Defined results: null or empty html, and pages without content, give an empty text and 0 characters. Broken mark-up
-(unclosed or crossed tags, a cut end) never raises.
+(unclosed or crossed tags, a cut end) never raises. Time and memory are in proportion to the page however deep its
+elements are nested.
 """
 
 from __future__ import annotations
@@ -28,27 +30,43 @@ from pyspark.sql import DataFrame
 
 from .common import schema_with, ship
 
-_NAMES = "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul"
-BLOCKS = frozenset(_NAMES.split())
+# Element names of the HTML standard (fixed values).
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg".split())
 #: Never part of an article.
 OUT = frozenset("head nav header footer aside form menu dialog button select option label input object audio video canvas search fieldset".split())
-#: Roles that class and id tokens name.
-ROLES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adv|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|cookies?|consent|notices?|alert|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|replies|reply|disqus|respond|copyright|legal|disclaimer|pagination|pager|toolbar|search|form|tags)(?:$|[-_\s])",
-    re.I,
+#: Words in class and id tokens that name roles. A token names one if all its parts are such words or neutral ones, so
+#: that side-effects, header-image and form-follows-function name none.
+ROLES = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promos nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget widgets cookie cookies consent notice notices alert alerts gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist discussion reactions thread replies reply disqus respond copyright legal disclaimer pagination pager toolbar search form tags".split()
 )
 #: Of these, the roles of parts of an article, and those that an article or main element can have.
-CONTENT_ROLES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommended|comments?|replies|reply)(?:$|[-_\s])", re.I)
-#: Parts of names that tell of a page's layout: has-sidebar, no-ads, content-with-header.
-_LAYOUT = re.compile(r"(?:^|(?<=[-_\s]))(?:has|have|no|not|non|with|without)[-_]\S*", re.I)
+CONTENT_ROLES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promos related recommended recommendations comment comments commentlist discussion reactions thread replies reply disqus respond".split())
+_NEUTRAL = frozenset("box block wrapper wrap container list section bar area widget top bottom left right main site page global primary secondary inner outer item items user users reader readers post posts links link icons buttons button text message form holder slot unit zone panel row col column left1 js the".split())
+
+
+def roles_of(names: str) -> frozenset[str]:
+    """The roles that the tokens of a class or id attribute name."""
+    out: set[str] = set()
+    for token in names.split():
+        parts = [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if x]
+        named = ROLES.intersection(parts)
+        if named and all(x in ROLES or x in _NEUTRAL for x in parts):
+            out |= named
+    return frozenset(out)
+
+
 OUT_TAG, OUT_ROLE, OUT_MINOR = 1, 2, 3
 ROLE_ATTRS = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 CONTENT = frozenset(("article", "main"))
 _SECTIONS = frozenset("body div section td blockquote article main".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# An attribute's value is quoted only where a quote follows its equals sign; a quote elsewhere is a character like any.
+_VALUE = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:{_VALUE}))*)(?:>|\Z)|([^<]+|<)", re.S)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：¿¡]")
 _SPACE = re.compile(r"\s+")
 #: Elements whose start closes an open one of the same family.
@@ -69,95 +87,120 @@ def _is_out(tag: str, attrs: str, inside: bool) -> int:
         if a.get("role", "").lower() in ROLE_ATTRS or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or "hidden" in a:
             return OUT_TAG
         if tag not in ("html", "body"):
-            names = [_LAYOUT.sub("", a[k]) for k in ("class", "id") if k in a]
-            if any(CONTENT_ROLES.search(x) for x in names):
+            named = roles_of(f"{a.get('class', '')} {a.get('id', '')}")
+            if named & CONTENT_ROLES:
                 return OUT_MINOR
-            if tag not in CONTENT and any(ROLES.search(x) for x in names):
+            if named and tag not in CONTENT:
                 return OUT_ROLE
     return 0
 
 
-def _barred(nodes: list[tuple], roles: dict[int, tuple], articles: dict[int, tuple[int, ...]]) -> set[int]:
-    """Of the elements with a role (number: kind, number of an article or 0), those that are left out. A wrapper stays: one
-    around the article or main with the most text, or one that most of the page's text lies in. Of adverts, comments and
-    the like, which often hold articles of their own, only an article with most of the page's text makes a wrapper. Text
-    of links doesn't count."""
-    total, main = 0, 0
-    size, text = dict.fromkeys(roles, 0), dict.fromkeys(articles, 0)
-    for _, path, t, sections, own in nodes:
-        n = 0 if ".a." in f".{path}." else len(t.strip())
-        total += n
-        minor = any(roles[r][0] == OUT_MINOR for r in own)
-        main += 0 if minor else n
-        for r in own:
-            size[r] += 0 if minor else n
-        for k in sections:
-            if k in text:
-                text[k] += n
-    largest = max((n for k, n in text.items() if not any(roles[r][0] == OUT_MINOR for r in articles[k])), default=0)
-    out = set()
-    for r, (kind, article) in roles.items():
-        inner = max((n for k, n in text.items() if k == article or r in articles[k]), default=0)
-        if kind == OUT_MINOR:
-            stays = 2 * inner > total
-        else:
-            stays = inner >= largest > 0 or 2 * size[r] > main
-        if not stays:
-            out.add(r)
-    return out
-
-
-def text_nodes(page: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
-    """(block number, path, decoded text, numbers of the sectioning elements around it) of each text node outside of
-    excluded elements."""
-    out, stack, block, serial, barred = [], [], 0, 0, 0
-    roles: dict[int, tuple[int, int]] = {}
-    articles: dict[int, tuple[int, ...]] = {}
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[4] and not barred:
-                out.append((block, ".".join(x[0] for x in stack), html.unescape(m[4]), tuple(x[2] for x in stack if x[2]), tuple(x[3] for x in stack if x[3])))
-            continue
-        tag = tag.lower()
-        if tag in BLOCKS:
-            block += 1
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            # An inline end tag doesn't reach out of the block that it stands in.
-            if k >= 0 and (tag in BLOCKS or not any(x[0] in BLOCKS for x in stack[k + 1 :])):
-                barred -= sum(x[1] for x in stack[k:])
-                del stack[k:]
-            continue
-        if tag == "br":
-            if not barred and out:
-                out.append((block, out[-1][1], " ", *out[-1][3:]))
-            continue
-        if tag in RAW:
-            m2 = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = m2.end() if m2 else end
-            continue
-        if tag in VOID:
-            continue
-        while stack and (c := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)) is not None and tag in _CLOSES.get(stack[c][0], ()):
-            # A closed paragraph also ends the inline elements left open in it.
-            barred -= sum(x[1] for x in stack[c:])
-            del stack[c:]
-        kind = _is_out(tag, m[3], any(x[0] in CONTENT for x in stack))
-        gone = kind == OUT_TAG
-        barred += gone
-        serial += 1
-        stack.append((tag, gone, serial if tag in _SECTIONS else 0, serial if kind in (OUT_ROLE, OUT_MINOR) else 0))
-        if not barred:
-            if stack[-1][3]:
-                roles[serial] = kind, serial if tag in CONTENT else 0
-            if tag in CONTENT:
-                articles[serial] = tuple(x[3] for x in stack if x[3])
-    gone = _barred(out, roles, articles) if roles else set()
-    return [x[:4] for x in out if not x[4] or gone.isdisjoint(x[4])]
+class Page:
+    """The tree of a page: for each element its tag, parent, path of block elements and role; and its text nodes in order,
+    each with its element. Elements are numbered from 1 in the order of their starts, 0 being the page, so one pass from
+    the last to the first sums over subtrees, however deep they are nested."""
+
+    def __init__(self, html_text: str):
+        self.tag, self.parent, self.kind, self.path = [""], [0], [0], [0]
+        #: (block number, element, decoded text, in a link)
+        self.nodes: list[tuple[int, int, str, bool]] = []
+        self._read(html_text)
+
+    def _read(self, page: str) -> None:
+        paths: dict[tuple[int, str], int] = {}
+        # Of the open elements: number, innermost block (place in the stack or -1), links and elements left out so far.
+        stack: list[tuple[int, int, int, int]] = []
+        open_tags: dict[str, int] = {}
+        block, inside = 0, 0
+
+        def close(down_to: int) -> None:
+            nonlocal inside
+            for x in stack[down_to:]:
+                open_tags[self.tag[x[0]]] -= 1
+                inside -= self.tag[x[0]] in CONTENT
+            del stack[down_to:]
+
+        at, end = 0, len(page)
+        while at < end:
+            m = _TOKEN.match(page, at)
+            at = m.end()
+            tag = m[2]
+            top = stack[-1] if stack else (0, -1, 0, 0)
+            if tag is None:
+                if m[4] and not top[3]:
+                    self.nodes.append((block, top[0], html.unescape(m[4]), top[2] > 0))
+                continue
+            tag = tag.lower()
+            if tag in BLOCKS:
+                block += 1
+            if m[1]:
+                if open_tags.get(tag):
+                    # An inline end tag doesn't reach out of the block that it stands in.
+                    least = 0 if tag in BLOCKS else top[1] + 1
+                    k = next((k for k in range(len(stack) - 1, least - 1, -1) if self.tag[stack[k][0]] == tag), -1)
+                    if k >= 0:
+                        close(k)
+                continue
+            if tag == "br":
+                if not top[3] and self.nodes:
+                    self.nodes.append((block, self.nodes[-1][1], " ", self.nodes[-1][3]))
+                continue
+            if tag in RAW:
+                m2 = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+                at = m2.end() if m2 else end
+                continue
+            if tag in VOID:
+                continue
+            while stack and (c := stack[-1][1]) >= 0 and tag in _CLOSES.get(self.tag[stack[c][0]], ()):
+                # A closed paragraph also ends the inline elements left open in it.
+                close(c)
+            number, up, around, links, out = len(self.tag), *((stack[-1]) if stack else (0, -1, 0, 0))
+            kind = _is_out(tag, m[3], inside > 0)
+            self.tag.append(tag)
+            self.parent.append(up)
+            self.kind.append(kind)
+            self.path.append(paths.setdefault((self.path[up], tag), len(paths) + 1) if tag in BLOCKS else self.path[up])
+            stack.append((number, len(stack) if tag in BLOCKS else around, links + (tag == "a"), out + (kind == OUT_TAG)))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            inside += tag in CONTENT
+
+    def sums(self, own: list[int]) -> list[int]:
+        """Of each element, the sum of own over itself and what is in it."""
+        out = list(own)
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parent[k]] += out[k]
+        return out
+
+    def barred(self) -> list[bool]:
+        """The elements that a role leaves out, with all that is in them. A wrapper stays: one around the article or main
+        with the most text, or one that most of the page's text lies in. Of adverts, comments and the like, which often
+        hold articles of their own, only an article with most of the page's text makes a wrapper. Text of links doesn't
+        count."""
+        n = len(self.tag)
+        minor = [False] * n
+        for k in range(1, n):
+            minor[k] = minor[self.parent[k]] or self.kind[k] == OUT_MINOR
+        text, main = [0] * n, [0] * n
+        for _, e, t, link in self.nodes:
+            size = 0 if link else len(t.strip())
+            text[e] += size
+            main[e] += 0 if minor[e] else size
+        text, main = self.sums(text), self.sums(main)
+        articles = [k for k in range(1, n) if self.tag[k] in CONTENT]
+        largest = max((text[k] for k in articles if not minor[k]), default=0)
+        inner = [0] * n  # the largest article in an element, itself included
+        for k in articles:
+            inner[k] = text[k]
+        for k in range(n - 1, 0, -1):
+            inner[self.parent[k]] = max(inner[self.parent[k]], inner[k])
+        out = [False] * n
+        for k in range(1, n):
+            out[k] = out[self.parent[k]]
+            if self.kind[k] == OUT_MINOR:
+                out[k] |= 2 * inner[k] <= text[0]
+            elif self.kind[k] == OUT_ROLE:
+                out[k] |= not (inner[k] >= largest > 0 or 2 * main[k] > main[0])
+        return out
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -168,61 +211,74 @@ def _smooth(x: np.ndarray) -> np.ndarray:
 
 def extract(page: str | None) -> str:
     """The page's main text, a block a line."""
-    nodes = text_nodes(page) if page else []
+    if not page:
+        return ""
+    tree = Page(page)
+    barred = tree.barred() if any(tree.kind) else None
     blocks: dict[int, list] = {}
-    for b, path, t, sections in nodes:
-        x = blocks.setdefault(b, [path, [], sections, 0])
-        if t.strip() and not "".join(x[1]).strip():
-            x[0], x[2] = path, sections
+    for b, e, t, link in tree.nodes:
+        if barred and barred[e]:
+            continue
+        x = blocks.setdefault(b, [e, [], 0, False])
+        # A block belongs to the element of its first text.
+        if not x[3] and t.strip():
+            x[0], x[3] = e, True
         x[1].append(t)
-        x[3] += len(t.strip()) if ".a." in f".{path}." else 0
-    rows, links = [], []
-    for p, raw, s, n in blocks.values():
-        if t := _SPACE.sub(" ", "".join(raw)).strip():
-            rows.append((p, t, s))
-            links.append(n)
+        x[2] += len(t.strip()) if link else 0
+    rows = [(e, t, links) for e, raw, links, _ in blocks.values() if (t := _SPACE.sub(" ", "".join(raw)).strip())]
     if not rows:
         return ""
+    sizes = np.array([len(t) for _, t, _ in rows])
     # Inline elements don't split a paragraph's path.
-    paths = [".".join(t for t in p.split(".") if t in BLOCKS) for p, _, _ in rows]
-    ids = {p: i for i, p in enumerate(dict.fromkeys(paths))}
-    of = np.array([ids[p] for p in paths])
+    _, of = np.unique([tree.path[e] for e, _, _ in rows], return_inverse=True)
     n = np.bincount(of)
-    chars = np.bincount(of, [len(t) for _, t, _ in rows]) / n
+    chars = np.bincount(of, sizes) / n
     marks = np.bincount(of, [len(_PUNCT.findall(t)) for _, t, _ in rows]) / n
     fused = _smooth(chars[of]) * (1 + _smooth(marks[of]))
     path_score = np.bincount(of, fused) / n
-    content = path_score[of] >= SHARE * fused.mean()
+    content = path_score[of] > SHARE * fused.mean()
+    if not content.any():
+        return ""
     # The region: of the sectioning elements that hold most of the content's text the innermost, an article or main first.
-    tags = [p.split(".") for p, _, _ in rows]
-    weight: dict[int, int] = {}
-    named: set[int] = set()
-    total = marked = 0
-    for keep, ts, (_, t, s) in zip(content, tags, rows, strict=True):
-        if keep:
-            own = {k for k, x in zip(s, (x for x in ts if x in _SECTIONS), strict=True) if x in CONTENT}
-            named |= own
-            total += len(t)
-            marked += len(t) if own else 0
-            for k in s:
-                weight[k] = weight.get(k, 0) + len(t)
-    if weight:
-        most = max(weight.values())
-        strong = {k for k, w in weight.items() if w >= MOST * most}
-        if strong & named:
-            regions = {max(strong & named)}
-        else:
-            # Several articles can hold it together.
-            regions = named if marked >= MOST * total else {max(strong)}
-        inside = np.array([not regions.isdisjoint(s) for _, _, s in rows])
-        # Inside of it, headings and lines between content blocks come along, and all of an article's but its link lists.
-        at = np.flatnonzero(content & inside)
-        heading = np.array([bool(re.fullmatch(r"h[1-6]", ts[-1])) for ts in tags])
-        whole = np.array([2 * n <= len(t) for n, (_, t, _) in zip(links, rows, strict=True)]) & bool(regions <= named)
-        content = inside & (content | heading | whole | ((np.arange(len(rows)) >= at[0]) & (np.arange(len(rows)) <= at[-1])))
+    own, named = [0] * len(tree.tag), [0] * len(tree.tag)
+    for k in range(1, len(tree.tag)):
+        named[k] = named[tree.parent[k]] or tree.tag[k] in CONTENT
+    for keep, (e, t, _) in zip(content, rows, strict=True):
+        own[e] += len(t) if keep else 0
+    weight = tree.sums(own)
+    total = sum(own)
+    marked = sum(w for w, x in zip(own, named, strict=True) if x)
+    strong = [k for k in range(1, len(tree.tag)) if tree.tag[k] in _SECTIONS and weight[k] >= MOST * total]
+    articles = [k for k in strong if tree.tag[k] in CONTENT]
+    if articles:
+        regions = {articles[-1]}
+    elif marked >= MOST * total:  # several articles hold it together
+        regions = {k for k in range(1, len(tree.tag)) if tree.tag[k] in CONTENT and weight[k]}
+    else:
+        regions = {strong[-1]} if strong else {0}
+    within = [False] * len(tree.tag)
+    for k in range(len(tree.tag)):
+        within[k] = k in regions or (k > 0 and within[tree.parent[k]])
+    inside = np.array([within[e] for e, _, _ in rows])
+    # Inside of it, headings and lines between content blocks come along, and all of an article's but its link lists.
+    at = np.flatnonzero(content & inside)
+    heading = np.array([_block_tag(tree, e) in _HEADINGS for e, _, _ in rows])
+    in_article = all(tree.tag[k] in CONTENT for k in regions)
+    whole = np.array([2 * links <= len(t) for _, t, links in rows]) & in_article
+    between = (np.arange(len(rows)) >= at[0]) & (np.arange(len(rows)) <= at[-1]) if len(at) else False
+    content = inside & (content | heading | whole | between)
     return "\n".join(t for keep, (_, t, _) in zip(content, rows, strict=True) if keep)
 
 
+_HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+
+
+def _block_tag(tree: Page, e: int) -> str:
+    while e and tree.tag[e] not in BLOCKS:
+        e = tree.parent[e]
+    return tree.tag[e]
+
+
 def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages without ``column``, with ``text`` and ``n_chars``; a column of these names is replaced."""
     ship(pages.sparkSession)

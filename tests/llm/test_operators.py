@@ -475,3 +475,39 @@ def test_recall_of_keys():
         assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.75
         keys = near_dedup.chunk_keys(np.stack([np.frombuffer(near_dedup.signature(x), "<u2") for x in (a, b)]))
         assert np.intersect1d(keys[0], keys[1]).size
+
+
+def test_html_names_that_are_no_roles():
+    p = "<p>A long paragraph, with many words; and marks. It goes on.</p>"
+    for names in ("class='content header-image'", "id=form-follows-function", "class=side-effects", "class='article post related-work'", "class=share-prices"):
+        got = html_extract.extract(f"<body><nav>Menu</nav><div><h1>Head</h1>{p * 5}<section {names}>{p * 2}</section></div></body>")
+        assert got.count("A long paragraph") == 7, names
+    for names in ("class=discussion-thread", "class=user-reactions", "id=commentList", "class='box ad-slot'", "class=relatedPosts", "hidden", "style='display: none'", "class=site-footer"):
+        got = html_extract.extract(f"<body><div><h1>Head</h1>{p * 5}<div {names}><p>Not the story, but some words of others.</p></div></div></body>")
+        assert "Not the story" not in got and got.count("A long paragraph") == 5, names
+
+
+def test_html_attributes():
+    p = "<p>A long paragraph, with many words; and marks. It goes on.</p>"
+    odd = "<p title=it's>First, with some words and marks.</p><p data-x='a > b' hidden>Unseen.</p><p alt=\"x>y\">Second, with some words and marks.</p><p>Sum of <math><mi>x</mi>+<mn>1</mn></math>.</p>"
+    assert html_extract.extract(f"<body><article><h1>Head</h1>{p * 2}{odd}</article></body>").split("\n")[3:] == ["First, with some words and marks.", "Second, with some words and marks.", "Sum of x+1."]
+
+
+def test_html_scores_decide(monkeypatch):
+    p = "<p>A long paragraph, with many words; and marks. It goes on.</p>"
+    page = f"<body><div><h1>Head</h1>{p * 3}</div></body>"
+    assert html_extract.extract(page)
+    monkeypatch.setattr(html_extract, "_smooth", lambda x: x * 0)
+    assert html_extract.extract(page) == ""
+
+
+@pytest.mark.parametrize("piece", ["<div>word, ", "<b>word, ", "<div>word, </b>", "<ul><li>word, ", "<a href=x>word "])
+def test_html_deep_nesting(piece):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    begin = time.process_time()
+    html_extract.extract(f"<body>{piece * 100_000}</body>")
+    assert time.process_time() - begin < 15 and tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
