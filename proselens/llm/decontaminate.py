@@ -9,6 +9,9 @@ the items of which it covers COVERAGE or more.
 The benchmark is the small, fixed side. It is broadcast in slices of at most SLICE_WORDS words, its size being counted
 first; a larger benchmark takes a pass for every slice, and rows are the same. Items of fewer than MIN_MATCH words match as a whole.
 
+A document with far more pairs of equal places than words, as texts that repeat themselves have, is tiled without listing
+them; the tiles are the same.
+
 Defined results: null and empty texts and items match nothing; repeated items and documents each give their own rows.
 """
 
@@ -28,6 +31,8 @@ MIN_MATCH = 5
 COVERAGE = 0.75
 SLICE_WORDS = 4_000_000
 CHUNK = 1_000_000
+#: Pairs of equal places a word of a document, beyond which they aren't listed.
+HEAVY = 64
 
 
 def tile(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -61,6 +66,47 @@ def tile(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, least:
     return tiles
 
 
+def tile_by_length(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``tile`` without its seeds, for texts that repeat themselves: the longest common run of unmarked tokens
+    is found by halving its length, so memory is in proportion to the texts and time to the tiles. Runs are compared by
+    dense ranks of their first and last 2**k tokens, which are exact."""
+    both = np.unique(np.concatenate((item, doc)), return_inverse=True)[1].astype(np.int64)
+    ranks, m = [both], len(item)
+    while 2 << len(ranks) - 1 <= min(m, len(doc)):
+        r, w = ranks[-1], 1 << len(ranks) - 1
+        # Windows over the end of the item mean nothing and are never looked at.
+        ranks.append(np.unique(r[: len(r) - w] << 32 | r[w:], return_inverse=True)[1].astype(np.int64))
+    taken = [np.zeros(m + 1, np.int64), np.zeros(len(doc) + 1, np.int64)]
+    marks = [np.zeros(m, bool), np.zeros(len(doc), bool)]
+
+    def first_common(n: int) -> tuple[int, int] | None:
+        k = n.bit_length() - 1
+        sides = []
+        for at, marked, size in ((0, taken[0], m), (m, taken[1], len(doc))):
+            places = np.flatnonzero(marked[n:] == marked[: size + 1 - n])
+            sides.append((places, ranks[k][at + places] << 32 | ranks[k][at + places + n - (1 << k)]))
+        (x, a), (y, b) = sides
+        hit = np.flatnonzero(np.isin(a, b))
+        return (int(x[hit[0]]), int(y[np.flatnonzero(b == a[hit[0]])[0]])) if len(hit) else None
+
+    tiles, longest = [], min(m, len(doc))
+    while True:
+        best, lo = None, least
+        while lo <= longest:
+            n = (lo + longest) // 2
+            if at := first_common(n):
+                best, lo = (*at, n), n + 1
+            else:
+                longest = n - 1
+        if best is None:
+            return tiles
+        x, y, longest = best
+        tiles.append(best)
+        for side, at in ((0, x), (1, y)):
+            marks[side][at : at + longest] = True
+            np.cumsum(marks[side], out=taken[side][1:])
+
+
 class Seeds:
     """The seeds of a slice of the benchmark: hashes in order, with item and place."""
 
@@ -89,6 +135,14 @@ class Seeds:
             at, got, lo = at[hit], got[hit], lo[hit]
             n = np.searchsorted(keys, got, "right") - lo
             doc = np.searchsorted(w.doc, at, "right") - 1
+            # Texts that repeat themselves have more pairs of places than words by far: they don't list them.
+            heavy = np.bincount(doc, n, len(w.doc) - 1) > np.maximum(HEAVY * np.diff(w.doc), 100_000)
+            for d in np.flatnonzero(heavy).tolist():
+                yield from self._heavy(d, h[w.doc[d] : w.doc[d + 1]], np.unique(lo[doc == d]), keys, item, place, width, coverage)
+            light = ~heavy[doc]
+            at, lo, n, doc = at[light], lo[light], n[light], doc[light]
+            if not len(at):
+                continue
             # Which items each document could be full of: item places under any seed, counted before the seeds are paired up.
             k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pair = np.repeat(doc, n) * len(self.ids) + item[k]
@@ -110,6 +164,26 @@ class Seeds:
                     yield d, t, covered, len(tiles)
 
 
+    def _heavy(self, d: int, mine: np.ndarray, first: np.ndarray, keys, item, place, width: int, coverage: float):
+        """pairs() of one document from the distinct seeds that it has (where each begins in keys)."""
+        n = np.searchsorted(keys, keys[first], "right") - first
+        k = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        order = np.argsort(item[k], kind="stable")
+        k = k[order]
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(item[k])) + 1, [len(k)]))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            t = int(item[k[a]])
+            tokens, reach = self.tokens[t], np.zeros(len(self.tokens[t]), bool)
+            for j in range(width):
+                reach[place[k[a:b]] + j] = True
+            if reach.sum() < coverage * len(tokens):
+                continue
+            tiles = tile_by_length(tokens, mine, width)
+            covered = sum(x[2] for x in tiles)
+            if covered >= coverage * len(tokens):
+                yield d, t, covered, len(tiles)
+
+
 def _slices(benchmark: DataFrame, item_id: str, text: str, bound: int) -> list[DataFrame]:
     """The benchmark in slices of about bound words, by hash, after counting its words."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

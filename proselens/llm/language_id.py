@@ -115,12 +115,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return [names[i] for i in order], logp
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with ``lang_pred`` and ``score``, the posterior of that language. Other columns pass unchanged; columns of
-    these two names are replaced."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", margin: str | None = None) -> DataFrame:
+    """docs with ``lang_pred`` and ``score``, the posterior of that language, and, if it is named, a column ``margin``: how
+    much likelier a gram of the text is in that language than among evenly mixed grams, as a mean logarithm. It is above 0
+    for text of a learned language and below for what none of them explains; 0 without a letter. Other columns pass
+    unchanged; columns of these names are replaced."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("lang_pred", "score")
+    more = [("lang_pred", "string"), ("score", "double"), *([(margin, "double")] if margin else [])]
+    docs = docs.drop(*(n for n, _ in more))
     names, logp = model
     # Buckets in rows: a gram's values for all languages lie side by side.
     shared = spark.sparkContext.broadcast((names, np.ascontiguousarray(logp[:, :BUCKETS].T), logp[:, BUCKETS].astype(float) if names else None))
@@ -129,22 +132,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     def score(batches):
         names, table, prior = shared.value
         for b in (x.slice(k, 256) for x in batches for k in range(0, x.num_rows, 256)):
-            pred, conf = [], []
+            pred, conf, over = [], [], []
             for t in b.column(at).to_pylist():
                 cp = letters_of(t) if t else ()
                 if len(cp) == 0 or not names:
                     pred.append(UNDETERMINED)
                     conf.append(0.0)
+                    over.append(0.0)
                     continue
-                hits = np.bincount(np.concatenate(grams(cp)), minlength=BUCKETS) if len(cp) > 60_000 else None
-                s = prior + (hits @ table if hits is not None else sum(table[g].sum(0, dtype=np.float64) for g in grams(cp)))
+                own = grams(cp)
+                hits = np.bincount(np.concatenate(own), minlength=BUCKETS) if len(cp) > 60_000 else None
+                s = prior + (hits @ table if hits is not None else sum(table[g].sum(0, dtype=np.float64) for g in own))
                 e = np.exp(s - s.max())
                 k = int(s.argmax())
                 pred.append(names[k])
                 conf.append(float(e[k] / e.sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                over.append(float((s[k] - prior[k]) / sum(map(len, own)) + np.log(BUCKETS)))
+            columns = [pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(over, pa.float64())][: len(more)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *(n for n, _ in more)])
 
-    schema = schema_with(docs, ("lang_pred", "string"), ("score", "double"))
+    schema = schema_with(docs, *more)
     return docs.mapInArrow(lean(score), schema)
 
 

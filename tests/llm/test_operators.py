@@ -511,3 +511,46 @@ def test_html_deep_nesting(piece):
     html_extract.extract(f"<body>{piece * 100_000}</body>")
     assert time.process_time() - begin < 15 and tracemalloc.get_traced_memory()[1] < 200_000_000
     tracemalloc.stop()
+
+
+def test_tiles_without_seeds():
+    r = random.Random(9)
+    for high in (2, 3, 6):
+        for _ in range(25):
+            a, b = (np.array([r.randrange(high) for _ in range(n)], np.uint64) for n in (r.randrange(3, 40), r.randrange(3, 80)))
+            seeds = [(x, y) for x in range(len(a) - 2) for y in range(len(b) - 2) if (a[x : x + 3] == b[y : y + 3]).all()]
+            want = decontaminate.tile(a, b, *(np.array(x) for x in zip(*seeds)), 3) if seeds else []
+            assert decontaminate.tile_by_length(a, b, 3) == want
+
+
+def test_repetitive_texts(spark):
+    """Equal words by the thousand: the pairs of places, millions, are never listed."""
+    import time
+    import tracemalloc
+
+    items = [(1, "la " * 800), (2, "la " * 400 + "lo " * 400), (3, "one two three four five six")]
+    texts = ["la " * 8000, "la " * 500 + "lo " * 500, "la " * 350 + "other words of one two three four five six", "la lo " * 3000]
+    tracemalloc.start()
+    begin = time.process_time()
+    seeds = decontaminate.Seeds(items, 5)
+    got = {(d, t): (c, n) for d, t, c, n in seeds.pairs(Words(pa.array(texts), True), 0.75)}
+    assert got == {(0, 0): (800, 1), (1, 1): (800, 1), (2, 2): (6, 1)}
+    assert time.process_time() - begin < 5 and tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
+def test_language_by_hand(spark):
+    """Posteriors and margins of naive Bayes, worked out gram by gram."""
+    rows = [(0, "abba abc", "x"), (1, "cab", "x"), (2, "zyx zzy", "y"), (3, "Abc zy", None), (4, "ΩΨΩ", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.predict(docs, language_id.train(docs), margin="over").collect()}
+    counts = {g: Counter(int(x) for _, t, k in rows if k == g for o in language_id.grams(language_id.letters_of(t)) for x in o) for g in "xy"}
+    prior = {"x": np.log(2 / 3), "y": np.log(1 / 3)}
+    for d, t, _ in rows[:5]:
+        own = [int(x) for o in language_id.grams(language_id.letters_of(t)) for x in o]
+        lp = {g: sum(np.log((counts[g][x] + 0.5) / (sum(counts[g].values()) + 0.5 * language_id.BUCKETS)) for x in own) for g in "xy"}
+        best = max("xy", key=lambda g: prior[g] + lp[g])
+        z = {g: np.exp(prior[g] + lp[g] - prior[best] - lp[best]) for g in "xy"}
+        assert got[d]["lang_pred"] == best and abs(got[d]["score"] - 1 / sum(z.values())) < 1e-4
+        assert abs(got[d]["over"] - (lp[best] / len(own) + np.log(language_id.BUCKETS))) < 1e-4
+    assert got[5]["lang_pred"] == "und" and got[5]["over"] == 0.0
