@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 from proselens.llm import byte_bpe, decontaminate, language_id, near_dedup, substring_dedup
 from proselens.llm.common import materialise
 
-#: A document goes if the model gives its language a lower posterior.
-MIN_LANGUAGE_SCORE = 0.5
+#: Languages to keep; None keeps all that the model has learned.
+LANGUAGES: tuple[str, ...] | None = None
+#: A document goes if its grams aren't likelier by this mean logarithm in its language than among evenly mixed grams.
+MIN_MARGIN = 0.5
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are null or have no letter, and those that no language explains by at least
-    MIN_LANGUAGE_SCORE. The model learns from all labelled documents; if none is labelled, only the first rule holds."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """Drops documents that are null or have no letter, those in other languages than LANGUAGES, and those that no learned
+    language explains: unknown languages and scripts, and letters without order. The model learns from all labelled
+    documents; if none is labelled, only the first rule holds."""
     model = language_id.train(docs)
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = language_id.predict(docs, model)
-    return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    judged = language_id.predict(docs, model, margin="margin_")
+    good = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("margin_") > MIN_MARGIN)
+    wanted = languages or LANGUAGES
+    return judged.where(good & F.col("lang_pred").isin(*wanted) if wanted else good).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ STAGES = [
     ("byte_bpe", tokenise),
 ]
 
-#: Models, signatures and merges are beyond SQL; tests hold the operators against brute force, but not the stages or run().
+#: Models, signatures and merges are beyond SQL; tests/llm/test_pipeline.py holds every stage and run() against brute force.
 ORACLE_SQL = None
 
 
