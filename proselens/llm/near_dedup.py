@@ -38,6 +38,8 @@ SHARE = 75
 CHUNK = 1_000_000
 #: Nodes whose sets a task holds at a time; groups beyond it meet block by block.
 BLOCK = 1024
+#: A list of so many large groups (of four numbers each) may be broadcast.
+FEW_GROUPS = 100_000
 #: A shingle that more nodes of a task hold is counted by a matrix product, others by listing pairs.
 DENSE = 48
 _RNG = np.random.default_rng(20240607)
@@ -231,7 +233,9 @@ def confirmed(docs: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFra
     now = large.join(linked, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
     counts = now.groupBy("g", "c").agg(F.count("*").alias("n"))
     best = counts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("size")).select("g", F.col("m.c").alias("main"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("of_main"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).cast("int").alias("of_rest"))
-    at = now.join(best.where("of_rest > 0"), "g")
+    best = materialise(best.where("of_rest > 0"), "large")
+    # Few groups are this large; the list of them is only sent to all tasks if it is short.
+    at = now.join(F.broadcast(best) if best.count() <= FEW_GROUPS else best.hint("merge"), "g")
     rest, of_rest, of_main = F.col("c") != F.col("main"), F.col("of_rest"), F.col("of_main")
     block = F.when(rest, F.pmod(F.xxhash64("node"), of_rest)).otherwise(of_rest + F.pmod(F.xxhash64("node"), of_main)).cast("int")
     every = F.when(rest, F.sequence(zero, of_rest + of_main - 1)).otherwise(F.sequence(zero, of_rest - 1))
