@@ -554,3 +554,22 @@ def test_language_by_hand(spark):
         assert got[d]["lang_pred"] == best and abs(got[d]["score"] - 1 / sum(z.values())) < 1e-4
         assert abs(got[d]["over"] - (lp[best] / len(own) + np.log(language_id.BUCKETS))) < 1e-4
     assert got[5]["lang_pred"] == "und" and got[5]["over"] == 0.0
+
+
+def test_near_duplicates_of_a_whole_table(spark, sf_dir):
+    """Components of a driver table against all pairs: no link is lost."""
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {d: {hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))} if w else set() for d, w in rows}
+    having: dict = {}
+    for d, s in sets.items():
+        for x in s:
+            having.setdefault(x, []).append(d)
+    both = Counter((a, b) for ds in having.values() for i, a in enumerate(ds) for b in ds[i + 1 :])
+    least = {d: d for d in sets}
+    links = [(a, b) for (a, b), n in both.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    for _ in range(50):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert links
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert got == least
