@@ -61,7 +61,38 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op3_topk, op4_substring_dedup, op5_decontamination, op6_minhash, op7_katz, op8_token_files, op9_language_id, op10_warc)}
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Base-32 digits of 20 bits of a hexadecimal number.
+_DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {k}) & 31 AS BIGINT) + 1, 1)" for k in (15, 10, 5, 0))
+
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": f"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT rid, i, md5(array_to_string(ws[i : i + 34], ' ')) AS k FROM (SELECT *, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM win JOIN again USING (k)),
+pos AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM w),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM pos ANTI JOIN gone USING (rid, j) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (rid)
+""",
+    "op6_minhash": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 4], ' ')) AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * m >= 75 * (p.n + q.n - m)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM c LEFT JOIN n USING (doc_id)
+""",
+    "op10_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages),
+g AS (SELECT page_id, i, CAST('0x' || substr(sha1(html), CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT) AS v FROM (SELECT *, unnest(range(0, 8)) AS i FROM p)),
+d AS (SELECT page_id, string_agg({_DIGITS}, '' ORDER BY i) AS payload_digest FROM g GROUP BY page_id)
+SELECT page_id, strlen(html) AS payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to FROM p JOIN d USING (page_id)
+""",
     "op3_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
