@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_extract, katz, language_id, near_dedup, substring_dedup, token_files, topk, warc
+from . import byte_bpe, centroids, decontaminate, html_extract, katz, language_id, near_dedup, substring_dedup, token_files, topk, warc
 from .common import fold_of
 
 
@@ -59,14 +59,37 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op3_topk, op4_substring_dedup, op5_decontamination, op6_minhash, op7_katz, op8_token_files, op9_language_id, op10_warc)}
+def op13_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.describe(*centroids.cluster(_table(spark, sf_dir, "embeddings", "vec_id", "embedding")), "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op3_topk, op4_substring_dedup, op5_decontamination, op6_minhash, op7_katz, op8_token_files, op9_language_id, op10_warc, op13_annulus)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Base-32 digits of 20 bits of a hexadecimal number.
 _DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {k}) & 31 AS BIGINT) + 1, 1)" for k in (15, 10, 5, 0))
 
+#: One round of op13: v{k}, the centroids before it, gives v{k + 1}; a{k} has the assignments.
+_ROUND = """
+a{k} AS (SELECT vec_id, rid, min(struct_pack(d := d, c := c)) AS best FROM (
+  SELECT v.vec_id, v.rid, z.c, CAST(list_sum(list_transform(list_zip(v.e, z.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, z{k} z) GROUP BY ALL)"""
+_MOVE = """,
+s{k} AS (SELECT best.c AS c, j, sum(e[j]) AS s, count(*) AS n FROM (SELECT best, e, unnest(range(1, 65)) AS j FROM a{k} JOIN v USING (rid)) GROUP BY ALL),
+m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS e FROM s{k} GROUP BY c),
+z{next} AS (SELECT z.c, coalesce(m.e, z.e) AS e FROM z{k} z LEFT JOIN m{k} m USING (c)),"""
+
 ORACLES: dict[str, str] = {
+    "op13_annulus": f"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+z0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS INTEGER) AS c, e FROM (SELECT * FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), e LIMIT 16)),
+{"".join(_ROUND.format(k=k) + (_MOVE.format(k=k, next=k + 1) if k < 3 else "") for k in range(4))}
+SELECT a.vec_id, a.best.c AS cluster, a.best.d AS distance, CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.e, ',')) AS centroid_sha256 FROM a3 a JOIN z3 z ON a.best.c = z.c
+""",
     "op4_substring_dedup": f"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 win AS (SELECT rid, i, md5(array_to_string(ws[i : i + 34], ' ')) AS k FROM (SELECT *, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
