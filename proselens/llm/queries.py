@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroids, decontaminate, html_extract, katz, language_id, near_dedup, substring_dedup, token_files, topk, warc
+from . import byte_bpe, centroids, decontaminate, hard_negatives, html_extract, katz, language_id, near_dedup, substring_dedup, token_files, topk, warc
 from .common import fold_of
 
 
@@ -59,11 +59,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    mislabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", mislabelled), F.col("vec_id") % 100 == 0)
+
+
 def op13_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.describe(*centroids.cluster(_table(spark, sf_dir, "embeddings", "vec_id", "embedding")), "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op3_topk, op4_substring_dedup, op5_decontamination, op6_minhash, op7_katz, op8_token_files, op9_language_id, op10_warc, op13_annulus)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op3_topk, op4_substring_dedup, op5_decontamination, op6_minhash, op7_katz, op8_token_files, op9_language_id, op10_warc, op11_hard_negatives, op13_annulus)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,6 +86,22 @@ m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j)
 z{next} AS (SELECT z.c, coalesce(m.e, z.e) AS e FROM z{k} z LEFT JOIN m{k} m USING (c)),"""
 
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS rid, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label = c.label AS same, c.rid, c.vec_id, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.rid <> c.rid AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0
+), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.vec_id, s.rid) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""",
     "op13_annulus": f"""
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings

@@ -7,7 +7,9 @@ import random
 import numpy as np
 import pytest
 
-from proselens.llm import centroids
+from pyspark.sql import functions as F
+
+from proselens.llm import centroids, hard_negatives
 
 SCHEMA = "vec_id long, embedding array<double>, label int, cluster string, distance double"
 
@@ -78,3 +80,52 @@ def test_annulus_rules_out(monkeypatch):
     assert (best == d.argmin(1)).all() and (least == d.min(1)).all()
     with pytest.raises(ValueError):
         list(centroids.by_length(__import__("pyarrow").array([[1e308]]), 64))
+
+
+def plain_negatives(rows, n_pos, n_neg, every):
+    kept = [(i, integers(x, 256), lab) for i, x, lab in rows if fine(x) and i is not None and lab is not None]
+    out = []
+    for a, (i, x, lab) in enumerate(kept):
+        if i % every:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), j, b) for b, (j, y, _) in enumerate(kept) if b != a and len(x) == len(y))
+        for s, j, _ in [t for t in scored if kept[t[2]][2] == lab][:n_pos]:
+            hits = [t for t in scored if kept[t[2]][2] != lab and 30 * -s <= 100 * -t[0] <= 90 * -s][:n_neg]
+            out += [(i, j, k + 1, t[1], -s, -t[0]) for k, t in enumerate(hits)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [4 << 20, 2000])
+def test_hard_negatives(spark, size, monkeypatch):
+    """Chunks and blocks of all rows and of a few, with components that need more than 53 bits in one chunk."""
+    monkeypatch.setattr(hard_negatives, "CHUNK", size)
+    monkeypatch.setattr(hard_negatives, "BLOCK", size)
+    rows = odd_rows(8) + [(5000, [9.0e6, 1.0] * 4, 1), (5001, [8.0e6, 1.0] * 4, 1), (5002, [7.0e6, -1.0] * 4, 2)]
+    got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 50 == 0, positives=3, negatives=4)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(map(tuple, got.collect())) == plain_negatives(rows, 3, 4, 50)
+    assert hard_negatives.mine(frame(spark, rows).limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert hard_negatives.mine(frame(spark, rows), F.lit(None).cast("boolean")).count() == 0
+
+
+def test_scores_beyond_64_bits_are_errors(spark):
+    rows = [(0, [3.0e12, 0.0], 1), (1, [3.0e12, 1.0], 1), (2, [1.0, 1.0], 2)]
+    with pytest.raises(Exception, match="fit 64 bits"):
+        hard_negatives.mine(frame(spark, rows), F.col("vec_id") == 0).collect()
+    # Too large a score that isn't among the results is none.
+    rows = [(0, [3.0e12, 0.0], 1), (1, [0.0, 1.0], 1), (2, [-3.0e12, 1.0], 2), (3, [0.0, 2.0], 2), (4, [3.0e12, 0.0], 3)]
+    assert [tuple(r) for r in hard_negatives.mine(frame(spark, rows), F.col("vec_id") == 0).collect()] == [(0, 1, 1, 3, 0, 0)]
+
+
+def test_bit_slices_drop_candidates():
+    """The pairs that are left hold an anchor's best, and are few."""
+    r = np.random.default_rng(1)
+    a, x = r.integers(-120, 120, (20, 64)).astype(float), r.integers(-120, 120, (3000, 64)).astype(float)
+    exact = a @ x.T
+    low, high = np.full((2, 20), -1e18), np.stack([np.full(20, 1e18), np.quantile(exact, 0.6, 1)])
+    slot, anchor, row, score = hard_negatives.sliced(a, x, low, high, np.full((2, 20), -np.inf), 10, np.ones((2, 20, 3000), bool))
+    assert (score == exact[anchor, row]).all() and len(score) < 0.02 * 2 * exact.size
+    for s in range(2):
+        for i in range(20):
+            mine = np.sort(score[(slot == s) & (anchor == i)])[::-1][:10]
+            assert (mine == np.sort(exact[i][exact[i] <= high[s, i]])[::-1][:10]).all()
