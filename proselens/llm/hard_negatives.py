@@ -37,6 +37,8 @@ CHUNK, BLOCK = 4 << 20, 4 << 20
 FIRST = 8
 #: Anchors and rows of one step of products.
 STEP = 128, 4096
+#: What stands for scores that don't fit.
+BEYOND = 2**63 - 1
 _PACKED = "dim int, chunk long, ids binary, rids binary, labels binary, flags binary, x binary"
 _ANCHORS = "dim int, block long, ids binary, rids binary, labels binary, x binary, low binary, high binary, has binary, least binary"
 
@@ -108,7 +110,9 @@ def sliced(a: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, leas
             kth = np.partition(sure, -k, 1)[:, -k] if sure.shape[1] >= k else np.full(len(a), -np.inf)
             w &= hi >= np.maximum(kth, least[i])[:, None]
         used = alive.any((0, 1))
-        if used.mean() < 0.7 if len(used) else False:
+        if not used.any():
+            return (np.zeros(0, np.int64),) * 4
+        if used.mean() < 0.7:
             columns, rest, s, alive = columns[used], rest[used], s[:, used], alive[:, :, used]
         if p and alive.any(0).mean() < 0.05:
             return _pairs(a, columns, rest, s, p, low, high, least, alive)
@@ -142,7 +146,9 @@ def _plain(a, x, low, high, alive):
             s = s + a.dot(plane.T) * (1 << p)
     for i in range(len(alive)):
         for j in range(len(a)):
-            alive[i, j] &= np.array([low[i][j] <= v <= high[i][j] for v in s[j]], bool)
+            least, most = int(low[i][j]), int(high[i][j])
+            # The ends stand for no bound.
+            alive[i, j] &= np.array([(least <= v or least < -BEYOND) and (v <= most or most == BEYOND) for v in s[j]], bool)
     slot, anchor, row = np.nonzero(alive)
     return slot, anchor, row, s[anchor, row]
 
@@ -177,8 +183,6 @@ def _search(rows: Rows, anchors: Rows, same: bool, k: int, low: np.ndarray, high
 
 
 _FOUND = "rid long, slot int, row long, row_id long, score long"
-#: What stands for scores that don't fit.
-BEYOND = 2**63 - 1
 
 
 def _meet(chunks: DataFrame, blocks: DataFrame, same: bool, k: int) -> DataFrame:
@@ -260,7 +264,7 @@ def mine(vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.element_at(of, F.col("dim"))).cast("long"))
     chunks = chunks.drop("flags")
     none = F.array(F.lit(float("-inf")))
-    found = _rounds(chunks, rows.select("*", F.array(F.lit(-(2**63))).alias("low"), F.array(F.lit(BEYOND)).alias("high"), F.array(F.lit(True)).alias("has"), none.alias("least")), True, positives, "positives")
+    found = _rounds(chunks, rows.select("*", F.array(F.lit(-BEYOND - 1)).alias("low"), F.array(F.lit(BEYOND)).alias("high"), F.array(F.lit(True)).alias("has"), none.alias("least")), True, positives, "positives")
     fits = F.when(F.col("score") == BEYOND, F.raise_error(F.lit("a positive's score doesn't fit 64 bits")).cast("long")).otherwise(F.col("score"))
     slots = F.array_sort(F.collect_list(F.struct("rank", "row_id", fits.alias("score"))))
     listed = materialise(found.groupBy("rid").agg(slots.alias("p")).join(rows, "rid"), "listed")

@@ -100,7 +100,7 @@ def test_hard_negatives(spark, size, monkeypatch):
     """Chunks and blocks of all rows and of a few, with components that need more than 53 bits in one chunk."""
     monkeypatch.setattr(hard_negatives, "CHUNK", size)
     monkeypatch.setattr(hard_negatives, "BLOCK", size)
-    rows = odd_rows(8) + [(5000, [9.0e6, 1.0] * 4, 1), (5001, [8.0e6, 1.0] * 4, 1), (5002, [7.0e6, -1.0] * 4, 2)]
+    rows = odd_rows(8) + [(5000, [3.0e6, 1.0] * 4, 1), (5001, [2.5e6, 1.0] * 4, 1), (5002, [2.0e6, -1.0] * 4, 2)]
     got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 50 == 0, positives=3, negatives=4)
     assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     assert sorted(map(tuple, got.collect())) == plain_negatives(rows, 3, 4, 50)
