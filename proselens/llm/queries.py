@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroids, decontaminate, hard_negatives, html_extract, katz, language_id, near_dedup, substring_dedup, token_files, topk, warc
+from . import byte_bpe, byte_dedup, centroids, decontaminate, hard_negatives, html_extract, katz, language_id, near_dedup, substring_dedup, token_files, topk, warc
 from .common import fold_of
 
 
@@ -65,11 +65,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", mislabelled), F.col("vec_id") % 100 == 0)
 
 
+def op12_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.describe(*centroids.cluster(_table(spark, sf_dir, "embeddings", "vec_id", "embedding")), "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op3_topk, op4_substring_dedup, op5_decontamination, op6_minhash, op7_katz, op8_token_files, op9_language_id, op10_warc, op11_hard_negatives, op13_annulus)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op3_topk, op4_substring_dedup, op5_decontamination, op6_minhash, op7_katz, op8_token_files, op9_language_id, op10_warc, op11_hard_negatives, op12_run_index, op13_annulus)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -86,6 +90,17 @@ m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j)
 z{next} AS (SELECT z.c, coalesce(m.e, z.e) AS e FROM z{k} z LEFT JOIN m{k} m USING (c)),"""
 
 ORACLES: dict[str, str] = {
+    "op12_run_index": """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT rid, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS k FROM (SELECT *, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT rid, i, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i) + 200, -1) AS new FROM win JOIN again USING (k)),
+runs AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS run FROM gone) GROUP BY rid, run),
+gaps AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS free FROM runs),
+r AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n, max(b) AS last, string_agg(substr(h, CAST(2 * free + 1 AS BIGINT), CAST(2 * (a - free) AS BIGINT)), '' ORDER BY a) AS front FROM gaps JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN r USING (rid)
+""",
     "op11_hard_negatives": """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS rid, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
