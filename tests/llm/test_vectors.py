@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from proselens.llm import centroids, hard_negatives
+from proselens.llm import centroids, hard_negatives, topk
 
 SCHEMA = "vec_id long, embedding array<double>, label int, cluster string, distance double"
 
@@ -129,3 +129,29 @@ def test_bit_slices_drop_candidates():
         for i in range(20):
             mine = np.sort(score[(slot == s) & (anchor == i)])[::-1][:10]
             assert (mine == np.sort(exact[i][exact[i] <= high[s, i]])[::-1][:10]).all()
+
+
+def plain_top(rows, k, is_query):
+    kept = [(i, integers(x, 1024)) for i, x, _ in rows if fine(x) and i is not None]
+    out = []
+    for a, (i, x) in enumerate(kept):
+        if is_query(i):
+            scored = sorted((-sum(p * q for p, q in zip(x, y)), j) for b, (j, y) in enumerate(kept) if b != a and len(x) == len(y))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_top_k_of_every_row(spark):
+    """Every query row answers for itself and is found by others of its id; large components, empty vectors and odd rows."""
+    rows = odd_rows(8) + [(6000, [3.0e6, 0.0] + [0.0] * 6, 1), (6001, [1.0, 1.0] + [0.0] * 6, 1), (6050, [], 1), (6051, [], 1), (6052, [1.0e30] + [0.0] * 7, 1), (6100, [0.0, 1.0] * 4, 2)]
+    # Scores with the largest one don't fit if its first component meets another.
+    rows = [(i, x if x is None or i in (6000, 6001, 6052) or len(x) != 8 or i is None else [0.0, *x[1:]], lab) for i, x, lab in rows]
+    rows = [r for r in rows if r[0] not in (6000, 6001)]
+    for pivots in (None, 3):
+        got = topk.search(frame(spark, rows), F.col("vec_id") % 50 == 0, k=4, pivots=pivots)
+        assert sorted(map(tuple, got.collect())) == plain_top(rows, 4, lambda i: i % 50 == 0)
+    few = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (7, [3.0e6, 0.0], 1), (8, [2.0, 5.0], 1)]
+    got = topk.search(frame(spark, few), F.col("vec_id") == 0, k=10)
+    assert sorted(map(tuple, got.collect())) == plain_top(few, 10, lambda i: i == 0)
+    with pytest.raises(Exception, match="fit 64 bits"):
+        topk.search(frame(spark, [(0, [3.0e9, 0.0], 1), (1, [3.0e9, 1.0], 1)]), F.col("vec_id") == 0).collect()
