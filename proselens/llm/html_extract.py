@@ -1,17 +1,22 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-A page is cut into text nodes, each with its root-to-leaf tag path. Every path gets two ratios: characters of text a
-node, and punctuation marks a node. Both sequences, in page order, are smoothed with a small Gaussian window and fused
-by product; paths whose fused score passes a threshold are content, on every page. The region of the page is the
-innermost article or main that holds most of the content's text (or all that together hold it), else the innermost
-sectioning element that does; articles and mains with little of it don't count. Inside of the region short headings and
-lines between content survive, in an article or main also its first and last lines; lists of links there that the scores
-don't pass are dropped.
-
-Elements that never hold an article (scripts, forms, menus, ...), hidden ones, and elements whose class or id names such
-a role by a whole token (site-footer, but not footer-story or has-sidebar) are left out before the ratios are taken. A
-name alone doesn't rule out a wrapper: an element stays if it is around the largest article or main or around most of the
-page's text.
+A page is cut into blocks of text, each with its root-to-leaf tag path. Every path gets two ratios: characters of text a
+block, and punctuation marks a block; a block has at least its own. Both sequences, in page order, are smoothed with a small
+Gaussian window and fused by product; blocks whose fused score passes a threshold are content, on every page and whatever
+its elements are called. What the scores pass shows where the article is: its region is the innermost sectioning element that
+holds most of the content's text, and grows to an enclosing one (up to the article or main around it, where there is one)
+whose further text is content, too. Elements that never hold an article (menus, forms, footers, ...) and those named so have no
+place in it.
+
+Inside of the region a block is kept if it is content; one that is too short to pass by itself (a heading, a lead, an item,
+a closing line) is kept as well unless links make up most of it. A block long enough to pass by itself that doesn't, isn't
+content.
+
+Elements that are hidden or hold no text for readers (scripts, forms, menus, ...), and those whose class or id names such
+a role, are left out before the ratios are taken. For what is around or beside an article (adverts, comments, shares, related
+stories, consent) a part of a name is enough (article-comments, cookiebar); for words that have other meanings as well
+(header, form, side) all parts must be roles or neutral. A name alone doesn't rule out a wrapper: an element stays if it is
+around the largest article or main or around most of the page's text.
 
 Defined results: null or empty html, and pages without content, give an empty text and 0 characters. Broken mark-up
 (unclosed or crossed tags, a cut end) never raises. Time and memory are in proportion to the page however deep its
@@ -41,14 +46,21 @@ OUT = frozenset("head nav header footer aside form menu dialog button select opt
 #: Words in class and id tokens that name roles. A token names one if all its parts are such words or neutral ones, so
 #: that side-effects, header-image and form-follows-function name none.
 ROLES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promos nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget widgets cookie cookies consent notice notices alert alerts gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist discussion reactions thread replies reply disqus respond copyright legal disclaimer pagination pager toolbar search form tags".split()
+    "feedback responses response ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promos nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget widgets cookie cookies consent notice notices alert alerts gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist discussion reactions thread replies reply disqus respond copyright legal disclaimer pagination pager toolbar search form tags".split()
 )
 #: Of these, the roles of parts of an article, and those that an article or main element can have.
-CONTENT_ROLES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promos related recommended recommendations comment comments commentlist discussion reactions thread replies reply disqus respond".split())
-_NEUTRAL = frozenset("box block wrapper wrap container list section bar area widget top bottom left right main site page global primary secondary inner outer item items user users reader readers post posts links link icons buttons button text message form holder slot unit zone panel row col column left1 js the".split())
+CONTENT_ROLES = frozenset("feedback responses response ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promos related recommended recommendations comment comments commentlist discussion reactions thread replies reply disqus respond".split())
+_NEUTRAL = frozenset("box block wrapper wrap container list section bar area widget top bottom left right main site page global primary secondary inner outer item items user users reader readers post posts links link icons buttons button text message form holder slot unit articles stories news videos reading zone panel row col column left1 js the".split())
 
 
-def roles_of(names: str) -> frozenset[str]:
+#: Of the roles, those that one part of a name is enough for, and the beginnings of parts that are.
+PLAIN_ROLES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos breadcrumb breadcrumbs sidebar cookie cookies consent gdpr newsletter comment comments commentlist disqus respond responses feedback recommended recommendations navbar masthead pagination".split())
+_BEGINNINGS = ("cookie", "advert", "sponsor", "breadcrumb", "newsletter", "comments", "commentlist", "disqus", "gdpr")
+#: Elements that a part of a name is enough for; headings and inline elements are named after what they say.
+_BOXES = frozenset("div section ul ol aside table tr td dl details figure article li".split())
+
+
+def roles_of(names: str, box: bool = True) -> frozenset[str]:
     """The roles that the tokens of a class or id attribute name."""
     out: set[str] = set()
     for token in names.split():
@@ -56,13 +68,16 @@ def roles_of(names: str) -> frozenset[str]:
         named = ROLES.intersection(parts)
         if named and all(x in ROLES or x in _NEUTRAL for x in parts):
             out |= named
+        elif box:
+            out |= PLAIN_ROLES.intersection(parts)
+            out |= {"comments" if x.startswith("comment") else "cookie" if x.startswith(("cookie", "gdpr")) else "ads" for x in parts if x.startswith(_BEGINNINGS)}
     return frozenset(out)
 
 
 OUT_TAG, OUT_ROLE, OUT_MINOR = 1, 2, 3
 ROLE_ATTRS = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 CONTENT = frozenset(("article", "main"))
-_SECTIONS = frozenset("body div section td blockquote article main".split())
+_SECTIONS = frozenset("body div section td article main".split())
 # An attribute's value is quoted only where a quote follows its equals sign; a quote elsewhere is a character like any.
 _VALUE = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:{_VALUE}))*)(?:>|\Z)|([^<]+|<)", re.S)
@@ -72,7 +87,7 @@ _SPACE = re.compile(r"\s+")
 #: Elements whose start closes an open one of the same family.
 _CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SIGMA = 1.0
-#: A path is content if its fused, smoothed score is at least this share of the page's mean score.
+#: A block is content if its fused, smoothed score is at least this share of the page's mean score.
 SHARE = 0.5
 #: A region holds at least this share of the content's text.
 MOST = 0.75
@@ -87,7 +102,7 @@ def _is_out(tag: str, attrs: str, inside: bool) -> int:
         if a.get("role", "").lower() in ROLE_ATTRS or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or "hidden" in a:
             return OUT_TAG
         if tag not in ("html", "body"):
-            named = roles_of(f"{a.get('class', '')} {a.get('id', '')}")
+            named = roles_of(f"{a.get('class', '')} {a.get('id', '')}", tag in _BOXES)
             if named & CONTENT_ROLES:
                 return OUT_MINOR
             if named and tag not in CONTENT:
@@ -174,7 +189,8 @@ class Page:
     def barred(self) -> list[bool]:
         """The elements that a role leaves out, with all that is in them. A wrapper stays: one around the article or main
         with the most text, or one that most of the page's text lies in. Of adverts, comments and the like, which often
-        hold articles of their own, only an article with most of the page's text makes a wrapper. Text of links doesn't
+        hold articles of their own, only an article with most of the page's text makes a wrapper, or, without any article
+        outside, that nearly all text is in it and in nothing so named within it. Text of links doesn't
         count."""
         n = len(self.tag)
         minor = [False] * n
@@ -185,6 +201,10 @@ class Page:
             size = 0 if link else len(t.strip())
             text[e] += size
             main[e] += 0 if minor[e] else size
+        # Of each element so named its text, without that of others so named within it.
+        bare = list(text)
+        for k in range(n - 1, 0, -1):
+            bare[self.parent[k]] += 0 if self.kind[k] == OUT_MINOR else bare[k]
         text, main = self.sums(text), self.sums(main)
         articles = [k for k in range(1, n) if self.tag[k] in CONTENT]
         largest = max((text[k] for k in articles if not minor[k]), default=0)
@@ -197,16 +217,19 @@ class Page:
         for k in range(1, n):
             out[k] = out[self.parent[k]]
             if self.kind[k] == OUT_MINOR:
-                out[k] |= 2 * inner[k] <= text[0]
+                out[k] |= 2 * inner[k] <= text[0] and (largest > 0 or bare[k] < MOST * text[0])
             elif self.kind[k] == OUT_ROLE:
                 out[k] |= not (inner[k] >= largest > 0 or 2 * main[k] > main[0])
         return out
 
 
+_REACH = math.ceil(3 * SIGMA)
+_KERNEL = np.exp(-0.5 * (np.arange(-_REACH, _REACH + 1) / SIGMA) ** 2)
+_KERNEL /= _KERNEL.sum()
+
+
 def _smooth(x: np.ndarray) -> np.ndarray:
-    r = math.ceil(3 * SIGMA)
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / SIGMA) ** 2)
-    return np.convolve(np.pad(x, r, mode="edge"), k / k.sum(), "valid")
+    return np.convolve(np.pad(x, _REACH, mode="edge"), _KERNEL, "valid")
 
 
 def extract(page: str | None) -> str:
@@ -228,46 +251,62 @@ def extract(page: str | None) -> str:
     rows = [(e, t, links) for e, raw, links, _ in blocks.values() if (t := _SPACE.sub(" ", "".join(raw)).strip())]
     if not rows:
         return ""
-    sizes = np.array([len(t) for _, t, _ in rows])
-    # Inline elements don't split a paragraph's path.
-    _, of = np.unique([tree.path[e] for e, _, _ in rows], return_inverse=True)
-    n = np.bincount(of)
-    chars = np.bincount(of, sizes) / n
-    marks = np.bincount(of, [len(_PUNCT.findall(t)) for _, t, _ in rows]) / n
-    fused = _smooth(chars[of]) * (1 + _smooth(marks[of]))
-    path_score = np.bincount(of, fused) / n
-    content = path_score[of] > SHARE * fused.mean()
+    content, short = judge([tree.path[e] for e, _, _ in rows], [t for _, t, _ in rows])
     if not content.any():
         return ""
-    # The region: of the sectioning elements that hold most of the content's text the innermost, an article or main first.
-    own, named = [0] * len(tree.tag), [0] * len(tree.tag)
-    for k in range(1, len(tree.tag)):
+    inside = _region(tree, rows, content)
+    # What is too short for its score to tell is kept by its place, but for links.
+    place = short & np.array([2 * links <= len(t) for _, t, links in rows])
+    return "\n".join(t for keep, (_, t, _) in zip(inside & (content | place), rows, strict=True) if keep)
+
+
+def judge(paths: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(content, short) of a page's blocks by their tag paths and texts: whether a block's score passes the threshold, and
+    whether it can't by its own text alone."""
+    size, marks = np.array([len(t) for t in texts]), np.array([len(_PUNCT.findall(t)) for t in texts])
+    # Inline elements don't split a paragraph's path.
+    _, of = np.unique(paths, return_inverse=True)
+    n = np.bincount(of)
+    chars_ratio, marks_ratio = (np.maximum((np.bincount(of, x) / n)[of], x) for x in (size, marks))
+    fused = _smooth(chars_ratio) * (1 + _smooth(marks_ratio))
+    least = SHARE * fused.mean()
+    own = _KERNEL.max() * size * (1 + _KERNEL.max() * marks)
+    return fused > least, own <= least
+
+
+def _region(tree: Page, rows: list, content: np.ndarray) -> np.ndarray:
+    """Which blocks lie in the region of the page's content."""
+    count = len(tree.tag)
+    own, every, links, good = ([0] * count for _ in range(4))
+    named = [False] * count
+    for k in range(1, count):
         named[k] = named[tree.parent[k]] or tree.tag[k] in CONTENT
-    for keep, (e, t, _) in zip(content, rows, strict=True):
+    for keep, (e, t, link) in zip(content, rows, strict=True):
         own[e] += len(t) if keep else 0
-    weight = tree.sums(own)
-    total = sum(own)
+        every[e] += len(t)
+        links[e] += link
+        good[e] += len(t) if keep or _block_tag(tree, e) in _HEADINGS else 0
     marked = sum(w for w, x in zip(own, named, strict=True) if x)
-    strong = [k for k in range(1, len(tree.tag)) if tree.tag[k] in _SECTIONS and weight[k] >= MOST * total]
-    articles = [k for k in strong if tree.tag[k] in CONTENT]
-    if articles:
-        regions = {articles[-1]}
-    elif marked >= MOST * total:  # several articles hold it together
-        regions = {k for k in range(1, len(tree.tag)) if tree.tag[k] in CONTENT and weight[k]}
+    own, every, links, good = (tree.sums(x) for x in (own, every, links, good))
+    total = own[0]
+    strong = [k for k in range(1, count) if tree.tag[k] in _SECTIONS and own[k] >= MOST * total]
+    if marked >= MOST * total and not any(tree.tag[k] in CONTENT for k in strong):  # several articles hold it together
+        regions = {k for k in range(1, count) if tree.tag[k] in CONTENT and own[k]}
     else:
-        regions = {strong[-1]} if strong else {0}
-    within = [False] * len(tree.tag)
-    for k in range(len(tree.tag)):
+        region = strong[-1] if strong else 0
+        around = next((k for k in reversed(strong) if tree.tag[k] in CONTENT), None)
+        up = tree.parent[region]
+        while region and up and (around is not None and around < region or tree.tag[up] not in ("body", "html")):
+            more, further = every[up] - every[region], good[up] - good[region]
+            if around is None or region <= around:
+                if around is not None or 2 * further < more or 2 * (links[up] - links[region]) > more:
+                    break
+            region, up = up, tree.parent[up]
+        regions = {region}
+    within = [False] * count
+    for k in range(count):
         within[k] = k in regions or (k > 0 and within[tree.parent[k]])
-    inside = np.array([within[e] for e, _, _ in rows])
-    # Inside of it, headings and lines between content blocks come along, and all of an article's but its link lists.
-    at = np.flatnonzero(content & inside)
-    heading = np.array([_block_tag(tree, e) in _HEADINGS for e, _, _ in rows])
-    in_article = all(tree.tag[k] in CONTENT for k in regions)
-    whole = np.array([2 * links <= len(t) for _, t, links in rows]) & in_article
-    between = (np.arange(len(rows)) >= at[0]) & (np.arange(len(rows)) <= at[-1]) if len(at) else False
-    content = inside & (content | heading | whole | between)
-    return "\n".join(t for keep, (_, t, _) in zip(content, rows, strict=True) if keep)
+    return np.array([within[e] for e, _, _ in rows])
 
 
 _HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
