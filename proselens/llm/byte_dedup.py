@@ -39,7 +39,7 @@ BLOCK = 4_000_000
 #: Occurrences of a hash, up to which its stretches meet in one index.
 HOT = 1024
 #: Bytes of stretches in one index (a hash's stretches stay together).
-INDEX = 1 << 20
+INDEX = 1 << 18
 _STEP = 1 << 17
 _LOW = np.uint64(0xFFFFFFFF)
 

@@ -29,25 +29,31 @@ def suffixes(keys: np.ndarray) -> np.ndarray:
     """The places in the order of their suffixes, by doubling the length that is sorted; places whose suffixes are settled
     are left alone."""
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     # What ends within the key is settled: equal ones are in the order of their separators.
-    starts = np.concatenate(([True], (k[1:] != k[:-1]) | ((k[1:] & np.uint64(255)) == 0)))
+    ended = np.flatnonzero((k & np.uint64(255)) == 0)
+    order[ended] = order[ended][np.lexsort((order[ended], k[ended]))]
+    starts = np.concatenate(([True], k[1:] != k[:-1]))
+    starts[ended] = True
+    at = np.flatnonzero(starts)
+    size = np.diff(np.concatenate((at, [n])))
     rank, h = np.empty(n, np.int64), 8
-    while True:
-        at = np.flatnonzero(starts)
-        size = np.diff(np.concatenate((at, [n])))
-        rank[order] = np.repeat(at, size)
-        slots = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(slots):
-            return order
+    rank[order] = np.repeat(at, size)
+    slots = np.flatnonzero(np.repeat(size > 1, size))
+    while len(slots):
+        # Only rows whose suffixes are alike so far are sorted again, within their slots.
         places = order[slots]
         key = (rank[places] << 32) | rank[places + h]
-        moved = np.argsort(key, kind="stable")
-        order[slots] = places[moved]
-        key = key[moved]
-        starts[slots[1:]] |= key[1:] != key[:-1]
+        moved = np.argsort(key)
+        places, key = places[moved], key[moved]
+        order[slots] = places
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((at, [len(slots)])))
+        rank[places] = np.repeat(slots[at], size)
+        slots = slots[np.repeat(size > 1, size)]
         h *= 2
+    return order
 
 
 def shared(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
