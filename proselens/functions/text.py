@@ -15,8 +15,13 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: The characters that have the White_Space property.
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """No white space at the ends. Trimming looks at the ends alone, so that long runs of blanks inside cost nothing."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -62,8 +67,28 @@ def page_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"[\t\u00A0]+", " ")
 
 
+#: What opens and closes formulas that end otherwise than they begin, and noncharacters that stand for openers meanwhile.
+_FORMULAS = (("\\(", "\\)", "\ufdd0"), ("\\[", "\\]", "\ufdd1"), ("\\begin{equation}", "\\end{equation}", "\ufdd2"))
+
+
+def _aside(opener: str, closer: str, mark: str):
+    def of(x: Column) -> Column:
+        rest = F.substring_index(x, closer, -1)
+        return F.concat(F.left(x, F.length(x) - F.length(rest)), F.replace(rest, F.lit(opener), F.lit(mark)))
+
+    return of
+
+
 def strip_math(c: Column) -> Column:
-    return F.regexp_replace(c, C.MATH, " ")
+    """Formulas as one space. Openers behind the last closer of their kind open nothing; they are put aside, as each would
+    look for its end through the rest of the text."""
+    held = c
+    for opener, closer, mark in _FORMULAS:
+        held = F.when(held.contains(opener), let(held, _aside(opener, closer, mark))).otherwise(held)
+    out = F.regexp_replace(held, C.MATH, " ")
+    for opener, _, mark in _FORMULAS:
+        out = F.replace(out, F.lit(mark), F.lit(opener))
+    return F.when(c.rlike(r"[$\\]"), out).otherwise(c)
 
 
 def clean_sentence(c: Column) -> Column:

@@ -62,16 +62,17 @@ def split_heading_tails(lines: Column) -> Column:
     return T.let(end, lambda e: F.concat(F.transform(F.slice(lines, F.lit(1), e["at"]), lambda x: block(F.lit("HEADING"), F.array(x))), F.array(block(e["kind"], F.slice(lines, e["at"] + 1, F.size(lines))))))
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", page: Column | None = None) -> DataFrame:
-    """(doc_id, page, chunk, lines): what blank lines separate; lines stripped, blank ones dropped."""
-    cut = docs.select(doc_id, (F.lit(1) if page is None else page).alias("page"), F.posexplode(F.split(text, r"\n\s*\n")).alias("chunk", "raw_"))
+def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, page, chunk, lines): what blank lines separate on each page; lines stripped, blank ones dropped. docs have a
+    row a page, with a column page, or a row a document, which is page 1."""
+    cut = docs.select(doc_id, (F.col("page") if "page" in docs.columns else F.lit(1)).alias("page"), F.posexplode(F.split(text, r"\n\s*\n")).alias("chunk", "raw_"))
     lines = F.filter(F.transform(F.split("raw_", "\n"), T.strip), lambda x: x != "")
     return cut.select(doc_id, "page", "chunk", lines.alias("lines")).where(F.size("lines") > 0)
 
 
 def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, block_id, page, block_type, text, metadata): block ids are dense from 0 in document order. A table's text
-    is a numbered placeholder, its lines go to the metadata."""
+    """(doc_id, block_id, page, block_type, text, metadata): block ids are dense from 0 in the order of pages (see chunks),
+    chunks and their parts. A table's text is a placeholder, numbered through the document, its lines go to the metadata."""
     cut = chunks(docs, doc_id, text).select(doc_id, "page", "chunk", F.posexplode(split_heading_tails(F.col("lines"))).alias("part", "b_")).select(doc_id, "page", "chunk", "part", "b_.*")
     order = Window.partitionBy(doc_id).orderBy("page", "chunk", "part")
     table = F.col("block_type") == "TABLE"
@@ -116,23 +117,20 @@ def sections(assigned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def glue(pieces: Column, least: int = C.MIN_SENTENCE_CHARS) -> Column:
-    """Short pieces join the next long one, those at the end the last; all short ones are one piece."""
-    state = F.aggregate(
-        pieces,
-        F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")),
-        lambda a, p: F.when(F.length(p) < least, F.struct(a["done"].alias("done"), _joined(a["open"], p).alias("open")))
-        .otherwise(F.struct(F.concat(a["done"], F.array(_joined(a["open"], p))).alias("done"), F.lit("").alias("open"))),
-    )
-
-    def close(a: Column) -> Column:
-        done, rest, n = a["done"], a["open"], F.size(a["done"])
-        return F.when(rest == "", done).when(n == 0, F.array(rest)).otherwise(F.concat(F.slice(done, F.lit(1), n - 1), F.array(_joined(F.element_at(done, -1), rest))))
+    """Short pieces join the next long one, those at the end the last; all short ones are one piece. Each long piece ends a
+    run of pieces, so runs are cut where long pieces stand."""
 
-    return T.let(state, close)
+    def cut(ps: Column, ends: Column) -> Column:
+        n = F.size(ends)
+        begin = lambda k: F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
+        end = lambda k: F.when(k == n - 1, F.size(ps) - 1).otherwise(F.get(ends, k))
+        return F.transform(ends, lambda _, k: F.array_join(F.slice(ps, begin(k) + 1, end(k) - begin(k) + 1), " "))
 
+    def of(ps: Column) -> Column:
+        long = F.filter(F.transform(ps, lambda p, i: F.when(F.length(p) >= least, i)), lambda i: i.isNotNull())
+        return T.let(long, lambda ends: F.when(F.size(ps) == 0, ps).when(F.size(ends) == 0, F.array(F.array_join(ps, " "))).otherwise(cut(ps, ends)))
 
-def _joined(a: Column, b: Column) -> Column:
-    return F.when(a == "", b).otherwise(F.concat(a, F.lit(" "), b))
+    return T.let(pieces, of)
 
 
 def sentences(assigned: DataFrame, doc_id: str = "doc_id", splitter: str | Callable[[Column], Column] = "intended") -> DataFrame:

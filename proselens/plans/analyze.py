@@ -57,9 +57,28 @@ def window_table(windows: DataFrame, *, style: bool = True, model: DataFrame | N
     return fusion.merge_features(windows, lm, neighbours)
 
 
-def analyse(docs: DataFrame, **options) -> dict[str, DataFrame]:
-    """analyse_blocks of the texts of docs (doc_id, text)."""
-    return analyse_blocks(docs.select("doc_id"), structure.assign_sections(structure.blocks(docs)), **options)
+def analyse(docs: DataFrame, form_feeds: bool = False, max_pages: int | None = None, **options) -> dict[str, DataFrame]:
+    """analyse_blocks of the texts of docs: (doc_id, text), a document a row, each one page; with form_feeds pages are cut at
+    them, tidied and numbered. (doc_id, page, text) is a page a row. max_pages leaves out what follows. A document or page
+    that stands in two rows is an error, as their blocks would mix."""
+    if form_feeds:
+        docs = _once(docs, ["doc_id"])
+        ids = docs.select("doc_id")
+        docs = structure.pages(docs, max_pages=max_pages)
+    elif "page" in docs.columns:
+        docs = _once(docs, ["doc_id", "page"])
+        ids = docs.select("doc_id").distinct()
+        docs = docs.where(F.col("page") <= max_pages) if max_pages else docs
+    else:
+        ids = _once(docs, ["doc_id"]).select("doc_id")
+    return analyse_blocks(ids, structure.assign_sections(structure.blocks(docs)), **options)
+
+
+def _once(docs: DataFrame, key: list[str]) -> DataFrame:
+    """docs, if each key stands in one row: ids alone are counted."""
+    if docs.groupBy(*key).count().where("count > 1").limit(1).collect():
+        raise ValueError(f"{', '.join(key)} isn't unique")
+    return docs
 
 
 def analyse_layout(rows: DataFrame, by_type: bool = False, **options) -> dict[str, DataFrame]:

@@ -197,13 +197,14 @@ def canonical(x: str) -> str:
 
 
 # Blocks: a suffix of a chunk's lines is looked at as long as what stands before it are headings alone.
-_BLOCKS = rf"""{_CHUNKS},
+def _blocks(chunks: str, page: str) -> str:
+    return rf"""{chunks},
 t(doc_id, chunk, i, lines, kind) AS (
   SELECT doc_id, chunk, 0, lines, {kind("lines")} FROM chunks
   UNION ALL SELECT doc_id, chunk, i + 1, lines[2:], {kind("lines[2:]")} FROM t WHERE kind = 'HEADING' AND len(lines) > 1 AND {reads_like_text("lines[2:]")}),
 b0 AS (SELECT *, i = max(i) OVER (PARTITION BY doc_id, chunk) AS last FROM t),
-b1 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, i) - 1 AS block_id, CASE WHEN last THEN kind ELSE 'HEADING' END AS kind, CASE WHEN last THEN lines ELSE lines[1:1] END AS lines FROM b0),
-blocks AS (SELECT doc_id, block_id, kind, CASE kind WHEN 'TABLE' THEN '[[TABLE ' || sum(CAST(kind = 'TABLE' AS BIGINT)) OVER w || ' on page 1]]' WHEN 'LIST' THEN array_to_string(lines, chr(10)) ELSE array_to_string(lines, ' ') END AS text
+b1 AS (SELECT doc_id, {page} AS page, row_number() OVER (PARTITION BY doc_id ORDER BY chunk, i) - 1 AS block_id, CASE WHEN last THEN kind ELSE 'HEADING' END AS kind, CASE WHEN last THEN lines ELSE lines[1:1] END AS lines FROM b0),
+blocks AS (SELECT doc_id, block_id, page, kind, CASE kind WHEN 'TABLE' THEN '[[TABLE ' || sum(CAST(kind = 'TABLE' AS BIGINT)) OVER w || ' on page ' || page || ']]' WHEN 'LIST' THEN array_to_string(lines, chr(10)) ELSE array_to_string(lines, ' ') END AS text
   FROM b1 WINDOW w AS (PARTITION BY doc_id ORDER BY block_id ROWS UNBOUNDED PRECEDING)),
 a0 AS (SELECT *, bool_and(kind = 'HEADING') OVER (PARTITION BY doc_id) AS bare, sum(CAST(kind = 'HEADING' AS BIGINT)) OVER w AS run, last_value(CASE WHEN kind = 'HEADING' THEN text END IGNORE NULLS) OVER w AS head
   FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_id ROWS UNBOUNDED PRECEDING)),
@@ -211,6 +212,25 @@ a1 AS (SELECT *, CASE WHEN bare THEN 0 ELSE dense_rank() OVER (PARTITION BY doc_
 a2 AS (SELECT *, max(section_id) OVER (PARTITION BY doc_id) AS last_section, CASE WHEN bare THEN 'Document' ELSE coalesce(head, 'Front Matter') END AS title FROM a1),
 assigned AS (SELECT *, CASE WHEN bare THEN 'SECTION' WHEN last_section = 0 OR head IS NULL THEN 'FRONTMATTER' ELSE {canonical("title")} END AS section_name FROM a2)"""
 
+
+_BLOCKS = _blocks(_CHUNKS, "1")
+# Pages at form feeds; a chunk's number is that of its page, six digits, and its own.
+_PAGE_START = "CASE WHEN doc_id % 6 = 0 THEN chr(12) || ' ' || chr(10) || chr(12) WHEN doc_id % 3 = 0 THEN chr(12) ELSE chr(10) || chr(10) END"
+
+
+def page_text(x: str) -> str:
+    joined = rf"regexp_replace(replace({x}, chr(13), ''), '([\p{{L}}\p{{N}}_])-\s*\n([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({joined}, '([\p{{L}}\p{{N}}_])-\s*\n([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[\t\x{{A0}}]+', ' ', 'g')"
+
+
+_PAGED_CHUNKS = rf"""papers AS (SELECT doc_id // 10 AS doc_id, string_agg({_PAGE_START} || {_PART} || {_NN} || text, '' ORDER BY doc_id) AS text FROM documents GROUP BY doc_id // 10),
+pg0 AS (SELECT doc_id, list_filter(string_split_regex(text, '\f+'), lambda p: {strip("p")} <> '') AS r FROM papers),
+pg AS (SELECT doc_id, unnest(range(1, len(r) + 1)) AS page, {page_text("unnest(r)")} AS text FROM pg0),
+c0 AS (SELECT doc_id, page * 1000000 + unnest(range(0, len(r))) AS chunk, unnest(r) AS raw FROM (SELECT doc_id, page, string_split_regex(text, '\n\s*\n') AS r FROM pg)),
+c1 AS (SELECT doc_id, chunk, list_filter(list_transform(string_split(raw, chr(10)), lambda x: {strip("x")}), lambda x: x <> '') AS lines FROM c0),
+chunks AS (SELECT *, lines[1] AS first, array_to_string(lines, ' ') AS joined FROM c1 WHERE len(lines) > 0)"""
+_PAGED = _blocks(_PAGED_CHUNKS, "chunk // 1000000")
+
 # Sentences of narrative blocks, glued, and windows of them in each section.
 _PAPER_WINDOWS = f"""{_BLOCKS},
 x0 AS (SELECT doc_id, section_id, block_id, kind, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM (SELECT *, {sentences("text")} AS ss FROM assigned WHERE kind <> 'TABLE')),
@@ -297,6 +317,9 @@ ORACLES = {
     "block_classify": f"WITH {_CHUNKS} SELECT doc_id, chunk, {kind('lines')} AS block_type, len(lines) AS n_lines FROM chunks",
     "section_build": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, section_id, any_value(title) AS title, any_value(section_name) AS section_name, any_value(section_name) IN {_list(C.REFERENCE_SECTIONS)} AS is_references, section_id = 0 AS is_frontmatter, list(block_id ORDER BY block_id) AS block_ids FROM assigned GROUP BY doc_id, section_id",
     "page_block_index": f"WITH RECURSIVE {_BLOCKS} SELECT doc_id, CAST(1 AS BIGINT) AS page, list(block_id ORDER BY block_id) AS block_ids FROM blocks GROUP BY doc_id",
+    "paged_blocks": f"WITH RECURSIVE {_PAGED} SELECT doc_id, block_id, page, kind AS block_type, md5(text) AS text_md5, CASE WHEN kind = 'TABLE' THEN text END AS placeholder FROM blocks",
+    "paged_index": f"WITH RECURSIVE {_PAGED} SELECT doc_id, page, list(block_id ORDER BY block_id) AS block_ids FROM blocks WHERE page <= 3 GROUP BY doc_id, page",
+    "paged_sections": f"WITH RECURSIVE {_PAGED} SELECT doc_id, section_id, any_value(title) AS title, any_value(section_name) AS section_name, min(page) AS first_page, max(page) AS last_page, count(*) AS n_blocks FROM assigned GROUP BY doc_id, section_id",
     "full_pipeline": f"{_ANALYSIS} SELECT doc_id, coalesce(num_windows, 0) AS num_windows, {', '.join(f'round(coalesce({c}, {v}), 6) AS {c}' for c, v in (('coverage_ai', 0.0), ('coverage_paraphrased', 0.0), ('p_human', 1.0), ('p_ai', 0.0), ('p_paraphrased_ai', 0.0), ('pct_human', 100.0), ('pct_ai', 0.0), ('pct_paraphrased_ai', 0.0)))}, CAST(0 AS DOUBLE) AS max_sim, CAST(0 AS DOUBLE) AS detectgpt_mean, coalesce({_verdict('p_ai', 'p_paraphrased_ai')}, 'human') AS verdict FROM papers LEFT JOIN a USING (doc_id) LEFT JOIN pct USING (doc_id)",
     "layout_tables": f"""WITH d AS (SELECT doc_id, {sentences("text")} AS ss FROM documents),
 x AS (SELECT doc_id, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM d), cells AS (SELECT doc_id, i // 3 AS row, i % 3 AS c, {squeeze("s")} AS cell FROM x),

@@ -37,6 +37,14 @@ def _papers(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "\n\n").alias("text")).select(F.col("paper").alias("doc_id"), "text")
 
 
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): the papers with a form feed in front of every third document, of some a blank page as well."""
+    part = F.element_at(F.array(*(F.lit(p) for p in PARTS)), (F.col("doc_id") % 10 + 1).cast("int"))
+    before = F.when(F.col("doc_id") % 6 == 0, "\f \n\f").when(F.col("doc_id") % 3 == 0, "\f").otherwise("\n\n")
+    rows = table(spark, f"{d}/documents.parquet", "doc_id", "text").select((F.col("doc_id") / 10).cast("long").alias("paper"), F.struct("doc_id", F.concat(before, part, F.lit("\n\n"), "text").alias("t")).alias("r"))
+    return rows.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "").alias("text")).select(F.col("paper").alias("doc_id"), "text")
+
+
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of each document as one section."""
     s = _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_id", "text"))
@@ -134,6 +142,22 @@ def page_block_index(spark, d):
     return tidy(x.withColumn("block_ids", F.transform("block_ids", lambda b: b.cast("long"))))
 
 
+def paged_blocks(spark, d):
+    x = structure.blocks(structure.pages(_paged(spark, d)))
+    return tidy(x.select("doc_id", "block_id", "page", "block_type", F.md5("text").alias("text_md5"), F.element_at("metadata", "placeholder").alias("placeholder")))
+
+
+def paged_index(spark, d):
+    x = structure.page_index(structure.blocks(structure.pages(_paged(spark, d), max_pages=3)))
+    return tidy(x.withColumn("block_ids", F.transform("block_ids", lambda b: b.cast("long"))))
+
+
+def paged_sections(spark, d):
+    """Sections run over the ends of pages; the pages that each has blocks on."""
+    x = structure.assign_sections(structure.blocks(structure.pages(_paged(spark, d)))).where(F.col("section_id").isNotNull())
+    return tidy(x.groupBy("doc_id", "section_id", "title", "section_name").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n_blocks")))
+
+
 def knn_topk(spark, d):
     v = spread(table(spark, f"{d}/embeddings.parquet", "vec_id", "embedding"))
     return tidy(semantic.knn(v.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"), v, skip_self=True))
@@ -270,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stylometry_documents, sentence_split, token_counts, lexical_diversity, pos_ratios, burstiness, readability, sentence_windows, glue_short_sentences, page_normalize, strip_math, layout_text_scan, block_classify, heading_match,
-        section_canonical, section_build, page_block_index, knn_topk, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, perturbation_score, smooth_probs, window_labels, sentence_probs,
+        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, perturbation_score, smooth_probs, window_labels, sentence_probs,
         section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, pie_stops, layout_tables, layout_paragraphs, full_pipeline, all_branches,
     )
 }

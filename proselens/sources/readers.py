@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -44,7 +45,7 @@ def from_frame(df: DataFrame, text: str, doc_id: str | None = None, order: str |
     rows.write.parquet(path)
     kept = spark.read.parquet(path)
     counts = sorted((r["part_"], r["count"]) for r in kept.groupBy("part_").count().collect())
-    begin = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
+    begin = [(p, end - n) for (p, n), end in zip(counts, itertools.accumulate(n for _, n in counts), strict=True)]
     return kept.join(F.broadcast(spark.createDataFrame(begin, "part_ int, begin_ long")), "part_").select((F.col("begin_") + F.col("at_")).alias("doc_id"), "text")
 
 
