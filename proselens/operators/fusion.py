@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from .. import constants as C
 from ..functions import numbers as N
 from ..functions import text as T
 from ..session import ship
+from ..workers import held
+from .language_model import attempt
 
 P = tuple(f"p_{x}" for x in C.LABELS)
 
@@ -60,8 +63,10 @@ def linear_classifier(path: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def python_scorer(load: Callable[[], Callable[[list[str]], list[dict]]], text: str = "text_clean") -> Callable[[DataFrame], DataFrame]:
-    """A scorer from a model in Python. load makes, once a worker, a function of texts that gives a probability a label
-    of each. A batch on which it fails gets equal probabilities, and ``classifier_alert`` says so."""
+    """A scorer from a model in Python. load makes, once a worker process (see workers.held), a function of texts that gives
+    a probability a label of each. If it fails on a batch, its texts are tried one by one; those on which it fails get
+    equal probabilities, and ``classifier_alert`` says so."""
+    name = f"classifier-{uuid.uuid4().hex}"
 
     def score(features: DataFrame) -> DataFrame:
         ship(features.sparkSession)
@@ -69,19 +74,19 @@ def python_scorer(load: Callable[[], Callable[[list[str]], list[dict]]], text: s
         at = features.columns.index(text)
 
         def run(batches):
-            predict = None
+            def of(texts):
+                got = [{T.plain_label(k): float(v) for k, v in r.items()} for r in held(name, load)(texts)]
+                if len(got) != len(texts):
+                    raise ValueError("not one result a text")
+                return got
+
             for b in batches:
-                alert = None
-                try:
-                    predict = predict or load()
-                    got = [{T.plain_label(k): float(v) for k, v in r.items()} for r in predict([t or "" for t in b.column(at).to_pylist()])]
-                    if len(got) != b.num_rows:
-                        raise ValueError("not one result a text")
-                except Exception as e:  # the alert tells of it
-                    got, alert = [dict.fromkeys(C.LABELS, 1 / len(C.LABELS))] * b.num_rows, f"classifier failed, uniform probabilities: {type(e).__name__}: {e}"[:300]
+                got, why = attempt(of, [t or "" for t in b.column(at).to_pylist()])
+                got = [r if w is None else dict.fromkeys(C.LABELS, 1 / len(C.LABELS)) for r, w in zip(got, why, strict=True)]
+                alerts = [None if w is None else f"classifier failed, uniform probabilities: {w}" for w in why]
                 sums = [sum(r.get(x, 0.0) for x in C.LABELS) or 1.0 for r in got]
                 columns = [pa.array([r.get(x, 0.0) / s for r, s in zip(got, sums, strict=True)], pa.float64()) for x in C.LABELS]
-                yield pa.RecordBatch.from_arrays([*b.columns, *columns, pa.array([alert] * b.num_rows, pa.string())], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*b.columns, *columns, pa.array(alerts, pa.string())], names=[f.name for f in schema])
 
         return features.mapInArrow(run, schema)
 

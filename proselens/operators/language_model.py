@@ -1,13 +1,26 @@
-"""Token statistics under a language model, and the default model: add-one unigrams of a corpus.
+"""Token statistics under a language model, and the simplest one: add-one unigrams of a corpus (operators.ngrams has
+conditional ones).
 
-A scorer is any table (key, position, lp, entropy, rank) of tokens; aggregates don't depend on where it comes from."""
+A scorer is a function of a table, its key columns and its text column that makes a table (key, position, lp, entropy,
+rank) of the texts' tokens, and may add ``alert``, why it could not score a text. Aggregates don't depend on where it comes from."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
+from ..session import ship
+from ..workers import held
+
+#: Makes (key, position, lp, entropy, rank[, alert]) of (table, key, text column).
+TokenScorer = Callable[[DataFrame, tuple[str, ...], str], DataFrame]
+FEATURES = ("logprob", "ppl", "mean_entropy", "surprisal_mean", "surprisal_var", "avg_rank", "detectgpt_score")
 
 
 def tokens(df: DataFrame, key: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -119,3 +132,79 @@ def perturbation_score(df: DataFrame, model: DataFrame, key: str | tuple[str, ..
     mean = F.aggregate(means, F.lit(0.0), lambda a, m: a + m) / F.size(means)
     got = x.select(*key, F.when(F.size(means) > 0, F.col("m0") - mean).alias("s_"))
     return df.select(*key).join(got, list(key), "left").select(*key, F.coalesce("s_", F.lit(0.0)).alias("detectgpt_score"))
+
+
+def unigram_scorer(model: DataFrame) -> TokenScorer:
+    """The token scorer of unigrams(...); unknown tokens aren't scored."""
+    return lambda df, key, text: score_tokens(tokens(df, key, text), model)
+
+
+def python_scorer(load: Callable[[], Callable[[list[str]], list[list[tuple[float, float, float]]]]]) -> TokenScorer:
+    """A token scorer from a model in Python. load makes, once a worker process (see workers.held), a function of texts that
+    gives (log-probability, entropy, rank) of each token of each text. If it fails on a batch, its texts are tried one by
+    one; those on which it fails have one row without scores, with an alert."""
+    name = f"lm-{uuid.uuid4().hex}"
+
+    def score(df: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+        ship(df.sparkSession)
+        own = df.select(*key, text)
+        schema = StructType([*own.drop(text).schema.fields, StructField("position", IntegerType()), *(StructField(c, DoubleType()) for c in ("lp", "entropy", "rank")), StructField("alert", StringType())])
+
+        def run(batches):
+            def of(texts):
+                got = [[tuple(map(float, t)) for t in r] for r in held(name, load)(texts)]
+                if len(got) != len(texts) or any(len(t) != 3 for r in got for t in r):
+                    raise ValueError("not one list of (lp, entropy, rank) a text")
+                return got
+
+            for b in batches:
+                texts = [t or "" for t in b.column(len(key)).to_pylist()]
+                got, why = attempt(of, texts)
+                at, rows = [], []
+                for k, (r, w) in enumerate(zip(got, why, strict=True)):
+                    own_rows = [(n, *t, None) for n, t in enumerate(r)] if w is None else [(-1, None, None, None, f"language_model failed, zeros: {w}")]
+                    at += [k] * len(own_rows)
+                    rows += own_rows
+                kinds = (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string())
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(key))), *columns], names=[f.name for f in schema])
+
+        return own.mapInArrow(run, schema)
+
+    return score
+
+
+def attempt(f: Callable[[list], list], values: list) -> tuple[list, list[str | None]]:
+    """(f's results, faults) of the values: all at once, or one by one if that fails, None where f does not fail."""
+    try:
+        return list(f(values)), [None] * len(values)
+    except Exception:  # whose fault it is shows below
+        got: list = []
+        why: list[str | None] = []
+        for v in values:
+            try:
+                got.append(f([v])[0])
+                why.append(None)
+            except Exception as e:  # the alert tells of it
+                got.append([])
+                why.append(f"{type(e).__name__}: {e}"[:300])
+        return got, why
+
+
+def features(df: DataFrame, scorer: TokenScorer, key: tuple[str, ...], text: str = "text", variants: int = 5, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """(key, FEATURES, language_model_alert): aggregates of the tokens' scores, and the text's mean log-probability less that
+    of its variants. A text and its variants are scored in one pass. Texts without scores have zeros."""
+    name = F.col(key[0]) if len(key) == 1 else F.struct(*key)
+    texts = F.array(F.col(text), *(perturbed(F.col(text), name, F.lit(k), synonyms=synonyms) for k in range(1, variants + 1)))
+    scored = scorer(df.select(*key, F.posexplode(texts).alias("k_", "t_")), (*key, "k_"), "t_")
+    x = aggregates(scored, (*key, "k_"))
+    if "alert" in scored.columns:
+        x = x.join(scored.groupBy(*key, "k_").agg(F.max("alert").alias("alert_")), [*key, "k_"])
+    else:
+        x = x.withColumn("alert_", F.lit(None).cast("string"))
+    own = F.col("k_") == 0
+    first = {c: F.max(F.when(own, F.col(c))).alias(c) for c in FEATURES[:-1]}
+    g = x.groupBy(*key).agg(*first.values(), F.avg(F.when(~own, F.col("logprob"))).alias("others_"), F.max("alert_").alias("language_model_alert"))
+    g = g.withColumn("detectgpt_score", F.col("logprob") - F.col("others_"))
+    return df.select(*key).join(g, list(key), "left").select(*key, *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in FEATURES), "language_model_alert")

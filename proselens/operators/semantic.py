@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .. import constants as C
 from ..functions import numbers as N
 from ..functions import text as T
 from ..session import ship
+from ..workers import held
+from .language_model import attempt
 
 #: So many queries at most are broadcast; more meet the corpus block by block in a shuffle.
 QUERY_BLOCK = 4096
@@ -29,6 +35,95 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return N.unit(T.let(tokens, lambda ts: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(ts, lambda t: t == k)).cast("double"))))
 
 
+#: Makes (key, embedding[, alert]) of (table, key, text column).
+Embedder = Callable[[DataFrame, tuple[str, ...], str], DataFrame]
+
+
+def hashed_embedder(dim: int = 64) -> Embedder:
+    """The embedder of hashed_embedding."""
+    return lambda df, key, text: df.select(*key, hashed_embedding(F.coalesce(F.col(text), F.lit("")), dim).alias("embedding"))
+
+
+def python_embedder(load: Callable[[], Callable[[list[str]], list]], kind: str | None = "query", batch: int = 32) -> Embedder:
+    """An embedder from a model in Python. load makes, once a worker process (see workers.held), a function of texts that
+    gives of each its vector, or (token vectors, mask), of which the mean of the unmasked is taken; vectors get unit length.
+    Texts are prefixed by kind, unless it is None. If the model fails on a batch, its texts are tried one by one; those on
+    which it fails have no embedding and an alert."""
+    name = f"embedder-{uuid.uuid4().hex}"
+
+    def embed(df: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+        ship(df.sparkSession)
+        shown = F.coalesce(F.col(text), F.lit(""))
+        own = df.select(*key, (prefixed(shown, kind) if kind else shown).alias("t_"))
+        schema = StructType([*own.drop("t_").schema.fields, StructField("embedding", ArrayType(DoubleType())), StructField("alert", StringType())])
+
+        def run(batches):
+            def of(texts):
+                got = [_pooled(r) for r in held(name, load)(texts)]
+                if len(got) != len(texts):
+                    raise ValueError("not one vector a text")
+                return got
+
+            for b in batches:
+                for s in range(0, b.num_rows, batch):
+                    x = b.slice(s, batch)
+                    got, why = attempt(of, x.column(len(key)).to_pylist())
+                    vectors = [r if w is None else None for r, w in zip(got, why, strict=True)]
+                    alerts = [None if w is None else f"semantic failed, zeros: {w}" for w in why]
+                    yield pa.RecordBatch.from_arrays([*x.columns[: len(key)], pa.array(vectors, pa.list_(pa.float64())), pa.array(alerts, pa.string())], names=[f.name for f in schema])
+
+        return own.mapInArrow(run, schema)
+
+    return embed
+
+
+def _pooled(r) -> list[float]:
+    """A text's vector, or the mean of its token vectors that aren't masked, to unit length."""
+    if isinstance(r, tuple):
+        vectors, mask = np.asarray(r[0], float), np.asarray(r[1]).astype(bool)
+        if not mask.any():
+            raise ValueError("no token to pool")
+        v = vectors[mask].mean(0)
+    else:
+        v = np.asarray(r, float)
+    if v.ndim != 1 or not np.isfinite(v).all():
+        raise ValueError("not a vector of numbers")
+    n = float(np.sqrt(v @ v))
+    return (v / n if n else v).tolist()
+
+
+def token_vector_embedder(vectors: str, mask: str) -> Embedder:
+    """An embedder of tables that hold their texts' token vectors and masks in columns: their mean, to unit length."""
+    return lambda df, key, text: df.select(*key, N.unit(N.mean_pool(F.col(vectors), F.col(mask))).alias("embedding"))
+
+
+def content_key(text: Column) -> Column:
+    """By what precomputed vectors are found: the hash of the text."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def precomputed(vectors: DataFrame, text_key: str = "text_key", embedding: str = "embedding") -> Embedder:
+    """An embedder that looks texts up in a table (content_key of the text, embedding); texts that it lacks have an alert."""
+
+    def embed(df: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+        known = vectors.select(F.col(text_key).alias("h_"), F.col(embedding).alias("embedding"))
+        x = df.select(*key, content_key(F.col(text)).alias("h_")).join(known, "h_", "left")
+        return x.select(*key, "embedding", F.when(F.col("embedding").isNull(), F.lit("semantic failed, zeros: no vector of this text")).alias("alert"))
+
+    return embed
+
+
+def once_each(embedder: Embedder) -> Embedder:
+    """An embedder that embeds each different text once, however many rows have it."""
+
+    def embed(df: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+        rows = df.select(*key, content_key(F.col(text)).alias("h_"), F.coalesce(F.col(text), F.lit("")).alias("t_"))
+        each = embedder(rows.groupBy("h_").agg(F.first("t_").alias("t_")), ("h_",), "t_")
+        return rows.drop("t_").join(each, "h_", "left").drop("h_")
+
+    return embed
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", skip_self: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, sim): the k largest inner products of each query, ties to the smaller vec_id.
 

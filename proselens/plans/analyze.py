@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, language_model, layout, semantic, structure, stylometry
 from ..session import keep
+from ..session import keep as _keep
 
 #: Takes windows with style features and adds p_human, p_ai and p_paraphrased_ai.
 Scorer = Callable[[DataFrame], DataFrame]
 
-LM_FEATURES = ("logprob", "ppl", "mean_entropy", "surprisal_mean", "surprisal_var", "avg_rank", "detectgpt_score")
+LM_FEATURES = language_model.FEATURES
 SEMANTIC_FEATURES = ("max_sim", "mean_top3", "above_tau")
+#: Columns in which scorers tell of rows on which they failed, by stage.
+ALERTS = {"classifier": "classifier_alert", "language_model": "language_model_alert", "semantic": "semantic_alert"}
 
 
 def _or_else(alerts: list[tuple[str, str]], stage: str, build: Callable[[], DataFrame], instead: Callable[[], DataFrame], what: str) -> DataFrame:
-    """What build makes, or, with an alert, instead if it can't be planned. Faults while rows are worked out are the
-    scorers' own to report (fusion.python_scorer) or fail the job."""
+    """What build makes, or, with an alert, instead if it can't be planned. Faults while rows are worked out are told by
+    the scorers in columns (see ALERTS); those of built-in expressions fail the job."""
     try:
         return build()
     except Exception as e:  # the alert tells of it
@@ -28,10 +31,14 @@ def _or_else(alerts: list[tuple[str, str]], stage: str, build: Callable[[], Data
         return instead()
 
 
-def window_table(windows: DataFrame, *, style: bool = True, model: DataFrame | None = None, corpus: DataFrame | None = None, alerts: list[tuple[str, str]] | None = None) -> DataFrame:
+def window_table(
+    windows: DataFrame, *, style: bool = True, model: DataFrame | language_model.TokenScorer | None = None, corpus: DataFrame | None = None, embedder: semantic.Embedder | None = None,
+    synonyms: dict[str, list[str]] | None = None, alerts: list[tuple[str, str]] | None = None,
+) -> DataFrame:
     """windows with the features of every branch that is asked for: style natively in the same pass, language-model,
-    perturbation and nearest-neighbour features joined by (doc_id, window_id). A branch that can't be planned has zeros
-    and an alert."""
+    perturbation and nearest-neighbour features joined by (doc_id, window_id). model is a token scorer or a table of unigrams;
+    the embedder makes vectors of the windows' texts, which are searched among the corpus' (vec_id, embedding). A branch that
+    can't be planned has zeros and an alert; rows on which a scorer fails have zeros, and say why in <branch>_alert."""
     key = ("doc_id", "window_id")
     alerts = [] if alerts is None else alerts
     bare = windows
@@ -43,15 +50,22 @@ def window_table(windows: DataFrame, *, style: bool = True, model: DataFrame | N
     if model is not None:
 
         def by_model() -> DataFrame:
+            if callable(model):
+                return language_model.features(bare, model, key, "text_clean", synonyms=synonyms)
             counted = language_model.aggregates_of_counts(language_model.token_counts(bare, key, "text_clean"), model, key)
-            return language_model.perturbation_score(bare, model, key, "text_clean").join(counted, list(key), "left")
+            return language_model.perturbation_score(bare, model, key, "text_clean", synonyms=synonyms).join(counted, list(key), "left")
 
         lm = _or_else(alerts, "language_model", by_model, zeros(LM_FEATURES), "zeros")
     if corpus is not None:
 
         def by_corpus() -> DataFrame:
-            q = bare.select(*key, F.xxhash64(*key).alias("query_id"), semantic.hashed_embedding(F.col("text_clean")).alias("embedding"))
-            return q.select(*key, "query_id").join(semantic.window_features(semantic.knn(q, corpus)), "query_id").drop("query_id")
+            got = (embedder or semantic.hashed_embedder())(bare, key, "text_clean")
+            alert = F.col("alert") if "alert" in got.columns else F.lit(None).cast("string")
+            # Written once: the vectors are both searched and told of.
+            q = _keep(got.select(*key, F.xxhash64(*key).alias("query_id"), "embedding", alert.alias("semantic_alert")), "embedded")
+            found = semantic.window_features(semantic.knn(q.where(F.col("embedding").isNotNull()), corpus))
+            x = q.drop("embedding").join(found, "query_id", "left").drop("query_id")
+            return x.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in SEMANTIC_FEATURES})
 
         neighbours = _or_else(alerts, "semantic", by_corpus, zeros(SEMANTIC_FEATURES), "zeros")
     return fusion.merge_features(windows, lm, neighbours)
@@ -91,22 +105,23 @@ def analyse_layout(rows: DataFrame, by_type: bool = False, **options) -> dict[st
 
 
 def analyse_blocks(
-    ids: DataFrame, assigned: DataFrame, *, config: fusion.Config = fusion.Config(), scorer: Scorer = fusion.style_probabilities, model: DataFrame | None = None,
-    corpus: DataFrame | None = None, meta: dict | None = None, splitter="intended",
+    ids: DataFrame, assigned: DataFrame, *, config: fusion.Config = fusion.Config(), scorer: Scorer = fusion.style_probabilities, model: DataFrame | language_model.TokenScorer | None = None,
+    corpus: DataFrame | None = None, embedder: semantic.Embedder | None = None, synonyms: dict[str, list[str]] | None = None, meta: dict | None = None, splitter="intended",
 ) -> dict[str, DataFrame]:
     """Tables sections, sentences, windows, documents and alerts of documents (doc_id) by their blocks with sections."""
     notes: list[tuple[str, str]] = []
     # Blocks and windows are read by many branches; they are written once.
     assigned = keep(assigned, "blocks")
     sents = structure.sentences(assigned, splitter=splitter)
-    wins = window_table(keep(structure.windows(sents), "windows"), model=model, corpus=corpus, alerts=notes)
+    wins = window_table(keep(structure.windows(sents), "windows"), model=model, corpus=corpus, embedder=embedder, synonyms=synonyms, alerts=notes)
     equal = lambda: wins.withColumns({p: F.lit(1.0) / len(fusion.P) for p in fusion.P})
     scored = _or_else(notes, "classifier", lambda: scorer(wins), equal, "uniform probabilities")
     use_meta = meta is not None and bool(meta.get("weights"))
     if use_meta:
         features = semantic.document_features(scored) if corpus is not None else None
         scored = _or_else(notes, "meta", lambda: fusion.meta_window_probabilities(scored, meta, features), lambda s=scored: s, "the classifier's probabilities")
-    wins = fusion.label(fusion.smooth(scored), "window_label", "window_confidence")
+    # Models run once: all tables, that of alerts included, read what they made.
+    wins = fusion.label(fusion.smooth(keep(scored, "scored")), "window_label", "window_confidence")
     judged = fusion.sentence_probabilities(sents, wins)
     secs = fusion.section_summary(structure.sections(assigned), wins, judged, config)
     summary = fusion.document_summary(wins, config)
@@ -121,8 +136,9 @@ def analyse_blocks(
     notes += [(name, f"{name} is not configured") for name, given in (("language_model", model), ("semantic", corpus), ("meta", meta)) if given is None]
     rows = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(m).alias("message")) for s, m in notes)) if notes else F.array().cast("array<struct<stage:string,message:string>>")
     alerts = ids.select("doc_id", F.explode(rows).alias("a_")).select("doc_id", "a_.stage", "a_.message")
-    if "classifier_alert" in wins.columns:
-        alerts = alerts.unionByName(wins.where(F.col("classifier_alert").isNotNull()).select("doc_id", F.lit("classifier").alias("stage"), F.col("classifier_alert").alias("message")).distinct())
+    for stage, column in ALERTS.items():
+        if column in wins.columns:
+            alerts = alerts.unionByName(wins.where(F.col(column).isNotNull()).select("doc_id", F.lit(stage).alias("stage"), F.col(column).alias("message")).distinct())
     return {"sections": secs, "sentences": judged, "windows": wins, "documents": out.fillna(fill), "alerts": alerts}
 
 

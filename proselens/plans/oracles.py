@@ -280,6 +280,21 @@ c AS (SELECT token, count(*) AS n FROM t GROUP BY token),
 tot AS (SELECT sum(n) AS nn, count(*) AS vv FROM c),
 uni AS (SELECT token, n, (n + 1.0) / (nn + 1.0 * (vv + 1)) AS p, ln((n + 1.0) / (nn + 1.0 * (vv + 1))) AS lp, rank() OVER (ORDER BY n DESC) AS rank FROM c, tot)"""
 
+# Bigrams of two thirds of the documents, the empty context and, in g, every context's distribution.
+_K = "0.01::DOUBLE"
+_BIGRAMS = f"""
+b0 AS (SELECT doc_id, unnest(list_transform(range(1, len(ts) + 1), lambda i: struct_pack(position := i, token := ts[i], context := CASE WHEN i = 1 THEN chr(2) ELSE ts[i - 1] END))) AS e
+  FROM (SELECT doc_id, {lower_words("text")} AS ts FROM documents)),
+tk AS (SELECT doc_id, e.position AS position, e.token AS token, e.context AS context FROM b0),
+c2 AS (SELECT context, token, count(*) AS n FROM tk WHERE doc_id % 3 <> 1 GROUP BY ALL),
+cc AS (SELECT * FROM c2 UNION ALL SELECT '' AS context, token, sum(n) AS n FROM c2 GROUP BY token),
+vv AS (SELECT count(*) AS v FROM cc WHERE context = ''),
+g AS (SELECT context, sum(n) AS n, count(*) AS types, sum(n) + {_K} * (any_value(v) + 1) AS z, sum((n + {_K}) * ln(n + {_K})) AS a, any_value(v) AS v FROM cc, vv GROUP BY context),
+gc AS (SELECT context, n, types, z, ln(z) - (a + (v + 1 - types) * {_K} * ln({_K})) / z AS entropy, ln({_K} / z) AS lp, types + 1 AS rank FROM g),
+ev AS (SELECT cc.context, token, ln((cc.n + {_K}) / z) AS lp, entropy, rank() OVER (PARTITION BY cc.context ORDER BY cc.n DESC) AS rank FROM cc JOIN gc USING (context)),
+sc AS (SELECT tk.doc_id, coalesce(e.lp, gc.lp, u.lp, z.lp) AS lp, coalesce(e.entropy, gc.entropy, u.entropy, z.entropy) AS entropy, coalesce(e.rank, gc.rank, u.rank, z.rank) AS rank
+  FROM tk LEFT JOIN ev e ON tk.context = e.context AND tk.token = e.token LEFT JOIN gc ON tk.context = gc.context LEFT JOIN ev u ON u.context = '' AND u.token = tk.token JOIN gc z ON z.context = '')"""
+
 # --- short pieces
 
 _GLUE = f"""
@@ -333,6 +348,8 @@ SELECT doc_id, row, header, coalesce(cell, '') AS cell FROM grid CROSS JOIN h LE
     "lm_unigram_scores": f"WITH {_LM} SELECT token, n, {_r('p', 'lp')}, rank FROM uni",
     "lm_token_aggregates": f"WITH {_LM}, h AS (SELECT -sum(p * lp) AS entropy FROM uni) SELECT doc_id, round(avg(lp), 6) AS logprob, round(exp(avg(-lp)), 6) AS ppl, round(any_value(entropy), 6) AS mean_entropy, round(avg(-lp), 6) AS surprisal_mean, round(var_pop(-lp), 6) AS surprisal_var, round(avg(rank), 6) AS avg_rank FROM t JOIN uni USING (token), h GROUP BY doc_id",
     "lm_top_entropy": f"WITH {_LM}, top AS (SELECT p FROM uni ORDER BY p DESC, token LIMIT 100), s AS (SELECT sum(p) AS s FROM top) SELECT round(-sum(p / s * ln(p / s)), 6) AS entropy FROM top, s",
+    "lm_bigram_contexts": f"WITH {_BIGRAMS} SELECT context, n, types, {_r('entropy', 'lp')}, rank FROM gc",
+    "lm_bigram_scores": f"WITH {_BIGRAMS} SELECT doc_id, round(avg(lp), 6) AS logprob, round(log10(exp(avg(-lp))), 6) AS ppl, round(avg(entropy), 6) AS mean_entropy, round(avg(-lp), 6) AS surprisal_mean, round(var_pop(-lp), 6) AS surprisal_var, round(avg(rank), 6) AS avg_rank FROM sc GROUP BY doc_id",
     "smooth_probs": f"{_SMOOTH} SELECT doc_id, window_id, {_r(*(f'{p}_raw' for p in _P), *_P)} FROM sm",
     "window_labels": f"{_LABELLED} SELECT doc_id, window_id, window_label, round(window_confidence, 6) AS window_confidence FROM lw",
     "sentence_probs": f"{_SENTENCES} SELECT doc_id, sentence_id, {_r(*_P)}, label, round(confidence, 6) AS confidence FROM js",

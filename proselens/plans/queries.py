@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import fusion, layout, semantic, structure, stylometry
+from ..operators import fusion, layout, ngrams, semantic, structure, stylometry
 from ..operators import language_model as lm
 from ..sources import sinks
 from ..sources.readers import spread, table
@@ -191,6 +191,21 @@ def lm_top_entropy(spark, d):
     return tidy(lm.top_entropy(lm.unigrams(lm.tokens(_docs(spark, d)))))
 
 
+def _bigrams(spark: SparkSession, d: str) -> ngrams.NGrams:
+    """Of two thirds of the documents, so that the others have unknown tokens and contexts."""
+    return ngrams.train(_docs(spark, d).where(F.col("doc_id") % 3 != 1))
+
+
+def lm_bigram_contexts(spark, d):
+    return tidy(_bigrams(spark, d).contexts)
+
+
+def lm_bigram_scores(spark, d):
+    """The scores of every document, a token at a time, by the model of the others."""
+    scored = ngrams.scorer(_bigrams(spark, d))(_docs(spark, d), ("doc_id",), "text")
+    return tidy(lm.aggregates(scored).withColumn("ppl", F.log10("ppl")))
+
+
 def perturbation_score(spark, d):
     docs = _docs(spark, d)
     return tidy(lm.perturbation_score(docs, lm.unigrams(lm.tokens(docs))))
@@ -294,7 +309,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stylometry_documents, sentence_split, token_counts, lexical_diversity, pos_ratios, burstiness, readability, sentence_windows, glue_short_sentences, page_normalize, strip_math, layout_text_scan, block_classify, heading_match,
-        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, perturbation_score, smooth_probs, window_labels, sentence_probs,
+        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, smooth_probs, window_labels, sentence_probs,
         section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, pie_stops, layout_tables, layout_paragraphs, full_pipeline, all_branches,
     )
 }
