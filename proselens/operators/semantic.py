@@ -14,14 +14,17 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 from .. import constants as C
 from ..functions import numbers as N
 from ..functions import text as T
-from ..session import ship
+from ..session import keep, ship
 from ..workers import held
 from .language_model import attempt
 
-#: So many queries at most are broadcast; more meet the corpus block by block in a shuffle.
-QUERY_BLOCK = 4096
-#: Vectors of the corpus in a block.
-CORPUS_BLOCK = 16_384
+#: Bytes of queries that are broadcast at most; more meet the corpus cell by cell in a shuffle.
+QUERY_BYTES = 2 << 20
+#: Queries and vectors of the corpus that meet in a task, and of these the steps in which they are compared.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 16_384
+STEP = 256, 4096
+#: Cells are around pivots, which come from a sample of the corpus.
+PIVOTS, SAMPLE = 256, 4096
 
 
 def prefixed(text: Column, kind: str) -> Column:
@@ -124,55 +127,176 @@ def once_each(embedder: Embedder) -> Embedder:
     return embed
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", skip_self: bool = False) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", skip_self: bool = False, stats: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, sim): the k largest inner products of each query, ties to the smaller vec_id.
 
-    Up to QUERY_BLOCK queries are broadcast, and each partition of the corpus is searched as it is scanned. More queries,
-    in blocks by hash, meet the corpus, in blocks by hash, in one task a pair of blocks. Either way k rows a query leave a
-    task, from which a ranked window keeps k."""
+    Few queries (QUERY_BYTES) are broadcast, and each partition of the corpus is searched as it is scanned. More meet the
+    corpus in cells: each vector belongs to its nearest pivot p, and q.x = q.p + q.(x - p) <= q.p + |q| |x - p|, so a cell's
+    radius bounds what it can give to a query. Each query first visits the cell of its best pivot, and then, with the
+    k-th score found there, only those that can reach it; cells that no query of a block visits aren't sent there. Cells
+    and blocks are cut to a size, whatever clusters. stats gets the rows of the corpus and those sent.
+
+    Vectors are compared with those of their own length alone. Null vectors and those with components that are null or not
+    finite take no part. Few vectors or none give fewer than k rows."""
     spark = corpus.sparkSession
     ship(spark)
-    n = queries.count()
-    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.transform(embedding, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull())
-    have = corpus.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull())
-    if n <= QUERY_BLOCK:
-        rows = asked.toArrow()
-        shared = spark.sparkContext.broadcast((rows.column("q").to_numpy(), _matrix(rows.column("v"))))
-
-        def scan(batches):
-            ids, m = shared.value
-            best = None
-            for b in batches:
-                for s in range(0, b.num_rows, 8192):
-                    x = b.slice(s, 8192)
-                    best = _better(ids, m, x.column(0).to_numpy(), _matrix(x.column(1)), k, skip_self, best)
-            if best is not None:
-                yield _found(ids, *best)
-
-        out = have.mapInArrow(scan, "query_id long, vec_id long, sim double")
+    fine = lambda df, i, name: df.select(F.col(i).cast("long").alias(name), F.transform(embedding, lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    asked, have = fine(queries, query_id, "q"), fine(corpus, vec_id, "vec_id")
+    if asked.agg(F.coalesce(F.sum(8 * F.size("v") + 16), F.lit(0))).first()[0] <= QUERY_BYTES:
+        out = _scan(asked, have, k, skip_self)
     else:
-        of_queries, of_corpus = max(1, -(-n // QUERY_BLOCK)), max(1, -(-corpus.count() // CORPUS_BLOCK))
-        block = lambda c, salt, of: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(of)).cast("int")
-        every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-        left = asked.select("q", "v", block("q", 1, of_queries).alias("a"), every(of_corpus).alias("b"))
-        right = have.select("vec_id", "v", block("vec_id", 2, of_corpus).alias("b"), every(of_queries).alias("a"))
+        out = _cells(asked, have, k, skip_self, {} if stats is None else stats)
+    return _ranked(out, k).select("query_id", "rank", "vec_id", "sim")
 
-        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-            out = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})]
-            if x.num_rows and y.num_rows:
-                ids, m, own, v = x.column("q").to_numpy(), _matrix(x.column("v")), y.column("vec_id").to_numpy(), _matrix(y.column("v"))
-                for s in range(0, len(ids), 512):
-                    out.append(pa.Table.from_batches([_found(ids[s : s + 512], *_better(ids[s : s + 512], m[s : s + 512], own, v, k, skip_self, None))]))
-            return pa.concat_tables(out)
 
-        out = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, "query_id long, vec_id long, sim double")
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "sim")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+_FOUND = "query_id long, vec_id long, sim double"
+
+
+def _scan(asked: DataFrame, have: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    rows = asked.toArrow().combine_chunks()
+    shared = asked.sparkSession.sparkContext.broadcast({m.shape[1]: (rows.column("q").to_numpy()[at], m) for at, m in _by_length(rows.column("v"))})
+
+    def run(batches):
+        best: dict = {}
+        for b in batches:
+            for at, x in _by_length(b.column(1)):
+                ids, m = shared.value.get(x.shape[1], (np.zeros(0, np.int64), None))
+                own = b.column(0).to_numpy()[at]
+                for i in range(0, len(ids), STEP[0]):
+                    for j in range(0, len(x), STEP[1]):
+                        best[x.shape[1], i] = _better(ids[i : i + STEP[0]], m[i : i + STEP[0]], own[j : j + STEP[1]], x[j : j + STEP[1]], k, skip_self, best.get((x.shape[1], i)))
+        for (dim, i), found in best.items():
+            yield _found(shared.value[dim][0][i : i + STEP[0]], *found)
+
+    return have.mapInArrow(run, _FOUND)
+
+
+def _pivots(sample: np.ndarray, k: int) -> np.ndarray:
+    """Vectors far from each other, moved to the means of those nearest to them."""
+    at, far = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(at) < min(k, len(sample)) and far.max() > 0:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[at[-1]]) ** 2).sum(1))
+    p = sample[at]
+    for _ in range(2):
+        near = _distance(sample, p).argmin(1)
+        p = np.stack([sample[near == i].mean(0) if (near == i).any() else p[i] for i in range(len(p))])
+    return p
+
+
+def _distance(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1) - 2 * x @ p.T, 0))
+
+
+def _cells(asked: DataFrame, have: DataFrame, k: int, skip_self: bool, stats: dict) -> DataFrame:
+    spark = have.sparkSession
+    n = have.count()
+    sample: dict[int, list] = {}
+    for b in have.select("v").sample(min(1.0, 1.2 * SAMPLE / max(n, 1)), 1).limit(SAMPLE).toArrow().to_batches():
+        for _, m in _by_length(b.column(0)):
+            sample.setdefault(m.shape[1], []).append(m)
+    pivots = {dim: _pivots(np.concatenate(ms), max(1, min(PIVOTS, int(n**0.5 / 4) + 1))) for dim, ms in sample.items()}
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def of(dim: int) -> np.ndarray:
+        return shared.value.get(dim, np.zeros((1, dim)))
+
+    def index(batches):
+        for b in batches:
+            for at, x in _by_length(b.column(1)):
+                d = _distance(x, of(x.shape[1]))
+                near = d.argmin(1)
+                s = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(np.full(len(at), x.shape[1], np.int32)), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(at)), near]), pa.array(np.sqrt((x**2).sum(1)))], names=["vec_id", "v", "dim", "cell", "dist", "norm"])
+
+    keyed = keep(have.mapInArrow(index, "vec_id long, v array<double>, dim int, cell int, dist double, norm double"), "cells")
+    # A row a pivot.
+    table = {(r["dim"], r["cell"]): r for r in keyed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.max("norm").alias("norm")).collect()}
+    stats |= {"corpus_rows": n, "rows_sent": 0, "cells": len(table)}
+    if not table:
+        return spark.createDataFrame([], _FOUND)
+    cells: dict[int, list] = {}
+    for (dim, p), r in table.items():
+        cells.setdefault(dim, []).append((p, r["radius"], r["norm"]))
+    info = spark.sparkContext.broadcast({dim: tuple(np.array(c) for c in zip(*rows, strict=True)) for dim, rows in cells.items()})
+
+    def route(batches):
+        """First, without a score to beat, the cell with the best pivot; then all others that can reach the score."""
+        for b in batches:
+            floor = np.asarray(b.column(2).fill_null(-np.inf)).astype(float)
+            first = np.asarray(b.column(3))
+            for at, x in _by_length(b.column(1)):
+                if x.shape[1] not in info.value:
+                    continue
+                p, radius, norm = info.value[x.shape[1]]
+                length = np.sqrt((x**2).sum(1))[:, None]
+                score = x @ of(x.shape[1])[p].T
+                bound = np.minimum(score + length * radius, length * norm)
+                bound = bound + 1e-9 * (np.abs(score) + length * (radius + norm)) + 1e-300
+                home = score.argmax(1)
+                hit = bound >= floor[at][:, None]
+                hit[np.arange(len(at)), home] = False
+                hit = np.where(first[at][:, None], np.arange(len(p)) == home[:, None], hit)
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[i])), b.column(2).take(pa.array(at[i])), pa.array(np.full(len(i), x.shape[1], np.int32)), pa.array(p[j].astype(np.int32))], names=["row", "least", "dim", "cell"])
+
+    rows = keep(asked.select(F.monotonically_increasing_id().alias("row"), "q", "v"), "queries")
+
+    def visit(routed: DataFrame) -> DataFrame:
+        visits = keep(routed.mapInArrow(route, "row long, least double, dim int, cell int"), "visits")
+        plan = {(r["dim"], r["cell"]): -(-r["n"] // QUERY_BLOCK) for r in visits.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}
+        if not plan:
+            return spark.createDataFrame([], _FOUND)
+        stats["rows_sent"] += sum(table[key]["n"] * blocks for key, blocks in plan.items())
+        at = ["dim", "cell"]
+        sent = F.broadcast(spark.createDataFrame([(*key, -(-table[key]["n"] // CORPUS_BLOCK), blocks) for key, blocks in plan.items()], "dim int, cell int, cuts int, blocks int"))
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        left = visits.join(sent, at).withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int")).withColumn("cut", every("cuts")).join(rows, "row").select(*at, "block", "cut", "q", "v", "least")
+        right = keyed.join(sent, at).withColumn("cut", F.pmod(F.xxhash64("vec_id", F.lit(2)), "cuts").cast("int")).select(*at, "cut", "vec_id", "v", every("blocks").alias("block"))
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            out = []
+            if x.num_rows and y.num_rows:
+                dim = x.column("dim")[0].as_py()
+                ids, m, own, v, least = x.column("q").to_numpy(), _matrix(x.column("v"), dim), y.column("vec_id").to_numpy(), _matrix(y.column("v"), dim), x.column("least").to_numpy()
+                for i in range(0, len(ids), STEP[0]):
+                    best, s = None, slice(i, i + STEP[0])
+                    for j in range(0, len(own), STEP[1]):
+                        best = _better(ids[s], m[s], own[j : j + STEP[1]], v[j : j + STEP[1]], k, skip_self, best)
+                    vec, sims = best
+                    # What is below the score to beat stays here.
+                    floor = np.where(np.isnan(least[s].astype(float)), -np.inf, least[s].astype(float))
+                    out.append(_found(ids[s], vec, np.where(sims >= floor[:, None], sims, np.nan)))
+            return pa.Table.from_batches(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+
+        key = ["dim", "cell", "block", "cut"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, _FOUND)
+
+    home = keep(_ranked(visit(rows.select("row", "v", F.lit(None).cast("double").alias("least"), F.lit(True).alias("first"))), k).drop("rank"), "home")
+    least = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("sim")).alias("least"))
+    away = visit(rows.join(least, rows["q"] == least["query_id"], "left").select("row", "v", "least", F.lit(False).alias("first")))
+    return home.unionByName(away)
+
+
+def _by_length(column: pa.Array):
+    """(rows, matrix) for each length of a column's vectors."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.asarray(column.value_lengths())
+    flat = np.asarray(column.flatten()).astype(float)
+    begin = np.cumsum(size) - size
+    for dim in np.unique(size).tolist():
+        at = np.flatnonzero(size == dim)
+        yield at, flat[(begin[at][:, None] + np.arange(dim)).ravel()].reshape(len(at), dim)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+    return np.asarray(column.flatten(), float).reshape(len(column), dim)
 
 
 def _better(ids, m, own, v, k: int, skip_self: bool, best):
@@ -181,9 +305,16 @@ def _better(ids, m, own, v, k: int, skip_self: bool, best):
     sims = np.zeros((len(ids), len(v)))
     for c in range(m.shape[1]):
         sims += m[:, c, None] * v[None, :, c]
-    own = np.broadcast_to(own, sims.shape)
     if skip_self:
-        sims = np.where(own == ids[:, None], -np.inf, sims)
+        sims[own[None, :] == ids[:, None]] = -np.inf
+    # All that tie with the k-th are sorted with it, not the others.
+    if sims.shape[1] > 4 * k:
+        kth = np.partition(sims, -k, 1)[:, -k]
+        if best is not None and best[1].shape[1] >= k:
+            kth = np.maximum(kth, best[1][:, k - 1])
+        keep_ = (sims >= kth[:, None]).any(0)
+        sims, own = sims[:, keep_], own[keep_]
+    own = np.broadcast_to(own, sims.shape)
     if best is not None:
         own, sims = np.concatenate((best[0], own), 1), np.concatenate((best[1], sims), 1)
     order = np.lexsort((own, -sims), axis=1)[:, :k]

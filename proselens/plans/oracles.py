@@ -343,6 +343,9 @@ SELECT doc_id, row, header, coalesce(cell, '') AS cell FROM grid CROSS JOIN h LE
     "heading_match": f"WITH {_CHUNKS}, x AS (SELECT doc_id, chunk, unnest(range(0, len(lines))) AS nth, unnest(lines) AS line FROM chunks) SELECT doc_id, chunk, nth, {known('line')} AS known, {short('line')} AS short, {normal('line')} AS normal FROM x",
     "section_canonical": f"WITH {_CHUNKS} SELECT doc_id, chunk, {canonical('first')} AS section_name, {ontology('first')} AS label FROM chunks",
     "knn_topk": f"WITH {_KNN} SELECT query_id, rank, vec_id, round(sim, 6) AS sim FROM n",
+    "knn_all_rows": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS sim FROM v q JOIN v c ON q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 3""",
     "paraphrase_window_features": f"WITH {_KNN} SELECT query_id, {_r('max_sim', 'mean_top3')}, above_tau, nn_id FROM wa",
     "paraphrase_doc_features": f"WITH {_KNN} SELECT CAST(label AS BIGINT) AS doc_id, round(avg(above_tau), 6) AS coverage, round(max(max_sim), 6) AS max_sim, round(avg(mean_top3), 6) AS top3_mean, round(avg(above_tau), 6) AS frac_above_tau, count(*) AS num_windows FROM wa GROUP BY label",
     "lm_unigram_scores": f"WITH {_LM} SELECT token, n, {_r('p', 'lp')}, rank FROM uni",

@@ -163,6 +163,12 @@ def knn_topk(spark, d):
     return tidy(semantic.knn(v.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"), v, skip_self=True))
 
 
+def knn_all_rows(spark, d):
+    """Every vector asks for its three nearest others."""
+    v = spread(table(spark, f"{d}/embeddings.parquet", "vec_id", "embedding"))
+    return tidy(semantic.knn(v.withColumnRenamed("vec_id", "query_id"), v, k=3, skip_self=True))
+
+
 def paraphrase_window_features(spark, d):
     v = spread(table(spark, f"{d}/embeddings.parquet", "vec_id", "embedding"))
     n = semantic.knn(v.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"), v, skip_self=True)
@@ -309,7 +315,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stylometry_documents, sentence_split, token_counts, lexical_diversity, pos_ratios, burstiness, readability, sentence_windows, glue_short_sentences, page_normalize, strip_math, layout_text_scan, block_classify, heading_match,
-        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, smooth_probs, window_labels, sentence_probs,
+        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, knn_all_rows, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, smooth_probs, window_labels, sentence_probs,
         section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, pie_stops, layout_tables, layout_paragraphs, full_pipeline, all_branches,
     )
 }
