@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,24 +203,43 @@ def meta_window_probabilities(windows: DataFrame, model: dict, doc_features: Dat
 
 
 def load_meta_file(path: str) -> dict | None:
-    """load_meta of a JSON file; None if it can't be read."""
+    """load_meta of a JSON file, or of an npz file with arrays columns, mu, sigma, label_map and, a layer each, w0, b0, w1,
+    b1, ...; None if it can't be read."""
     try:
+        if path.endswith(".npz"):
+            with np.load(path, allow_pickle=False) as z:
+                spec = {k: z[k].tolist() for k in ("columns", "mu", "sigma", "label_map") if k in z.files}
+                spec["layers"] = [{"weights": z[f"w{k}"].tolist(), "bias": z[f"b{k}"].tolist()} for k in range(sum(f.startswith("w") for f in z.files))]
+                return load_meta(spec)
         with open(path, encoding="utf-8") as f:
             return load_meta(json.load(f))
-    except (OSError, ValueError):
+    except (OSError, ValueError, KeyError):
         return None
 
 
 def load_meta(spec: dict) -> dict | None:
-    """A model of JSON fields: feature names under any of the usual keys, mu, sigma, weights a label and biases; None if
-    it isn't usable."""
+    """A model of JSON fields: feature names under any of the usual keys, mu, sigma, and weights a label with biases, or
+    layers of weights (a row an output) and biases with an activation between them; None if it isn't usable."""
     if isinstance(spec, list):
         spec = {"columns": spec}
     names = next((spec[k] for k in ("columns", "feature_names", "cols", "feature_columns") if spec.get(k)), None)
     if not names:
         return None
     mu, sigma = (next((spec[k] for k in keys if spec.get(k)), [fill] * len(names)) for keys, fill in ((("mu", "mean"), 0.0), (("sigma", "std"), 1.0)))
-    return {"names": list(names), "mu": list(mu), "sigma": list(sigma), "weights": spec.get("weights"), "bias": spec.get("bias") or [0.0] * len(spec.get("weights") or C.LABELS), "labels": _label_order(spec.get("label_map"))}
+    layers = [{"weights": x["weights"], "bias": x.get("bias") or [0.0] * len(x["weights"])} for x in spec.get("layers") or []]
+    labels = _label_order(spec.get("label_map"))
+    sizes = [len(names), *(len(x["weights"]) for x in layers)]
+    fits = all(len(x["bias"]) == len(x["weights"]) and all(len(w) == n for w in x["weights"]) for x, n in zip(layers, sizes, strict=False))
+    if layers and (not fits or sizes[-1] != len(labels) or spec.get("activation", "relu") not in ACTIVATIONS):
+        return None
+    out = {"names": list(names), "mu": list(mu), "sigma": list(sigma), "weights": spec.get("weights"), "bias": spec.get("bias") or [0.0] * len(spec.get("weights") or C.LABELS), "labels": labels}
+    return out | ({"layers": layers, "activation": spec.get("activation", "relu"), "weights": layers[-1]["weights"]} if layers else {})
+
+
+#: What stands between the layers of a meta classifier.
+ACTIVATIONS = {"relu": lambda x: np.maximum(x, 0), "tanh": np.tanh, "sigmoid": lambda x: 1 / (1 + np.exp(-x)), "none": lambda x: x}
+#: Bytes of its weights, which are broadcast, at most.
+WEIGHTS = 256 << 20
 
 
 def _label_order(labels) -> list[str]:
@@ -229,8 +249,39 @@ def _label_order(labels) -> list[str]:
 
 
 def meta_probabilities(vectors: DataFrame, model: dict, features: str = "features") -> DataFrame:
-    """vectors with the softmax of a linear model over standardised features."""
+    """vectors with the softmax of a model's last layer over standardised features: a linear one in expressions, one of
+    layers batch by batch with its matrices broadcast."""
+    if model.get("layers"):
+        return _layered(vectors, model, features)
     array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     z = N.z_score(F.col(features), array(model["mu"]), array(model["sigma"]))
     scores = [N.dot(z, array(w)) + F.lit(float(b)) for w, b in zip(model["weights"], model["bias"], strict=True)]
     return labelled_probabilities(vectors, dict(zip(model["labels"], N.softmax(*scores), strict=True)))
+
+
+def _layered(vectors: DataFrame, model: dict, features: str) -> DataFrame:
+    layers = [(np.array(x["weights"], float).T, np.array(x["bias"], float)) for x in model["layers"]]
+    if (used := sum(w.nbytes + b.nbytes for w, b in layers)) > WEIGHTS:
+        raise ValueError(f"weights of {used} bytes, over {WEIGHTS}")
+    ship(vectors.sparkSession)
+    shared = vectors.sparkSession.sparkContext.broadcast(layers)
+    between = model["activation"]
+    labels = [T.plain_label(x) for x in model["labels"]]
+    array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    own = vectors.drop(*P)
+    z = own.withColumn("z_", N.z_score(F.col(features), array(model["mu"]), array(model["sigma"])))
+    schema = StructType([*own.schema.fields, *(StructField(p, DoubleType()) for p in P)])
+
+    def run(batches):
+        for b in batches:
+            x = np.asarray(b.column(b.num_columns - 1).flatten(), float).reshape(b.num_rows, -1)
+            for k, (w, bias) in enumerate(shared.value):
+                x = (ACTIVATIONS[between](x) if k else x) @ w + bias
+            e = np.exp(x - x.max(1, keepdims=True))
+            p = e / e.sum(1, keepdims=True)
+            of = np.stack([p[:, labels.index(x_)] if x_ in labels else np.zeros(len(p)) for x_ in C.LABELS], 1)
+            total = of.sum(1, keepdims=True)
+            of /= np.where(total == 0, 1, total)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(of[:, k])) for k in range(len(P)))], names=schema.names)
+
+    return z.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import constants as C
 from ..functions.text import normal_form
-from .queries import META_WEIGHTS, PARTS
+from .queries import META_LAYERS, META_WEIGHTS, PARTS
 
 
 def _q(x: str) -> str:
@@ -307,6 +307,19 @@ _RAW_FEATURES = ["avg(n_words)", "avg(avg_word_len)", "avg(ttr)", "avg(burst_cv)
 _Z = [f"((f[{k + 1}] - {m}) / {s or 1.0})" for k, (m, s) in enumerate(zip(_META["mu"], _META["sigma"], strict=True))]
 _DOTS = [" + ".join(f"{z} * {w}" for z, w in zip(_Z, ws, strict=True)) + f" + {b}" for ws, b in zip(_META["weights"], _META["bias"], strict=True)]
 
+
+
+def _layers(source: str, keep: str, f: str) -> str:
+    """SQL of the two layers over the list f of a source's features."""
+    z = [f"(({f})[{k + 1}] - {m}) / {s or 1.0}" for k, (m, s) in enumerate(zip(_META["mu"], _META["sigma"], strict=True))]
+    one, two = META_LAYERS["layers"]
+    dense = lambda xs, layer: [" + ".join(f"{x} * ({w})" for x, w in zip(xs, ws, strict=True)) + f" + ({b})" for ws, b in zip(layer["weights"], layer["bias"], strict=True)]
+    hidden = ", ".join(f"greatest(0.0, {x}) AS h{k}" for k, x in enumerate(dense(z, one)))
+    last = ", ".join(f"{x} AS o{k}" for k, x in enumerate(dense([f"h{k}" for k in range(4)], two)))
+    ps = ", ".join(f"round(exp(o{k}) / (exp(o0) + exp(o1) + exp(o2)), 6) AS {p}" for k, p in enumerate(_P))
+    return f"SELECT {keep}, {ps} FROM (SELECT {keep}, {last} FROM (SELECT {keep}, {hidden} FROM {source}))"
+
+
 # The whole analysis by style alone, of papers.
 _ANALYSIS = f"""WITH RECURSIVE {_PAPER_WINDOWS}, {_style("wt", "doc_id, window_id, sentence_ids", sentences("text_raw"))}, {_SCORE},
 sm AS (SELECT doc_id, window_id, sentence_ids, {", ".join(f"avg({p}) OVER w AS {p}" for p in _P)} FROM pr WINDOW w AS (PARTITION BY doc_id ORDER BY window_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
@@ -363,6 +376,8 @@ SELECT doc_id, CAST(0 AS BIGINT) AS section_id, num_windows, num_sentences, {_r(
     "label_percentages": f"{_SENTENCES} SELECT doc_id, " + ", ".join(f"round(avg(CASE WHEN label = '{x}' THEN 100.0 ELSE 0.0 END), 6) AS pct_{x}" for x in C.LABELS) + " FROM js GROUP BY doc_id",
     "meta_features": f"{_PROBS} SELECT doc_id, list_transform([{', '.join(_RAW_FEATURES)}], lambda x: round(x, 6)) AS features FROM pr GROUP BY doc_id",
     "zscore_softmax": f"{_PROBS}, v AS (SELECT doc_id, [{', '.join(_RAW_FEATURES)}] AS f FROM pr GROUP BY doc_id), z AS (SELECT doc_id, {_DOTS[0]} AS za, {_DOTS[1]} AS zb, {_DOTS[2]} AS zc FROM v) SELECT doc_id, " + ", ".join(f"round(exp({z}) / (exp(za) + exp(zb) + exp(zc)), 6) AS {p}" for z, p in zip(("za", "zb", "zc"), _P, strict=True)) + " FROM z",
+    "meta_layers": f"{_PROBS}, v AS (SELECT doc_id, [{', '.join(_RAW_FEATURES)}] AS f FROM pr GROUP BY doc_id) {_layers('v', 'doc_id', 'f')}",
+    "meta_window_layers": f"{_PROBS}, v AS (SELECT doc_id, window_id, [n_words, avg_word_len, ttr, 0.0, 0.0, CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE)] AS f FROM pr) {_layers('v', 'doc_id, window_id', 'f')}",
     "label_inherit": f"WITH {_CANDIDATES} SELECT doc_id, seq, part, type, label FROM lab",
     "section_runs": f"""WITH {_CANDIDATES}, r0 AS (SELECT *, CAST(coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY seq, part), '') <> label AS BIGINT) AS new FROM lab),
 r1 AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY seq, part ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS section_id FROM r0)
@@ -375,6 +390,22 @@ SELECT doc_id, round(confidence, 6)::DOUBLE AS confidence, CAST(1 AS BIGINT) AS
     "highlight_html": f"""{_SENTENCES}, h AS (SELECT doc_id, sentence_id, CASE WHEN sentence_id % 10 = 0 THEN '<h3>Section ' || (sentence_id // 10 + 1) || '</h3>' ELSE '' END AS head,
 '<span style="background:' || CASE label WHEN 'human' THEN '{C.LABEL_COLOURS["human"]}' WHEN 'ai' THEN '{C.LABEL_COLOURS["ai"]}' ELSE '{C.LABEL_COLOURS["paraphrased_ai"]}' END || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span> ' AS span FROM js)
 SELECT doc_id, string_agg(head || CASE WHEN sentence_id % 7 = 3 THEN '<div>• ' || span || '</div>' ELSE span END, '' ORDER BY sentence_id) AS html FROM h GROUP BY doc_id""",
+    "annotation_boxes": f"""WITH d AS (SELECT doc_id, {squeeze("text")} AS text FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(ws))) AS k, unnest(ws) AS word FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM d WHERE text <> '')),
+pw AS (SELECT *, k // 100 + 1 AS page, lower(word) || ' ' AS part, CAST(k % 10 AS DOUBLE) AS c, CAST(k % 100 // 10 AS DOUBLE) AS line FROM w),
+pa AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id, page ORDER BY k) - length(part) AS at FROM (SELECT *, CASE WHEN ends_with(lower(word), '-') AND length(word) > 1 AND k % 10 = 9 AND k % 100 <> 99 AND k < max(k) OVER (PARTITION BY doc_id) THEN left(lower(word), length(word) - 1) ELSE part END AS part FROM (SELECT * EXCLUDE (part), lower(word) || ' ' AS part FROM pw))),
+pg AS (SELECT doc_id, page, string_agg(part, '' ORDER BY k) AS shown FROM pa GROUP BY doc_id, page),
+s0 AS (SELECT doc_id, unnest(range(0, len(ss))) AS sentence_id, unnest(ss) AS text FROM (SELECT doc_id, {sentences("text")} AS ss FROM d)),
+s1 AS (SELECT *, string_split(text, ' ') AS ws FROM s0),
+s2 AS (SELECT *, coalesce(sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY sentence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 100 + 1 AS page FROM s1),
+s3 AS (SELECT *, list_transform(list_concat([text, replace(text, '- ', '-'), replace(text, ' -', '-')], list_transform(list_reverse(range(CASE WHEN len(ws) > 3 THEN 3 ELSE len(ws) END, least(len(ws), 8) + 1)), lambda n: array_to_string(ws[1:n], ' '))), lambda x: lower(x)) AS snips FROM s2),
+f AS (SELECT s3.doc_id, sentence_id, s3.page, shown, list_filter(snips, lambda x: contains(shown, x))[1] AS snippet FROM s3 JOIN pg ON s3.doc_id = pg.doc_id AND s3.page = pg.page),
+h0 AS (SELECT *, list_transform(string_split(shown, snippet), lambda p: length(p)) AS gaps FROM f WHERE snippet IS NOT NULL),
+h AS (SELECT * EXCLUDE (nth), list_sum(gaps[1 : nth]) + (nth - 1) * length(snippet) AS place, nth FROM (SELECT *, unnest(range(1, len(gaps))) AS nth FROM h0) WHERE nth <= 64),
+b AS (SELECT h.doc_id, h.sentence_id, h.page, nth, line, min(c) * 60 AS x0, max(c) * 60 + 50 AS x1 FROM h JOIN pa ON pa.doc_id = h.doc_id AND pa.page = h.page AND pa.at + length(pa.part) > place AND pa.at < place + length(snippet) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_id ORDER BY nth DESC, line DESC) AS back FROM b)
+SELECT doc_id, sentence_id, CAST(page AS BIGINT) AS page, 'snippet' AS how, any_value(snippet) AS snippet, any_value(n_hits) AS n_hits, count(*) AS n_boxes, min(x0) FILTER (nth = 1) AS x0, min(line) FILTER (nth = 1) * 12 AS top, max(x1) FILTER (nth = 1) AS x1, max(line) FILTER (nth = 1) * 12 + 10 AS bottom,
+  max(x1) FILTER (back = 1) AS last_x1, max(line) FILTER (back = 1) * 12 + 10 AS last_bottom FROM o JOIN (SELECT doc_id, sentence_id, snippet, least(len(gaps) - 1, 64) AS n_hits FROM h0) USING (doc_id, sentence_id) GROUP BY doc_id, sentence_id, page""",
     "pie_stops": f"""{_SENTENCES}, l(pos, label) AS (VALUES (0, 'human'), (1, 'ai'), (2, 'paraphrased_ai')), n AS (SELECT doc_id, count(*) AS total, count(*) FILTER (label = 'human') AS a, count(*) FILTER (label = 'ai') AS b, count(*) FILTER (label = 'paraphrased_ai') AS c FROM js GROUP BY doc_id),
 s AS (SELECT doc_id, pos, label, [a, b, c][pos + 1] / total * 100 AS share FROM n, l), ends AS (SELECT *, sum(share) OVER (PARTITION BY doc_id ORDER BY pos) AS "end" FROM s)
 SELECT doc_id, label, round(share, 6) AS share, round("end" - share, 6) AS "begin", round("end", 6) AS "end" FROM ends""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -20,6 +20,14 @@ PARTS = (
 )
 META_WEIGHTS = {"columns": ["n_words", "avg_word_len", "ttr", "burst_cv_mean", "flesch_max", "num_windows"], "mu": [60.0, 4.5, 0.8, 0.4, 60.0, 10.0], "sigma": [20.0, 0.5, 0.1, 0.0, 30.0, 8.0], "weights": [[0.2, -0.1, 0.3, 0.1, 0.2, 0.0], [-0.2, 0.3, -0.1, 0.2, 0.1, 0.1], [0.1, 0.1, -0.2, -0.3, 0.0, 0.2]], "bias": [0.1, 0.0, -0.1]}
 
+#: The same features through a hidden layer of four.
+META_LAYERS = {k: META_WEIGHTS[k] for k in ("columns", "mu", "sigma")} | {
+    "layers": [
+        {"weights": [[0.3, -0.2, 0.1, 0.4, -0.1, 0.2], [-0.4, 0.1, 0.3, -0.2, 0.2, 0.1], [0.2, 0.2, -0.3, 0.1, 0.3, -0.2], [-0.1, 0.4, 0.2, 0.3, -0.3, 0.1]], "bias": [0.1, 0.2, -0.1, 0.05]},
+        {"weights": [[0.5, -0.3, 0.2, 0.1], [-0.2, 0.4, 0.3, -0.1], [0.1, 0.2, -0.4, 0.6]], "bias": [0.0, 0.1, -0.1]},
+    ]
+}
+
 
 def tidy(df: DataFrame) -> DataFrame:
     kinds = {"int": lambda c: c.cast("long"), "double": lambda c: F.round(c, 6)}
@@ -253,6 +261,17 @@ def zscore_softmax(spark, d):
     return tidy(fusion.meta_probabilities(fusion.meta_vector(_scored(spark, d), model["names"]), model).drop("features"))
 
 
+def meta_layers(spark, d):
+    model = fusion.load_meta(META_LAYERS)
+    return tidy(fusion.meta_probabilities(fusion.meta_vector(_scored(spark, d), model["names"]), model).drop("features"))
+
+
+def meta_window_layers(spark, d):
+    """The layers over each window: its own columns, the number of its document's windows, and 0 for what it lacks."""
+    x = fusion.meta_window_probabilities(_scored(spark, d), fusion.load_meta(META_LAYERS))
+    return tidy(x.select("doc_id", "window_id", *fusion.P))
+
+
 def label_inherit(spark, d):
     return tidy(_labelled(spark, d).select("doc_id", "seq", "part", "type", "label"))
 
@@ -275,6 +294,25 @@ def highlight_html(spark, d):
     return tidy(sinks.highlight_html(s))
 
 
+def _page_words(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, page, seq, text, x0, top, x1, bottom): the words of documents, ten a line and a hundred a page."""
+    w = _docs(spark, d).select("doc_id", F.posexplode(F.split(T.squeeze(F.col("text")), " ")).alias("k", "text")).where("text <> ''")
+    col, line = (F.col("k") % 10).cast("double"), F.floor(F.col("k") % 100 / 10).cast("double")
+    return w.select("doc_id", (F.floor(F.col("k") / 100) + 1).cast("int").alias("page"), F.col("k").alias("seq"), "text", (col * 60).alias("x0"), (line * 12).alias("top"), (col * 60 + 50).alias("x1"), (line * 12 + 10).alias("bottom"))
+
+
+def annotation_boxes(spark, d):
+    """Where each sentence of a document stands on the page on which it begins: whole, or by its first words where it runs
+    over the page's end."""
+    s = _docs(spark, d).select("doc_id", F.posexplode(T.sentences(T.squeeze(F.col("text")))).alias("sentence_id", "text"))
+    n = F.size(F.split("text", " "))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy("doc_id").orderBy("sentence_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.select("doc_id", "sentence_id", (F.floor(before / 100) + 1).cast("int").alias("page"), "text", F.lit("").alias("clean_text"), F.lit("ai").alias("label"))
+    x = sinks.annotations(s, _page_words(spark, d))
+    last = F.element_at("boxes", -1)
+    return tidy(x.select("doc_id", "sentence_id", "page", "how", "snippet", "n_hits", F.size("boxes").alias("n_boxes"), "box.x0", "box.top", "box.x1", "box.bottom", last["x1"].alias("last_x1"), last["bottom"].alias("last_bottom")))
+
+
 def pie_stops(spark, d):
     return tidy(sinks.pie_stops(_judged(spark, d)[1]))
 
@@ -316,6 +354,6 @@ QUERIES = {
     for f in (
         stylometry_documents, sentence_split, token_counts, lexical_diversity, pos_ratios, burstiness, readability, sentence_windows, glue_short_sentences, page_normalize, strip_math, layout_text_scan, block_classify, heading_match,
         section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, knn_all_rows, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, smooth_probs, window_labels, sentence_probs,
-        section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, pie_stops, layout_tables, layout_paragraphs, full_pipeline, all_branches,
+        section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, meta_layers, meta_window_layers, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, annotation_boxes, pie_stops, layout_tables, layout_paragraphs, full_pipeline, all_branches,
     )
 }

@@ -166,7 +166,7 @@ def test_annotations(spark):
     rows = [(1, 0, 1, "Cat sat on", "cat  sat on", "ai", None), (1, 1, 1, "The dog ran", "the dog ran", "human", None), (1, 2, 1, "nowhere", "nowhere", "human", 7.0), (1, 3, 1, "lost", "lost", "human", None), (1, 4, None, "no page", "x", "human", 7.0)]
     s = spark.createDataFrame([(*r, r[-1], r[-1], r[-1]) for r in rows], "doc_id long, sentence_id int, page int, text string, clean_text string, label string, bbox_x0 double, bbox_y0 double, bbox_x1 double, bbox_y1 double")
     got = {r["sentence_id"]: (r["how"], tuple(r["box"])) for r in sinks.annotations(s, w, b).collect()}
-    assert got == {0: ("words", (10.0, 0.0, 38.0, 5.0)), 1: ("block", (1.0, 2.0, 3.0, 4.0)), 2: ("box", (7.0, 7.0, 7.0, 7.0))}
+    assert got == {0: ("snippet", (10.0, 0.0, 38.0, 5.0)), 1: ("block", (1.0, 2.0, 3.0, 4.0)), 2: ("box", (7.0, 7.0, 7.0, 7.0))}
 
 
 def test_index_round_trip(spark, tmp_path):
@@ -293,3 +293,25 @@ def test_command(spark, tmp_path):
 
 def test_moving_ratio_batches():
     assert stylometry.moving_ratios(pa.array([[1, 1]], pa.list_(pa.int64())), 50).tolist() == [0.5]
+
+
+def test_meta_layers_from_files(spark, tmp_path):
+    """Layers from JSON and npz give what numpy gives; files and shapes that don't fit give no model."""
+    r = np.random.default_rng(4)
+    w0, b0, w1, b1 = r.normal(size=(5, 3)), r.normal(size=5), r.normal(size=(3, 5)), r.normal(size=3)
+    np.savez(tmp_path / "m.npz", columns=np.array(["n_words", "ttr", "num_windows"]), mu=np.array([1.0, 0.5, 2.0]), sigma=np.array([2.0, 0.0, 1.0]), w0=w0, b0=b0, w1=w1, b1=b1)
+    spec = {"feature_columns": ["n_words", "ttr", "num_windows"], "mean": [1.0, 0.5, 2.0], "std": [2.0, 0.0, 1.0], "label_map": {"1": "ai", "0": "human", "2": "paraphrase"}, "layers": [{"weights": w0.tolist(), "bias": b0.tolist()}, {"weights": w1.tolist(), "bias": b1.tolist()}]}
+    (tmp_path / "m.json").write_text(json.dumps(spec))
+    (tmp_path / "bad.json").write_text(json.dumps(spec | {"layers": spec["layers"][:1]}))
+    x = np.array([[3.0, 0.25, 2.0], [7.0, 1.0, 1.0]])
+    out = np.maximum((x - [1.0, 0.5, 2.0]) / [2.0, 1.0, 1.0] @ w0.T + b0, 0) @ w1.T + b1
+    want = np.exp(out) / np.exp(out).sum(1, keepdims=True)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "doc_id long, features array<double>")
+    for name in ("m.npz", "m.json"):
+        model = fusion.load_meta_file(str(tmp_path / name))
+        got = fusion.meta_probabilities(df, model).orderBy("doc_id").collect()
+        assert np.allclose([[g[p] for p in fusion.P] for g in got], want)
+    assert fusion.load_meta_file(str(tmp_path / "bad.json")) is None and fusion.load_meta_file(str(tmp_path / "none.npz")) is None
+    docs = spark.createDataFrame([(1, "One sentence is here. Another one follows it. And a third.")], "doc_id long, text string")
+    p = analyse(docs, meta=fusion.load_meta_file(str(tmp_path / "m.json")))["documents"].first()
+    assert sum(p[c] for c in fusion.P) == pytest.approx(1.0)
