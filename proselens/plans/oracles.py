@@ -379,6 +379,17 @@ SELECT doc_id, CAST(0 AS BIGINT) AS section_id, num_windows, num_sentences, {_r(
     "meta_layers": f"{_PROBS}, v AS (SELECT doc_id, [{', '.join(_RAW_FEATURES)}] AS f FROM pr GROUP BY doc_id) {_layers('v', 'doc_id', 'f')}",
     "meta_window_layers": f"{_PROBS}, v AS (SELECT doc_id, window_id, [n_words, avg_word_len, ttr, 0.0, 0.0, CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE)] AS f FROM pr) {_layers('v', 'doc_id, window_id', 'f')}",
     "label_inherit": f"WITH {_CANDIDATES} SELECT doc_id, seq, part, type, label FROM lab",
+    # Rows of plain text stand in one column without gaps, so within paragraphs only a bullet behind a bullet begins anew.
+    "layout_paragraphs": rf"""WITH RECURSIVE {_CANDIDATES}, p0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, part) AS k, regexp_matches(text, {_q(C.BULLET_LINE)}) AS bullet FROM lab),
+fold(doc_id, k, type, bullet, set, new) AS (
+  SELECT doc_id, k, type, bullet, bullet, true FROM p0 WHERE k = 1
+  UNION ALL SELECT p0.doc_id, p0.k, p0.type, p0.bullet, p0.bullet AND (p0.type <> 'PARA' OR f.type <> 'PARA' OR f.set), p0.type <> 'PARA' OR f.type <> 'PARA' OR (p0.bullet AND f.set) FROM fold f JOIN p0 ON p0.doc_id = f.doc_id AND p0.k = f.k + 1),
+p1 AS (SELECT p0.*, sum(CAST(new AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY k) AS para FROM p0 JOIN fold USING (doc_id, k)),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, para ORDER BY k) AS i, lag(text) OVER (PARTITION BY doc_id, para ORDER BY k) AS before, row_number() OVER (PARTITION BY doc_id, para ORDER BY k DESC) AS back FROM p1),
+p3 AS (SELECT doc_id, para, any_value(label) AS label, sum(CASE WHEN i = 1 THEN length(text) ELSE length({strip("text")}) + CASE WHEN ends_with(before, '-') THEN -length(regexp_extract(before, '-+$')) ELSE 1 END END) AS n FROM p2 GROUP BY doc_id, para),
+p4 AS (SELECT *, CAST(coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY para), '') <> label AS BIGINT) AS new FROM p3),
+p5 AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY para ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS section_id FROM p4)
+SELECT doc_id, section_id, label, count(*) AS n_units, CAST(0 AS BIGINT) AS n_tables, CAST(sum(n) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM p5 GROUP BY doc_id, section_id, label""",
     "section_runs": f"""WITH {_CANDIDATES}, r0 AS (SELECT *, CAST(coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY seq, part), '') <> label AS BIGINT) AS new FROM lab),
 r1 AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY seq, part ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS section_id FROM r0)
 SELECT doc_id, section_id, label, count(*) AS n_units, md5(string_agg(text, chr(10) || chr(10) ORDER BY seq, part)) AS text_md5 FROM r1 GROUP BY doc_id, section_id, label""",

@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.layout import LAYOUT, block_spans
-from ..session import shared_folder, ship
+from ..functions import text as T
+from ..operators.layout import LAYOUT, block_spans, styled_lines
+from ..operators.structure import page_of_styled_lines
+from ..session import keep, shared_folder, ship
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -135,6 +137,76 @@ def pdf_files(spark: SparkSession, path: str, extract: Extractor | Iterable[Extr
     return got.where(F.col("message").isNull()).drop("source", "message"), got.where(F.col("message").isNotNull()).select("doc_id", "source", "message")
 
 
+#: Gives of a PDF's bytes, of its first max_pages pages if given, {"page" from 0, "dict": the page as PDF libraries describe
+#: it (operators.layout.styled_lines), "text": its plain text}; the two may be functions, which are called as needed.
+PageReader = Callable[[bytes, int | None], Iterable[dict]]
+
+
+def pymupdf_pages(data: bytes, max_pages: int | None = None) -> Iterator[dict]:
+    """Pages by PyMuPDF, which must be installed where executors run."""
+    import fitz
+
+    with fitz.open(stream=data, filetype="pdf") as pdf:
+        for k in range(min(len(pdf), max_pages or len(pdf))):
+            yield {"page": k, "dict": lambda p=pdf[k]: p.get_text("dict"), "text": lambda p=pdf[k]: p.get_text("text")}
+
+
+def page_rows(page: dict) -> list[dict]:
+    """A page's styled lines; if it has none, or they can't be read, its plain text as one row without a size."""
+    get = lambda k: page[k]() if callable(page.get(k)) else page.get(k)
+    number = page["page"] + 1
+    try:
+        lines = [{"page": number, "seq": r["seq"], "text": r["text"], "size": r["size"], "flags": r["flags"]} for r in styled_lines(get("dict") or {})]
+    except Exception:  # its plain text is left
+        lines = []
+    if lines:
+        return lines
+    if not isinstance(text := get("text") or "", str):
+        raise TypeError("the page's text is no string")
+    return [{"page": number, "seq": 0, "text": text, "size": None, "flags": None}]
+
+
+def styled_pages(spark: SparkSession, path: str, read: PageReader = pymupdf_pages, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors) of PDF files: (doc_id, page, text), which analyse and structure.blocks take. Each page is put together
+    from its styled lines (structure.page_of_styled_lines), or is its tidied plain text where it has none, so pages of both
+    kinds stand next to each other. A page that can't be read, or a whole file, is a row of errors (doc_id, source, page,
+    message); the others stay. Files are read once, into the shared folder."""
+    ship(spark)
+    fields = "doc_id long, source string, page int, seq int, text string, size double, flags int, message string"
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("page", pa.int32()), ("seq", pa.int32()), ("text", pa.string()), ("size", pa.float64()), ("flags", pa.int32()), ("message", pa.string())])
+
+    def of_file(data: bytes) -> Iterator[dict]:
+        said = lambda e: f"{type(e).__name__}: {e}"[:500]
+        pages = iter(read(data, max_pages))
+        while True:
+            try:
+                page = next(pages, None)
+            except Exception as e:  # no page follows
+                yield {"message": said(e)}
+                return
+            if page is None:
+                return
+            if max_pages and page["page"] >= max_pages:
+                continue
+            try:
+                yield from page_rows(page)
+            except Exception as e:  # the page's own
+                yield {"page": page["page"] + 1, "message": said(e)}
+
+    def run(batches):
+        for b in batches:
+            for d, source, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                rows = [{"doc_id": d, "source": source, **r} for r in of_file(data)] or [{"doc_id": d, "source": source, "message": "no pages"}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source"), "content")
+    got = keep(files.mapInArrow(run, fields), "pages")
+    fine, styled = F.col("message").isNull(), F.col("size").isNotNull()
+    plain = got.where(fine & ~styled).select("doc_id", "page", T.page_text(F.col("text")).alias("text"))
+    lines = page_of_styled_lines(got.where(fine & styled).select("doc_id", "page", "seq", "text", "size", "flags"))
+    return lines.unionByName(plain), got.where(~fine).select("doc_id", "source", "page", "message")
+
+
 def vector_index(spark: SparkSession, vectors: str, meta: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """A vector table and, from JSON lines, its metadata, both keyed by vec_id."""
     return spark.read.parquet(vectors), spark.read.json(meta) if meta else None
