@@ -92,12 +92,17 @@ def synonym_map(synonyms: dict[str, list[str]]) -> Column:
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
 
 
-def perturbed(text: Column, key: Column, k: Column, drop: float = 0.05, swap: float = 0.05, replace: float = 0.05, synonyms: dict[str, list[str]] | None = None) -> Column:
+def md5_draws(*parts: Column) -> Column:
+    """Draws for perturbed that other engines can repeat: 32 bits of the md5 of the parts joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def perturbed(text: Column, key: Column, k: Column, drop: float = 0.05, swap: float = 0.05, replace: float = 0.05, synonyms: dict[str, list[str]] | None = None, draws: Callable[..., Column] = F.xxhash64) -> Column:
     """A variant of a text: words replaced by a synonym where there is a table of them, words and numbers dropped, and
-    neighbouring ones swapped, each by a hash of (key, k, place), so that variant k of a row is the same wherever and
-    however often it is made."""
+    neighbouring ones swapped, each by a hash, draws(key, k, place, what), so that variant k of a row is the same wherever
+    and however often it is made."""
     toks = F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
-    hashed = lambda i, what: F.xxhash64(key, k, i, F.lit(what))
+    hashed = lambda i, what: draws(key, k, i, F.lit(what))
     draw = lambda i, what: F.pmod(hashed(i, what), F.lit(10_000)) / 10_000.0
     wordy = lambda t: t.rlike(r"^(?U)[\p{L}\p{N}]+$")
     if synonyms:
@@ -118,13 +123,13 @@ def perturbed(text: Column, key: Column, k: Column, drop: float = 0.05, swap: fl
     return F.array_join(T.let(kept, moved), " ")
 
 
-def perturbation_score(df: DataFrame, model: DataFrame, key: str | tuple[str, ...] = "doc_id", text: str = "text", variants: int = 5, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+def perturbation_score(df: DataFrame, model: DataFrame, key: str | tuple[str, ...] = "doc_id", text: str = "text", variants: int = 5, synonyms: dict[str, list[str]] | None = None, draws: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """(key, detectgpt_score): mean log-probability of a text less that of its variants; 0 for texts without known tokens.
 
     A row and its variants are one row of counts a distinct token, so that a frequent token meets the model once a row."""
     key = (key,) if isinstance(key, str) else tuple(key)
     name = F.col(key[0]) if len(key) == 1 else F.struct(*key)
-    each = df.select(*key, F.posexplode(F.array(F.col(text), *(perturbed(F.col(text), name, F.lit(k), synonyms=synonyms) for k in range(1, variants + 1)))).alias("k_", "t_"))
+    each = df.select(*key, F.posexplode(F.array(F.col(text), *(perturbed(F.col(text), name, F.lit(k), synonyms=synonyms, draws=draws) for k in range(1, variants + 1)))).alias("k_", "t_"))
     toks = each.select(*key, "k_", F.explode(F.transform(T.words(F.col("t_")), F.lower)).alias("token"))
     counts = toks.groupBy(*key, "token").agg(*(F.count_if(F.col("k_") == k).alias(f"n{k}") for k in range(variants + 1)))
     x = counts.join(model.select("token", "lp"), "token").groupBy(*key).agg(*(F.try_divide(F.sum(F.col(f"n{k}") * F.col("lp")), F.sum(f"n{k}")).alias(f"m{k}") for k in range(variants + 1)))

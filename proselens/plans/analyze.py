@@ -33,7 +33,7 @@ def _or_else(alerts: list[tuple[str, str]], stage: str, build: Callable[[], Data
 
 def window_table(
     windows: DataFrame, *, style: bool = True, model: DataFrame | language_model.TokenScorer | None = None, corpus: DataFrame | None = None, embedder: semantic.Embedder | None = None,
-    synonyms: dict[str, list[str]] | None = None, alerts: list[tuple[str, str]] | None = None,
+    synonyms: dict[str, list[str]] | None = None, variants: int = 5, alerts: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """windows with the features of every branch that is asked for: style natively in the same pass, language-model,
     perturbation and nearest-neighbour features joined by (doc_id, window_id). model is a token scorer or a table of unigrams;
@@ -51,9 +51,9 @@ def window_table(
 
         def by_model() -> DataFrame:
             if callable(model):
-                return language_model.features(bare, model, key, "text_clean", synonyms=synonyms)
+                return language_model.features(bare, model, key, "text_clean", variants, synonyms)
             counted = language_model.aggregates_of_counts(language_model.token_counts(bare, key, "text_clean"), model, key)
-            return language_model.perturbation_score(bare, model, key, "text_clean", synonyms=synonyms).join(counted, list(key), "left")
+            return language_model.perturbation_score(bare, model, key, "text_clean", variants, synonyms).join(counted, list(key), "left")
 
         lm = _or_else(alerts, "language_model", by_model, zeros(LM_FEATURES), "zeros")
     if corpus is not None:
@@ -157,11 +157,11 @@ def views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: tables[name].select(*columns) for name, columns in VIEWS.items() if name in tables}
 
 
-def search_paraphrases(docs: DataFrame, corpus: DataFrame, k: int = 5, meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search_paraphrases(docs: DataFrame, corpus: DataFrame, meta: DataFrame | None = None, embedder: semantic.Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """(windows, documents) of paraphrase features: sentences of each text in windows of three, embedded and searched.
     With metadata of the corpus (vec_id, ...), windows have those of their nearest vector."""
     sents = docs.select("doc_id", F.posexplode(structure.T.sentences(F.col("text"))).alias("sentence_id", "text"))
     flat = sents.select("doc_id", "sentence_id", F.lit(0).alias("section_id"), F.lit("").alias("section_name"), F.col("sentence_id").alias("section_offset"), "text", F.col("text").alias("clean_text"))
-    w = window_table(structure.windows(flat), style=False, corpus=corpus)
+    w = window_table(structure.windows(flat), style=False, corpus=corpus, embedder=embedder)
     found = w if meta is None else semantic.attach_meta(w, meta.withColumnRenamed("vec_id", "nn_id"), "nn_id")
     return found, semantic.document_features(w)

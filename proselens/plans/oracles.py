@@ -263,6 +263,17 @@ cand AS (SELECT doc_id, seq, CAST(u.part AS BIGINT) AS part, u.type AS type, u.t
 mapped AS (SELECT *, CASE WHEN type = 'HEADING_CAND' THEN {ontology("text")} END AS mapped FROM cand),
 lab AS (SELECT *, coalesce(last_value(mapped IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq, part ROWS UNBOUNDED PRECEDING), 'UNKNOWN') AS label FROM mapped)"""
 
+# Rows of plain text stand in one column without gaps, so within paragraphs only a bullet behind a bullet begins anew.
+_MERGED = rf"""WITH RECURSIVE {_CANDIDATES}, p0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, part) AS k, regexp_matches(text, {_q(C.BULLET_LINE)}) AS bullet FROM lab),
+fold(doc_id, k, type, bullet, set, new) AS (
+  SELECT doc_id, k, type, bullet, bullet, true FROM p0 WHERE k = 1
+  UNION ALL SELECT p0.doc_id, p0.k, p0.type, p0.bullet, p0.bullet AND (p0.type <> 'PARA' OR f.type <> 'PARA' OR f.set), p0.type <> 'PARA' OR f.type <> 'PARA' OR (p0.bullet AND f.set) FROM fold f JOIN p0 ON p0.doc_id = f.doc_id AND p0.k = f.k + 1),
+p1 AS (SELECT p0.*, sum(CAST(new AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY k) AS para FROM p0 JOIN fold USING (doc_id, k)),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, para ORDER BY k) AS i, lag(text) OVER (PARTITION BY doc_id, para ORDER BY k) AS before, row_number() OVER (PARTITION BY doc_id, para ORDER BY k DESC) AS back FROM p1),
+p3 AS (SELECT doc_id, para, any_value(label) AS label, min(seq) AS seq, sum(CASE WHEN i = 1 THEN length(text) ELSE length({strip("text")}) + CASE WHEN ends_with(before, '-') THEN -length(regexp_extract(before, '-+$')) ELSE 1 END END) AS n FROM p2 GROUP BY doc_id, para),
+p4 AS (SELECT *, CAST(coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY para), '') <> label AS BIGINT) AS new FROM p3),
+p5 AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY para ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS section_id FROM p4)"""
+
 # --- neighbours
 
 _KNN = """
@@ -302,6 +313,32 @@ g0 AS (SELECT doc_id, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM (SELE
 g1 AS (SELECT *, sum(CAST(length(s) >= 15 AS BIGINT)) OVER (PARTITION BY doc_id) AS total, coalesce(sum(CAST(length(s) >= 15 AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g0),
 g2 AS (SELECT doc_id, CAST(least(before, greatest(total - 1, 0)) AS BIGINT) AS sentence_id, string_agg(s, ' ' ORDER BY i) AS sentence FROM g1 GROUP BY ALL)"""
 
+# Two variants of each document: words and numbers dropped, then neighbours swapped, by draws of md5.
+_DRAW = lambda i, what: f"(CAST('0x' || substr(md5(doc_id || ':' || k || ':' || {i} || ':{what}'), 1, 8) AS BIGINT) % 10000) / 10000.0"
+_WORDY = lambda x: rf"regexp_full_match({x}, '[\p{{L}}\p{{N}}]+')"
+_VARIANTS = rf"""
+v0 AS (SELECT doc_id, k, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\s]') AS toks FROM documents, (SELECT unnest([1, 2]) AS k)),
+v1 AS (SELECT doc_id, k, unnest(range(0, len(toks))) AS i, unnest(toks) AS t FROM v0),
+v2 AS (SELECT doc_id, k, t, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS i FROM v1 WHERE NOT {_WORDY("t")} OR {_DRAW("i", "drop")} >= 0.05),
+v3 AS (SELECT *, lead(t) OVER w AS t2, lag(t) OVER w AS t0, i % 2 = 0 AND {_DRAW("i", "swap")} < 0.1 AND {_WORDY("t")} AND {_WORDY("coalesce(lead(t) OVER w, '')")} AS hit FROM v2 WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
+v4 AS (SELECT doc_id, k, i, CASE WHEN hit THEN t2 WHEN i % 2 = 1 AND lag(hit) OVER (PARTITION BY doc_id, k ORDER BY i) THEN t0 ELSE t END AS t FROM v3),
+v5 AS (SELECT doc_id, k, string_agg(t, ' ' ORDER BY i) AS text FROM v4 GROUP BY doc_id, k),
+variants AS (SELECT documents.doc_id, z.k, coalesce(v5.text, '') AS text FROM documents CROSS JOIN (SELECT unnest([1, 2]) AS k) z LEFT JOIN v5 ON v5.doc_id = documents.doc_id AND v5.k = z.k)"""
+
+
+def _letters(x: str) -> str:
+    counts = f"list_transform(range(97, 123), lambda c: CAST(length(lower({x})) - length(replace(lower({x}), chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
+    return f"list_transform([{counts}], lambda v: list_transform(v, lambda a: CASE WHEN list_inner_product(v, v) = 0 THEN a ELSE a / sqrt(list_inner_product(v, v)) END))[1]"
+
+
+# Windows and the benchmark's passages by letter counts; the five nearest of each window.
+_NEAR = f"""
+pv AS (SELECT item_id AS vec_id, text, {_letters("text")} AS e FROM benchmark),
+wv AS (SELECT doc_id, window_id, text_raw, {_letters("text_raw")} AS e FROM wt),
+n0 AS (SELECT doc_id, window_id, vec_id, list_inner_product(wv.e, pv.e) AS sim FROM wv, pv),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, window_id ORDER BY sim DESC, vec_id) AS rank FROM n0),
+nn AS (SELECT doc_id, window_id, max(sim) FILTER (rank = 1) AS max_sim, avg(sim) FILTER (rank <= 3) AS mean_top3, max(vec_id) FILTER (rank = 1) AS nn_id, CAST(max(sim) FILTER (rank = 1) >= 0.78 AS BIGINT) AS above_tau FROM n1 WHERE rank <= 5 GROUP BY ALL)"""
+
 _META = META_WEIGHTS
 _RAW_FEATURES = ["avg(n_words)", "avg(avg_word_len)", "avg(ttr)", "avg(burst_cv)", "max(flesch)", "CAST(count(*) AS DOUBLE)"]
 _Z = [f"((f[{k + 1}] - {m}) / {s or 1.0})" for k, (m, s) in enumerate(zip(_META["mu"], _META["sigma"], strict=True))]
@@ -366,6 +403,17 @@ SELECT query_id, rank, vec_id, round(sim, 6) AS sim FROM (SELECT *, row_number()
     "lm_top_entropy": f"WITH {_LM}, top AS (SELECT p FROM uni ORDER BY p DESC, token LIMIT 100), s AS (SELECT sum(p) AS s FROM top) SELECT round(-sum(p / s * ln(p / s)), 6) AS entropy FROM top, s",
     "lm_bigram_contexts": f"WITH {_BIGRAMS} SELECT context, n, types, {_r('entropy', 'lp')}, rank FROM gc",
     "lm_bigram_scores": f"WITH {_BIGRAMS} SELECT doc_id, round(avg(lp), 6) AS logprob, round(log10(exp(avg(-lp))), 6) AS ppl, round(avg(entropy), 6) AS mean_entropy, round(avg(-lp), 6) AS surprisal_mean, round(var_pop(-lp), 6) AS surprisal_var, round(avg(rank), 6) AS avg_rank FROM sc GROUP BY doc_id",
+    "perturbed_texts": f"WITH {_VARIANTS} SELECT doc_id, k, md5(text) AS text_md5 FROM variants",
+    "perturbation_score_md5": f"""WITH {_LM}, {_VARIANTS}, base AS (SELECT doc_id, avg(lp) AS m FROM t JOIN uni USING (token) GROUP BY doc_id),
+vt AS (SELECT doc_id, k, unnest({lower_words("text")}) AS token FROM variants), vm AS (SELECT doc_id, k, avg(lp) AS m FROM vt JOIN uni USING (token) GROUP BY doc_id, k), va AS (SELECT doc_id, avg(m) AS m FROM vm GROUP BY doc_id)
+SELECT doc_id, round(coalesce(base.m - va.m, 0.0), 6) AS detectgpt_score FROM documents LEFT JOIN base USING (doc_id) LEFT JOIN va USING (doc_id)""",
+    "window_branches": f"""WITH {_LM}, {_WINDOWS}, {_style("wt", "doc_id, window_id", sentences("text_raw"))}, {_NEAR}, h AS (SELECT -sum(p * lp) AS entropy FROM uni),
+wk AS (SELECT doc_id, window_id, unnest({lower_words("text_raw")}) AS token FROM wt), wl AS (SELECT doc_id, window_id, avg(lp) AS logprob, var_pop(lp) AS surprisal_var, avg(rank) AS avg_rank FROM wk JOIN uni USING (token) GROUP BY ALL)
+SELECT doc_id, window_id, n_words, {_r("ttr", "flesch")}, round(coalesce(logprob, 0.0), 6) AS logprob, round(CASE WHEN logprob IS NULL THEN -9.0 ELSE -logprob / ln(10) END, 6) AS ppl, round(CASE WHEN logprob IS NULL THEN 0.0 ELSE entropy END, 6) AS mean_entropy,
+  round(coalesce(surprisal_var, 0.0), 6) AS surprisal_var, round(coalesce(avg_rank, 0.0), 6) AS avg_rank, CAST(0 AS DOUBLE) AS detectgpt_score, {_r("max_sim", "mean_top3")}, above_tau, nn_id FROM style LEFT JOIN wl USING (doc_id, window_id) JOIN nn USING (doc_id, window_id), h""",
+    "paraphrase_search": f"""WITH {_WINDOWS}, {_NEAR}, a AS (SELECT doc_id, avg(above_tau) AS coverage, max(max_sim) AS max_sim, avg(mean_top3) AS top3_mean, count(*) AS num_windows FROM nn GROUP BY doc_id),
+b AS (SELECT doc_id, left(text, 20) AS begins FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY max_sim DESC, window_id) AS r FROM nn) JOIN pv ON nn_id = vec_id WHERE r = 1)
+SELECT doc_id, round(coverage, 6) AS coverage, round(max_sim, 6) AS max_sim, round(top3_mean, 6) AS top3_mean, round(coverage, 6) AS frac_above_tau, num_windows, begins FROM a JOIN b USING (doc_id)""",
     "smooth_probs": f"{_SMOOTH} SELECT doc_id, window_id, {_r(*(f'{p}_raw' for p in _P), *_P)} FROM sm",
     "window_labels": f"{_LABELLED} SELECT doc_id, window_id, window_label, round(window_confidence, 6) AS window_confidence FROM lw",
     "sentence_probs": f"{_SENTENCES} SELECT doc_id, sentence_id, {_r(*_P)}, label, round(confidence, 6) AS confidence FROM js",
@@ -379,17 +427,9 @@ SELECT doc_id, CAST(0 AS BIGINT) AS section_id, num_windows, num_sentences, {_r(
     "meta_layers": f"{_PROBS}, v AS (SELECT doc_id, [{', '.join(_RAW_FEATURES)}] AS f FROM pr GROUP BY doc_id) {_layers('v', 'doc_id', 'f')}",
     "meta_window_layers": f"{_PROBS}, v AS (SELECT doc_id, window_id, [n_words, avg_word_len, ttr, 0.0, 0.0, CAST(count(*) OVER (PARTITION BY doc_id) AS DOUBLE)] AS f FROM pr) {_layers('v', 'doc_id, window_id', 'f')}",
     "label_inherit": f"WITH {_CANDIDATES} SELECT doc_id, seq, part, type, label FROM lab",
-    # Rows of plain text stand in one column without gaps, so within paragraphs only a bullet behind a bullet begins anew.
-    "layout_paragraphs": rf"""WITH RECURSIVE {_CANDIDATES}, p0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, part) AS k, regexp_matches(text, {_q(C.BULLET_LINE)}) AS bullet FROM lab),
-fold(doc_id, k, type, bullet, set, new) AS (
-  SELECT doc_id, k, type, bullet, bullet, true FROM p0 WHERE k = 1
-  UNION ALL SELECT p0.doc_id, p0.k, p0.type, p0.bullet, p0.bullet AND (p0.type <> 'PARA' OR f.type <> 'PARA' OR f.set), p0.type <> 'PARA' OR f.type <> 'PARA' OR (p0.bullet AND f.set) FROM fold f JOIN p0 ON p0.doc_id = f.doc_id AND p0.k = f.k + 1),
-p1 AS (SELECT p0.*, sum(CAST(new AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY k) AS para FROM p0 JOIN fold USING (doc_id, k)),
-p2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, para ORDER BY k) AS i, lag(text) OVER (PARTITION BY doc_id, para ORDER BY k) AS before, row_number() OVER (PARTITION BY doc_id, para ORDER BY k DESC) AS back FROM p1),
-p3 AS (SELECT doc_id, para, any_value(label) AS label, sum(CASE WHEN i = 1 THEN length(text) ELSE length({strip("text")}) + CASE WHEN ends_with(before, '-') THEN -length(regexp_extract(before, '-+$')) ELSE 1 END END) AS n FROM p2 GROUP BY doc_id, para),
-p4 AS (SELECT *, CAST(coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY para), '') <> label AS BIGINT) AS new FROM p3),
-p5 AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY para ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS section_id FROM p4)
-SELECT doc_id, section_id, label, count(*) AS n_units, CAST(0 AS BIGINT) AS n_tables, CAST(sum(n) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM p5 GROUP BY doc_id, section_id, label""",
+    "layout_paragraphs": f"{_MERGED} SELECT doc_id, section_id, label, count(*) AS n_units, CAST(0 AS BIGINT) AS n_tables, CAST(sum(n) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM p5 GROUP BY doc_id, section_id, label",
+    "layout_blocks": f"""{_MERGED}, x AS (SELECT *, array_to_string(list_transform(string_split(lower(replace(label, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM p5)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para) - 1 AS block_id, CAST(1 AS BIGINT) AS page, 'PARA' AS block_type, CAST(n AS BIGINT) AS n_chars, section_id, title, {canonical("title")} AS section_name, 'parser' AS source, 'PARA' AS unit_type, seq * 100.0::DOUBLE AS top FROM x""",
     "section_runs": f"""WITH {_CANDIDATES}, r0 AS (SELECT *, CAST(coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY seq, part), '') <> label AS BIGINT) AS new FROM lab),
 r1 AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY seq, part ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS section_id FROM r0)
 SELECT doc_id, section_id, label, count(*) AS n_units, md5(string_agg(text, chr(10) || chr(10) ORDER BY seq, part)) AS text_md5 FROM r1 GROUP BY doc_id, section_id, label""",

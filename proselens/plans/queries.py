@@ -11,7 +11,7 @@ from ..operators import fusion, layout, ngrams, semantic, structure, stylometry
 from ..operators import language_model as lm
 from ..sources import sinks
 from ..sources.readers import spread, table
-from .analyze import analyse
+from .analyze import analyse, search_paraphrases, window_table
 
 #: What stands before the ten documents that a paper is made of.
 PARTS = (
@@ -225,6 +225,52 @@ def perturbation_score(spark, d):
     return tidy(lm.perturbation_score(docs, lm.unigrams(lm.tokens(docs))))
 
 
+def perturbed_texts(spark, d):
+    """Two variants of each document, by draws that SQL can repeat."""
+    x = _docs(spark, d).select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    return tidy(x.select("doc_id", "k", F.md5(lm.perturbed(F.col("text"), F.col("doc_id"), F.col("k"), draws=lm.md5_draws)).alias("text_md5")))
+
+
+def perturbation_score_md5(spark, d):
+    docs = _docs(spark, d)
+    return tidy(lm.perturbation_score(docs, lm.unigrams(lm.tokens(docs)), variants=2, draws=lm.md5_draws))
+
+
+def _letters(df: DataFrame, key: tuple[str, ...], text: str) -> DataFrame:
+    """An embedder of letter counts, which SQL can follow."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    counts = T.let(low, lambda t: F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(t) - F.length(F.replace(t, F.chr(c), F.lit("")))).cast("double")))
+    return df.select(*key, N.unit(counts).alias("embedding"))
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return _letters(table(spark, f"{d}/benchmark.parquet", "item_id", "text"), ("item_id",), "text").withColumnRenamed("item_id", "vec_id")
+
+
+def window_branches(spark, d):
+    """Every window with the features of all branches: style, token scores by unigrams of the documents, neighbours among
+    the benchmark's passages by letter counts."""
+    docs = _docs(spark, d)
+    scorer = lm.unigram_scorer(lm.unigrams(lm.tokens(docs)))
+    x = window_table(_windows(spark, d), model=scorer, variants=0, corpus=_passages(spark, d), embedder=_letters)
+    return tidy(x.withColumn("ppl", F.log10(F.greatest("ppl", F.lit(1e-9)))).select("doc_id", "window_id", "n_words", "ttr", "flesch", "logprob", "ppl", "mean_entropy", "surprisal_var", "avg_rank", "detectgpt_score", "max_sim", "mean_top3", "above_tau", "nn_id"))
+
+
+def paraphrase_search(spark, d):
+    """Documents by their windows' neighbours, with the first words of the nearest passage as metadata of the windows."""
+    meta = table(spark, f"{d}/benchmark.parquet", "item_id", "text").select(F.col("item_id").alias("vec_id"), F.substring("text", 1, 20).alias("begins"))
+    windows, docs = search_paraphrases(_docs(spark, d), _passages(spark, d), meta, _letters)
+    begins = windows.groupBy("doc_id").agg(F.max_by("begins", F.struct("max_sim", -F.col("window_id"))).alias("begins"))
+    return tidy(docs.join(begins, "doc_id"))
+
+
+def layout_blocks(spark, d):
+    """Units of parsed layouts as blocks with their sections, and what a block's metadata says."""
+    b = layout.to_blocks(layout.parse(layout.from_text(_papers(spark, d)), by_type=True)["units"])
+    of = lambda k: F.element_at("metadata", k)
+    return tidy(b.select("doc_id", "block_id", "page", "block_type", F.length("text").alias("n_chars"), "section_id", "title", "section_name", of("source").alias("source"), of("unit_type").alias("unit_type"), of("top").try_cast("double").alias("top")))
+
+
 def smooth_probs(spark, d):
     return tidy(fusion.smooth(_scored(spark, d)).select("doc_id", "window_id", *(f"{p}_raw" for p in fusion.P), *fusion.P))
 
@@ -353,7 +399,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stylometry_documents, sentence_split, token_counts, lexical_diversity, pos_ratios, burstiness, readability, sentence_windows, glue_short_sentences, page_normalize, strip_math, layout_text_scan, block_classify, heading_match,
-        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, knn_all_rows, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, smooth_probs, window_labels, sentence_probs,
-        section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, meta_layers, meta_window_layers, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, annotation_boxes, pie_stops, layout_tables, layout_paragraphs, full_pipeline, all_branches,
+        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, knn_all_rows, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, perturbed_texts, perturbation_score_md5, window_branches, paraphrase_search, smooth_probs, window_labels, sentence_probs,
+        section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, meta_layers, meta_window_layers, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, annotation_boxes, pie_stops, layout_tables, layout_paragraphs, layout_blocks, full_pipeline, all_branches,
     )
 }
