@@ -17,6 +17,7 @@ Defined results: null and empty texts and items match nothing; repeated items an
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 import numpy as np
@@ -42,27 +43,26 @@ def tile(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, least:
     i, j = i[order], j[order]
     cut = np.flatnonzero((np.diff(j - i) != 0) | (np.diff(i) != 1)) + 1
     begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(i)]))
-    runs = {(int(i[a]), int(j[a]), int(b - a) + least - 1) for a, b in zip(begin, end, strict=True)}
-    in_item, in_doc, tiles = np.zeros(len(item), bool), {}, []
-    while runs:
-        x, y, n = best = max(runs, key=lambda r: (r[2], -r[0], -r[1]))
-        runs.remove(best)
-        free = [not in_item[x + k] and not in_doc.get(y + k) for k in range(n)]
-        if all(free):
+    # The longest first; each is looked at once, and what is left of it goes back.
+    heap = [(-(int(b - a) + least - 1), int(i[a]), int(j[a])) for a, b in zip(begin, end, strict=True)]
+    heapq.heapify(heap)
+    in_item, in_doc, tiles = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
+    while heap:
+        n, x, y = heapq.heappop(heap)
+        n = -n
+        marked = in_item[x : x + n] | in_doc[y : y + n]
+        if not marked.any():
             # The hashes only led here; the tokens decide.
             if np.array_equal(item[x : x + n], doc[y : y + n]):
-                tiles.append(best)
+                tiles.append((x, y, n))
                 in_item[x : x + n] = True
-                in_doc.update(dict.fromkeys(range(y, y + n), True))
+                in_doc[y : y + n] = True
             continue
-        k = 0
-        while k < n:  # what is still free of it may be a shorter match
-            e = k
-            while e < n and free[e]:
-                e += 1
+        # What is still free of it may be a shorter match.
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], marked, [True])).astype(np.int8))).reshape(-1, 2)
+        for k, e in edges.tolist():
             if e - k >= least:
-                runs.add((x + k, y + k, e - k))
-            k = e + 1
+                heapq.heappush(heap, (k - e, x + k, y + k))
     return tiles
 
 

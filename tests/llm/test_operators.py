@@ -620,3 +620,18 @@ def test_html_edges_of_a_story():
         for name in "article-comments story-comments fb-comments wp-comments responses feedback related-articles related-stories google-ads video-ad cookiebar cookie-policy-banner".split():
             assert html_extract.extract(f"<body><{tag}>{p * 6}<div class={name}>{other}</div></{tag}></body>").split("\n") == want[3:4] * 6, name
     assert html_extract.extract("<body><div id=page><div><h1>Head</h1><p>By someone, today.</p></div><div>" + p * 4 + "</div></div><div><a href=x>one</a> <a href=y>two</a></div></body>").split("\n") == ["Head", "By someone, today.", *want[3:7]]
+
+
+def test_repeated_seeds_take_little_time():
+    """One phrase again and again between other words: runs by the ten thousand, each looked at a few times."""
+    import time
+
+    phrase, r = list(range(5)), random.Random(3)
+    for times in (60, 200, 500):
+        a, b = (np.array([t for k in range(times) for t in (*phrase, r.randrange(10**9), side + k)], np.uint64) for side in (10**10, 2 * 10**10))
+        at = np.arange(times) * 7
+        i, j = np.repeat(at, times), np.tile(at, times)
+        begin = time.process_time()
+        tiles = decontaminate.tile(a, b, i, j, 5)
+        assert time.process_time() - begin < 20
+        assert sorted(tiles) == [(7 * k, 7 * k, 5) for k in range(times)]
