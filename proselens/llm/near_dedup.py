@@ -38,6 +38,8 @@ SHARE = 75
 CHUNK = 1_000_000
 #: Nodes whose sets a task holds at a time; groups beyond it meet block by block.
 BLOCK = 1024
+#: Shingles of a block at most, but for one text that has more: 8 bytes each, twice while they are counted.
+SHINGLES = 4_000_000
 #: A list of so many large groups (of four numbers each) may be broadcast.
 FEW_GROUPS = 100_000
 #: A shingle that more nodes of a task hold is counted by a matrix product, others by listing pairs.
@@ -215,24 +217,30 @@ def compared(docs: DataFrame, placed: DataFrame, share: int = SHARE) -> DataFram
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, share: int = SHARE) -> DataFrame:
-    """(node, component) by exact links within groups (node, component); docs are (doc_id, text)."""
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component")
-    about = sized.agg(F.count("*").alias("n"), F.max("size").alias("most")).first()
+    """(node, component) by exact links within groups (node, component, n_shingles); docs are (doc_id, text). Blocks hold
+    so many members, or so many shingles of them, that a task's memory is bounded for texts of any length."""
+
+    def blocks_of(members: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(members / BLOCK, shingles / SHINGLES)).cast("int")
+
+    sized = groups.join(groups.groupBy("component").agg(blocks_of(F.count("*"), F.sum("n_shingles")).alias("size")), "component")
+    about = sized.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.max("size").alias("most")).first()
     # Small groups share tasks; of larger ones, block 0 meets each other block.
-    bins, n = max(1, -(-about["n"] // BLOCK)), F.ceil(F.col("size") / BLOCK).cast("int")
+    bins, n = max(1, -(-about["n"] // BLOCK), -(-(about["shingles"] or 0) // SHINGLES)), F.col("size")
     mine = F.pmod(F.xxhash64("node"), n).cast("int")
     one, zero = F.lit(-1), F.lit(0)
     tasks = F.when(n == 1, F.array(_task(one, one))).when(mine == 0, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: _task(zero, k))).otherwise(F.array(_task(zero, mine)))
     placed = sized.select(F.col("node").alias("doc_id"), F.when(n > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))).alias("g"), tasks.alias("tasks"))
     first = compared(docs, placed, share)
-    if (about["most"] or 0) <= BLOCK:
+    if (about["most"] or 0) <= 1:
         return components(first)
     linked = materialise(components(first), "linked")
     # What isn't in a group's largest component yet meets all that it hasn't met.
-    large = sized.where(F.col("size") > BLOCK).select("node", F.col("component").alias("g"))
-    now = large.join(linked, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
-    counts = now.groupBy("g", "c").agg(F.count("*").alias("n"))
-    best = counts.groupBy("g").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("size")).select("g", F.col("m.c").alias("main"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("of_main"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).cast("int").alias("of_rest"))
+    large = sized.where(F.col("size") > 1).select("node", F.col("component").alias("g"), "n_shingles")
+    now = large.join(linked, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"), "n_shingles")
+    counts = now.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    best = counts.groupBy("g").agg(F.max(F.struct("n", "c", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    best = best.select("g", F.col("m.c").alias("main"), blocks_of(F.col("m.n"), F.col("m.w")).alias("of_main"), blocks_of(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("of_rest"))
     best = materialise(best.where("of_rest > 0"), "large")
     # Few groups are this large; the list of them is only sent to all tasks if it is short.
     at = now.join(F.broadcast(best) if best.count() <= FEW_GROUPS else best.hint("merge"), "g")
@@ -252,9 +260,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
     signed = materialise(_signed(docs), "signed")
     # A table of its own: the join below then deals out both sides by set_hash itself, and the side with all copies of a
     # text can be split.
-    reps = materialise(signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "sets")
+    reps = materialise(signed.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "sets")
     edges = candidates(reps.select("node", "signature"), 2 * parts(spark))
-    groups = materialise(components(edges), "groups")
+    groups = materialise(components(edges).join(reps.select("node", "n_shingles").hint("merge"), "node"), "groups")
     linked = materialise(confirmed(docs, groups, share), "linked")
     drop(groups)
     node = reps.select("set_hash", "node").join(linked, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))

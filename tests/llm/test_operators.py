@@ -447,10 +447,11 @@ def test_common_passage_travels_once_a_block(spark, monkeypatch):
     assert all((r["n_words"], r["n_removed"], r["kept_text"]) == (126, 120, " ".join(f"own{r['doc_id']}_{i} end{r['doc_id']}_{i}" for i in range(3))) for r in got)
 
 
-def test_giant_group_sends_each_set_twice(spark, monkeypatch):
-    """Near copies of one text in a group of many blocks: sets sent grow with the group, not with its square; links
-    outside of the largest component are found as well."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+@pytest.mark.parametrize(("name", "most"), [("BLOCK", 16), ("SHINGLES", 16 * 190)])
+def test_giant_group_sends_each_set_twice(spark, monkeypatch, name, most):
+    """Near copies of one text in a group of many blocks, by members or by shingles: sets sent grow with the group, not
+    with its square; links outside of the largest component are found as well."""
+    monkeypatch.setattr(near_dedup, name, most)
     sent, real = [], near_dedup.compared
     monkeypatch.setattr(near_dedup, "compared", lambda d, placed, share: (sent.append(placed.select(F.sum(F.size("tasks"))).first()[0]), real(d, placed, share))[1])
     r = random.Random(6)
@@ -459,11 +460,32 @@ def test_giant_group_sends_each_set_twice(spark, monkeypatch):
     # A second family within the group by force: 20 texts that are linked with each other alone.
     rows += [(k, " ".join(f"c{j}" for j in range(100)) + f" y{k}") for k in range(500, 520)]
     docs = spark.createDataFrame(rows, DOCS)
-    got = {x["node"]: x["component"] for x in near_dedup.confirmed(docs, spark.createDataFrame([(k, 0) for k, _ in rows], "node long, component long")).collect()}
+    got = {x["node"]: x["component"] for x in near_dedup.confirmed(docs, spark.createDataFrame([(k, 0, len(t.split()) - 4) for k, t in rows], "node long, component long, n_shingles long")).collect()}
     assert got == {**dict.fromkeys(range(200), 0), **dict.fromkeys(range(500, 520), 500)}
     assert len(sent) == 2 and sum(sent) <= 4 * len(rows) + 20 * 15
 
 
+def test_long_texts_fill_blocks_by_their_shingles(spark, monkeypatch):
+    """Texts of many shingles: no task holds more than two blocks of them."""
+    monkeypatch.setattr(near_dedup, "SHINGLES", 20_000)
+    held, real = [], near_dedup.compared
+
+    def noted(d, placed, share):
+        each = placed.select("doc_id", "g", F.explode("tasks").alias("t")).join(d.select("doc_id", F.size(F.split("text", " ")).alias("n")), "doc_id")
+        held.append(each.groupBy("g", "t").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+        return real(d, placed, share)
+
+    monkeypatch.setattr(near_dedup, "compared", noted)
+    r = random.Random(8)
+    rows = []
+    for k in range(40):
+        base = [f"w{r.randrange(10**9)}" for _ in range(3000)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:1500], "other", *base[1501:]]))]
+    got = near_dedup.deduplicate(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(x["component_id"] == x["doc_id"] // 2 * 2 for x in got) and len(got) == 80
+    assert max(held) < 3 * 20_000
+
+
 def test_recall_of_keys():
     """Pairs at a similarity of 0.75 and a little more share a key."""
     r = np.random.default_rng(0)
