@@ -1,12 +1,15 @@
 """Style features of texts: one projection, no shuffle.
 
-Tokens and sentences are worked out once and every feature is a built-in expression over them, but for the moving
-type-token ratio: its direct form looks at 50 tokens for each token, so token hashes go to an Arrow function that counts,
-for all documents of a batch at once, in how many windows each token is the last of its kind.
+Sentences, tokens and what is worked out of whole texts are built-in expressions. What is counted token by token goes to one
+Arrow function: a batch's tokens are numbered, each different word is tagged and measured once, and the counts of
+all its documents follow from the numbers. So does the moving type-token ratio, whose direct form looks at 50 tokens for
+each token: it counts in how many windows each token is the last of its kind. Another tagger than the default one stays an
+expression.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -44,6 +47,51 @@ def moving_ratios(tokens: pa.ListArray, width: int) -> np.ndarray:
     return np.where(n > 0, total / (w * np.maximum(n - w + 1, 1)), 0.0)
 
 
+def tag(word: str) -> int:
+    """The place in C.POS_TAGS of functions.text.part_of_speech of a lower-case word."""
+    for kind, words in _CLOSED:
+        if word in words:
+            return kind
+    if word.endswith("ly"):
+        return _AT["adv"]
+    if word.endswith(("ed", "ing")):
+        return _AT["verb"]
+    return _AT["adj" if word.endswith(C.ADJECTIVE_ENDS) else "noun"]
+
+
+_AT = {t: k for k, t in enumerate(C.POS_TAGS)}
+_CLOSED = [(_AT[t], frozenset(ws)) for t, ws in (("pron", C.PRONOUNS), ("det", C.DETERMINERS), ("cconj", C.CONJUNCTIONS), ("adp", C.ADPOSITIONS))]
+_VOWELS = re.compile(C.VOWELS)
+_COUNTS = "struct<chars:long,types:long,hard:long,mattr:double,tags:array<long>>"
+
+
+def count_tokens(tokens: pa.ListArray, width: int = C.MATTR_WINDOW) -> pa.StructArray:
+    """Of each list of lower-case words: characters, different words, words of three and more vowel groups, the moving ratio
+    and how many words have each tag."""
+    n = np.asarray(tokens.value_lengths().fill_null(0), np.int64)
+    words = tokens.flatten().dictionary_encode()
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    code, known = np.asarray(words.indices, np.int64), words.dictionary.to_pylist()
+    of, rows, kinds = np.repeat(np.arange(len(n)), n), len(n), len(C.POS_TAGS)
+    size, hard, tags = (np.array([f(w) for w in known], np.int64)[code] if known else np.zeros(0, np.int64) for f in (len, lambda w: len(_VOWELS.findall(w)) >= 3, tag))
+    chars, many = (np.bincount(of, x, rows).astype(np.int64) for x in (size, hard))
+    types = np.bincount(np.unique(of * max(len(known), 1) + code) // max(len(known), 1), minlength=rows)
+    each = np.bincount(of * kinds + tags, minlength=rows * kinds)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * kinds), pa.array(each, pa.int64()))
+    ratios = moving_ratios(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(code)), width)
+    return pa.StructArray.from_arrays([pa.array(chars), pa.array(types, pa.int64()), pa.array(many), pa.array(ratios), lists], names=["chars", "types", "hard", "mattr", "tags"])
+
+
+def token_counts(tokens: Column) -> Column:
+    ship()
+
+    @F.arrow_udf(_COUNTS)
+    def run(words: pa.Array) -> pa.Array:
+        return count_tokens(words)
+
+    return run(tokens)
+
+
 def mattr(tokens: Column, width: int = C.MATTR_WINDOW) -> Column:
     ship()
 
@@ -72,18 +120,19 @@ def features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), sent
     # The features are those of the sentences joined by one blank.
     base = base.select(*keep, "sents_", F.array_join("sents_", " ").alias("sub_"))
     base = base.select(*keep, "sents_", "sub_", F.transform(T.words(F.col("sub_")), F.lower).alias("toks_"))
+    own = tagger is not T.part_of_speech
     base = base.select(
         *keep, "sub_", "toks_", F.size("sents_").alias("n_sent"), F.size("toks_").alias("n_words"),
-        F.filter(F.transform("sents_", lambda s: F.size(T.words(s))), lambda n: n >= 0).alias("lens_"),
-        F.transform("toks_", lambda t: T.let(tagger(t), lambda x: F.when(x.isin([k.upper() for k in C.POS_TAGS]), x).otherwise("OTHER"))).alias("tags_") if tagger is not T.part_of_speech else F.transform("toks_", tagger).alias("tags_"),
+        F.filter(F.transform("sents_", lambda s: F.size(T.words(s))), lambda n: n >= 0).alias("lens_"), token_counts(F.col("toks_")).alias("c_"),
+        *([F.transform("toks_", lambda t: T.let(tagger(t), lambda x: F.when(x.isin([k.upper() for k in C.POS_TAGS]), x).otherwise("OTHER"))).alias("tags_")] if own else []),
     )
-    n, s, toks = F.col("n_words"), F.col("n_sent"), F.col("toks_")
-    of_kind = lambda tag: F.filter("tags_", lambda t: t == tag.upper())
-    pos = [N.share(F.size(of_kind(tag)).cast("double"), n).alias(f"pos_{tag}") for tag in C.POS_TAGS]
-    syllables, hard = T.syllables(F.col("sub_")), T.complex_words(toks)
+    n, s = F.col("n_words"), F.col("n_sent")
+    of_kind = lambda k, tag: F.size(F.filter("tags_", lambda t: t == tag.upper())) if own else F.get("c_.tags", F.lit(k))
+    pos = [N.share(of_kind(k, tag).cast("double"), n).alias(f"pos_{tag}") for k, tag in enumerate(C.POS_TAGS)]
+    syllables, hard = T.syllables(F.col("sub_")), F.col("c_.hard")
     return base.select(
-        *keep, "n_sent", "n_words", N.share(F.aggregate(toks, F.lit(0), lambda a, t: a + F.length(t)).cast("double"), n).alias("avg_word_len"),
-        N.type_token_ratio(toks).alias("ttr"), *([mattr(toks).alias("mattr")] if with_mattr else []), *pos, *burstiness(F.col("lens_")),
+        *keep, "n_sent", "n_words", N.share(F.col("c_.chars").cast("double"), n).alias("avg_word_len"),
+        N.share(F.col("c_.types").cast("double"), n).alias("ttr"), *([F.col("c_.mattr").alias("mattr")] if with_mattr else []), *pos, *burstiness(F.col("lens_")),
         N.flesch(s, n, syllables).alias("flesch"), N.fk_grade(s, n, syllables).alias("fk_grade"), N.gunning_fog(s, n, hard).alias("gunning_fog"),
     )
 
