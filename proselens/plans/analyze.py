@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, language_model, layout, semantic, structure, stylometry
 from ..session import keep
-from ..session import keep as _keep
 
 #: Takes windows with style features and adds p_human, p_ai and p_paraphrased_ai.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -43,8 +42,8 @@ def window_table(
     alerts = [] if alerts is None else alerts
     bare = windows
     if style:
-        keep = tuple(windows.columns)
-        windows = _or_else(alerts, "style", lambda: stylometry.features(bare, "text_raw", keep), lambda: bare, "no features")
+        columns = tuple(windows.columns)
+        windows = _or_else(alerts, "style", lambda: stylometry.features(bare, "text_raw", columns), lambda: bare, "no features")
     zeros = lambda names: lambda: bare.select(*key, *(F.lit(0.0).alias(n) for n in names))
     lm = neighbours = None
     if model is not None:
@@ -62,7 +61,7 @@ def window_table(
             got = (embedder or semantic.hashed_embedder())(bare, key, "text_clean")
             alert = F.col("alert") if "alert" in got.columns else F.lit(None).cast("string")
             # Written once: the vectors are both searched and told of.
-            q = _keep(got.select(*key, F.xxhash64(*key).alias("query_id"), "embedding", alert.alias("semantic_alert")), "embedded")
+            q = keep(got.select(*key, F.xxhash64(*key).alias("query_id"), "embedding", alert.alias("semantic_alert")), "embedded")
             found = semantic.window_features(semantic.knn(q.where(F.col("embedding").isNotNull()), corpus))
             x = q.drop("embedding").join(found, "query_id", "left").drop("query_id")
             return x.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in SEMANTIC_FEATURES})

@@ -414,6 +414,20 @@ SELECT doc_id, window_id, n_words, {_r("ttr", "flesch")}, round(coalesce(logprob
     "paraphrase_search": f"""WITH {_WINDOWS}, {_NEAR}, a AS (SELECT doc_id, avg(above_tau) AS coverage, max(max_sim) AS max_sim, avg(mean_top3) AS top3_mean, count(*) AS num_windows FROM nn GROUP BY doc_id),
 b AS (SELECT doc_id, left(text, 20) AS begins FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY max_sim DESC, window_id) AS r FROM nn) JOIN pv ON nn_id = vec_id WHERE r = 1)
 SELECT doc_id, round(coverage, 6) AS coverage, round(max_sim, 6) AS max_sim, round(top3_mean, 6) AS top3_mean, round(coverage, 6) AS frac_above_tau, num_windows, begins FROM a JOIN b USING (doc_id)""",
+    "styled_page_text": rf"""WITH s AS (SELECT doc_id, unnest(range(0, len(ss))) AS seq, unnest(ss) AS text FROM (SELECT doc_id, {sentences("text")} AS ss FROM documents)),
+l0 AS (SELECT doc_id, seq // 40 + 1 AS page, seq, text, CASE WHEN seq % 7 = 0 THEN 13.0 WHEN seq % 3 = 0 THEN 10.7 ELSE 10.0 END::DOUBLE AS size, seq % 2 = 0 AS bold, len(string_split_regex(text, '\s+')) AS n FROM s),
+l1 AS (SELECT *, coalesce(median(CASE WHEN n >= 2 THEN size END) OVER (PARTITION BY doc_id, page), 10.0) AS base FROM l0),
+l2 AS (SELECT *, length(text) <= {C.MAX_HEADING_CHARS} AND n <= {C.MAX_HEADING_WORDS} AND NOT ends_with(text, '.') AND (size >= base * 1.18 OR (bold AND size >= base * 1.06) OR regexp_matches(text, '^([0-9]+(\.[0-9]+)*|[IVXLCM]+[.])\s+') OR {known("text")}) AS head FROM l1),
+l3 AS (SELECT *, head OR coalesce(lag(head) OVER w, true) AS new FROM l2 WINDOW w AS (PARTITION BY doc_id, page ORDER BY seq)),
+l4 AS (SELECT *, sum(CAST(new AS BIGINT)) OVER (PARTITION BY doc_id, page ORDER BY seq) AS run FROM l3),
+l5 AS (SELECT doc_id, page, run, string_agg(text, ' ' ORDER BY seq) AS text FROM l4 GROUP BY ALL),
+l6 AS (SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY run) AS text FROM l5 GROUP BY ALL)
+SELECT doc_id, page, md5(text) AS text_md5, length(text) AS n_chars FROM l6""",
+    "boxed_sentences": f"""WITH s AS (SELECT doc_id, unnest(range(0, len(ss))) AS sentence_id FROM (SELECT doc_id, {sentences("text")} AS ss FROM documents))
+SELECT doc_id, sentence_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS DOUBLE) END AS bbox_x0, CASE WHEN doc_id % 5 <> 0 AND doc_id % 4 <> 0 THEN doc_id + 0.5::DOUBLE END AS bbox_y0, CASE WHEN doc_id % 5 <> 0 THEN 1000.0::DOUBLE END AS bbox_x1,
+  CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN 7.0::DOUBLE END AS bbox_y1, CAST(NULL AS VARCHAR) AS placeholder, CASE WHEN doc_id % 5 <> 0 THEN 'parser' END AS block_source FROM s""",
+    "classifier_labels": """WITH p AS (SELECT doc_id, ['human', 'ai', 'ai', 'paraphrased_ai', 'other'][doc_id % 5 + 1] AS label, quality * 0.5::DOUBLE + 0.1::DOUBLE AS a, toxic * 1.5::DOUBLE AS b FROM labels)
+SELECT doc_id, label, round(a / (a + b), 6) AS p_human, round(b / (a + b), 6) AS p_ai, 0.0::DOUBLE AS p_paraphrased_ai FROM p""",
     "smooth_probs": f"{_SMOOTH} SELECT doc_id, window_id, {_r(*(f'{p}_raw' for p in _P), *_P)} FROM sm",
     "window_labels": f"{_LABELLED} SELECT doc_id, window_id, window_label, round(window_confidence, 6) AS window_confidence FROM lw",
     "sentence_probs": f"{_SENTENCES} SELECT doc_id, sentence_id, {_r(*_P)}, label, round(confidence, 6) AS confidence FROM js",

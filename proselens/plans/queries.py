@@ -271,6 +271,32 @@ def layout_blocks(spark, d):
     return tidy(b.select("doc_id", "block_id", "page", "block_type", F.length("text").alias("n_chars"), "section_id", "title", "section_name", of("source").alias("source"), of("unit_type").alias("unit_type"), of("top").try_cast("double").alias("top")))
 
 
+def styled_page_text(spark, d):
+    """Pages put together from styled lines: each document's sentences as lines, forty a page, some large or bold."""
+    x = _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("seq", "text"))
+    size = F.when(F.col("seq") % 7 == 0, 13.0).when(F.col("seq") % 3 == 0, 10.7).otherwise(10.0)
+    lines = x.select("doc_id", (F.floor(F.col("seq") / 40) + 1).cast("int").alias("page"), "seq", "text", size.alias("size"), F.when(F.col("seq") % 2 == 0, 2).otherwise(16).alias("flags"))
+    return tidy(structure.page_of_styled_lines(lines).select("doc_id", "page", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars")))
+
+
+def boxed_sentences(spark, d):
+    """Sentences with the boxes of their blocks, a block a document; of some the metadata is missing or no number."""
+    docs = _docs(spark, d)
+    number = F.col("doc_id").cast("string")
+    pairs = F.create_map(F.lit("x0"), number, F.lit("top"), F.when(F.col("doc_id") % 4 == 0, "n/a").otherwise(F.concat(number, F.lit(".5"))), F.lit("x1"), F.lit("1e3"), F.lit("bottom"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("7"), F.lit("source"), F.lit("parser"))
+    blocks = docs.where(F.col("doc_id") % 5 != 0).select("doc_id", F.lit(0).alias("block_id"), pairs.alias("metadata"))
+    sents = docs.select("doc_id", F.lit(0).alias("block_id"), F.posexplode(T.sentences(F.col("text"))).alias("sentence_id", "text"))
+    return tidy(structure.sentence_boxes(sents, blocks).select("doc_id", "sentence_id", "bbox_x0", "bbox_y0", "bbox_x1", "bbox_y1", "placeholder", "block_source"))
+
+
+def classifier_labels(spark, d):
+    """Probabilities under a classifier's own label names, resolved and brought to a sum of 1."""
+    q = table(spark, f"{d}/labels.parquet", "doc_id", "quality", "toxic")
+    name = F.element_at(F.array(*(F.lit(x) for x in (" Human-Written", "AI-generated ", "MACHINE", "paraphrase", "other"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    p = {"Human-Written": F.col("quality") * 0.5 + 0.1, "Machine": F.col("toxic") * 1.5, "something else": F.lit(9.0)}
+    return tidy(fusion.labelled_probabilities(q.withColumn("label", T.label(name)), p).select("doc_id", "label", *fusion.P))
+
+
 def smooth_probs(spark, d):
     return tidy(fusion.smooth(_scored(spark, d)).select("doc_id", "window_id", *(f"{p}_raw" for p in fusion.P), *fusion.P))
 
@@ -399,7 +425,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stylometry_documents, sentence_split, token_counts, lexical_diversity, pos_ratios, burstiness, readability, sentence_windows, glue_short_sentences, page_normalize, strip_math, layout_text_scan, block_classify, heading_match,
-        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, knn_all_rows, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, perturbed_texts, perturbation_score_md5, window_branches, paraphrase_search, smooth_probs, window_labels, sentence_probs,
+        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, knn_all_rows, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, perturbed_texts, perturbation_score_md5, window_branches, paraphrase_search, styled_page_text, boxed_sentences, classifier_labels, smooth_probs, window_labels, sentence_probs,
         section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, meta_layers, meta_window_layers, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, annotation_boxes, pie_stops, layout_tables, layout_paragraphs, layout_blocks, full_pipeline, all_branches,
     )
 }
