@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
-from ..session import ship
+from ..session import keep, ship
 from ..workers import held
+from .ngrams import lookup
 
 #: Makes (key, position, lp, entropy, rank[, alert]) of (table, key, text column).
 TokenScorer = Callable[[DataFrame, tuple[str, ...], str], DataFrame]
@@ -31,13 +32,13 @@ def tokens(df: DataFrame, key: tuple[str, ...] = ("doc_id",), text: str = "text"
 def unigrams(toks: DataFrame, k: float = 1.0) -> DataFrame:
     """(token, n, p, lp, rank): p = (n + k) / (N + k (V + 1)), one class being kept for unknown tokens; the rank is one
     more than the number of more frequent tokens. Ranks come from the counts of counts, a table as small as the number
-    of different counts, so no task sees the whole vocabulary."""
+    of different counts, so no task sees the whole vocabulary. The model is written once to the shared folder."""
     counts = toks.groupBy("token").agg(F.count("*").alias("n"))
     levels = counts.groupBy("n").agg(F.count("*").alias("types"))
     above, every = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = levels.select("n", (F.coalesce(F.sum("types").over(above), F.lit(0)) + 1).alias("rank"), F.sum(F.col("n") * F.col("types")).over(every).alias("N_"), F.sum("types").over(every).alias("V_"))
     p = (F.col("n") + k) / (F.col("N_") + k * (F.col("V_") + 1))
-    return counts.join(ranked, "n").select("token", "n", p.alias("p"), F.ln(p).alias("lp"), "rank")
+    return keep(counts.join(ranked, "n").select("token", "n", p.alias("p"), F.ln(p).alias("lp"), "rank"), "unigrams")
 
 
 def entropy(model: DataFrame) -> DataFrame:
@@ -53,8 +54,9 @@ def top_entropy(model: DataFrame, k: int = 100) -> DataFrame:
 
 
 def score_tokens(toks: DataFrame, model: DataFrame) -> DataFrame:
-    """toks with lp, rank and entropy of the model; frequent tokens make the join skewed, which adaptive execution splits."""
-    return toks.join(model.select("token", "lp", "rank"), "token").withColumn("entropy", entropy(model).scalar())
+    """toks that the model knows with its lp, rank and entropy. The most frequent tokens are broadcast (ngrams.lookup)."""
+    known = lookup(toks, model, ["token"], {"lp": "lp", "rank": "rank"}).where(F.col("lp").isNotNull())
+    return known.withColumn("entropy", entropy(model).scalar())
 
 
 def aggregates(scored: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -71,8 +73,9 @@ def token_counts(df: DataFrame, key: tuple[str, ...] = ("doc_id",), text: str =
 
 
 def aggregates_of_counts(counts: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """aggregates(score_tokens(...)) of (key, token, n): a frequent token meets the model once a row, not once an occurrence."""
-    x = counts.join(model.select("token", "lp", "rank"), "token")
+    """aggregates(score_tokens(...)) of (key, token, n): a token meets the model once a row, not once an occurrence, the most
+    frequent ones without a shuffle."""
+    x = lookup(counts, model, ["token"], {"lp": "lp", "rank": "rank"}).where(F.col("lp").isNotNull())
     n, total = F.col("n"), F.sum("n")
     mean = F.sum(n * F.col("lp")) / total
     g = x.groupBy(*key).agg(mean.alias("logprob"), F.greatest(F.lit(0.0), F.sum(n * F.col("lp") * F.col("lp")) / total - mean * mean).alias("surprisal_var"), (F.sum(n * F.col("rank")) / total).alias("avg_rank"))
@@ -126,13 +129,14 @@ def perturbed(text: Column, key: Column, k: Column, drop: float = 0.05, swap: fl
 def perturbation_score(df: DataFrame, model: DataFrame, key: str | tuple[str, ...] = "doc_id", text: str = "text", variants: int = 5, synonyms: dict[str, list[str]] | None = None, draws: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """(key, detectgpt_score): mean log-probability of a text less that of its variants; 0 for texts without known tokens.
 
-    A row and its variants are one row of counts a distinct token, so that a frequent token meets the model once a row."""
+    A row and its variants are one row of counts a distinct token, and the most frequent tokens meet the model without a
+    shuffle."""
     key = (key,) if isinstance(key, str) else tuple(key)
     name = F.col(key[0]) if len(key) == 1 else F.struct(*key)
     each = df.select(*key, F.posexplode(F.array(F.col(text), *(perturbed(F.col(text), name, F.lit(k), synonyms=synonyms, draws=draws) for k in range(1, variants + 1)))).alias("k_", "t_"))
     toks = each.select(*key, "k_", F.explode(F.transform(T.words(F.col("t_")), F.lower)).alias("token"))
     counts = toks.groupBy(*key, "token").agg(*(F.count_if(F.col("k_") == k).alias(f"n{k}") for k in range(variants + 1)))
-    x = counts.join(model.select("token", "lp"), "token").groupBy(*key).agg(*(F.try_divide(F.sum(F.col(f"n{k}") * F.col("lp")), F.sum(f"n{k}")).alias(f"m{k}") for k in range(variants + 1)))
+    x = lookup(counts, model, ["token"], {"lp": "lp"}).where(F.col("lp").isNotNull()).groupBy(*key).agg(*(F.try_divide(F.sum(F.col(f"n{k}") * F.col("lp")), F.sum(f"n{k}")).alias(f"m{k}") for k in range(variants + 1)))
     means = F.filter(F.array(*(F.col(f"m{k}") for k in range(1, variants + 1))), lambda m: m.isNotNull())
     mean = F.aggregate(means, F.lit(0.0), lambda a, m: a + m) / F.size(means)
     got = x.select(*key, F.when(F.size(means) > 0, F.col("m0") - mean).alias("s_"))

@@ -21,7 +21,7 @@ from ..functions import text as T
 from ..session import keep
 
 #: Rows of a table that are broadcast at most.
-HEAD = 50_000
+HEAD = 100_000
 #: Stands for what is before a text; no token is like it.
 START = "\x02"
 
