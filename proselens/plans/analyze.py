@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import fusion, language_model, layout, semantic, structure, stylometry
 from ..session import keep
+from ..sources import readers
 
 #: Takes windows with style features and adds p_human, p_ai and p_paraphrased_ai.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -103,6 +105,20 @@ def analyse_layout(rows: DataFrame, by_type: bool = False, **options) -> dict[st
     return {**out, "sentences": structure.sentence_boxes(out["sentences"], blocks), "telemetry": parsed["telemetry"]}
 
 
+def analyse_pdf(spark: SparkSession, path: str, max_pages: int | None = C.MAX_PAGES, extract=None, read: readers.PageReader = readers.pymupdf_pages, by_type: bool = False, **options) -> dict[str, DataFrame]:
+    """The analysis of PDF files: as laid-out documents by the extractors (readers.pdf_files), and, where those fail or
+    find nothing, as pages of styled lines or plain text (readers.styled_pages). Pages beyond max_pages aren't read. Files and
+    pages that can't be read at all are alerts of the stage "source"."""
+    rows, errors = readers.pdf_files(spark, path, extract, max_pages)
+    rows, failed = keep(rows, "layout"), keep(errors, "failed")
+    pages, faults = readers.styled_pages(spark, path, read, max_pages, failed)
+    laid_out, paged = analyse_layout(rows, by_type, **options), analyse(pages, **options)
+    out = {name: laid_out[name].unionByName(paged[name], allowMissingColumns=True) if name in paged else laid_out[name] for name in laid_out}
+    told = F.concat_ws(": ", F.concat(F.lit("page "), F.col("page").cast("string")), "message")
+    out["alerts"] = out["alerts"].unionByName(faults.select("doc_id", F.lit("source").alias("stage"), told.alias("message")))
+    return out
+
+
 def analyse_blocks(
     ids: DataFrame, assigned: DataFrame, *, config: fusion.Config = fusion.Config(), scorer: Scorer = fusion.style_probabilities, model: DataFrame | language_model.TokenScorer | None = None,
     corpus: DataFrame | None = None, embedder: semantic.Embedder | None = None, synonyms: dict[str, list[str]] | None = None, meta: dict | None = None, splitter="intended",

@@ -423,6 +423,11 @@ l4 AS (SELECT *, sum(CAST(new AS BIGINT)) OVER (PARTITION BY doc_id, page ORDER
 l5 AS (SELECT doc_id, page, run, string_agg(text, ' ' ORDER BY seq) AS text FROM l4 GROUP BY ALL),
 l6 AS (SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY run) AS text FROM l5 GROUP BY ALL)
 SELECT doc_id, page, md5(text) AS text_md5, length(text) AS n_chars FROM l6""",
+    "char_lines": rf"""WITH c0 AS (SELECT doc_id, unnest(range(0, len(cs))) AS k, unnest(cs) AS ch FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS cs FROM documents)),
+c AS (SELECT *, k // 80 AS line, (k // 80 % 50) * 12 + CASE WHEN k % 2 = 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS top FROM c0),
+g AS (SELECT doc_id, line // 50 AS page, line, string_agg(ch, '' ORDER BY k) AS text, min(k % 80) * 6.0::DOUBLE AS x0, max(k % 80) * 6.0::DOUBLE + 5 AS x1, min(top) AS top, max(top) + 10 AS bottom, avg(9.0::DOUBLE + k % 3) AS font_size FROM c GROUP BY ALL),
+h AS (SELECT * FROM g WHERE {strip("text")} <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, line) - 1 AS seq, md5(text) AS text, page, x0, x1, round(top, 6) AS top, round(bottom, 6) AS bottom, round(font_size, 6) AS font_size, line % 5 = 0 AS bold, line % 5 <> 0 AND line % 7 = 0 AS ital FROM h""",
     "boxed_sentences": f"""WITH s AS (SELECT doc_id, unnest(range(0, len(ss))) AS sentence_id FROM (SELECT doc_id, {sentences("text")} AS ss FROM documents))
 SELECT doc_id, sentence_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS DOUBLE) END AS bbox_x0, CASE WHEN doc_id % 5 <> 0 AND doc_id % 4 <> 0 THEN doc_id + 0.5::DOUBLE END AS bbox_y0, CASE WHEN doc_id % 5 <> 0 THEN 1000.0::DOUBLE END AS bbox_x1,
   CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN 7.0::DOUBLE END AS bbox_y1, CAST(NULL AS VARCHAR) AS placeholder, CASE WHEN doc_id % 5 <> 0 THEN 'parser' END AS block_source FROM s""",

@@ -279,6 +279,16 @@ def styled_page_text(spark, d):
     return tidy(structure.page_of_styled_lines(lines).select("doc_id", "page", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars")))
 
 
+def char_lines(spark, d):
+    """Lines of the characters of documents, eighty a line and fifty lines a page, a little out of line."""
+    x = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "")).alias("k", "text"))
+    line, col = F.floor(F.col("k") / 80), F.col("k") % 80
+    top = (line % 50) * 12 + F.when(F.col("k") % 2 == 0, 0.3).otherwise(0.0)
+    font = F.when(line % 5 == 0, "Serif-Bold").when(line % 7 == 0, "Serif-Oblique").when(line % 3 == 0, "Serif")
+    chars = x.select("doc_id", F.floor(line / 50).cast("int").alias("page"), "text", (col * 6.0).alias("x0"), (col * 6.0 + 5).alias("x1"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"), (F.lit(9.0) + F.col("k") % 3).alias("size"), font.alias("fontname"))
+    return tidy(layout.lines_of_chars(chars).withColumn("text", F.md5("text")))
+
+
 def boxed_sentences(spark, d):
     """Sentences with the boxes of their blocks, a block a document; of some the metadata is missing or no number."""
     docs = _docs(spark, d)
@@ -425,7 +435,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stylometry_documents, sentence_split, token_counts, lexical_diversity, pos_ratios, burstiness, readability, sentence_windows, glue_short_sentences, page_normalize, strip_math, layout_text_scan, block_classify, heading_match,
-        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, knn_all_rows, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, perturbed_texts, perturbation_score_md5, window_branches, paraphrase_search, styled_page_text, boxed_sentences, classifier_labels, smooth_probs, window_labels, sentence_probs,
+        section_canonical, section_build, page_block_index, paged_blocks, paged_index, paged_sections, knn_topk, knn_all_rows, paraphrase_window_features, paraphrase_doc_features, lm_unigram_scores, lm_token_aggregates, lm_top_entropy, lm_bigram_contexts, lm_bigram_scores, perturbation_score, perturbed_texts, perturbation_score_md5, window_branches, paraphrase_search, styled_page_text, char_lines, boxed_sentences, classifier_labels, smooth_probs, window_labels, sentence_probs,
         section_summary, document_verdict, label_percentages, meta_features, zscore_softmax, meta_layers, meta_window_layers, label_inherit, section_runs, heading_confidence, keyword_normalize, highlight_html, annotation_boxes, pie_stops, layout_tables, layout_paragraphs, layout_blocks, full_pipeline, all_branches,
     )
 }

@@ -166,8 +166,8 @@ def page_rows(page: dict) -> list[dict]:
     return [{"page": number, "seq": 0, "text": text, "size": None, "flags": None}]
 
 
-def styled_pages(spark: SparkSession, path: str, read: PageReader = pymupdf_pages, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pages, errors) of PDF files: (doc_id, page, text), which analyse and structure.blocks take. Each page is put together
+def styled_pages(spark: SparkSession, path: str, read: PageReader = pymupdf_pages, max_pages: int | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors) of PDF files, of those in only (doc_id) if it is given: (doc_id, page, text), which analyse and structure.blocks take. Each page is put together
     from its styled lines (structure.page_of_styled_lines), or is its tidied plain text where it has none, so pages of both
     kinds stand next to each other. A page that can't be read, or a whole file, is a row of errors (doc_id, source, page,
     message); the others stay. Files are read once, into the shared folder."""
@@ -200,6 +200,7 @@ def styled_pages(spark: SparkSession, path: str, read: PageReader = pymupdf_page
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source"), "content")
+    files = files if only is None else files.join(only.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "source", "content")
     got = keep(files.mapInArrow(run, fields), "pages")
     fine, styled = F.col("message").isNull(), F.col("size").isNotNull()
     plain = got.where(fine & ~styled).select("doc_id", "page", T.page_text(F.col("text")).alias("text"))
