@@ -117,7 +117,7 @@ def test_stages_on_odd_tables(spark, sf, nth):
     assert last.count() == 4 and last.where("NOT round_trip").count() == 0
 
 
-TABLE = {"op1_html_extraction": "pages", "op10_warc": "pages"}
+TABLE = {"op1_html_extraction": "pages", "op10_warc": "pages", "op13_annulus": "embeddings"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -126,6 +126,9 @@ def test_queries_cover_their_tables(spark, sf_dir, name):
     if name == "op3_topk":
         v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         assert got.count() == 10 * v.where("vec_id % 100 = 0").count()
+    elif name == "op11_hard_negatives":
+        v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 = 0")
+        assert {r["anchor_id"] for r in got.collect()} == {r["vec_id"] for r in v.collect()}
     elif name == "op5_decontamination":
         assert {"doc_id", "item_id"} <= set(got.columns)
     else:
