@@ -92,7 +92,8 @@ z{next} AS (SELECT z.c, coalesce(m.e, z.e) AS e FROM z{k} z LEFT JOIN m{k} m USI
 ORACLES: dict[str, str] = {
     "op12_run_index": """
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT rid, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS k FROM (SELECT *, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+part AS (SELECT rid, c, substr(h, CAST(2 * c + 1 AS BIGINT), 1398) AS h FROM (SELECT *, unnest(range(0, len(h) // 2 - 199, 500)) AS c FROM d WHERE len(h) >= 400)),
+win AS (SELECT rid, c + j AS i, md5(substr(h, CAST(2 * j + 1 AS BIGINT), 400)) AS k FROM (SELECT *, unnest(range(0, least(500, len(h) // 2 - 199))) AS j FROM part)),
 again AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
 gone AS (SELECT rid, i, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i) + 200, -1) AS new FROM win JOIN again USING (k)),
 runs AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS run FROM gone) GROUP BY rid, run),
