@@ -102,3 +102,15 @@ def test_numbers(spark):
     z = row.select(N.z_score(F.array("a", "b"), F.array(F.lit(0.1), F.lit(0.1)), F.array(F.lit(0.0), F.lit(0.1))).alias("x")).first()["x"]
     assert [round(x, 6) for x in z] == [0.1, 2.0]
     assert row.select(N.first_label(F.lit(0.4), F.lit(0.4), F.lit(0.2)).alias("x")).first()["x"] == "human"
+
+
+def test_softmax_to_the_last_bit(spark):
+    """Labels of scores that all but tie hang on the last bit, so it is that of SQL's exp."""
+    import math
+
+    xs = [(k * 0.0137 - 2.0, k * 0.0071 - 1.0, 0.5) for k in range(200)] + [(None, 0.5, None)]
+    got = spark.createDataFrame(xs, "a double, b double, c double").coalesce(1).select("a", *(p.alias(f"p{i}") for i, p in enumerate(N.softmax(F.col("a"), F.col("b"), F.col("c"))))).collect()
+    for x, r in zip(xs[:-1], got[:-1], strict=True):
+        e = [math.exp(v - max(x)) for v in x]
+        assert [r["p0"], r["p1"], r["p2"]] == [v / (e[0] + e[1] + e[2]) for v in e]
+    assert got[-1]["p0"] is None
