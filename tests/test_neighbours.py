@@ -56,3 +56,38 @@ def test_cells_that_cannot_reach_the_score_are_not_sent(spark, monkeypatch):
     sims = x[:400] @ x.T
     assert {(g["query_id"], g["vec_id"]) for g in got} == {(q, int(i)) for q in range(400) for i in np.argsort(-sims[q])[:5]}
     assert stats["corpus_rows"] == 3200 and 0 < stats["rows_sent"] < 0.5 * 3200
+
+
+def test_fused_products_are_those_of_sql(spark):
+    """Each product and sum with one rounding, as DuckDB's list_inner_product; letter counts of which one sum is 0.9796875, just
+    at the edge of six places."""
+    import math
+
+    import duckdb
+
+    r = np.random.default_rng(7)
+    x, y = r.normal(size=(500, 26)) * 10.0 ** r.integers(-8, 8, (500, 26)), r.normal(size=(500, 26))
+    x[:100], y[:100] = np.rint(x[:100]) / np.sqrt(7), np.rint(y[:100] * 9) / np.sqrt(11)
+    want = []
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        s = 0.0
+        for p, q in zip(a, b, strict=True):
+            s = math.fma(p, q, s)
+        want.append(s)
+    assert semantic._products(x, y, True).tolist() == want
+    con = duckdb.connect()
+    assert [con.execute("SELECT list_inner_product(?::DOUBLE[], ?::DOUBLE[])", [a, b]).fetchone()[0] for a, b in zip(x.tolist(), y.tolist(), strict=True)] == want
+    df = lambda v, name: spark.createDataFrame([(k, w) for k, w in enumerate(v.tolist())], f"{name} long, embedding array<double>")
+    got = semantic.knn(df(x, "query_id"), df(y, "vec_id"), 500, fused=True).where("query_id = vec_id").orderBy("query_id").collect()
+    assert [g["sim"] for g in got] == want
+
+
+def test_small_corpora_meet_the_queries_where_they_are(spark, monkeypatch):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = df.withColumnRenamed("vec_id", "query_id")
+    got = {g["query_id"]: tuple(g)[1:] for g in semantic.broadcast_features(asked, ("query_id",), df).collect()}
+    want = {g["query_id"]: tuple(g)[1:] for g in semantic.window_features(semantic.knn(asked, df)).collect() if g["query_id"] != 9006}
+    assert {q: v for q, v in got.items() if v[0] is not None} == want and len(got) == len(rows)
+    monkeypatch.setattr(semantic, "QUERY_BYTES", 100)
+    assert semantic.broadcast_features(asked, ("query_id",), df) is None
