@@ -27,3 +27,16 @@ def test_frequent_tokens_leave_a_row_a_text(spark):
     for df in (lm.perturbation_score(docs, model, variants=2), lm.aggregates_of_texts(docs, model)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert [line for line in plan.splitlines() if "Aggregate [doc_id" in line] and not [line for line in plan.splitlines() if "Aggregate [doc_id" in line and "token" in line.split("]")[0]]
+
+
+@pytest.mark.parametrize("head", [0, 3, 100])
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_sums_of_ngrams(spark, monkeypatch, head, order):
+    """The aggregates of a scorer's tokens, without a row a token: unknown tokens, contexts and both, repeats, empty texts."""
+    docs = spark.createDataFrame([*TEXTS, (6, "a q a q a a"), (7, "q q a b")], "doc_id long, text string")
+    fixed = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(sorted(df.columns)).collect())
+    model = ngrams.train(docs.where("doc_id NOT IN (2, 6, 7)"), order)
+    want = fixed(lm.aggregates(ngrams.scorer(model)(docs, ("doc_id",), "text")))
+    monkeypatch.setattr(ngrams, "HEAD", head)
+    got = ngrams.aggregates_of_texts(model, docs)
+    assert fixed(got) == want and len(want) == 6
