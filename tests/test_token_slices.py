@@ -29,3 +29,21 @@ def test_memory_is_that_of_a_slice():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20
+
+
+def test_words_are_looked_for_once(spark):
+    """Syllables follow from words but where there are links and addresses, and each sentence's words are looked for once."""
+    from pyspark.sql import functions as F
+
+    from proselens.functions import text as T
+
+    texts = ["It is 3.5-7 of a1e2. See https://example.org/area?u=io now! Mail ada.lovelace@example.org today.", "Plain ideas: queue, don't-eye. 12 oars 4a5", "at@ all ://aeio uy", "", None, "zzz", "İİ naïve. Éa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    x = S.features(df, keep=("doc_id", "text"))
+    sub = F.array_join(T.sentences(F.col("text")), " ")
+    by_text = 206.835 - 1.015 * F.col("n_words") / F.col("n_sent") - 84.6 * T.syllables(sub) / F.col("n_words")
+    rows = x.select("flesch", F.when((F.col("n_words") > 0) & (F.col("n_sent") > 0), by_text).otherwise(0.0).alias("want")).collect()
+    assert len(rows) == 7 and all(abs((r["flesch"] or 0.0) - r["want"]) < 1e-9 for r in rows)
+    plan = S.features(df, keep=("doc_id",)).select("burst_cv", "ttr", "flesch")._jdf.queryExecution().optimizedPlan().toString()
+    words = r"[A-Za-z][A-Za-z'\-]*|"
+    assert plan.count(words) == 1
