@@ -151,3 +151,15 @@ def test_analysis_with_bigrams(spark, docs):
     assert len({round(r["mean_entropy"], 9) for r in w}) > 2
     # A text without a word has no token to score.
     assert [(r["ppl"], r["detectgpt_score"]) for r in w if r["doc_id"] == 3] == [(0.0, 0.0)]
+
+
+def test_pairs_are_drawn_once(spark):
+    """Whether neighbours are swapped is drawn once a pair, and words alone are drawn; odd ends and no words stay."""
+    texts = ["", "one", "one two", "one two three", "a , b . c ! d", "x " * 51, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    made = df.select("id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("id", "text", lm.perturbed(F.col("text"), F.col("id"), F.col("k"), drop=0.0, swap=0.5, draws=lm.md5_draws).alias("t"))
+    rows = made.collect()
+    assert {r["t"] for r in rows if r["id"] == 0} == {""} and {r["t"] for r in rows if r["id"] == 1} == {"one"} and {r["t"] for r in rows if r["id"] == 2} == {"two one"}
+    assert {r["t"] for r in rows if r["id"] == 3} == {"two one three"} and all(r["t"] is None for r in rows if r["id"] == 6)
+    assert {r["t"] for r in rows if r["id"] == 4} == {"a , b . c ! d"}
+    assert made._jdf.queryExecution().analyzed().toString().count("swap") == 1
