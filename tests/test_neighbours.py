@@ -91,3 +91,42 @@ def test_small_corpora_meet_the_queries_where_they_are(spark, monkeypatch):
     assert {q: v for q, v in got.items() if v[0] is not None} == want and len(got) == len(rows)
     monkeypatch.setattr(semantic, "QUERY_BYTES", 100)
     assert semantic.broadcast_features(asked, ("query_id",), df) is None
+
+
+def test_queries_travel_in_packs(spark, monkeypatch):
+    """Where cells rule out little, a query isn't written and sent once for each cell, but with its like."""
+    x = np.random.default_rng(11).normal(size=(3000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(2)
+    kept, keep = {}, semantic.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(semantic, "keep", counted)
+    monkeypatch.setattr(semantic, "QUERY_BYTES", 0)
+    got = semantic.knn(df.withColumnRenamed("vec_id", "query_id"), df, 3, skip_self=True).collect()
+    sims = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(sims, -np.inf)
+    assert {(g["query_id"], g["rank"], g["vec_id"]) for g in got} == {(q, r + 1, int(i)) for q in range(len(x)) for r, i in enumerate(np.argsort(-sims[q])[:3])}
+    assert sum(n for name, n in kept.items() if name != "least") < len(x)
+
+
+@pytest.mark.parametrize("fused", [True, False])
+def test_products_of_floats_lose_nothing(fused):
+    """Near ties, sizes beyond what floats can multiply, and rows that have the query's own id."""
+    r = np.random.default_rng(13)
+    x = np.repeat(r.normal(size=(40, 8)), 10, 0) + 1e-7 * r.normal(size=(400, 8))
+    x[:100] *= 10.0 ** r.integers(-30, 30, (100, 1))
+    x = x.astype(np.float32)
+    q, ids, own = x[::3], np.arange(400)[::3], np.arange(400)
+    own[1:8] = 0
+    wide = x.astype(float)
+    got = None
+    for j in range(0, 400, 90):
+        got = semantic._better(ids, q, own[j : j + 90], x[j : j + 90], 3, True, got, fused)
+    for at, i in enumerate(ids):
+        s = semantic._products(np.repeat(wide[i : i + 1], 400, 0), wide, fused)
+        best = sorted((-s[j], own[j]) for j in range(400) if own[j] != i)[:3]
+        assert [(-v, n) for v, n in zip(got[1][at], got[0][at])] == best
