@@ -47,3 +47,27 @@ def test_words_are_looked_for_once(spark):
     plan = S.features(df, keep=("doc_id",)).select("burst_cv", "ttr", "flesch")._jdf.queryExecution().optimizedPlan().toString()
     words = r"[A-Za-z][A-Za-z'\-]*|"
     assert plan.count(words) == 1
+
+
+def test_words_are_lowered_and_tagged_batch_by_batch(spark):
+    """Words reach the counting as they stand; tags are those of the expression."""
+    from pyspark.sql import functions as F
+
+    from proselens.functions import text as T
+
+    words = ["the", "and", "he", "under", "quickly", "walked", "going", "famous", "topic", "native", "table", "only", "bed", "sky", "a", "i", "3.5", "o'al", "ly", "ic"]
+    upper = [w.title() for w in words]
+    a, b = (S.count_tokens(pa.array([x, [], x[:3] * 30], pa.list_(pa.string()))).to_pylist() for x in (words, [*upper[:9], *words[9:]]))
+    assert a == b and a[0]["types"] == 20 and a[2]["types"] == 3
+    want = [r["t"].lower() for r in spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").orderBy("k").select(T.part_of_speech(F.col("w")).alias("t")).collect()]
+    assert [S.C.POS_TAGS[k] for k in S.tags(pa.array(words))] == want
+
+
+def test_windows_that_one_branch_reads_are_not_written(spark, monkeypatch):
+    from proselens.plans import analyze
+
+    kept, keep = [], analyze.keep
+    monkeypatch.setattr(analyze, "keep", lambda df, name: (kept.append(name), keep(df, name))[1])
+    docs = spark.createDataFrame([(1, "Abstract\n\nOne sentence stands here. Another one follows it. And a third one."), (2, "")], "doc_id long, text string")
+    assert analyze.analyse(docs)["documents"].count() == 2
+    assert kept == ["blocks", "scored"]
