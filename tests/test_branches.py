@@ -1,7 +1,11 @@
 """Branches of windows: faults are told or fail the job, and features are those of the plain ways to make them."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from proselens.functions import text as T
+from proselens.operators import language_model as lm
+from proselens.operators import ngrams
 from proselens.plans import queries
 from proselens.plans.analyze import analyse, window_table
 
@@ -37,3 +41,31 @@ def test_queries_tell_of_faults(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr("proselens.operators.semantic.broadcast_features", broken)
     with pytest.raises(RuntimeError, match="no model"):
         queries.QUERIES[name](spark, sf_dir)
+
+
+TEXTS = ["", "...", "it's a well-known fact_of 3.5 or 12,000 caf\u00e9s, na\u00efve \u4e2d\u6587 x\u0301y", "One two two, three. " * 40, "A 1 b 2 c 3! " * 30, None]
+
+
+@pytest.mark.parametrize("draws", [F.xxhash64, lm.md5_draws])
+def test_tokens_of_variants_are_those_of_their_texts(spark, draws):
+    """Words of variants are counted without writing the variants: a row once for a text and once for all of them."""
+    docs = spark.createDataFrame([(k, k % 2, t) for k, t in enumerate(TEXTS)], "doc_id long, window_id int, text string")
+    key = ("doc_id", "window_id")
+    got = lm.text_tokens(docs, key, variants=3, draws=draws)
+    of = lambda k: sorted(map(tuple, got.where(f"a{k}").select("doc_id", "token").collect()))
+    plain = lambda text: sorted(map(tuple, docs.select("doc_id", F.explode(T.words(F.lower(text)))).collect()))
+    assert of(0) == plain(F.col("text"))
+    for k in (1, 2, 3):
+        assert of(k) == plain(lm.perturbed(F.col("text"), F.struct(*key), F.lit(k), draws=draws)) != of(0)
+    assert got.count() <= 2.1 * len(of(0))
+
+
+@pytest.mark.parametrize("head", [3, 100])
+def test_unigram_features_at_once(spark, monkeypatch, head):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    model = lm.unigrams(lm.tokens(docs.where("doc_id <> 4")))
+    plain = lm.unigram_scorer(model)
+    want = lm.features(docs, lambda *a: plain(*a), ("doc_id",), variants=2)
+    monkeypatch.setattr(ngrams, "HEAD", head)
+    fixed = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(want.columns).collect())
+    assert fixed(lm.features(docs, plain, ("doc_id",), variants=2)) == fixed(want)
