@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from proselens.functions import numbers as N
 from proselens.functions import text as T
 from proselens.operators import language_model as lm
-from proselens.operators import ngrams
+from proselens.operators import ngrams, semantic
 from proselens.plans import queries
 from proselens.plans.analyze import analyse, window_table
 
@@ -69,3 +70,14 @@ def test_unigram_features_at_once(spark, monkeypatch, head):
     monkeypatch.setattr(ngrams, "HEAD", head)
     fixed = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(want.columns).collect())
     assert fixed(lm.features(docs, plain, ("doc_id",), variants=2)) == fixed(want)
+
+
+def test_hashed_embedding_is_counted_at_once(spark):
+    """The vectors of one expression a component, to the last bit."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS[:-1])), "doc_id long, text string")
+    tokens = F.transform(T.words(F.lower("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    plain = N.unit(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.size(F.filter(tokens, lambda t: t == k)).cast("double")))
+    df = docs.select(semantic.hashed_embedding(F.col("text")).alias("made"), plain.alias("want"))
+    assert all(r["made"] == r["want"] and len(r["made"]) == 64 for r in df.collect())
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS text").select(semantic.hashed_embedding(F.col("text"))).first()[0] is None
+    assert "filter(" not in docs.select(semantic.hashed_embedding(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
