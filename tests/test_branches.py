@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from proselens.functions import numbers as N
 from proselens.functions import text as T
 from proselens.operators import language_model as lm
-from proselens.operators import ngrams, semantic
+from proselens.operators import ngrams, semantic, structure
 from proselens.plans import queries
 from proselens.plans.analyze import analyse, window_table
 
@@ -81,3 +81,26 @@ def test_hashed_embedding_is_counted_at_once(spark):
     assert all(r["made"] == r["want"] and len(r["made"]) == 64 for r in df.collect())
     assert spark.sql("SELECT CAST(NULL AS STRING) AS text").select(semantic.hashed_embedding(F.col("text"))).first()[0] is None
     assert "filter(" not in docs.select(semantic.hashed_embedding(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_of_texts_are_made_where_they_stand(spark):
+    """The windows of sentences as one section, without a shuffle of texts."""
+    texts = ["", None, " ".join(f"Sentence number {k} of it." for k in range(9)), "One. Two! Three? Four.", "Only one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_id", "text"))
+    want = structure.windows(s.select("*", F.lit(0).alias("section_id"), F.lit("ALL").alias("section_name"), F.col("sentence_id").alias("section_offset"), F.col("text").alias("clean_text")))
+    got = structure.windows_of_texts(docs, T.sentences(F.col("text")), section_name="ALL")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert got.columns == want.columns and rows(got) == rows(want) and got.count() == 7
+    assert "Exchange" not in plan(got)
+
+
+def test_unigram_scores_shuffle_no_token(spark):
+    """Tokens of windows are summed where they stand: none goes through a shuffle with its place."""
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    model = lm.unigrams(lm.tokens(docs))
+    assert "posexplode" not in plan(lm.features(docs, lm.unigram_scorer(model), ("doc_id",), variants=0))
